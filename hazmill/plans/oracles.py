@@ -1,0 +1,3 @@
+"""SQL that gives the same rows as the registered queries."""
+
+ORACLES: dict[str, str] = {}
