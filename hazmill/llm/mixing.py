@@ -56,9 +56,40 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return by.select("source", "place", "source_size", "n_docs", F.least("cap", F.max("level").over(everything) * F.col("weight")).alias("target"))
 
 
+def settle_large(z: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """First settles documents above a fiftieth of the open words, all others giving way a little.
+
+    The direction is 1 for the large document and, for every other open one, a
+    multiple of p(1 - p) that keeps both totals; a step ends where the first
+    chance meets its bound, so each step settles at least one document.
+    """
+    p = p.copy()
+    large = [i for i in np.argsort(-z, kind="stable") if z[i] * 50 > float(np.dot(z, p * (p < 1)))]
+    for i in large:
+        while 0.0 < p[i] < 1.0:
+            w = np.where((p > 0) & (p < 1), p * (1 - p), 0.0)
+            w[i] = 0.0
+            m = np.array([[w.sum(), np.dot(w, z)], [np.dot(w, z), np.dot(w, z * z)]])
+            if np.count_nonzero(w) < 3 or np.linalg.det(m) <= 1e-9 * max(m[0, 0] * m[1, 1], 1e-300):
+                return p
+            a, b = np.linalg.solve(m, [-1.0, -float(z[i])])
+            u = w * (a + b * z)
+            u[i] = 1.0
+            on = u != 0
+            with np.errstate(divide="ignore", invalid="ignore"):
+                up = np.where(u > 0, (1 - p) / u, np.where(u < 0, -p / u, np.inf))
+                down = np.where(u > 0, p / u, np.where(u < 0, (p - 1) / u, np.inf))
+            k_up, k_down = int(np.argmin(up)), int(np.argmin(down))
+            step, k = (up[k_up], k_up) if rng.random() * (up[k_up] + down[k_down]) < down[k_down] else (-down[k_down], k_down)
+            p[on] += step * u[on]
+            p[k] = float(u[k] * step > 0)
+            p[p < 1e-9], p[p > 1 - 1e-9] = 0.0, 1.0
+    return p
+
+
 def fly(sizes: np.ndarray, chances: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """Chances moved to 0 or 1, all but at most two, with their sum and their sum of sizes unchanged."""
-    p, z = chances.tolist(), sizes.tolist()
+    p, z = settle_large(sizes.astype(float), chances, rng).tolist(), sizes.tolist()
     todo = iter([i for i in range(len(p)) if 0.0 < p[i] < 1.0])
     live = list(itertools.islice(todo, 3))
     draws = iter(())
