@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hazmill.llm import mixing, quality, secrets, sharding
+from hazmill.llm import embeddings, mixing, packing, quality, secrets, sharding
 from hazmill.llm.common import read_table
 
 
@@ -19,10 +19,18 @@ def op3_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failure_bits", "policy")
 
 
+def op4_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents"))
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op8_itq_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
 def op9_range_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(read_table(spark, sf_dir, "documents"))
 
@@ -30,6 +38,8 @@ def op9_range_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op3_quality_ledger": op3_quality_ledger,
+    "op4_bm25_packing": op4_bm25_packing,
     "op7_source_mix": op7_source_mix,
+    "op8_itq_embeddings": op8_itq_embeddings,
     "op9_range_shards": op9_range_shards,
 }
