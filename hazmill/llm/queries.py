@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hazmill.llm import embeddings, mixing, packing, quality, secrets, sharding
+from hazmill.llm import embeddings, mixing, near_dedup, packing, quality, secrets, sharding
 from hazmill.llm.common import read_table
 
 
@@ -23,6 +23,10 @@ def op4_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
 
+def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicate_classes(read_table(spark, sf_dir, "documents"))
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
@@ -39,6 +43,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op3_quality_ledger": op3_quality_ledger,
     "op4_bm25_packing": op4_bm25_packing,
+    "op5_order_minhash": op5_order_minhash,
     "op7_source_mix": op7_source_mix,
     "op8_itq_embeddings": op8_itq_embeddings,
     "op9_range_shards": op9_range_shards,
