@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hazmill.llm import embeddings, mixing, near_dedup, packing, quality, secrets, sharding
+from hazmill.llm import embeddings, mixing, near_dedup, packing, quality, secrets, sharding, suffix_dedup
 from hazmill.llm.common import read_table
 
 
@@ -39,6 +39,10 @@ def op9_range_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(read_table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op3_quality_ledger": op3_quality_ledger,
@@ -47,4 +51,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_source_mix": op7_source_mix,
     "op8_itq_embeddings": op8_itq_embeddings,
     "op9_range_shards": op9_range_shards,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
