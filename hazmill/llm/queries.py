@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hazmill.llm import embeddings, mixing, near_dedup, packing, quality, secrets, sharding, suffix_dedup
+from hazmill.llm import context_tree, embeddings, mixing, near_dedup, packing, quality, secrets, sharding, suffix_dedup
 from hazmill.llm.common import read_table
 
 
@@ -14,6 +14,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets_digest(read_table(spark, sf_dir, "documents"))
 
 
+def op2_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_tree.score_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op3_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger = quality.apply_policy(quality.quality_ledger(read_table(spark, sf_dir, "documents")))
     return ledger.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failure_bits", "policy")
@@ -45,6 +49,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_context_tree": op2_context_tree,
     "op3_quality_ledger": op3_quality_ledger,
     "op4_bm25_packing": op4_bm25_packing,
     "op5_order_minhash": op5_order_minhash,
