@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from hazmill.llm import context_tree, embeddings, mixing, near_dedup, packing, quality, secrets, sharding, suffix_dedup
+from hazmill.llm import context_tree, embeddings, licenses, mixing, near_dedup, packing, quality, secrets, sharding, suffix_dedup
 from hazmill.llm.common import read_table
 
 
@@ -31,6 +32,12 @@ def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicate_classes(read_table(spark, sf_dir, "documents"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.license_matches(read_table(spark, sf_dir, "documents"))
+    as_text = F.transform("matches", lambda m: F.concat_ws(":", m["license"], m["start"], m["end"], m["differences"]))
+    return found.select("doc_id", F.size("matches").cast("long").alias("n_matches"), F.array_join(F.array_sort(F.array_distinct("matches.license")), ",").alias("licenses"), F.array_join(as_text, "|").alias("spans"))
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
@@ -53,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_ledger": op3_quality_ledger,
     "op4_bm25_packing": op4_bm25_packing,
     "op5_order_minhash": op5_order_minhash,
+    "op6_license_scan": op6_license_scan,
     "op7_source_mix": op7_source_mix,
     "op8_itq_embeddings": op8_itq_embeddings,
     "op9_range_shards": op9_range_shards,
