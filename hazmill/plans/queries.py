@@ -1,11 +1,12 @@
-"""Registered queries of the library's own operators."""
+"""All registered queries of the library's own operators."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict = {}
+from hazmill.plans import text_queries  # noqa: F401
+from hazmill.plans.registry import ORACLES, QUERIES  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    return QUERIES["sentences"](spark, sf_dir)
