@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazmill.llm.common import chunks, cut_lineage, keyed_texts
+from hazmill.llm.common import chunks, keyed_texts
 
 #: Bytes of a repeated string; bytes of an anchor; rows from which a bucket is dealt out again; windows of a piece then.
 LENGTH, GRAM, HEAVY, PIECE = 100, 16, 2_000, 6
@@ -112,12 +112,12 @@ def _bytes_of(texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
 
 
 def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows (anchor, content, doc_id, start, n); those that an earlier equal row of the batch settles have no anchor."""
+    """Rows (anchor, content, doc_id, start, n, rel); those that an earlier equal row of the batch settles have rel -1 and any anchor."""
     for pdf in batches:
         ids, texts = pdf["doc_id"].to_numpy(), pdf["text"].tolist()
         for a, b in chunks(texts, 3_000_000):
             _, data, size = _bytes_of(texts[a:b])
-            gram, content, start, n, _ = anchored_runs(data, size)
+            gram, content, start, n, anchor = anchored_runs(data, size)
             if not len(start):
                 continue
             row = np.searchsorted(np.cumsum(size), start, side="right")
@@ -125,44 +125,52 @@ def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             order, _, first = _earliest([content, gram], doc, at)
             gone = np.sort(order[~first])
             keep = order[first]
-            yield pd.DataFrame({"anchor": gram[keep].view(np.int64), "content": content[keep].view(np.int64), "doc_id": doc[keep], "start": at[keep], "n": n[keep], "settled": False})
+            yield pd.DataFrame({"anchor": gram[keep].view(np.int64), "content": content[keep].view(np.int64), "doc_id": doc[keep], "start": at[keep], "n": n[keep], "rel": (anchor - start)[keep]})
             if len(gone):
                 # neighbouring runs of a document are one row
                 new = np.ones(len(gone), dtype=bool)
                 new[1:] = (doc[gone][1:] != doc[gone][:-1]) | (at[gone][1:] != (at + n)[gone][:-1])
                 head = np.flatnonzero(new)
-                yield pd.DataFrame({"anchor": 0, "content": 0, "doc_id": doc[gone][head], "start": at[gone][head], "n": np.add.reduceat(n[gone], head), "settled": True})
+                yield pd.DataFrame({"anchor": gram[gone][head].view(np.int64), "content": 0, "doc_id": doc[gone][head], "start": at[gone][head], "n": np.add.reduceat(n[gone], head), "rel": -1})
 
 
 def _settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows sorted by (anchor, content, doc_id, start): settles equal rows, keeps what differs within an anchor."""
     rest = None
     for pdf in batches:
+        done = pdf["rel"].to_numpy() < 0
+        if done.any():
+            yield pdf.loc[done, ["anchor", "doc_id", "start", "n", "rel"]].assign(heavy=False)
+            pdf = pdf[~done]
         pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
         last = pdf["anchor"].to_numpy()
         # all but the last anchor are complete
-        cut = int(np.flatnonzero(last != last[-1])[-1]) + 1 if (last != last[-1]).any() else 0
+        cut = int(np.flatnonzero(last != last[-1])[-1]) + 1 if len(last) and (last != last[-1]).any() else 0
         rest = pdf.iloc[cut:]
         if cut:
             yield _settled(pdf.iloc[:cut])
         elif len(rest) > 500_000:
             # one anchor only: what is settled in it goes now, and one row of each content stays
-            done = _settled(rest, whole=False)
-            yield done[done["settled"]]
+            out = _settled(rest)
+            yield out[out["rel"] < 0]
             rest = rest.drop_duplicates("content", keep="first")
     if rest is not None and len(rest):
         yield _settled(rest)
 
 
-def _settled(pdf: pd.DataFrame, whole: bool = True) -> pd.DataFrame:
+def _settled(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of whole anchors: equal rows but the earliest with rel -1, and the rows of anchors with different contents."""
     anchor, content, doc, start = (pdf[c].to_numpy() for c in ("anchor", "content", "doc_id", "start"))
     order, group, first = _earliest([content, anchor], doc, start)
-    heads = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-    variants = pd.Series(anchor[order][heads]).map(pd.Series(anchor[order][heads]).value_counts())
-    keep = order[heads][variants.to_numpy() > 1] if whole else order[:0]
-    at = np.concatenate([order[~first], keep])
-    out = pdf.iloc[at][["anchor", "doc_id", "start", "n"]]
-    return out.assign(settled=np.arange(len(at)) < len(at) - len(keep))
+    heads = order[np.flatnonzero(np.r_[True, group[1:] != group[:-1]])]
+    codes = pd.factorize(anchor[heads])[0]
+    variants = np.bincount(codes)[codes]
+    at = np.concatenate([order[~first], heads[variants > 1]])
+    out = pdf.iloc[at][["anchor", "doc_id", "start", "n", "rel"]]
+    n_gone = int(np.count_nonzero(~first))
+    rel = out["rel"].to_numpy().copy()
+    rel[:n_gone] = -1
+    return out.assign(rel=rel, heavy=np.r_[np.zeros(n_gone, dtype=bool), variants[variants > 1] > HEAVY])
 
 
 def refine(data: np.ndarray, size: np.ndarray, group: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -207,7 +215,10 @@ def refine(data: np.ndarray, size: np.ndarray, group: np.ndarray, place: np.ndar
 
 
 def _refined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by bucket, whole buckets together: the windows that are not their final bucket's first."""
+    """Rows sorted by bucket, whole buckets together: the windows that are not their final bucket's first.
+
+    Rows without data are settled already and pass.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         size = pdf["data"].str.len().to_numpy()
@@ -222,6 +233,10 @@ def _refined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     rest, held = None, []
     for pdf in batches:
+        done = pdf["data"].isna().to_numpy()
+        if done.any():
+            yield pdf.loc[done, ["doc_id", "start", "n"]]
+            pdf = pdf[~done]
         pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
         key = pdf["bucket"].to_numpy()
         cut = int(np.flatnonzero(key != key[-1])[-1]) + 1 if len(key) and (key != key[-1]).any() else 0
@@ -255,18 +270,20 @@ def _joined(doc: np.ndarray, start: np.ndarray) -> pd.DataFrame:
 def _payload(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The bytes of each row that is refined; heavy buckets in pieces keyed by what all of a piece's windows share.
 
-    Equal pieces of a batch are settled here: all but the earliest come back with no data.
+    Settled rows, and all but the earliest of the batch's equal pieces, pass without data.
     """
     for pdf in batches:
         out = []
         for doc, text, runs in zip(pdf["doc_id"], pdf["text"], pdf["runs"], strict=True):
+            if runs is None or not len(runs):
+                continue
             raw = text.encode("utf-8", "surrogatepass")
-            for x in runs:
-                bucket, start, n, heavy = x["anchor"], x["start"], x["n"], x["heavy"]
-                span = raw[start : start + n + LENGTH - 1]
-                rel = _anchor_place(span)
+            for bucket, start, n, rel, heavy in ((x["anchor"], x["start"], x["n"], x["rel"], x["heavy"]) for x in runs):
+                if rel < 0:
+                    out.append((bucket, doc, start, 0, None, n))
+                    continue
                 if not heavy:
-                    out.append((bucket, doc, start, -rel, span))
+                    out.append((bucket, doc, start, -rel, raw[start : start + n + LENGTH - 1], n))
                     continue
                 # window w stands rel - w before the anchor; pieces are aligned to the anchor
                 w = 0
@@ -275,22 +292,16 @@ def _payload(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     stop = min(n, rel - piece * PIECE + 1)
                     core = raw[start + rel - piece * PIECE : start + rel - (piece + 1) * PIECE + 1 + LENGTH]
                     key = int.from_bytes(hashlib.blake2b(core + bytes([piece]), digest_size=8).digest(), "little", signed=True)
-                    out.append((key, doc, start + w, w - rel, raw[start + w : start + stop + LENGTH - 1]))
+                    out.append((key, doc, start + w, w - rel, raw[start + w : start + stop + LENGTH - 1], stop - w))
                     w = stop
-        got = pd.DataFrame(out, columns=["bucket", "doc_id", "start", "place", "data"])
+        got = pd.DataFrame(out, columns=["bucket", "doc_id", "start", "place", "data", "n"])
+        open_ = got["data"].notna().to_numpy()
+        yield got[~open_]
+        got = got[open_].sort_values(["doc_id", "start"])
         if len(got):
-            got = got.sort_values(["doc_id", "start"])
             lead = got.groupby(["bucket", "place", "data"], sort=False)[["doc_id", "start"]].transform("first")
             later = ((lead["doc_id"] != got["doc_id"]) | (lead["start"] != got["start"])).to_numpy()
-            yield got.assign(n=got["data"].str.len() - LENGTH + 1, data=got["data"].where(~later, None))
-
-
-def _anchor_place(span: bytes) -> int:
-    """How far behind the run's start its anchor lies: the leftmost gram of least hash in its first window."""
-    data = np.frombuffer(span[:LENGTH], dtype=np.uint8)
-    eight = _words(data, LENGTH)
-    gram = _mix(eight[: LENGTH - GRAM + 1] * _B + _mix(eight[8 : LENGTH - GRAM + 9])) & ~_LOW
-    return int(np.argmin(gram))
+            yield got.assign(data=got["data"].where(~later, None))
 
 
 def _cut_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -316,47 +327,24 @@ def _cut_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out
 
 
+def _repeated(texts: DataFrame) -> DataFrame:
+    """doc_id, start, n of what repeats; texts is (doc_id, text). One job: no text is shuffled but by doc_id."""
+    parts = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
+    runs = texts.where("doc_id is not null").mapInPandas(_runs, "anchor long, content long, doc_id long, start int, n int, rel short")
+    ordered = runs.repartition(parts, "anchor").sortWithinPartitions("anchor", "content", "doc_id", "start")
+    settled = ordered.mapInPandas(_settle, "anchor long, doc_id long, start int, n int, rel short, heavy boolean")
+    by_doc = settled.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "start", "n", "rel", "heavy")).alias("runs"))
+    payload = texts.join(by_doc.hint("merge"), "doc_id", "left").mapInPandas(_payload, "bucket long, doc_id long, start int, place int, data binary, n int")
+    return payload.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInPandas(_refined, _GONE)
+
+
 def repeated_starts(docs: DataFrame) -> DataFrame:
     """doc_id, start, n: windows start to start + n - 1 of the document also start earlier."""
-    texts = keyed_texts(docs).where("doc_id is not null")
-    runs = texts.mapInPandas(_runs, "anchor long, content long, doc_id long, start int, n int, settled boolean")
-    by = F.when(F.col("settled"), F.xxhash64("doc_id", "start")).otherwise(F.col("anchor"))
-    dealt = runs.withColumn("by", by)
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
-    ordered = dealt.repartition(parts, "by").drop("by").sortWithinPartitions("settled", "anchor", "content", "doc_id", "start")
-
-    def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def open_rows() -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                done = pdf["settled"].to_numpy(dtype=bool)
-                if done.any():
-                    passed.append(pdf.loc[done, ["anchor", "doc_id", "start", "n", "settled"]])
-                if not done.all():
-                    yield pdf[~done]
-
-        passed: list[pd.DataFrame] = []
-        for out in _settle(open_rows()):
-            yield out
-            while passed:
-                yield passed.pop()
-        yield from passed
-
-    settled = cut_lineage(ordered.mapInPandas(settle, "anchor long, doc_id long, start int, n int, settled boolean"))
-    gone = settled.where("settled").select("doc_id", "start", "n")
-    different = settled.where("not settled")
-    heavy = cut_lineage(different.groupBy("anchor").count().where(F.col("count") > HEAVY).select("anchor", F.lit(True).alias("heavy")))
-    marked = different.join(heavy, "anchor", "left").select("doc_id", F.struct("anchor", "start", "n", F.coalesce("heavy", F.lit(False)).alias("heavy")).alias("run"))
-    by_doc = marked.groupBy("doc_id").agg(F.collect_list("run").alias("runs"))
-    payload = texts.join(by_doc, "doc_id").mapInPandas(_payload, "bucket long, doc_id long, start int, place int, data binary, n int")
-    payload = cut_lineage(payload)
-    local = payload.where("data is null").select("doc_id", "start", "n")
-    held = payload.where("data is not null").drop("n").repartition(parts, "bucket").sortWithinPartitions("bucket")
-    refined = held.mapInPandas(_refined, _GONE)
-    return gone.unionByName(local).unionByName(refined)
+    return _repeated(keyed_texts(docs))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256: a row for each row of docs."""
     texts = keyed_texts(docs)
-    gone = repeated_starts(docs).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("gone"))
-    return texts.join(gone, "doc_id", "left").mapInPandas(_cut_out, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    gone = _repeated(texts).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("gone"))
+    return texts.join(gone.hint("merge"), "doc_id", "left").mapInPandas(_cut_out, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
