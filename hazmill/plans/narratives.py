@@ -55,3 +55,10 @@ NARRATIVES = f"""select o_orderkey as analysis_id, concat({_case('o_orderkey', _
 def narratives(spark: SparkSession, sf_dir: str) -> DataFrame:
     spark.read.parquet(f"{sf_dir}/orders.parquet").createOrReplaceTempView("hazmill_orders")
     return spark.sql(NARRATIVES.replace("from orders", "from hazmill_orders"))
+
+
+def customer_narratives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same wording over customers: a smaller corpus."""
+    spark.read.parquet(f"{sf_dir}/customer.parquet").createOrReplaceTempView("hazmill_customers")
+    rows = "from (select c_custkey as o_orderkey, cast(c_nationkey as bigint) as o_custkey, timestamp '2024-01-01' as o_orderdate from hazmill_customers)"
+    return spark.sql(NARRATIVES.replace("from orders", rows))
