@@ -26,8 +26,14 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("long")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint to the shared folder the session names; a folder of its own only where none is named."""
+def cut_lineage(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Checkpoint to the shared folder the session names; a folder of its own only where none is named.
+
+    rows: about how many there are, if that is known; few rows are not spread
+    over more files than they fill.
+    """
+    if rows is not None:
+        df = df.coalesce(1 + rows // 100_000)
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
@@ -61,7 +67,9 @@ def components(edges: DataFrame) -> DataFrame:
     """
     both = edges.where("a is not null and b is not null and a <> b").select("a", "b").distinct()
     both = cut_lineage(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut_lineage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")))
+    size = both.count()
+    both = both.coalesce(1 + size // 100_000)
+    labels = cut_lineage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")), size)
     while True:
         seen = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         pulled = labels.join(seen, "node").select("node", "label", F.least("label", "near").alias("next"))
@@ -69,7 +77,7 @@ def components(edges: DataFrame) -> DataFrame:
         hooks = pulled.where("next < label").groupBy(F.col("label").alias("node")).agg(F.min("next").alias("hook"))
         pulled = pulled.join(hooks, "node", "left").select("node", "label", F.least("next", "hook").alias("next"))
         jump = pulled.select(F.col("node").alias("next"), F.col("next").alias("root"))
-        new = cut_lineage(pulled.join(jump, "next", "left").select("node", "label", F.least("next", F.coalesce("root", "next")).alias("next")))
+        new = cut_lineage(pulled.join(jump, "next", "left").select("node", "label", F.least("next", F.coalesce("root", "next")).alias("next")), size)
         moved = not new.where("next <> label").isEmpty()
         labels = new.select("node", F.col("next").alias("label"))
         if not moved:
