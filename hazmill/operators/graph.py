@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hazmill.sources.shared import checkpointed
+
 INVOLVED, CAUSED_BY, PRECEDED_BY = "INVOLVED", "CAUSED_BY", "PRECEDED_BY"
 CAUSAL, MAX_DEPTH, HUB_DEGREE = (CAUSED_BY, PRECEDED_BY), 6, 8
 #: Entity types in the order they enter the graph, with the node type and relation they get.
@@ -19,13 +20,6 @@ def node_key(node_type: str | Column, label: Column) -> Column:
     return F.concat(kind, F.lit(":"), F.lower(F.trim(label)))
 
 
-def _checkpoint(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint()
-
-
 def build_graph(docs: DataFrame, entities: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of docs(doc_id, title, industry, severity) and entities(doc_id, place, text, entity_type).
 
@@ -62,7 +56,7 @@ def precursor_chain(edges: DataFrame, starts: DataFrame, nodes: DataFrame | None
     """
     causal = edges.where(F.col("relation").isin(*CAUSAL)).select("src", F.col("dst").alias("node_id"), "relation", "edge_seq")
     level = starts.select(F.col("node_id").alias("start"), "node_id", F.lit(0).alias("depth"), F.lit(0).cast("long").alias("place"), F.lit("").alias("relation")).distinct()
-    level = _checkpoint(level)
+    level = checkpointed(level)
     seen = level
     for depth in range(1, max_depth + 1):
         step = level.select("start", F.col("node_id").alias("src"), F.col("place").alias("from_place")).join(causal, "src")
@@ -70,10 +64,10 @@ def precursor_chain(edges: DataFrame, starts: DataFrame, nodes: DataFrame | None
         first = new.groupBy("start", "node_id").agg(F.min(F.struct("from_place", "edge_seq", "relation")).alias("via"))
         place = F.row_number().over(Window.partitionBy("start").orderBy("via", "node_id")).cast("long") - 1
         level = first.select("start", "node_id", F.lit(depth).alias("depth"), place.alias("place"), F.col("via.relation").alias("relation"))
-        level = _checkpoint(level)
+        level = checkpointed(level)
         if level.isEmpty():
             break
-        seen = _checkpoint(seen.unionByName(level))
+        seen = checkpointed(seen.unionByName(level))
     steps = seen.where("depth > 0")
     if nodes is None:
         return steps
@@ -90,7 +84,7 @@ def causal_chain(reports: DataFrame, entities: DataFrame, nodes: DataFrame, edge
     own = causes.select("analysis_id", F.lit(0).alias("part"), F.col("i").cast("long").alias("i"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("place"), "label", F.lit("cause").alias("node_type"), F.lit(CAUSED_BY).alias("relation"))
     tools = reports.select("analysis_id", F.posexplode("equipment").alias("i", "text")).select("analysis_id", F.lit(1).alias("part"), F.col("i").cast("long").alias("i"), node_key("equipment", F.col("text")).alias("start"))
     hazards = entities.where("entity_type = 'HAZARD'").select("analysis_id", F.lit(2).alias("part"), F.col("place").cast("long").alias("i"), node_key("hazard", F.col("text")).alias("start"))
-    starts = _checkpoint(tools.unionByName(hazards))
+    starts = checkpointed(tools.unionByName(hazards))
     known = nodes.select("node_id").unionByName(edges.select(F.col("src").alias("node_id"))).distinct()
     walk = precursor_chain(edges, starts.select(F.col("start").alias("node_id")).distinct().join(known, "node_id", "left_semi"), nodes)
     walked = starts.join(walk, "start").select("analysis_id", "part", "i", "depth", "place", "label", "node_type", "relation")

@@ -12,6 +12,7 @@ from hazmill.operators import entities as N
 from hazmill.operators import graph as G
 from hazmill.operators import precursors as P
 from hazmill.operators import retrieval as R
+from hazmill.sources.shared import checkpointed
 
 PRIORITY_FLOOR, STANDARD_EVIDENCE, MOST_GENERATED = 8.0, 1, 4
 
@@ -159,13 +160,14 @@ def analyze(reports: DataFrame, history: DataFrame, regulations: DataFrame, pars
     r = structured_incident(reports.withColumn("error", F.lit(None).cast("string")) if "error" not in reports.columns else reports, parsed)
     r = r.withColumns({"document_type": L.classify_document(F.col("text")), "hazard_type": L.detect_hazard_type(L.hazard_text(F.col("text"), F.col("sequence_of_events"), F.col("immediate_causes"), F.col("root_causes")))})
     r = r.withColumn("warnings", L.warnings(F.col("text"), F.col("document_type"), F.col("extraction_confidence")))
+    r = checkpointed(r)
     sound = r.where("error is null")
-    found = N.dictionary_entities(sound)
+    found = checkpointed(N.dictionary_entities(sound))
     asked = sound.select(F.col("analysis_id").alias("query_id"), L.incident_query(F.col("sequence_of_events"), F.col("immediate_causes"), F.col("equipment_involved"), F.col("text")).alias("text"), "industry")
-    similar = R.to_similar_incident(R.hybrid_search_incidents(asked, history)).withColumnRenamed("query_id", "analysis_id")
+    similar = checkpointed(R.to_similar_incident(R.hybrid_search_incidents(asked, history)).withColumnRenamed("query_id", "analysis_id"))
     wanted = sound.select(F.col("analysis_id").alias("query_id"), L.regulatory_query(F.col("hazard_type"), F.col("sequence_of_events"), F.col("immediate_causes"), F.col("equipment_involved")).alias("text"), "hazard_type", "industry")
-    clauses = R.retrieve_clauses(wanted, regulations).withColumnRenamed("query_id", "analysis_id")
-    patterns = P.corroborate(P.match_precursors(sound), similar.select("analysis_id", F.col("chunk_excerpt").alias("excerpt")))
+    clauses = checkpointed(R.retrieve_clauses(wanted, regulations).withColumnRenamed("query_id", "analysis_id"))
+    patterns = checkpointed(P.corroborate(P.match_precursors(sound), similar.select("analysis_id", F.col("chunk_excerpt").alias("excerpt"))))
     causes = F.concat("immediate_causes", "root_causes")
     nodes, edges = graph or G.build_graph(sound.select(F.col("analysis_id").alias("doc_id"), F.col("file_name").alias("title"), "industry", F.col("severity_indicator").alias("severity")), found.withColumnRenamed("analysis_id", "doc_id"))
     chain = G.causal_chain(sound.select("analysis_id", causes.alias("causes"), F.col("equipment_involved").alias("equipment")), found, nodes, edges)

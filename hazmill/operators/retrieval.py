@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazmill.functions import text as T
+from hazmill.sources.shared import checkpointed
 
 RRF_K, CANDIDATES, RELEVANCE = 60, 20, 0.3
 K1, B, NEGATIVE_IDF = 1.5, 0.75, 0.25
@@ -235,12 +236,14 @@ def hybrid_search(
     hits = rerank(candidates(reciprocal_rank_fusion(dense, sparse), chunks, dense), k, scores)
     if not compressed:
         return hits
+    hits = checkpointed(hits)
     return hits.drop("text").join(compress(hits, queries, digest=digest), ["query_id", "chunk_id"])
 
 
 def hybrid_search_incidents(queries: DataFrame, chunks: DataFrame, k: int = 8, digest: str = "crc32", **more) -> DataFrame:
     """Filtered by industry first; a query left with under half of k hits takes the unfiltered search instead."""
-    filtered = hybrid_search(queries, chunks, k, ("industry",), digest=digest, **more)
+    more.setdefault("index", build_bm25(chunks))
+    filtered = checkpointed(hybrid_search(queries, chunks, k, ("industry",), digest=digest, **more))
     enough = filtered.groupBy("query_id").count().where(F.col("count") >= max(k // 2, 1)).select("query_id")
     # a query without an industry is unfiltered either way
     free = hybrid_search(queries.join(enough, "query_id", "left_anti"), chunks, k, digest=digest, **more)
