@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hazmill.plans import graph_queries, label_queries, report_queries, search_queries, text_queries  # noqa: F401
+from hazmill.plans import graph_queries, label_queries, report_queries, search_queries, stream_queries, text_queries  # noqa: F401
 from hazmill.plans.registry import ORACLES, QUERIES  # noqa: F401
 
 
