@@ -57,3 +57,14 @@ def test_store(spark, tmp_path):
     (tmp_path / "txt").mkdir()
     (tmp_path / "txt" / "b_1.txt").write_text("lock-\nout")
     assert [tuple(r) for r in store.read_text_corpus(spark, str(tmp_path / "txt"), "c").collect()] == [("b_1", "b_1.txt", "c", "lockout")]
+
+
+def test_silence_stream(spark, tmp_path):
+    schema = "analysis_id long, stage string, status string, ts timestamp"
+    late = T0 + timedelta(hours=1)
+    rows = [[(1, "risk_scorer", "running", T0), (2, "synthesis", "complete", T0)], [(3, "document_router", "running", late)], [(3, "incident_parser", "running", late + timedelta(seconds=1))]]
+    for i, part in enumerate(rows):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    got = run(spark, U.silence_stream(stream.withWatermark("ts", "10 seconds")), "silent", "append")
+    assert [tuple(r) for r in got.collect()] == [(1, "risk_scorer")]
