@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from hazmill.llm.common import components, cut_lineage
 
-#: Vectors that the rotation is learned from, at most; rows of a block of a bucket.
-SAMPLE, BLOCK = 20_000, 512
+#: Vectors that the rotation is learned from, at most; rows of a block of a bucket, and rows of a bucket that is compared together with others.
+SAMPLE, BLOCK, SMALL = 20_000, 256, 12
 #: A key's bits differ with at most this chance for a pair at the threshold; pairs that may miss all tables.
 BIT_CHANCE, MISS = 0.08, 0.02
 
@@ -48,7 +48,7 @@ def fit_itq(x: np.ndarray, seed: int, rounds: int = 40) -> tuple[np.ndarray, np.
 
 def plan_tables(n: int, dims: int) -> tuple[int, int]:
     """(bits of a key, tables): buckets of a few random vectors each, and few missed pairs."""
-    bits = max(8, min(32, dims, math.ceil(math.log2(max(n, 2)))))
+    bits = min(dims, max(8, min(32, math.ceil(math.log2(max(n, 2))))))
     return bits, max(4, math.ceil(math.log(MISS) / math.log(1 - (1 - BIT_CHANCE) ** bits)))
 
 
@@ -99,14 +99,40 @@ def _compare(threshold: float, dtype: str):
             label = new
         return pd.DataFrame({"id": ids[some], "links": (near @ n)[some], "mate": ids[label][some]})
 
+    def small(pdf: pd.DataFrame, group: np.ndarray) -> pd.DataFrame | None:
+        """Many small buckets at once: each row against the row k places on, while that is in the same bucket."""
+        x = _unit(np.frombuffer(b"".join(pdf["vector"]), dtype=dtype).reshape(len(pdf), -1))
+        ids, n, keys, table = pdf["id"].to_numpy(), pdf["n"].to_numpy(), np.array(pdf["keys"].tolist()), pdf["table"].to_numpy()
+        earlier = np.arange(keys.shape[1])[None, :] < table[:, None]
+        out = []
+        for k in range(1, SMALL):
+            a = np.flatnonzero(group[k:] == group[:-k])
+            if not len(a):
+                break
+            b = a + k
+            a, b = (y[np.einsum("ij,ij->i", x[a], x[b]) >= threshold] for y in (a, b))
+            new = ~((keys[a] == keys[b]) & earlier[a]).any(axis=1)
+            a, b = a[new], b[new]
+            out += [pd.DataFrame({"id": ids[a], "links": n[b], "mate": ids[b]}), pd.DataFrame({"id": ids[b], "links": n[a], "mate": ids[b]})]
+        return pd.concat(out, ignore_index=True) if out else None
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, rest = ["table", "key", "lo", "hi"], None
         for pdf in batches:
             pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-            start = pdf.index[(pdf[key] != pdf[key].shift()).any(axis=1)].tolist()
-            groups = [pdf.iloc[a:b] for a, b in zip(start, start[1:], strict=False)]
-            rest = pdf.iloc[start[-1] :] if start else None
-            if found := [y for g in groups if len(g) > 1 and (y := links(g)) is not None]:
+            start = np.flatnonzero((pdf[key] != pdf[key].shift()).any(axis=1).to_numpy())
+            if not len(start):
+                continue
+            rest = pdf.iloc[start[-1] :]
+            size = np.diff(start)
+            whole = (pdf["lo"] == pdf["hi"]).to_numpy()[start[:-1]]
+            together = (size > 1) & (size <= SMALL) & whole
+            found = [y for a, m in zip(start[:-1][~together], size[~together], strict=True) if m > 1 and (y := links(pdf.iloc[a : a + m])) is not None]
+            number = np.repeat(np.where(together, np.arange(len(size)), -1), size)
+            chosen = np.flatnonzero(number >= 0)
+            if len(chosen) and (y := small(pdf.iloc[chosen], number[chosen])) is not None:
+                found.append(y)
+            if found:
                 yield pd.concat(found, ignore_index=True)
         if rest is not None and len(rest) > 1 and (y := links(rest)) is not None:
             yield y
