@@ -30,8 +30,8 @@ from hazmill.llm.common import cut_lineage, text_of, word_count
 
 #: Weights by the source's place, repeating; the share of all words that the mix takes; the most copies of a document.
 WEIGHTS, SHARE, MOST = (5.0, 2.0, 1.0), 1.5, 2.0
-#: Documents that one flight handles.
-BLOCK = 4096
+#: Documents that one flight handles, and sources up to which their table is broadcast (larger ones are shuffled).
+BLOCK, MOST_BROADCAST = 4096, 100_000
 
 _UNIT = "place int, doc_id long, part long, size long, chance double"
 
@@ -147,10 +147,10 @@ def decide(units: DataFrame, seed: int) -> DataFrame:
             done.append(units)
             break
         done.append(units.where(settled))
-        counts = units.where(~settled).groupBy("place").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
         last = many <= BLOCK
-        block = F.pmod(F.xxhash64(F.lit(seed + len(done)), "doc_id", "part", "size"), F.col("blocks")).cast("long")
-        flying = units.where(~settled).join(counts, "place").select("place", "doc_id", "part", "size", "chance", block.alias("block"))
+        # as many blocks for each source as the largest one needs: smaller ones just fly in smaller blocks
+        block = F.pmod(F.xxhash64(F.lit(seed + len(done)), "doc_id", "part", "size"), F.lit(-(-many // BLOCK))).cast("long")
+        flying = units.where(~settled).select("place", "doc_id", "part", "size", "chance", block.alias("block"))
         units = cut_lineage(flying.groupBy("place", "block").applyInPandas(_flown(seed + len(done), last), _UNIT))
     return reduce(DataFrame.unionByName, done)
 
@@ -159,15 +159,17 @@ def mix(docs: DataFrame, seed: int = 11) -> DataFrame:
     """For each document: doc_id, source, size, part (numbers equal rows), source_size, target, copies, taken."""
     rows = cut_lineage(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["source"].cast("string").alias("source"), word_count(text_of(docs)).alias("size")))
     targets = cut_lineage(source_targets(rows))
+    few = targets.count() <= MOST_BROADCAST
     equal = rows.groupBy("source", "doc_id", "size").count()
     units = equal.select("source", "doc_id", "size", F.explode(F.sequence(F.lit(1).cast("long"), "count")).alias("part"))
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(MOST))).otherwise(0.0)
-    placed = units.join(targets.select("source", "place", rate.alias("rate")), units["source"].eqNullSafe(targets["source"])).drop(targets["source"])
+    rates = targets.select(F.col("source").alias("own"), "place", rate.alias("rate"))
+    placed = units.join(F.broadcast(rates) if few else rates, F.col("source").eqNullSafe(F.col("own"))).drop("own")
     chance = F.when(F.col("size") > 0, F.col("rate") - F.floor("rate")).otherwise(0.0)
     taken = decide(placed.select("place", "doc_id", "part", "size", chance.alias("chance")), seed)
     copies = (F.floor(F.when(F.col("size") > 0, F.col("rate")).otherwise(F.least("rate", F.lit(1.0)))) + F.col("chance")).cast("long")
     return (
-        taken.join(targets.withColumn("rate", rate), "place")
+        taken.join(F.broadcast(targets.withColumn("rate", rate)) if few else targets.withColumn("rate", rate), "place")
         .withColumn("copies", copies)
         .select("doc_id", "source", "size", "part", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
     )
