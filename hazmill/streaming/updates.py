@@ -113,7 +113,7 @@ def result_cache(uploads: DataFrame, ttl_s: int = TTL_S) -> DataFrame:
 
 
 def rate_limit_stream(uploads: DataFrame, cap: int = CAP, window_s: int = WINDOW_S) -> DataFrame:
-    """rate_limit over a stream; each key's state is its window's begin and count, and it expires with the window."""
+    """rate_limit over a stream with a watermark on ts; each key's state is its window's begin and count, and goes once the watermark has passed the window."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     span = pd.Timedelta(seconds=window_s)
@@ -132,10 +132,11 @@ def rate_limit_stream(uploads: DataFrame, cap: int = CAP, window_s: int = WINDOW
             n += 1
             out.append((key[0], r.request_id, n, n <= cap))
         state.update((begun.isoformat(), n))
-        state.setTimeoutDuration(window_s * 1000)
+        ends = int(rows["ms"].iloc[-1] + ((begun + span) - rows["ts"].iloc[-1]).total_seconds() * 1000)
+        state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["client_key", "request_id", "n", "allowed"])
 
-    return uploads.groupBy("client_key").applyInPandasWithState(run, "client_key long, request_id long, n int, allowed boolean", "begun string, n int", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return uploads.where("ts is not null").withColumn("ms", F.unix_millis("ts")).groupBy("client_key").applyInPandasWithState(run, "client_key long, request_id long, n int, allowed boolean", "begun string, n int", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def silence_stream(updates: DataFrame, timeout_s: int = SILENCE_S) -> DataFrame:
@@ -154,9 +155,9 @@ def silence_stream(updates: DataFrame, timeout_s: int = SILENCE_S) -> DataFrame:
             state.remove()
             return
         state.update((str(last["stage"]),))
-        state.setTimeoutTimestamp(int(last["ts"].timestamp() * 1000) + timeout_s * 1000)
+        state.setTimeoutTimestamp(max(int(last["ms"]) + timeout_s * 1000, state.getCurrentWatermarkMs() + 1))
 
-    return updates.groupBy("analysis_id").applyInPandasWithState(run, "analysis_id long, last_stage string", "stage string", "append", GroupStateTimeout.EventTimeTimeout)
+    return updates.where("ts is not null").withColumn("ms", F.unix_millis("ts")).groupBy("analysis_id").applyInPandasWithState(run, "analysis_id long, last_stage string", "stage string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def streaming_analyze(reports: DataFrame, history: DataFrame, regulations: DataFrame, path: str, checkpoint: str):

@@ -13,7 +13,7 @@ SCHEMA = "client_key long, request_id long, ts timestamp"
 
 def run(spark, df, name, mode):
     q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    assert q.awaitTermination(120)
     return spark.table(name)
 
 
@@ -23,7 +23,7 @@ def test_rate_limit(spark, tmp_path):
     batch = U.rate_limit(spark.read.parquet(str(tmp_path / "in")), cap=5)
     got = {r["request_id"]: (r["n"], r["allowed"]) for r in batch.collect()}
     assert got[104] == (5, True) and got[105] == (6, False) and got[199] == (1, True)
-    stream = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in")).withWatermark("ts", "1 hour")
     assert {tuple(r) for r in run(spark, U.rate_limit_stream(stream, cap=5), "limits", "append").collect()} == {tuple(r) for r in batch.collect()}
 
 
