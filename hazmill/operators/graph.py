@@ -54,7 +54,8 @@ def precursor_chain(edges: DataFrame, starts: DataFrame, nodes: DataFrame | None
     Every level is one join against all edges for all starts together; a node is
     reached once for each start, from the parent met first.
     """
-    causal = edges.where(F.col("relation").isin(*CAUSAL)).select("src", F.col("dst").alias("node_id"), "relation", "edge_seq")
+    # read at every level: without a cut each level would derive the edges from the texts again
+    causal = checkpointed(edges.where(F.col("relation").isin(*CAUSAL)).select("src", F.col("dst").alias("node_id"), "relation", "edge_seq"))
     level = starts.select(F.col("node_id").alias("start"), "node_id", F.lit(0).alias("depth"), F.lit(0).cast("long").alias("place"), F.lit("").alias("relation")).distinct()
     level = checkpointed(level)
     seen = level
@@ -67,7 +68,7 @@ def precursor_chain(edges: DataFrame, starts: DataFrame, nodes: DataFrame | None
         level = checkpointed(level)
         if level.isEmpty():
             break
-        seen = checkpointed(seen.unionByName(level))
+        seen = seen.unionByName(level)
     steps = seen.where("depth > 0")
     if nodes is None:
         return steps

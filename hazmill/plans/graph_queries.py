@@ -9,6 +9,7 @@ from hazmill.operators import entities as N
 from hazmill.operators import graph as G
 from hazmill.plans.narratives import NARRATIVES, narratives
 from hazmill.plans.registry import query, table
+from hazmill.sources.shared import checkpointed
 
 _PHRASES = "(values " + ", ".join(f"('{p}', {len(p.split())}, '{label}')" for p, label in N.phrases().items()) + ") as ph(phrase, size, label)"
 _ENT = f"""tk as (select analysis_id, regexp_extract_all(text[:12000], '[A-Za-z0-9_]+|[^A-Za-z0-9_\\s]') as t from n),
@@ -58,7 +59,7 @@ def verify_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 def incident_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     n = narratives(spark, sf_dir)
     docs = n.select(F.col("analysis_id").alias("doc_id"), F.col("file_name").alias("title"), F.coalesce("industry", F.lit("unknown")).alias("industry"), F.lit("UNKNOWN").alias("severity"))
-    found = N.dictionary_entities(n).withColumnRenamed("analysis_id", "doc_id")
+    found = checkpointed(N.dictionary_entities(n).withColumnRenamed("analysis_id", "doc_id"))
     return docs, found, n
 
 
