@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hazmill.functions import labels as L
 from hazmill.functions import taxonomy as X
 from hazmill.operators import history as H
 from hazmill.operators import precursors as P
@@ -149,3 +150,35 @@ def analyze(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("alerts")[0]["title"].alias("title"),
         *[F.size(c).alias(f"n_{c}") for c in ("entities", "similar_incidents", "regulatory_clauses", "causal_chain", "corrective_actions", "warnings")],
     )
+
+
+@query(
+    "stage_summaries",
+    f"""{_ALL}, {LQ._MATCH}, {LQ._SCORED}, r as (select *, {LQ._count('lower(text)', X.INCIDENT_TERMS)} as a, {LQ._count('lower(text)', X.REGULATORY_TERMS)} as b from tiered),
+k as (select *, {LQ._CLASS} as document_type, len(regexp_extract_all(text, '\\S+')) as n_words, analysis_id % 4 as n_entities, custkey % 5 + 1 as n_actions from r)
+select analysis_id, unnest(range(7))::int as place, unnest(['document_router', 'incident_parser', 'entity_extractor', 'pattern_detector', 'regulatory_auditor', 'risk_scorer', 'synthesis']) as stage,
+ unnest([concat(case document_type when 'incident' then 'Incident report' else 'Regulatory document' end, ' detected (', n_words, ' words)'),
+ concat('Parsed ', coalesce(nullif(industry, ''), 'unspecified industry'), ' incident, severity ', severity),
+ concat('Found ', n_entities, ' entities; hazard family: ', replace(hazard_type, '_', ' ')),
+ concat('Found ', found, ' precursor patterns across ', sim_docs, ' similar historical incidents'),
+ case when len(fams) > 0 then concat('Retrieved ', len(fams), ' clauses implicating ', len(fams), ' regulation families') else 'No regulatory clauses matched.' end,
+ concat('Risk score ', total, '/10 - ', tier),
+ concat('1 alert, ', n_actions, ' actions, ', (n_actions + 1) // 2, ' immediate')]) as message from k""",
+)
+def stage_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    many = lambda n: F.array_repeat(F.lit(1), n.cast("int"))
+    urgency = lambda i: F.struct(F.when(i % 2 == 0, "IMMEDIATE").otherwise("LONG_TERM").alias("urgency"))
+    r = LQ.scored_reports(spark, sf_dir).withColumns(
+        {
+            "document_type": L.classify_document(F.col("text")),
+            "severity_indicator": F.col("severity"),
+            "families": F.col("fams"),
+            "regulatory_clauses": F.col("fams"),
+            "entities": many(F.col("analysis_id") % 4),
+            "precursor_patterns": many(F.col("found")),
+            "similar_incidents": many(F.col("similar")),
+            "alerts": many(F.lit(1)),
+            "corrective_actions": F.transform(F.sequence(F.lit(0).cast("long"), F.col("custkey") % 5), urgency),
+        }
+    )
+    return A.stage_summaries(r)

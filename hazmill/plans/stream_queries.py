@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hazmill.functions.taxonomy import CLAUSE_RULES
+from hazmill.functions.text import DATE
 from hazmill.operators import chunks as C
-from hazmill.plans.narratives import narratives
+from hazmill.plans import label_queries as LQ
+from hazmill.plans.narratives import NARRATIVES, narratives
 from hazmill.plans.registry import query, table
 from hazmill.sources import store
 from hazmill.streaming import updates as U
@@ -109,7 +112,15 @@ def merge_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.merged(old, new, "id").select("id", "risk_total")
 
 
-@query("document_metadata")
+_TITLE_FAMILY = "case " + " ".join(f"when regexp_matches(concat(title, ' '), '{rx}') then '{f}'" for rx, f in CLAUSE_RULES) + " else 'general_duty_clause' end"
+
+
+@query(
+    "document_metadata",
+    f"""with n as (select * replace (0 as injuries, 0 as fatalities) from ({NARRATIVES})), {LQ._SEV}, {LQ._HAZ},
+c as (select *, {LQ._industry_counts()}, replace(regexp_replace(file_name, '\\.[^.]*$', ''), '_', ' ') as title from hz)
+select analysis_id, title, file_name as source_document, {LQ._industry_case()} as industry, severity, hazard_type, regexp_extract(text[:{C.FRONT}], '{DATE}', 1) as incident_date, title as regulation_name, {_TITLE_FAMILY} as clause_family from c""",
+)
 def document_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = narratives(spark, sf_dir).select("analysis_id", F.col("file_name").alias("name"), "text")
     return C.regulation_metadata(C.document_metadata(n)).drop("text", "name")
