@@ -139,6 +139,37 @@ def rate_limit_stream(uploads: DataFrame, cap: int = CAP, window_s: int = WINDOW
     return uploads.where("ts is not null").withColumn("ms", F.unix_millis("ts")).groupBy("client_key").applyInPandasWithState(run, "client_key long, request_id long, n int, allowed boolean", "begun string, n int", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def result_cache_stream(uploads: DataFrame, ttl_s: int = TTL_S) -> DataFrame:
+    """result_cache over a stream with a watermark on ts; a content's state is its last successful run, and goes once the watermark has passed its TTL."""
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    span = pd.Timedelta(seconds=ttl_s)
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        at, by = state.get if state.exists else (None, None)
+        at = None if at is None else pd.Timestamp(at)
+        rows = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "request_id"])
+        out = []
+        for r in rows.itertuples(index=False):
+            hit = at is not None and r.ts < at + span
+            out.append((r.request_id, by if hit else r.request_id, hit))
+            if not hit:
+                at, by = (r.ts, r.request_id) if r.ok else (None, None)
+        if at is not None:
+            state.update((at.isoformat(), by))
+            ends = int(rows["ms"].iloc[-1] + ((at + span) - rows["ts"].iloc[-1]).total_seconds() * 1000)
+            state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(out, columns=["request_id", "analysis_id", "hit"])
+
+    keyed = uploads.where("ts is not null").withColumn("ms", F.unix_millis("ts")).groupBy("content_sha256")
+    return keyed.applyInPandasWithState(run, "request_id long, analysis_id long, hit boolean", "at string, by long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def silence_stream(updates: DataFrame, timeout_s: int = SILENCE_S) -> DataFrame:
     """analysis_id, last_stage of analyses that stay silent beyond the timeout before they end; updates carry a watermark on ts."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout

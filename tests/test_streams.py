@@ -37,10 +37,16 @@ def test_stage_progress_stream(spark, tmp_path):
     assert {(r["analysis_id"], r["is_over"]) for r in batch.collect()} == {(1, True), (2, False)}
 
 
-def test_result_cache(spark):
+def test_result_cache(spark, tmp_path):
     rows = [("h", 1, T0, False), ("h", 2, T0 + timedelta(minutes=1), True), ("h", 3, T0 + timedelta(minutes=30), True), ("h", 4, T0 + timedelta(minutes=62), True)]
-    got = U.result_cache(spark.createDataFrame(rows, "content_sha256 string, request_id long, ts timestamp, ok boolean")).orderBy("request_id").collect()
+    schema = "content_sha256 string, request_id long, ts timestamp, ok boolean"
+    got = U.result_cache(spark.createDataFrame(rows, schema)).orderBy("request_id").collect()
     assert [(r["analysis_id"], r["hit"]) for r in got] == [(1, False), (2, False), (2, True), (4, False)]
+    for i in range(2):
+        spark.createDataFrame(rows[2 * i : 2 * i + 2], schema).coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    cached = run(spark, U.result_cache_stream(stream.withWatermark("ts", "10 minutes")), "cached", "append")
+    assert {tuple(r) for r in cached.collect()} == {tuple(r) for r in got}
 
 
 def test_store(spark, tmp_path):
