@@ -1,12 +1,15 @@
 """Near-duplicate documents by Order MinHash and banded alignment.
 
-Shingles of five lower-cased words are labelled with their occurrence in the
+Shingles of two lower-cased words are labelled with their occurrence in the
 text. Each of several sketches takes the two smallest labelled shingles under
 its own hash and keeps them in text order, so that a sketch agrees only where
 both content and order do. Documents that share a sketch meet in a bucket;
 there the bucket's hub, not every member, is aligned with each other member,
 and links hold where the edit similarity in words reaches the threshold.
-Further rounds take other hubs for the buckets that still span several groups.
+Further rounds take other hubs for the buckets that still span several groups;
+after them every pair of a bucket that lies in two groups is compared, block by
+block, so that only pairs without a common bucket go unseen. Word counts give a
+lower bound of the distance there, and only pairs within it are aligned.
 
 Exact copies (the same words) collapse before sketching and cost one row.
 
@@ -29,7 +32,9 @@ from pyspark.sql import functions as F
 
 from hazmill.llm.common import WORD, chunks, components, cut_lineage, keyed_texts
 
-SHINGLE, SKETCHES, THRESHOLD, ROUNDS = 5, 24, 0.8, 3
+SHINGLE, SKETCHES, THRESHOLD, ROUNDS = 2, 24, 0.8, 3
+#: Members of a bucket that are compared with as many others at once, and counters of a document's words.
+BLOCK, COUNTERS = 4000, 256
 
 _WORD = re.compile(WORD)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -172,6 +177,59 @@ def _aligned(threshold: float):
     return run
 
 
+def _profiled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        found = [np.frombuffer(x, dtype=np.uint32) for x in pdf["words"]]
+        counts = [np.minimum(np.bincount(x % COUNTERS, minlength=COUNTERS), 255).astype(np.uint8).tobytes() for x in found]
+        yield pd.DataFrame({"id": pdf["id"], "n": [len(x) for x in found], "counts": counts})
+
+
+def close_pairs(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """Pairs of two groups that may be alike, of the rows of one block or two (i, j): none that is alike is left out."""
+    ids, group, n, block = (pdf[c].to_numpy() for c in ("id", "group", "n", "block"))
+    counts = np.frombuffer(b"".join(pdf["counts"]), dtype=np.uint8).reshape(len(pdf), COUNTERS).astype(np.int16)
+    i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
+    later = np.arange(len(pdf))
+    out: list[np.ndarray] = [np.zeros((0, 2), dtype=np.int64)]
+    for r in np.flatnonzero(block == i):
+        most = np.floor((1 - threshold) * np.maximum(n, n[r]) + 1e-9)
+        with_ = np.flatnonzero((later > r if i == j else block == j) & (group != group[r]) & (np.abs(n - n[r]) <= most))
+        off = counts[with_] - counts[r]
+        with_ = with_[np.maximum(np.maximum(off, 0).sum(axis=1), np.maximum(-off, 0).sum(axis=1)) <= most[with_]]
+        out.append(np.stack([np.minimum(ids[with_], ids[r]), np.maximum(ids[with_], ids[r])], axis=1))
+    return pd.DataFrame(np.unique(np.concatenate(out), axis=0), columns=["a", "b"])
+
+
+def _close(threshold: float):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # rows come sorted by bucket and blocks; the last run of a batch may go on in the next
+        rest = None
+        for pdf in batches:
+            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            new = (pdf[["bucket", "i", "j"]].diff().iloc[1:] != 0).any(axis=1).to_numpy()
+            starts = [0, *(np.flatnonzero(new) + 1)]
+            found = [close_pairs(pdf.iloc[s:e], threshold) for s, e in zip(starts, starts[1:], strict=False)]
+            rest = pdf.iloc[starts[-1] :]
+            if found:
+                yield pd.concat(found).drop_duplicates()
+        if rest is not None and len(rest):
+            yield close_pairs(rest, threshold)
+
+    return run
+
+
+def remaining_pairs(met: DataFrame, groups: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
+    """a, b: pairs of two groups that share a bucket of over two members and may be alike; blocks bound what a task holds."""
+    inside = met.join(groups, "id")
+    several = inside.groupBy("bucket").agg(F.min("group").alias("lo"), F.max("group").alias("hi"), F.count("*").alias("m")).where("lo <> hi and m > 2").select("bucket", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    left = cut_lineage(inside.join(several, "bucket"))
+    profiles = words.join(left.select("id").distinct(), "id", "left_semi").mapInPandas(_profiled, "id long, n int, counts binary")
+    placed = left.join(profiles, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "group", "n", "counts")
+    runs = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    return runs.mapInPandas(_close(threshold), "a long, b long").distinct()
+
+
 def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, class_id (the smallest doc_id of the class) and kept (doc_id is class_id), a row for each row of docs."""
     texts = keyed_texts(docs).where("doc_id is not null")
@@ -187,19 +245,22 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, rounds
     n = candidates.count()
     groups = candidates.coalesce(1 + n // 100_000).select("id", F.col("id").alias("group"))
     links = tried = None
-    for k in range(rounds):
-        # one member of each group in each bucket, and the bucket's hub among them
-        inside = met.join(groups, "id")
-        order = F.when(F.lit(k == 0), F.col("id")).otherwise(F.xxhash64(F.lit(k), "id"))
-        members = inside.groupBy("bucket", "group").agg(F.min(F.struct(order.alias("o"), "id")).alias("m")) if k else inside.select("bucket", F.struct(order.alias("o"), "id").alias("m"))
-        members = cut_lineage(members.select("bucket", "m"))
-        hubs = cut_lineage(members.groupBy("bucket").agg(F.min("m").alias("hub"), F.count("*").alias("n")).where("n > 1"))
-        pairs = members.join(hubs, "bucket").where("m.id <> hub.id").select(F.least("m.id", "hub.id").alias("a"), F.greatest("m.id", "hub.id").alias("b")).distinct()
+    for k in range(rounds + 1):
+        if k < rounds:
+            # one member of each group in each bucket, and the bucket's hub among them
+            inside = met.join(groups, "id")
+            order = F.when(F.lit(k == 0), F.col("id")).otherwise(F.xxhash64(F.lit(k), "id"))
+            members = inside.groupBy("bucket", "group").agg(F.min(F.struct(order.alias("o"), "id")).alias("m")) if k else inside.select("bucket", F.struct(order.alias("o"), "id").alias("m"))
+            members = cut_lineage(members.select("bucket", "m"))
+            hubs = cut_lineage(members.groupBy("bucket").agg(F.min("m").alias("hub"), F.count("*").alias("n")).where("n > 1"))
+            pairs = members.join(hubs, "bucket").where("m.id <> hub.id").select(F.least("m.id", "hub.id").alias("a"), F.greatest("m.id", "hub.id").alias("b")).distinct()
+        else:
+            pairs = remaining_pairs(met, groups, words, threshold)
         if tried is not None:
             pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
         pairs = cut_lineage(pairs, n)
         if not (n_pairs := pairs.count()):
-            break
+            continue
         sided = pairs.join(words.select(F.col("id").alias("b"), F.col("words").alias("words_b")), "b")
         sided = sided.join(words.select(F.col("id").alias("a"), F.col("words").alias("words_a")), "a")
         verdicts = cut_lineage(sided.select("a", "b", "words_a", "words_b").mapInPandas(_aligned(threshold), "a long, b long, linked boolean"), n_pairs * 50)  # two thousand alignments to a task
