@@ -1,11 +1,13 @@
 """License scanning by conditional compression.
 
-Documents with any license cue are cut into segments; runs of segments that
-hold a cue or a three-word phrase of some template are the candidate blocks.
+Documents are cut into segments; runs of segments that hold a cue or a
+three-word phrase of some template, or a part of one that line ends break, are
+the candidate blocks.
 Each block is compressed alone and with each template as a raw zstandard
 dictionary; templates are ranked by the share of the size that they save, and
 the best whose wording the block really has, word for word but for listed
-differences, wins. A difference in a number (a version) never passes.
+differences, wins; the words before and after it are judged in the same way,
+until no template fits. A difference in a number (a version) never passes.
 
 Nulls and edges: null and empty texts have no blocks; several blocks of a
 document are judged one by one; ties in the saving go to the earlier template;
@@ -21,7 +23,6 @@ from collections.abc import Iterator
 import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from hazmill.llm.common import keyed_texts
 
@@ -52,7 +53,7 @@ TEMPLATES: list[tuple[str, str]] = [
     ("All-Rights-Reserved", "Copyright. All rights reserved."),
 ]
 
-CUE = r"(?i)licen[cs]e|copyright|public domain|creative commons|permission is hereby|redistribution and use|free software"
+CUE = r"(?i)licen[cs]e|copyright|public\s+domain|creative\s+commons|permission\s+is\s+hereby|redistribution\s+and\s+use|free\s+software"
 
 #: Share of a template's words that a block must have, and differing words allowed for each ten of the template's.
 COVERAGE, DIFFERENCES_IN_TEN = 0.8, 1
@@ -83,10 +84,22 @@ class Matcher:
         self.cue = re.compile(CUE)
 
     def blocks(self, text: str) -> Iterator[tuple[int, int]]:
-        """Runs of neighbouring segments that hold a cue or a template's phrase."""
+        """Runs of neighbouring segments that hold a cue or a template's phrase, or a part of it."""
+        marks = [m.span() for m in self.cue.finditer(text)]
+        words = _words(text)
+        if not self.phrases.isdisjoint(zip(words, words[1:], words[2:], strict=False)):
+            placed = [(m[0].lower(), m.start(), m.end()) for m in _WORD.finditer(text)]
+            marks += [(x[1], z[2]) for x, y, z in zip(placed, placed[1:], placed[2:], strict=False) if (x[0], y[0], z[0]) in self.phrases]
+        if not marks:
+            return
+        marks.sort()
         start = end = None
+        k = upto = 0
         for m in _SEGMENT.finditer(text):
-            if self.cue.search(m[0]) or not self.phrases.isdisjoint(_phrases(_words(m[0]))):
+            while k < len(marks) and marks[k][0] < m.end():
+                upto = max(upto, marks[k][1])
+                k += 1
+            if upto > m.start():
                 start, end = m.start() if start is None else start, m.end()
             elif start is not None and m[0].strip():
                 yield start, end
@@ -100,8 +113,8 @@ class Matcher:
         alone = len(self.plain.compress(raw))
         return sorted(((1 - len(c.compress(raw)) / alone, k) for k, (_, _, c) in enumerate(self.templates)), key=lambda x: (-x[0], x[1]))
 
-    def differences(self, block: list[str], template: list[str]) -> list[str] | None:
-        """The exact differences of wording, or None if the block does not have the template's wording."""
+    def differences(self, block: list[str], template: list[str]) -> tuple[list[str], int, int] | None:
+        """The exact differences of wording and the block's words from and to which it reaches; None if the block does not have it."""
         matcher = difflib.SequenceMatcher(None, block, template, autojunk=False)
         equal = [x for x in matcher.get_matching_blocks() if x.size]
         if sum(x.size for x in equal) < COVERAGE * len(template):
@@ -118,24 +131,37 @@ class Matcher:
         changed = sum(len(re.findall(r"\w+", d)) for d in out)
         if changed * 10 > DIFFERENCES_IN_TEN * len(template) or any(re.search(r"\d", d) for d in out):
             return None
-        return out
+        return out, first.a, last.a + last.size
+
+    def best(self, part: str, words: list[str]) -> tuple[dict, int, int] | None:
+        for saving, k in self.ranked(part):
+            if saving <= 0:
+                break
+            name, wording, _ = self.templates[k]
+            if (found := self.differences(words, wording)) is not None:
+                return {"license": name, "saving": round(saving, 6), "differences": ";".join(found[0])}, *found[1:]
+        return None
 
     def scan(self, text: str) -> list[dict]:
         found = []
         for start, end in self.blocks(text):
-            words = _words(text[start:end])
-            for saving, k in self.ranked(text[start:end]):
-                if saving <= 0:
-                    break
-                name, wording, _ = self.templates[k]
-                if (diff := self.differences(words, wording)) is not None:
-                    found.append({"license": name, "start": start, "end": end, "saving": round(saving, 6), "differences": ";".join(diff)})
-                    break
+            placed = [(start + m.start(), start + m.end()) for m in _WORD.finditer(text[start:end])]
+            here, parts = [], [(0, len(placed), start, end)]
+            while parts:
+                a, b, s, e = parts.pop()
+                words = [text[x:y].lower() for x, y in placed[a:b]]
+                if words and (won := self.best(text[s:e], words)) is not None:
+                    match, first, last = won
+                    here.append((a + first, match | {"start": start, "end": end}))
+                    for x, y in ((a, a + first), (a + last, b)):
+                        if x < y:
+                            parts.append((x, y, placed[x][0], placed[y - 1][1]))
+            found += [match for _, match in sorted(here, key=lambda x: x[0])]
         return found
 
 
 def license_matches(docs: DataFrame, templates: list[tuple[str, str]] | None = None) -> DataFrame:
-    """doc_id and matches: the winning template of each block, with the block's place in code points."""
+    """doc_id and matches: the templates found in each block, in order, with the block's place in code points."""
     chosen = TEMPLATES if templates is None else templates
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -143,6 +169,4 @@ def license_matches(docs: DataFrame, templates: list[tuple[str, str]] | None = N
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "matches": [matcher.scan(t) if t else [] for t in pdf["text"]]})
 
-    texts = keyed_texts(docs)
-    cued = texts.withColumn("text", F.when(F.col("text").rlike(CUE), F.col("text")).otherwise(F.lit("")))
-    return cued.mapInPandas(run, f"doc_id long, matches {_MATCH}")
+    return keyed_texts(docs).mapInPandas(run, f"doc_id long, matches {_MATCH}")
