@@ -205,15 +205,29 @@ def redact(text: str, spans: list[tuple[int, int]], mark: str = "[secret]") -> s
     return "".join(out) + text[at:]
 
 
+_KEY_BEGIN, _KEY_END = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----"), re.compile(r"-----END [A-Z ]*PRIVATE KEY-----")
+#: What follows a key's first line if its last is missing: header lines and runs of base64, with quoting and escaped line ends between; the last may be short.
+_KEY_GAP = r"""(?:\s|\\[nrt]|["'>\#*|,])*"""
+_KEY_LINES = re.compile(rf"""(?:{_KEY_GAP}(?:(?:Proc-Type|DEK-Info|Comment|Key):[^\n\\]*|[A-Za-z0-9+/]{{16,}}={{0,2}}))*(?:\s*(?:\\[nrt])?[A-Za-z0-9+/]+={{0,2}}(?=\s*(?:\n|\Z)|\\[nr]|["']))?""")
+
+
+def key_end(text: str, at: int) -> int:
+    """Where the private key ends whose first line ends at the place: after its last line, or else after its last base64."""
+    last, other = _KEY_END.search(text, at), _KEY_BEGIN.search(text, at)
+    if last and (other is None or last.start() < other.start()):
+        return last.end()
+    return _KEY_LINES.match(text, at).end()
+
+
 def redact_secrets(docs: DataFrame) -> DataFrame:
-    """The rows of docs with secrets replaced in text; null texts stay null; n_chars, if there, follows."""
+    """The rows of docs with secrets replaced in text, private keys with their bodies; null texts stay null; n_chars, if there, follows."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scanner = Scanner(RULES)
         for pdf in batches:
             texts = [t if isinstance(t, str) else None for t in pdf["text"]]
             found = scanner.spans([t or "" for t in texts])
-            yield pdf.assign(text=[redact(t, [(s, e) for s, _, e in x]) if x else t for t, x in zip(texts, found, strict=True)])
+            yield pdf.assign(text=[redact(t, [(s, key_end(t, e) if RULES[k].kind == "private_key" else e) for s, k, e in x]) if x else t for t, x in zip(texts, found, strict=True)])
 
     out = docs.mapInPandas(scan, docs.schema)
     if "n_chars" in docs.columns:
