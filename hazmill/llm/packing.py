@@ -9,8 +9,8 @@ cutting the best neighbour left. Only a shard's last sequence is padded.
 
 Nulls and edges: a null or empty text is the single end id; equal documents are
 packed one by one; a text over many windows spans as many sequences; an empty
-table gives an empty result; other columns are ignored. Strings of special
-tokens within a text are ordinary text.
+table gives an empty result; other columns are ignored. Strings of added
+tokens within a text become their ids, as the vocabulary's JSON form has it.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from hazmill.llm.common import cut_lineage, keyed_texts
 
 WINDOW, END_ID = 1024, 0
+#: The vocabulary's added tokens: the JSON form lists them, the rank file does not.
+ADDED = {"<|endoftext|>": 50_256}
 #: Tail tokens of a shard, ids of the vocabulary, and the highest-weighted terms of a seed that query the index.
 SHARD_TOKENS, VOCABULARY, QUERY_TERMS = 2_000_000, 50_257, 16
 #: BM25's usual constants.
@@ -49,7 +51,11 @@ def _encoder(path: str):
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=ADDED)
+
+
+def token_ids(encoder, text: str) -> np.ndarray:
+    return np.array([*encoder.encode(text, allowed_special="all"), END_ID], dtype=np.uint32)
 
 
 def _crc(ids: np.ndarray) -> int:
@@ -64,7 +70,7 @@ def tokenize_tails(docs: DataFrame, path: str | None = None) -> DataFrame:
         for pdf in batches:
             rows = []
             for t in pdf["text"]:
-                ids = np.array([*encoder.encode_ordinary(t), END_ID], dtype=np.uint32)
+                ids = token_ids(encoder, t)
                 full = len(ids) // WINDOW
                 rows.append((len(ids), [_crc(ids[k * WINDOW : (k + 1) * WINDOW]) for k in range(full)], ids[full * WINDOW :].astype("<u2").tobytes()))
             out = pd.DataFrame(rows, columns=["doc_tokens", "full_crcs", "tail"])
