@@ -1,7 +1,9 @@
 """Lexical retrieval packing.
 
 Documents are tokenised; each full window of ids is a sequence of its own, and
-what is left, the tail, is packed. Tails are dealt over shards of bounded size.
+what is left, the tail, is packed. Tails are dealt over shards of bounded size
+by content: a tail goes where others with the same smallest hash among its
+rarest terms go, and such groups that outgrow a shard are split.
 A shard holds a BM25 inverted index of its tails (terms are token ids, document
 frequencies those of the whole corpus); each seed, longest first, retrieves its
 unused neighbours, which greedily fill its window; the last gap is filled by
@@ -29,8 +31,8 @@ from hazmill.llm.common import cut_lineage, keyed_texts
 WINDOW, END_ID = 1024, 0
 #: The vocabulary's added tokens: the JSON form lists them, the rank file does not.
 ADDED = {"<|endoftext|>": 50_256}
-#: Tail tokens of a shard, ids of the vocabulary, and the highest-weighted terms of a seed that query the index.
-SHARD_TOKENS, VOCABULARY, QUERY_TERMS = 2_000_000, 50_257, 16
+#: Tail tokens of a shard, ids of the vocabulary, a tail's rarest terms that may place it, and groups of tails for each shard.
+SHARD_TOKENS, VOCABULARY, RARE_TERMS, GROUPS = 2_000_000, 50_257, 8, 64
 #: BM25's usual constants.
 K1, B = 1.2, 0.75
 
@@ -115,7 +117,7 @@ class ShardIndex:
         order = np.argsort(term, kind="stable")
         self.docs, self.impacts = doc[order], impact[order]
         self.at = np.searchsorted(term[order], np.arange(VOCABULARY + 1))
-        # each document's query: its terms of most weight that some other document of the shard shares
+        # each document's query: its terms that some other document of the shard shares
         shared = np.diff(self.at)[term] > 1
         doc, term, impact = doc[shared], term[shared], impact[shared]
         order = np.lexsort((term, -impact, doc))
@@ -125,7 +127,7 @@ class ShardIndex:
 
     def neighbours(self, seed: int, used: np.ndarray) -> np.ndarray:
         """Unused documents that share a query term with the seed, best first."""
-        terms = self.query_terms[self.query_at[seed] : self.query_at[seed + 1]][:QUERY_TERMS]
+        terms = self.query_terms[self.query_at[seed] : self.query_at[seed + 1]]
         if not len(terms):
             return terms
         runs = [slice(self.at[t], self.at[t + 1]) for t in terms]
@@ -180,13 +182,52 @@ def pack_shard(tails: list[np.ndarray], idf: np.ndarray, mean_length: float) ->
     return windows
 
 
+def content_key(ids: np.ndarray, frequency: np.ndarray, other: int) -> int:
+    """The smallest hash among the tail's rarest terms that other tails have too; the other number if there is none."""
+    terms = np.unique(ids).astype(np.int64)
+    terms = terms[frequency[terms] > 1]
+    if not len(terms):
+        return other
+    rarest = terms[np.lexsort((terms, frequency[terms]))[:RARE_TERMS]].astype(np.uint64)
+    x = (rarest + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    return int(((x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(20)).min())
+
+
+def deal(tails: DataFrame, frequency: np.ndarray, tokens: int) -> DataFrame:
+    """tails with shard, by content; a shard has at most about two times SHARD_TOKENS."""
+    n_groups = GROUPS * max(1, -(-tokens // SHARD_TOKENS))
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [np.frombuffer(t, dtype="<u2") for t in pdf["tail"]]
+            keys = [content_key(x, frequency, h) % n_groups for x, h in zip(found, pdf["other"].tolist(), strict=True)]
+            yield pdf.assign(group=np.array(keys, dtype=np.int64), n=np.array([len(x) for x in found], dtype=np.int64))
+
+    # the smallest hash is not spread evenly over its range; its remainder is
+    other = F.pmod(F.xxhash64(F.lit(5), "doc_id", "doc_tokens", "tail"), F.lit(1 << 40))
+    placed = cut_lineage(tails.withColumn("other", other).mapInPandas(place, f"{_TAILS}, other long, group long, n long"))
+    size = np.zeros(n_groups, dtype=np.int64)
+    for r in placed.groupBy("group").agg(F.sum("n").alias("n")).collect():
+        size[r["group"]] = r["n"]
+    # groups over half a shard are split over shards of their own; the others fill shards in turn
+    parts = np.where(size > SHARD_TOKENS // 2, -(-size // SHARD_TOKENS), 0)
+    filled = np.cumsum(np.where(parts > 0, 0, size)) // SHARD_TOKENS
+    first = np.where(parts > 0, filled.max() + 1 + np.cumsum(parts) - parts, filled)
+
+    def shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            g = pdf["group"].to_numpy()
+            yield pdf.drop(columns=["other", "group", "n"]).assign(shard=(first[g] + pdf["other"].to_numpy() % np.maximum(parts[g], 1)).astype(np.int32))
+
+    return placed.mapInPandas(shards, f"{_TAILS}, shard int")
+
+
 def pack(docs: DataFrame, path: str | None = None) -> DataFrame:
     """All ids of docs in sequences of at most WINDOW ids: one row for each piece of a document."""
     tails = cut_lineage(tokenize_tails(docs, path))
     frequency, n, tokens = document_frequencies(tails)
     idf = np.log1p((n - frequency + 0.5) / (frequency + 0.5))
     mean_length = tokens / max(n, 1)
-    n_shards = max(1, -(-tokens // SHARD_TOKENS))
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "doc_tokens", "tail"]).reset_index(drop=True)
@@ -205,5 +246,4 @@ def pack(docs: DataFrame, path: str | None = None) -> DataFrame:
             sequence += 1
         return pd.DataFrame(rows, columns=[x.split()[0] for x in PIECES.split(", ")])
 
-    shard = F.pmod(F.xxhash64(F.lit(5), "doc_id", "doc_tokens", "tail"), F.lit(n_shards)).cast("int")
-    return tails.withColumn("shard", shard).groupBy("shard").applyInPandas(run, PIECES)
+    return deal(tails, frequency, tokens).groupBy("shard").applyInPandas(run, PIECES)
