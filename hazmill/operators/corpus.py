@@ -15,8 +15,9 @@ def apply_page_budget(pages: DataFrame, max_pages: int = 60, max_chars: int = 20
     """The first max_pages pages, up to and with the one on which the characters reach max_chars."""
     order = Window.partitionBy("doc_id").orderBy("page_no")
     before = F.coalesce(F.sum(F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = pages.withColumns({"__nth": F.row_number().over(order), "__before": before})
-    return ranked.where((F.col("__nth") <= max_pages) & (F.col("__before") < max_chars)).drop("__nth", "__before")
+    # ranked alone first: so each task passes on only so many pages of a document, however many it has
+    first = pages.withColumn("__nth", F.row_number().over(order)).where(F.col("__nth") <= max_pages)
+    return first.withColumn("__before", before).where(F.col("__before") < max_chars).drop("__nth", "__before")
 
 
 def readable_documents(pages: DataFrame, min_chars: int = 200, alt_pages: DataFrame | None = None) -> DataFrame:
@@ -37,11 +38,19 @@ def repeated_lines(pages: DataFrame, share: float = 0.5, min_pages: int = 3, max
     return seen.join(size, "doc_id").where((F.col("n_pages") >= min_pages) & (F.col("n") > F.col("n_pages") * share)).select("doc_id", "line", "n", "n_pages")
 
 
-def remove_furniture(pages: DataFrame) -> DataFrame:
-    """doc_id, text: the pages of each document without their repeated lines, joined by blank lines."""
+def clean_pages(pages: DataFrame) -> DataFrame:
+    """doc_id, page_no, text: each page in its own row without its document's repeated lines, for documents of any size."""
     furniture = repeated_lines(pages).groupBy("doc_id").agg(F.collect_set("line").alias("furniture"))
     kept = F.array_join(F.filter(T.lines(F.col("text")), lambda x: ~F.array_contains(F.coalesce("furniture", F.array().cast("array<string>")), T.strip(x))), "\n")
-    page = pages.join(furniture, "doc_id", "left").select("doc_id", F.struct("page_no", kept.alias("kept")).alias("page"))
+    return pages.join(furniture, "doc_id", "left").select("doc_id", "page_no", kept.alias("text"))
+
+
+def remove_furniture(pages: DataFrame) -> DataFrame:
+    """doc_id, text: the pages of each document without their repeated lines, joined by blank lines.
+
+    A document is one row of the result, so its pages must fit one; clean_pages has no such bound.
+    """
+    page = clean_pages(pages).select("doc_id", F.struct("page_no", F.col("text").alias("kept")).alias("page"))
     joined = page.groupBy("doc_id").agg(F.array_sort(F.collect_list("page")).alias("pages"))
     return joined.select("doc_id", F.array_join("pages.kept", "\n\n").alias("text"))
 
