@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: A word: a run of characters other than ASCII white space. The same pattern works in Java, Python and RE2.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -27,7 +29,7 @@ def word_count(text: Column) -> Column:
 
 
 def cut_lineage(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """Checkpoint to the shared folder the session names; a folder of its own only where none is named.
+    """Checkpoint to the shared folder that the session names in spark.checkpoint.dir.
 
     rows: about how many there are, if that is known; few rows are not spread
     over more files than they fill.
@@ -36,11 +38,51 @@ def cut_lineage(df: DataFrame, rows: int | None = None) -> DataFrame:
         df = df.coalesce(1 + rows // 100_000)
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
-def chunks(texts: list[str], most: int = 4_000_000) -> Iterator[tuple[int, int]]:
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; there is no other way to hand over what is written."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return folder.rstrip("/")
+
+
+def scan_texts(docs: DataFrame, make: Callable[[], Callable[[list[str]], dict]], fields: str) -> DataFrame:
+    """doc_id and, for each text (null: empty), the fields that a function gives for a run of texts; make builds it once for each task.
+
+    Ids stay in Arrow: a null among them turns none of the others into a float.
+    """
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), *T.StructType.fromDDL(fields)])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        measure = make()
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            for a, b in chunks(texts):
+                found = measure(texts[a:b])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), *[pa.array(found[f.name], type=f.type) for f in list(arrow)[1:]]], schema=arrow)
+
+    return keyed_texts(docs).mapInArrow(run, schema)
+
+
+def scan_rows(docs: DataFrame, make: Callable[[], Callable[[pa.RecordBatch, list], pa.RecordBatch]]) -> DataFrame:
+    """docs with each batch of rows as a function of (rows, their texts) leaves it; the columns stay as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        change = make()
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            for a, b in chunks([t or "" for t in texts]):
+                yield change(batch.slice(a, b - a), texts[a:b])
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def chunks(texts: list[str], most: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Runs of texts of at most so many characters together, or one longer text alone: bounds a task's memory."""
     start = size = 0
     for i, t in enumerate(texts):

@@ -20,11 +20,10 @@ import difflib
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
 
-from hazmill.llm.common import keyed_texts
+from hazmill.llm.common import scan_texts
 
 # Notices by which texts state their license.
 TEMPLATES: list[tuple[str, str]] = [
@@ -164,9 +163,8 @@ def license_matches(docs: DataFrame, templates: list[tuple[str, str]] | None = N
     """doc_id and matches: the templates found in each block, in order, with the block's place in code points."""
     chosen = TEMPLATES if templates is None else templates
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         matcher = Matcher(chosen)
-        for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "matches": [matcher.scan(t) if t else [] for t in pdf["text"]]})
+        return lambda texts: {"matches": [matcher.scan(t) for t in texts]}
 
-    return keyed_texts(docs).mapInPandas(run, f"doc_id long, matches {_MATCH}")
+    return scan_texts(docs, make, f"matches {_MATCH}")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hazmill.llm import secrets
+from hazmill.llm import quality, secrets
 
 _RULE = r"""
   select doc_id, {k} as k, '{kind}' as kind, unnest(regexp_extract_all(t, {re}, 0)) as m,
@@ -30,7 +30,7 @@ select doc_id, coalesce(a, 0)::bigint as n_assign, coalesce(c, 0)::bigint as n_a
 from docs left join digest using (r)"""
 
 
-_QUALITY = r"""
+_LEDGER = r"""
 with docs as (select doc_id, row_number() over () as r, coalesce(text, '') as t from documents),
 toks as (select r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as w from docs),
 flat as (select r, unnest(w) as x, generate_subscripts(w, 1) as i from toks),
@@ -38,14 +38,16 @@ wins as (select r, i, x, lead(x, 1) over d as y, lead(x, 2) over d as z from fla
 rep as (select r, i from (select r, i, count(*) over (partition by r, x, y, z) as n from wins where z is not null) where n > 1),
 cover as (select r, count(distinct i + k)::bigint as n_repeat_words from rep, (values (0), (1), (2)) as o(k) group by r),
 lines as (select r, unnest(string_split(t, chr(10))) as l from docs),
-dup as (select r, count(*)::bigint as n_lines, (count(*) - count(distinct l))::bigint as n_dup_lines from lines where regexp_matches(l, '[^\x20\x09-\x0D]') group by r),
+dup as (select r, count(*)::bigint as n_lines, (count(*) - count(distinct l))::bigint as n_dup_lines,
+         count(*) filter (regexp_matches(l, '^[\x20\x09-\x0D]*(- |\* |\x{2022})')) as n_bullet, count(*) filter (regexp_matches(l, '(\.\.\.|\x{2026})[\x20\x09-\x0D]*$')) as n_cut from lines where regexp_matches(l, '[^\x20\x09-\x0D]') group by r),
 word as (select r, sum(length(x))::bigint as word_chars,
          count(*) filter (length(x) > 1 and regexp_matches(x, '\p{Lu}') and not regexp_matches(x, '[\p{Ll}\p{Lt}]')) as n_upper,
          count(*) filter (x like '%!!') as n_loud from flat group by r),
 m as (select doc_id, len(w)::bigint as n_words, coalesce(word_chars, 0)::bigint as word_chars,
          (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols,
          coalesce(n_dup_lines, 0)::bigint as n_dup_lines, coalesce(n_repeat_words, 0)::bigint as n_repeat_words,
-         coalesce(n_lines, 0) as n_lines, coalesce(n_upper, 0) as n_upper, coalesce(n_loud, 0) as n_loud
+         coalesce(n_lines, 0) as n_lines, coalesce(n_upper, 0) as n_upper, coalesce(n_loud, 0) as n_loud,
+         coalesce(n_bullet, 0) as n_bullet, coalesce(n_cut, 0) as n_cut
       from toks left join dup using (r) left join word using (r) left join cover using (r)),
 bits as (select *,
   (case when n_words < 50 then 1 else 0 end
@@ -54,8 +56,27 @@ bits as (select *,
    + case when n_dup_lines >= 2 and 10 * n_dup_lines > 4 * n_lines then 8 else 0 end
    + case when 10 * n_upper > 4 * n_words then 16 else 0 end
    + case when 10 * n_loud > 3 * n_words then 32 else 0 end
-   + case when n_words > 0 and (word_chars < 2 * n_words or word_chars > 25 * n_words) then 64 else 0 end)::bigint as failure_bits from m)
+   + case when n_words > 0 and (word_chars < 2 * n_words or word_chars > 25 * n_words) then 64 else 0 end
+   + case when n_lines > 0 and 10 * n_bullet > 9 * n_lines then 128 else 0 end
+   + case when 10 * n_cut > 3 * n_lines then 256 else 0 end)::bigint as failure_bits from m)"""
+
+_QUALITY = (
+    _LEDGER
+    + """
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failure_bits & 3) <> 0 as base_failed,
-       failure_bits = 0 as kept, failure_bits, '2025-full' as policy from bits"""
+       failure_bits = 0 as kept, failure_bits, '2026-lines' as policy from bits"""
+)
+
+
+def _ablations_sql() -> str:
+    """Documents kept without each rule in turn, counted from the documents rather than from sums over masks."""
+    cases = [(p, name, m, quality.BIT[name]) for p, m in quality.POLICIES.items() for name, _ in quality.RULES if m & quality.BIT[name]]
+    grid = ", ".join(f"('{p}', '{r}', {m}, {b})" for p, r, m, b in cases)
+    return f"""{_LEDGER}, grid(policy, rule, mask, bit) as (values {grid})
+select policy, rule, count(*)::bigint as n_docs, count(*) filter (failure_bits & mask = 0)::bigint as n_kept,
+       (count(*) filter (failure_bits & mask & ~bit = 0) - count(*) filter (failure_bits & mask = 0))::bigint as n_only_this_rule,
+       count(*) filter (failure_bits & bit <> 0)::bigint as n_failing
+from bits, grid group by policy, rule"""
+
 
-ORACLES: dict[str, str] = {"op1_secret_scan": _secrets_sql(), "op3_quality_ledger": _QUALITY}
+ORACLES: dict[str, str] = {"op1_secret_scan": _secrets_sql(), "op3_quality_ledger": _QUALITY, "quality_ablations": _ablations_sql()}

@@ -13,26 +13,30 @@ are ignored.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Mapping
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hazmill.llm.common import WORD, chunks, keyed_texts
+from hazmill.llm.common import WORD, scan_rows, scan_texts
 
-MEASURES = "n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long, n_upper_words long, n_loud_words long"
+MEASURES = "n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long, n_upper_words long, n_loud_words long, n_bullet_lines long, n_cut_lines long"
 
+#: A rule's test reads the measures by name: columns of a ledger or arrays of a task, by the same definition.
 #: Bit number is the place in this list; new rules go to its end so that old ledgers stay readable.
-RULES: list[tuple[str, str]] = [
-    ("too_few_words", "n_words < 50"),
-    ("repeated_windows", "100 * n_repeat_words > 50 * n_words"),
-    ("symbol_heavy", "10 * n_symbols > 3 * n_words"),
-    ("repeated_lines", "n_dup_lines >= 2 and 10 * n_dup_lines > 4 * n_lines"),
-    ("upper_case", "10 * n_upper_words > 4 * n_words"),
-    ("shouting", "10 * n_loud_words > 3 * n_words"),
-    ("word_length", "n_words > 0 and (word_chars < 2 * n_words or word_chars > 25 * n_words)"),
+RULES: list[tuple[str, Callable[[Mapping], object]]] = [
+    ("too_few_words", lambda m: m["n_words"] < 50),
+    ("repeated_windows", lambda m: 100 * m["n_repeat_words"] > 50 * m["n_words"]),
+    ("symbol_heavy", lambda m: 10 * m["n_symbols"] > 3 * m["n_words"]),
+    ("repeated_lines", lambda m: (m["n_dup_lines"] >= 2) & (10 * m["n_dup_lines"] > 4 * m["n_lines"])),
+    ("upper_case", lambda m: 10 * m["n_upper_words"] > 4 * m["n_words"]),
+    ("shouting", lambda m: 10 * m["n_loud_words"] > 3 * m["n_words"]),
+    ("word_length", lambda m: (m["n_words"] > 0) & ((m["word_chars"] < 2 * m["n_words"]) | (m["word_chars"] > 25 * m["n_words"]))),
+    ("bullet_lines", lambda m: (m["n_lines"] > 0) & (10 * m["n_bullet_lines"] > 9 * m["n_lines"])),
+    ("cut_lines", lambda m: 10 * m["n_cut_lines"] > 3 * m["n_lines"]),
 ]
 BIT = {name: 1 << i for i, (name, _) in enumerate(RULES)}
 BASE_BITS = BIT["too_few_words"] | BIT["repeated_windows"]
@@ -40,12 +44,15 @@ BASE_BITS = BIT["too_few_words"] | BIT["repeated_windows"]
 #: Versioned policies: the rules that count.
 POLICIES: dict[str, int] = {
     "2024-base": BASE_BITS,
-    "2025-full": (1 << len(RULES)) - 1,
+    "2025-full": (1 << 7) - 1,
+    "2026-lines": (1 << 9) - 1,
 }
-DEFAULT_POLICY = "2025-full"
+DEFAULT_POLICY = "2026-lines"
 
 _WORD = re.compile(WORD)
 _SPACE = " \t\n\x0b\x0c\r"
+#: How lists' lines begin, and how lines that a page cuts off end.
+BULLETS, CUT = ("- ", "* ", "\u2022"), ("...", "\u2026")
 
 
 def _repeats(codes: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
@@ -82,28 +89,28 @@ def _measure(texts: list[str]) -> dict[str, np.ndarray]:
         "n_repeat_words": _repeats(codes, doc, len(texts)),
         "n_upper_words": count(len(w) > 1 and w.isupper() for w in flat),
         "n_loud_words": count(w.endswith("!!") for w in flat),
+        "n_bullet_lines": np.array([sum(y.lstrip(_SPACE).startswith(BULLETS) for y in x) for x in lines], dtype=np.int64),
+        "n_cut_lines": np.array([sum(y.rstrip(_SPACE).endswith(CUT) for y in x) for x in lines], dtype=np.int64),
     }
 
 
-def _measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        texts = pdf["text"].tolist()
-        for a, b in chunks(texts):
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[a:b].array, **_measure(texts[a:b])})
-
-
 def failure_bits() -> Column:
     """One bit for each rule that a ledger row fails."""
+    measures = {c.split()[0]: F.col(c.split()[0]) for c in MEASURES.split(", ")}
     bits = F.lit(0).cast("long")
     for name, test in RULES:
-        bits = bits.bitwiseOR(F.when(F.expr(test), F.lit(BIT[name])).otherwise(F.lit(0)).cast("long"))
+        bits = bits.bitwiseOR(F.when(test(measures), F.lit(BIT[name])).otherwise(F.lit(0)).cast("long"))
     return bits
 
 
+def task_bits(measures: Mapping) -> np.ndarray:
+    """failure_bits of a task's measures."""
+    return np.bitwise_or.reduce([np.where(test(measures), BIT[name], 0) for name, test in RULES])
+
+
 def quality_ledger(docs: DataFrame) -> DataFrame:
     """doc_id, the measurements, and failure_bits: each rule evaluated once for each document."""
-    measured = keyed_texts(docs).mapInPandas(_measured, f"doc_id long, {MEASURES}")
-    return measured.withColumn("failure_bits", failure_bits())
+    return scan_texts(docs, lambda: _measure, MEASURES).withColumn("failure_bits", failure_bits())
 
 
 def apply_policy(ledger: DataFrame, policy: str = DEFAULT_POLICY) -> DataFrame:
@@ -138,17 +145,14 @@ def ablations(ledger: DataFrame, policies: dict[str, int] | None = None) -> Data
 
 
 def keep_good(docs: DataFrame, policy: str = DEFAULT_POLICY) -> DataFrame:
-    """The rows of docs, unchanged, that the policy keeps; judged in place, without a join."""
-    names = docs.columns
-
-    def judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        mask = POLICIES[policy] | BASE_BITS
-        for pdf in batches:
-            texts = [t if isinstance(t, str) else "" for t in pdf["text"]]
-            bad = [np.zeros(0, dtype=bool)]
-            for a, b in chunks(texts):
-                m = pd.DataFrame(_measure(texts[a:b]))
-                bad.append(np.logical_or.reduce([m.eval(test.replace(" and ", " & ").replace(" or ", " | ")).to_numpy() for name, test in RULES if mask & BIT[name]]))
-            yield pdf[~np.concatenate(bad)]
-
-    return docs.mapInPandas(judged, docs.schema).select(*names)
+    """The rows of docs, unchanged, whose failure bits the policy lets pass; judged in place, without a join.
+
+    A null or empty text has no words and goes; equal rows stay or go alike; an
+    empty table stays empty; other columns pass.
+    """
+    mask = POLICIES[policy] | BASE_BITS
+
+    def keep(rows: pa.RecordBatch, texts: list[str | None]) -> pa.RecordBatch:
+        return rows.filter(pa.array(task_bits(_measure([t or "" for t in texts])) & mask == 0))
+
+    return scan_rows(docs, lambda: keep)

@@ -24,6 +24,11 @@ def op3_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failure_bits", "policy")
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy costs, from the bits of the same ledger."""
+    return quality.ablations(quality.quality_ledger(read_table(spark, sf_dir, "documents")))
+
+
 def op4_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
@@ -65,4 +70,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_itq_embeddings": op8_itq_embeddings,
     "op9_range_shards": op9_range_shards,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "quality_ablations": quality_ablations,
 }

@@ -17,16 +17,15 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 from re import _parser
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazmill.llm.common import chunks, keyed_texts
+from hazmill.llm.common import chunks, scan_rows, scan_texts
 
 
 @dataclass(frozen=True)
@@ -37,8 +36,9 @@ class Rule:
     regex: str
     group: int = 0
     least: int = 0
-    #: An expression with the same accepted matches that is faster to search for, if there is one.
+    #: An expression with the same accepted matches that is faster to search for, if there is one, and its group that is the match.
     search: str = ""
+    whole: int = 0
 
 
 #: The first three kinds are the base; spans of the others come on top.
@@ -51,7 +51,8 @@ RULES = [
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]+", 0, 15),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40),
     Rule("cloud_key", r"AIza[A-Za-z0-9_-]+", 0, 39),
-    Rule("url_password", r"[a-z][a-z0-9+.-]*://[^\x00-\x20:/@]+:[^\x00-\x20:/@]+@"),
+    # a scheme starts at the first letter of its run of characters, so only the run's begin is tried: time stays linear in long runs
+    Rule("url_password", r"[a-z][a-z0-9+.-]*://[^\x00-\x20:/@]+:[^\x00-\x20:/@]+@", 0, 0, r"(?<![a-z0-9+.-])[0-9+.-]*+([a-z][a-z0-9+.-]*+://[^\x00-\x20:/@]++:[^\x00-\x20:/@]++@)", 1),
 ]
 BASE_KINDS = ("assign", "access", "hex")
 
@@ -137,10 +138,44 @@ def _rows(query: object, postings: dict[str, np.ndarray], everything: np.ndarray
     return out
 
 
+def _number(points: np.ndarray) -> np.ndarray:
+    """Each three code points in a row as one number."""
+    p = points.astype(np.uint64)
+    return p[:-2] << np.uint64(42) | p[1:-1] << np.uint64(21) | p[2:]
+
+
+def _slot(points: np.ndarray) -> np.ndarray:
+    """A 16-bit hash of each three code points in a row."""
+    return (points[:-2] + points[1:-1] * np.uint32(31) + points[2:] * np.uint32(961)) & np.uint32(0xFFFF)
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+
 def index_shard(texts: list[str], wanted: list[str]) -> dict[str, np.ndarray]:
-    """Postings of the shard: for each trigram that some query asks for, the rows that hold it."""
+    """Postings of the shard: the texts' trigrams are read once, and those that some query asks for are kept with their rows."""
+    if not wanted:
+        return {}
+    numbers = np.concatenate([_number(_points(g)) for g in wanted])
+    asked = np.zeros(1 << 16, dtype=bool)
+    asked[np.concatenate([_slot(_points(g)) for g in wanted])] = True
+    # no wanted trigram holds the character between two texts
     folded = [t.lower() for t in texts]
-    return {g: np.array([i for i, t in enumerate(folded) if g in t], dtype=np.int64) for g in wanted}
+    points = _points("\0".join(folded))
+    if len(points) < 3:
+        return {g: np.zeros(0, dtype=np.int64) for g in wanted}
+    at = np.flatnonzero(asked[_slot(points)])
+    p = points.astype(np.uint64)
+    found = p[at] << np.uint64(42) | p[at + 1] << np.uint64(21) | p[at + 2]
+    order = np.argsort(numbers)
+    place = np.minimum(np.searchsorted(numbers[order], found), len(order) - 1)
+    real = numbers[order][place] == found
+    ends = np.cumsum([len(t) + 1 for t in folded])
+    row = np.searchsorted(ends, at[real], side="right")
+    which, row = np.divmod(np.unique(order[place[real]].astype(np.int64) * len(texts) + row), len(texts))
+    edges = np.searchsorted(which, np.arange(len(wanted) + 1))
+    return {g: row[edges[k] : edges[k + 1]] for k, g in enumerate(wanted)}
 
 
 class Scanner:
@@ -158,7 +193,7 @@ class Scanner:
             postings, everything = index_shard(shard, self.wanted), np.arange(b - a)
             for k, rule, pattern, query in self.rules:
                 for i in _rows(query, postings, everything):
-                    out[a + i] += [(m.start(), k, m.end()) for m in pattern.finditer(shard[i]) if m.end(rule.group) - m.start(rule.group) >= rule.least]
+                    out[a + i] += [(m.start(rule.whole), k, m.end(rule.whole)) for m in pattern.finditer(shard[i]) if m.end(rule.group) - m.start(rule.group) >= rule.least]
         return [sorted(x) for x in out]
 
 
@@ -166,32 +201,27 @@ def find_secrets(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     """doc_id and spans, an array of (kind, start, end) by start, then rule; places in code points."""
     rules = RULES if rules is None else rules
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         scanner = Scanner(rules)
-        for pdf in batches:
-            found = scanner.spans(pdf["text"].tolist())
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "spans": [[{"kind": rules[k].kind, "start": s, "end": e} for s, k, e in x] for x in found]})
+        return lambda texts: {"spans": [[{"kind": rules[k].kind, "start": s, "end": e} for s, k, e in x] for x in scanner.spans(texts)]}
 
-    return keyed_texts(docs).mapInPandas(scan, "doc_id long, spans array<struct<kind:string,start:int,end:int>>")
+    return scan_texts(docs, make, "spans array<struct<kind:string,start:int,end:int>>")
 
 
 def secrets_digest(docs: DataFrame) -> DataFrame:
     """doc_id, counts of the base kinds, the hash of the base spans, and all spans as text."""
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scanner = Scanner(RULES)
-        for pdf in batches:
-            rows = []
-            for found in scanner.spans(pdf["text"].tolist()):
-                named = [(RULES[k].kind, f"{RULES[k].kind}:{s}:{e}") for s, k, e in found]
-                base = [x for x in named if x[0] in BASE_KINDS]
-                counts = [sum(k == kind for k, _ in base) for kind in BASE_KINDS]
-                rows.append((*counts, hashlib.sha256(",".join(x for _, x in base).encode()).hexdigest(), ",".join(x for _, x in named)))
-            out = pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans"])
-            out.insert(0, "doc_id", pdf["doc_id"].array)
-            yield out
+    def digest(found: list[tuple[int, int, int]]) -> tuple:
+        named = [(RULES[k].kind, f"{RULES[k].kind}:{s}:{e}") for s, k, e in found]
+        base = [x for x in named if x[0] in BASE_KINDS]
+        counts = [sum(k == kind for k, _ in base) for kind in BASE_KINDS]
+        return *counts, hashlib.sha256(",".join(x for _, x in base).encode()).hexdigest(), ",".join(x for _, x in named)
+
+    def make():
+        scanner, names = Scanner(RULES), ["n_assign", "n_access", "n_hex", "base_sha256", "spans"]
+        return lambda texts: dict(zip(names, zip(*map(digest, scanner.spans(texts)), strict=True), strict=True))
 
-    return keyed_texts(docs).mapInPandas(scan, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return scan_texts(docs, make, "n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def redact(text: str, spans: list[tuple[int, int]], mark: str = "[secret]") -> str:
@@ -222,14 +252,20 @@ def key_end(text: str, at: int) -> int:
 def redact_secrets(docs: DataFrame) -> DataFrame:
     """The rows of docs with secrets replaced in text, private keys with their bodies; null texts stay null; n_chars, if there, follows."""
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         scanner = Scanner(RULES)
-        for pdf in batches:
-            texts = [t if isinstance(t, str) else None for t in pdf["text"]]
-            found = scanner.spans([t or "" for t in texts])
-            yield pdf.assign(text=[redact(t, [(s, key_end(t, e) if RULES[k].kind == "private_key" else e) for s, k, e in x]) if x else t for t, x in zip(texts, found, strict=True)])
 
-    out = docs.mapInPandas(scan, docs.schema)
+        def clean(text: str | None, found: list[tuple[int, int, int]]) -> str | None:
+            return redact(text, [(s, key_end(text, e) if RULES[k].kind == "private_key" else e) for s, k, e in found]) if found else text
+
+        def change(rows: pa.RecordBatch, texts: list[str | None]) -> pa.RecordBatch:
+            at = rows.schema.get_field_index("text")
+            new = [clean(t, x) for t, x in zip(texts, scanner.spans([t or "" for t in texts]), strict=True)]
+            return rows.set_column(at, rows.schema.field(at), pa.array(new, type=rows.schema.field(at).type))
+
+        return change
+
+    out = scan_rows(docs, make)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return out
