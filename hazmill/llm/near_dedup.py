@@ -1,17 +1,22 @@
 """Near-duplicate documents by Order MinHash and banded alignment.
 
-Shingles of two lower-cased words are labelled with their occurrence in the
+Shingles of three lower-cased words are labelled with their occurrence in the
 text. Each of several sketches takes the two smallest labelled shingles under
 its own hash and keeps them in text order, so that a sketch agrees only where
 both content and order do. Documents that share a sketch meet in a bucket;
 there the bucket's hub, not every member, is aligned with each other member,
 and links hold where the edit similarity in words reaches the threshold.
-Further rounds take other hubs for the buckets that still span several groups;
-after them every pair of a bucket that lies in two groups is compared, block by
-block, so that only pairs without a common bucket go unseen. Word counts give a
-lower bound of the distance there, and only pairs within it are aligned.
+A further round takes other hubs for the buckets that still span several groups;
+after it every pair of a bucket that lies in two groups is compared, block by
+block, so that only pairs without a common bucket go unseen. Counts of words
+give a lower bound of the distance, and only pairs within it are aligned.
+
+The threshold is an edit similarity, and edits spread over a text break every
+long shingle well above it; three words and 40 sketches are the choice at which
+pairs at the threshold still meet (the README has the curve).
 
 Exact copies (the same words) collapse before sketching and cost one row.
+Words are compared by 64-bit hashes.
 
 Nulls and edges: documents without words (null or empty texts too) link with
 nothing; shorter texts than a shingle are one shingle; doc_id is the identity,
@@ -32,9 +37,13 @@ from pyspark.sql import functions as F
 
 from hazmill.llm.common import WORD, chunks, components, cut_lineage, keyed_texts
 
-SHINGLE, SKETCHES, THRESHOLD, ROUNDS = 2, 24, 0.8, 3
+SHINGLE, SKETCHES, THRESHOLD, ROUNDS = 3, 40, 0.8, 2
 #: Members of a bucket that are compared with as many others at once, and counters of a document's words.
 BLOCK, COUNTERS = 4000, 256
+#: Pairs up to which their table is broadcast to the words (larger ones are shuffled); pairs of a task.
+MOST_BROADCAST, TASK_PAIRS = 200_000, 4_000
+#: Smallest values of a sketch that are looked at first.
+FEW = 8
 
 _WORD = re.compile(WORD)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -57,8 +66,8 @@ def word_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return pd.util.hash_array(np.asarray(names, dtype=object), categorize=False)[codes], n
 
 
-def sketch(words: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """One row of SKETCHES values for each text; every text has a word."""
+def labelled_shingles(words: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(the shingles of all texts in order, each with how many times it came before in its text; its text; shingles of each text)."""
     first_word = np.cumsum(n) - n
     count = np.maximum(n - SHINGLE + 1, 1)
     first = np.cumsum(count) - count
@@ -69,29 +78,40 @@ def sketch(words: np.ndarray, n: np.ndarray) -> np.ndarray:
     for k in range(SHINGLE):
         inside = at + k < end
         shingle = shingle * _ODD + np.where(inside, words[np.minimum(at + k, len(words) - 1)], np.uint64(k))
-    # the label: the how-manieth occurrence of the shingle in its text
-    shingle = _mix(shingle + doc.astype(np.uint64) * np.uint64(0))
+    shingle = _mix(shingle)
     order = np.lexsort((shingle, doc))
     new = np.ones(len(doc), dtype=bool)
     new[1:] = (shingle[order][1:] != shingle[order][:-1]) | (doc[order][1:] != doc[order][:-1])
     place = np.arange(len(doc))
     occurrence = np.empty(len(doc), dtype=np.uint64)
     occurrence[order] = (place - np.maximum.accumulate(np.where(new, place, 0))).astype(np.uint64)
-    label = _mix(shingle + occurrence * _ODD)
-    out = np.empty((len(n), SKETCHES), dtype=np.uint64)
-    top = np.uint64(2**64 - 1)
-    single = count == 1
+    return _mix(shingle + occurrence * _ODD), doc, count
+
+
+def sketch(words: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """One row of SKETCHES values for each text; every text has a word."""
+    label, doc, count = labelled_shingles(words, n)
+    first = np.cumsum(count) - count
+    # about FEW values of a text lie under its limit; a text with fewer than two there is looked at whole
+    limit = np.where(count <= 2 * FEW, np.inf, 2.0**64 * FEW / count)
+    limit = np.repeat(np.minimum(limit, 2.0**64 - 2048).astype(np.uint64), count)
+    limit[np.repeat(count <= 2 * FEW, count)] = np.uint64(2**64 - 1)
+    out, texts = np.empty((len(n), SKETCHES), dtype=np.uint64), np.arange(len(n))
     for j in range(SKETCHES):
-        v = _mix(label ^ _mix(np.array([j + 1], dtype=np.uint64) * _ODD))
-        least = np.minimum.reduceat(v, first)
-        a = np.flatnonzero(v == np.repeat(least, count))
-        a = a[np.searchsorted(a, first)]
-        v[a] = top
-        least = np.minimum.reduceat(v, first)
-        b = np.flatnonzero(v == np.repeat(least, count))
-        b = b[np.searchsorted(b, first)]
-        early, late = label[np.minimum(a, b)], label[np.maximum(a, b)]
-        out[:, j] = _mix(np.where(single, label[a], early * _ODD + late) + np.full(1, j, dtype=np.uint64) * _MIX)
+        v = (label ^ _mix(np.array([j + 1], dtype=np.uint64) * _ODD)) * _ODD
+        v ^= v >> np.uint64(32)
+        low = np.flatnonzero(v <= limit)
+        low = low[np.lexsort((v[low], doc[low]))]
+        start = np.searchsorted(doc[low], texts)
+        found = np.diff(np.append(start, len(low)))
+        enough = found >= np.minimum(count, 2)
+        a = low[np.where(enough, start, 0)]
+        b = np.where(found > 1, low[np.minimum(start + 1, len(low) - 1)], a)
+        for i in np.flatnonzero(~enough):
+            least = first[i] + np.argsort(v[first[i] : first[i] + count[i]], kind="stable")[:2]
+            a[i], b[i] = least[0], least[-1]
+        both = np.where(count == 1, label[a], label[np.minimum(a, b)] * _ODD + label[np.maximum(a, b)])
+        out[:, j] = _mix(both + np.full(1, j, dtype=np.uint64) * _MIX)
     return out
 
 
@@ -108,20 +128,80 @@ def _sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield pd.DataFrame({"doc_id": ids[a:b][some], "same": same, "sketches": list(rows)})
 
 
+def profile(words: np.ndarray) -> bytes:
+    """How many of a text's words fall to each counter."""
+    return np.minimum(np.bincount((words % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS), 255).astype(np.uint8).tobytes()
+
+
 def _coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         texts, ids = pdf["text"].tolist(), pdf["doc_id"].to_numpy()
         for a, b in chunks(texts):
             words, n = word_codes(texts[a:b])
-            short = words.astype(np.uint32)
-            yield pd.DataFrame({"id": ids[a:b], "words": [short[e - k : e].tobytes() for e, k in zip(np.cumsum(n), n, strict=True)]})
+            runs = [words[e - k : e] for e, k in zip(np.cumsum(n), n, strict=True)]
+            yield pd.DataFrame({"id": ids[a:b], "n": n, "counts": [profile(x) for x in runs], "words": [x.tobytes() for x in runs]})
+
+
+class Window:
+    """Where each word of a sequence stands, seen through a window that moves on by one place at a time."""
+
+    def __init__(self, a: list, wide: int):
+        self.places: dict = {}
+        for i, c in enumerate(a):
+            self.places.setdefault(c, []).append(i)
+        self.wide, self.seen = wide, {}
+
+    def bits(self, c, start: int) -> int:
+        """A bit for each place of c from start to start + wide - 1; start never falls."""
+        places = self.places.get(c)
+        if places is None:
+            return 0
+        bits, base, k = self.seen.get(c, (0, start, 0))
+        bits >>= start - base
+        while k < len(places) and places[k] < start + self.wide:
+            if places[k] >= start:
+                bits |= 1 << (places[k] - start)
+            k += 1
+        self.seen[c] = (bits, start, k)
+        return bits
+
+
+def _within(a: list, b: list, most: int) -> int:
+    """Edit distance of two sequences if it is at most most, else most + 1; only the diagonals within most of the main one are computed.
+
+    Bit-parallel: a column of the band is two integers, a bit for each of its
+    rows, and moves on by a row with each column.
+    """
+    if len(a) < len(b):
+        a, b = b, a
+    if len(a) - len(b) > most:
+        return most + 1
+    if most >= len(a):  # no distance is larger than the longer length
+        most = len(a)
+    wide = 2 * most + 1
+    whole, top = (1 << wide) - 1, 1 << (wide - 1)
+    window = Window(a, wide)
+    up, down, score, start = whole & ~((1 << most) - 1), 0, most, -most
+    steps, edge = len(a) - most, top >> 1
+    for j, c in enumerate(b):
+        eq = window.bits(c, start)
+        start += 1
+        same = ((((eq & up) + up) ^ up) | eq | down) & whole
+        more, less = down | (whole & ~(same | up)), same & up
+        if j < steps:
+            score += not same & top
+        else:
+            score += bool(more & edge) - bool(less & edge)
+            edge >>= 1
+        if score > 2 * most + len(b) - j:
+            return most + 1
+        same >>= 1
+        up, down = less | (whole & ~(same | more)), same & more
+    return min(score, most + 1)
 
 
 def banded_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
-    """Edit distance of two sequences, or more than most; cells further than most off the diagonal are left out.
-
-    Bit-parallel: each column of the table is two integers, a bit for each row.
-    """
+    """Edit distance of two sequences, or more than most; narrow bands are tried first."""
     k = min(len(a), len(b))
     if abs(len(a) - len(b)) > most:
         return most + 1
@@ -133,34 +213,19 @@ def banded_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
     k = min(len(a), len(b))
     differ = np.flatnonzero(a[len(a) - k :][::-1] != b[len(b) - k :][::-1])
     stop = int(differ[0]) if len(differ) else k
-    a, b = a[: len(a) - stop], b[: len(b) - stop]
-    if not len(a) or not len(b):
+    a, b = a[: len(a) - stop].tolist(), b[: len(b) - stop].tolist()
+    if not a or not b:
         return max(len(a), len(b))
-    rows = len(a)
-    at: dict[int, int] = {}
-    for i, c in enumerate(a.tolist()):
-        at[c] = at.get(c, 0) | 1 << i
-    everything, last, wide = (1 << rows) - 1, 1 << (rows - 1), (1 << (2 * most + 1)) - 1
-    up, down, score = everything, 0, rows
-    columns = len(b)
-    for j, c in enumerate(b.tolist()):
-        eq = at.get(c, 0) & (wide << (j - most) if j >= most else wide >> (most - j))
-        v = eq | down
-        h = (((eq & up) + up) ^ up) | eq
-        more, less = down | (everything & ~(h | up)), up & h
-        if more & last:
-            score += 1
-        elif less & last:
-            score -= 1
-        if score - (columns - 1 - j) > most:
-            return most + 1
-        more, less = (more << 1 | 1) & everything, less << 1 & everything
-        up, down = less | (everything & ~(v | more)), more & v
-    return score
+    band = max(15, abs(len(a) - len(b)))
+    while band < most:
+        if (found := _within(a, b, band)) <= band:
+            return found
+        band *= 4
+    return _within(a, b, most)
 
 
 def alike(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
-    """Edit similarity, 1 - distance / longer length, at least the threshold; narrow bands are tried first."""
+    """Edit similarity, 1 - distance / longer length, at least the threshold."""
     longer = max(len(a), len(b))
     most = int(np.floor((1 - threshold) * longer + 1e-9))
     if len(a) == len(b) and int(np.count_nonzero(a != b)) <= most:
@@ -169,19 +234,40 @@ def alike(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
 
 
 def _aligned(threshold: float):
+    """Rows (a, b, words) sorted by pair, two for each: whether they are alike."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
         for pdf in batches:
-            ok = [alike(np.frombuffer(x, dtype=np.uint32), np.frombuffer(y, dtype=np.uint32), threshold) for x, y in zip(pdf["words_a"], pdf["words_b"], strict=True)]
-            yield pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "linked": np.array(ok, dtype=bool)})
+            a, b, words = pdf["a"].tolist(), pdf["b"].tolist(), pdf["words"].tolist()
+            out = []
+            for x, y, w in zip(a, b, words, strict=True):
+                if held is None:
+                    held = (x, y, w)
+                    continue
+                assert held[:2] == (x, y)
+                out.append((x, y, alike(np.frombuffer(held[2], dtype=np.uint64), np.frombuffer(w, dtype=np.uint64), threshold)))
+                held = None
+            yield pd.DataFrame(out, columns=["a", "b", "linked"]).astype({"linked": bool})
 
     return run
 
 
-def _profiled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        found = [np.frombuffer(x, dtype=np.uint32) for x in pdf["words"]]
-        counts = [np.minimum(np.bincount(x % COUNTERS, minlength=COUNTERS), 255).astype(np.uint8).tobytes() for x in found]
-        yield pd.DataFrame({"id": pdf["id"], "n": [len(x) for x in found], "counts": counts})
+def _bounded(threshold: float):
+    """Of pairs with both sides' counters: those that may be alike."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x, y = (np.frombuffer(b"".join(pdf[c]), dtype=np.uint8).reshape(len(pdf), COUNTERS).astype(np.int16) for c in ("counts_a", "counts_b"))
+            n, m = pdf["n_a"].to_numpy(), pdf["n_b"].to_numpy()
+            off = x - y
+            least = np.maximum(np.maximum(off, 0).sum(axis=1), np.maximum(-off, 0).sum(axis=1))
+            most = np.floor((1 - threshold) * np.maximum(n, m) + 1e-9)
+            yield pdf.loc[np.maximum(least, np.abs(n - m)) <= most, ["a", "b"]]
+
+    return run
 
 
 def close_pairs(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
@@ -218,18 +304,25 @@ def _close(threshold: float):
     return run
 
 
-def remaining_pairs(met: DataFrame, groups: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
+def remaining_pairs(met: DataFrame, groups: DataFrame, profiles: DataFrame, threshold: float) -> DataFrame:
     """a, b: pairs of two groups that share a bucket of over two members and may be alike; blocks bound what a task holds."""
     inside = met.join(groups, "id")
     several = inside.groupBy("bucket").agg(F.min("group").alias("lo"), F.max("group").alias("hi"), F.count("*").alias("m")).where("lo <> hi and m > 2").select("bucket", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
     left = cut_lineage(inside.join(several, "bucket"))
-    profiles = words.join(left.select("id").distinct(), "id", "left_semi").mapInPandas(_profiled, "id long, n int, counts binary")
     placed = left.join(profiles, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "group", "n", "counts")
     runs = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     return runs.mapInPandas(_close(threshold), "a long, b long").distinct()
 
 
+def verified(pairs: DataFrame, n_pairs: int, words: DataFrame, threshold: float) -> DataFrame:
+    """a, b, linked: each pair's words meet in one task; a hub's words go to as many tasks as it has pairs."""
+    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("id"))
+    met = words.join(F.broadcast(ends) if n_pairs <= MOST_BROADCAST else ends, "id").select("a", "b", "id", "words")
+    tasks = max(8, -(-n_pairs // TASK_PAIRS))
+    return met.repartition(tasks, "a", "b").sortWithinPartitions("a", "b", "id").mapInPandas(_aligned(threshold), "a long, b long, linked boolean")
+
+
 def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, class_id (the smallest doc_id of the class) and kept (doc_id is class_id), a row for each row of docs."""
     texts = keyed_texts(docs).where("doc_id is not null")
@@ -240,11 +333,13 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, rounds
     shared = cut_lineage(entries.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").select("bucket"))
     met = cut_lineage(entries.join(shared, "bucket"))
     candidates = cut_lineage(met.select("id").distinct())
-    words = cut_lineage(texts.join(candidates, texts["doc_id"] == candidates["id"], "left_semi").dropDuplicates(["doc_id"]).mapInPandas(_coded, "id long, words binary"))
+    coded = cut_lineage(texts.join(candidates, texts["doc_id"] == candidates["id"], "left_semi").dropDuplicates(["doc_id"]).mapInPandas(_coded, "id long, n int, counts binary, words binary"))
+    words, profiles = coded.select("id", "words"), coded.select("id", "n", "counts")
+    side = lambda s: profiles.select(*[F.col(c).alias(t) for c, t in (("id", s), ("n", f"n_{s}"), ("counts", f"counts_{s}"))])
 
     n = candidates.count()
     groups = candidates.coalesce(1 + n // 100_000).select("id", F.col("id").alias("group"))
-    links = tried = None
+    tried = None
     for k in range(rounds + 1):
         if k < rounds:
             # one member of each group in each bucket, and the bucket's hub among them
@@ -254,19 +349,17 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, rounds
             members = cut_lineage(members.select("bucket", "m"))
             hubs = cut_lineage(members.groupBy("bucket").agg(F.min("m").alias("hub"), F.count("*").alias("n")).where("n > 1"))
             pairs = members.join(hubs, "bucket").where("m.id <> hub.id").select(F.least("m.id", "hub.id").alias("a"), F.greatest("m.id", "hub.id").alias("b")).distinct()
+            pairs = pairs.join(side("b"), "b").join(side("a"), "a").mapInPandas(_bounded(threshold), "a long, b long")
         else:
-            pairs = remaining_pairs(met, groups, words, threshold)
+            pairs = remaining_pairs(met, groups, profiles, threshold)
         if tried is not None:
             pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
         pairs = cut_lineage(pairs, n)
         if not (n_pairs := pairs.count()):
             continue
-        sided = pairs.join(words.select(F.col("id").alias("b"), F.col("words").alias("words_b")), "b")
-        sided = sided.join(words.select(F.col("id").alias("a"), F.col("words").alias("words_a")), "a")
-        verdicts = cut_lineage(sided.select("a", "b", "words_a", "words_b").mapInPandas(_aligned(threshold), "a long, b long, linked boolean"), n_pairs * 50)  # two thousand alignments to a task
+        verdicts = cut_lineage(verified(pairs, n_pairs, words, threshold))
         tried = verdicts if tried is None else tried.unionByName(verdicts)
-        links = tried.where("linked").select("a", "b")
-        found = components(links)
+        found = components(tried.where("linked").select("a", "b"))
         groups = cut_lineage(candidates.join(found, candidates["id"] == found["node"], "left").select("id", F.coalesce("component", "id").alias("group")), n)
     of_exact = exact.join(groups, exact["rep"] == groups["id"], "left").select("same", F.coalesce("group", "rep").alias("class_id"))
     classes = sketched.select("doc_id", "same").join(of_exact, "same").groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
@@ -276,7 +369,8 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, rounds
 
 
 def deduplicated(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that stand for their class, one row for each, with their columns alone."""
-    dropped = near_duplicate_classes(docs, threshold).where("not kept").select(F.col("doc_id").alias("__doc_id")).distinct()
-    kept = docs.join(dropped, docs["doc_id"].cast("long") == F.col("__doc_id"), "left_anti")
-    return kept.where("doc_id is null").unionByName(kept.where("doc_id is not null").dropDuplicates(["doc_id"]))
+    """The rows of docs that stand for their class, one row for each, with their columns alone; rows without a doc_id stay."""
+    dropped = near_duplicate_classes(docs, threshold).where("not kept").select(F.col("doc_id").alias("id")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), docs["doc_id"].cast("long").alias("id"))
+    kept = rows.where("id is not null").join(dropped, "id", "left_anti").dropDuplicates(["id"])
+    return kept.unionByName(rows.where("id is null")).select("row.*")

@@ -34,6 +34,33 @@ def test_pairs_at_the_threshold_meet(spark):
     assert all(got[i] // 2 == i // 2 for i in got)
 
 
+def test_wrong_pairs_stay_apart(spark):
+    rng = np.random.default_rng(14)
+    texts = []
+    for _ in range(60):
+        words = [f"w{rng.integers(1 << 40)}" for _ in range(100)]
+        texts += [" ".join(words), " ".join(changed(rng, words, rng.choice(100, 22, replace=False)))]
+    got = classes(spark, texts)
+    assert all(got[i] == i for i in got)
+
+
+def test_clashing_columns_and_kept_rows(spark):
+    text = " ".join(f"w{i}" for i in range(50))
+    rows = [(1, text, "a", 5), (2, text + " more", "b", 6), (2, text + " more", "b", 6), (None, text, "c", 7), (3, None, "d", 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, id string, __doc_id int")
+    out = near_dedup.deduplicated(docs)
+    assert out.columns == docs.columns
+    assert sorted((str(r["doc_id"]), r["id"], r["__doc_id"]) for r in out.collect()) == [("1", "a", 5), ("3", "d", 8), ("None", "c", 7)]
+
+
+def test_long_texts_are_aligned_in_narrow_bands():
+    rng = np.random.default_rng(15)
+    a = rng.integers(0, 50_000, 200_000).astype(np.uint64)
+    b = np.delete(a, [5, 100_000])
+    b[rng.choice(len(b), 20, replace=False)] = 60_000
+    assert near_dedup.banded_distance(a, b, 40_000) == 22
+
+
 @pytest.mark.parametrize("rounds", [1, 3])
 def test_drifting_chains_stay_whole(spark, rounds):
     rng = np.random.default_rng(12)
@@ -54,10 +81,9 @@ def test_blocks_leave_no_pair_out():
     import pandas as pd
 
     rng = np.random.default_rng(13)
-    of = [rng.integers(0, 40, rng.integers(20, 30)).astype(np.uint32) for _ in range(30)]
-    of += [np.where(rng.random(len(x)) < 0.15, rng.integers(0, 40, len(x)), x).astype(np.uint32) for x in of]
-    words = pd.DataFrame({"id": range(60), "words": [x.tobytes() for x in of]})
-    pdf = next(near_dedup._profiled([words])).assign(bucket=1, group=range(60), block=[i % 2 for i in range(60)])
+    of = [rng.integers(0, 40, rng.integers(20, 30)).astype(np.uint64) for _ in range(30)]
+    of += [np.where(rng.random(len(x)) < 0.15, rng.integers(0, 40, len(x)), x).astype(np.uint64) for x in of]
+    pdf = pd.DataFrame({"id": range(60), "n": [len(x) for x in of], "counts": [near_dedup.profile(x) for x in of], "bucket": 1, "group": range(60), "block": [i % 2 for i in range(60)]})
     runs = pd.concat([pdf[pdf["block"].isin(b)].assign(i=b[0], j=b[1]) for b in ((0, 0), (0, 1), (1, 1))], ignore_index=True)
     found = pd.concat(near_dedup._close(0.8)([runs.iloc[:25], runs.iloc[25:90], runs.iloc[90:]]))
     got = set(zip(found["a"], found["b"], strict=True))
