@@ -6,8 +6,9 @@ its own hash and keeps them in text order, so that a sketch agrees only where
 both content and order do. Documents that share a sketch meet in a bucket;
 there the bucket's hub, not every member, is aligned with each other member,
 and links hold where the edit similarity in words reaches the threshold.
-A further round takes other hubs for the buckets that still span several groups;
-after it every pair of a bucket that lies in two groups is compared, block by
+First each document meets the hub with which it shares most buckets; two further
+rounds take other hubs for the buckets that still span several groups, one pair
+for two groups; after them every pair of a bucket that lies in two groups is compared, block by
 block, so that only pairs without a common bucket go unseen. Counts of words
 give a lower bound of the distance, and only pairs within it are aligned.
 
@@ -37,9 +38,9 @@ from pyspark.sql import functions as F
 
 from hazmill.llm.common import WORD, chunks, components, cut_lineage, keyed_texts
 
-SHINGLE, SKETCHES, THRESHOLD, ROUNDS = 3, 40, 0.8, 2
-#: Members of a bucket that are compared with as many others at once, and counters of a document's words.
-BLOCK, COUNTERS = 4000, 256
+SHINGLE, SKETCHES, THRESHOLD, ROUNDS = 3, 40, 0.8, 3
+#: Members of a bucket that are compared with as many others at once; counters of a document's words, and how many of them are summed for a first look.
+BLOCK, COUNTERS, FOLD = 4000, 1024, 4
 #: Pairs up to which their table is broadcast to the words (larger ones are shuffled); pairs of a task.
 MOST_BROADCAST, TASK_PAIRS = 200_000, 4_000
 #: Smallest values of a sketch that are looked at first.
@@ -253,6 +254,12 @@ def _aligned(threshold: float):
     return run
 
 
+def _least(off: np.ndarray) -> np.ndarray:
+    """The edits that differing counters need at least: each edit raises one counter and lowers one."""
+    up = np.maximum(off, 0).sum(axis=1)
+    return np.maximum(up, up - off.sum(axis=1))
+
+
 def _bounded(threshold: float):
     """Of pairs with both sides' counters: those that may be alike."""
 
@@ -262,10 +269,8 @@ def _bounded(threshold: float):
                 continue
             x, y = (np.frombuffer(b"".join(pdf[c]), dtype=np.uint8).reshape(len(pdf), COUNTERS).astype(np.int16) for c in ("counts_a", "counts_b"))
             n, m = pdf["n_a"].to_numpy(), pdf["n_b"].to_numpy()
-            off = x - y
-            least = np.maximum(np.maximum(off, 0).sum(axis=1), np.maximum(-off, 0).sum(axis=1))
             most = np.floor((1 - threshold) * np.maximum(n, m) + 1e-9)
-            yield pdf.loc[np.maximum(least, np.abs(n - m)) <= most, ["a", "b"]]
+            yield pdf.loc[np.maximum(_least(x - y), np.abs(n - m)) <= most, ["a", "b"]]
 
     return run
 
@@ -274,14 +279,15 @@ def close_pairs(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
     """Pairs of two groups that may be alike, of the rows of one block or two (i, j): none that is alike is left out."""
     ids, group, n, block = (pdf[c].to_numpy() for c in ("id", "group", "n", "block"))
     counts = np.frombuffer(b"".join(pdf["counts"]), dtype=np.uint8).reshape(len(pdf), COUNTERS).astype(np.int16)
+    folded = counts.reshape(len(pdf), -1, FOLD).sum(axis=2, dtype=np.int16)
     i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
     later = np.arange(len(pdf))
     out: list[np.ndarray] = [np.zeros((0, 2), dtype=np.int64)]
     for r in np.flatnonzero(block == i):
         most = np.floor((1 - threshold) * np.maximum(n, n[r]) + 1e-9)
         with_ = np.flatnonzero((later > r if i == j else block == j) & (group != group[r]) & (np.abs(n - n[r]) <= most))
-        off = counts[with_] - counts[r]
-        with_ = with_[np.maximum(np.maximum(off, 0).sum(axis=1), np.maximum(-off, 0).sum(axis=1)) <= most[with_]]
+        for c in (folded, counts):
+            with_ = with_[_least(c[with_] - c[r]) <= most[with_]]
         out.append(np.stack([np.minimum(ids[with_], ids[r]), np.maximum(ids[with_], ids[r])], axis=1))
     return pd.DataFrame(np.unique(np.concatenate(out), axis=0), columns=["a", "b"])
 
@@ -345,10 +351,15 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, rounds
             # one member of each group in each bucket, and the bucket's hub among them
             inside = met.join(groups, "id")
             order = F.when(F.lit(k == 0), F.col("id")).otherwise(F.xxhash64(F.lit(k), "id"))
-            members = inside.groupBy("bucket", "group").agg(F.min(F.struct(order.alias("o"), "id")).alias("m")) if k else inside.select("bucket", F.struct(order.alias("o"), "id").alias("m"))
-            members = cut_lineage(members.select("bucket", "m"))
-            hubs = cut_lineage(members.groupBy("bucket").agg(F.min("m").alias("hub"), F.count("*").alias("n")).where("n > 1"))
-            pairs = members.join(hubs, "bucket").where("m.id <> hub.id").select(F.least("m.id", "hub.id").alias("a"), F.greatest("m.id", "hub.id").alias("b")).distinct()
+            members = inside.groupBy("bucket", "group").agg(F.min(F.struct(order.alias("o"), "id")).alias("m")) if k else inside.select("bucket", "group", F.struct(order.alias("o"), "id").alias("m"))
+            members = cut_lineage(members.select("bucket", "m", "group"))
+            hubs = cut_lineage(members.groupBy("bucket").agg(F.min(F.struct("m", "group")).alias("hub"), F.count("*").alias("n")).where("n > 1"))
+            own, hub = F.col("m.id"), F.col("hub.m.id")
+            met_hub = members.join(hubs, "bucket").where(own != hub).select(own.alias("own"), hub.alias("hub"), F.least("group", "hub.group").alias("g"), F.greatest("group", "hub.group").alias("h"))
+            shares = met_hub.groupBy("own", "hub", "g", "h").agg(F.count("*").alias("n"))
+            # at first the hub with which a member shares most, later one pair of members for two groups; what is left comes in later rounds
+            best = shares.groupBy(*(("g", "h") if k else ("own",))).agg(F.max(F.struct("n", (-F.col("hub")).alias("early"), F.col("own"))).alias("x"))
+            pairs = best.select(F.least("x.own", -F.col("x.early")).alias("a"), F.greatest("x.own", -F.col("x.early")).alias("b")).distinct()
             pairs = pairs.join(side("b"), "b").join(side("a"), "a").mapInPandas(_bounded(threshold), "a long, b long")
         else:
             pairs = remaining_pairs(met, groups, profiles, threshold)
