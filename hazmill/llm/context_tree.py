@@ -11,9 +11,17 @@ hands down the estimate of the deepest one that it did.
 Counts cover every training text. Work moves in packed rows: a block of
 documents gives, for each bucket of contexts, its sorted grams (context and next
 byte, at most 48 bits) and their counts; buckets merge them over all blocks,
-weigh the subtree under each two-byte context, and answer every block with the
-log probabilities of its own grams. Only the nodes of depth 0 and 1, at most
-65,535, pass through the driver.
+weigh the subtrees of their contexts, and answer every block with the log
+probabilities of its own grams. Buckets grow in number with the blocks. Contexts
+of two bytes go to buckets by hash; one that holds more than a bucket's share is
+split by the third byte, and the blocks that ask such a part are spread over
+copies of it, each for a bucket's share of questions. Shares are estimated from a bounded
+sample and only settle who does what: results do not depend on them. Through the
+driver pass the nodes of depth 0 and 1, at most 65,535, and those of depth 2
+below the split contexts, at most MOST_SPLIT times 255.
+
+Within a bucket one slice of whole subtrees and one of the eight decisions are
+in memory at a time.
 
 Nulls and edges: a null text is empty and scores its end alone; a null doc_id
 counts as training; repeated rows count repeatedly; an empty table gives an
@@ -22,6 +30,7 @@ empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -35,14 +44,14 @@ from hazmill.llm.common import chunks, cut_lineage, keyed_texts
 
 #: Bytes of context (key layout holds five), bytes of text in a block, and held-out documents: remainder HELD of FOLDS.
 DEPTH, BLOCK_BYTES, FOLDS, HELD = 5, 16_000_000, 7, 2
-#: Depth at which subtrees go to buckets; shallower nodes are combined in the driver.
-SPLIT = 2
+#: Bytes of the sample that shares are estimated from; contexts that are split at most; grams of a slice; partitions at most.
+SAMPLE_BYTES, MOST_SPLIT, SLICE, MOST_PARTITIONS = 32_000_000, 1024, 60_000, 20_000
 END = 0xFF
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _A = np.uint64(0xBF58476D1CE4E5B9)
 _HALF = np.log(0.5)
-_PACKED = "kind int, bucket int, block int, keys binary, vals binary"
+_PACKED = "kind int, bucket int, salts int, block int, keys binary, vals binary"
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -156,20 +165,82 @@ def _runs_of(pdf: pd.DataFrame, names: list[str]) -> Iterator[tuple[tuple, pd.Da
         yield tuple(c[a] for c in cols), pdf.iloc[a:b]
 
 
-def _count(buckets: int):
+class Plan:
+    """Which bucket a gram goes to, and over how many copies of a bucket its questions are spread."""
+
+    def __init__(self, buckets: int, shares: dict[int, float], blocks: int):
+        """shares: of contexts of three bytes (the nearest first), of all grams."""
+        self.hashed = buckets
+        by_two: dict[int, float] = {}
+        for c, x in shares.items():
+            by_two[c >> 8] = by_two.get(c >> 8, 0.0) + x
+        split = sorted((c for c, x in by_two.items() if x * buckets > 1), key=lambda c: (-by_two[c], c))[:MOST_SPLIT]
+        self.contexts = np.array(sorted(split), dtype=np.int64)
+        self.parts = np.array([min(256, math.ceil(2 * by_two[c] * buckets)) for c in self.contexts], dtype=np.int64)
+        self.first = buckets + np.cumsum(self.parts) - self.parts
+        load = np.zeros(int(self.parts.sum()))
+        place = {int(c): k for k, c in enumerate(self.contexts)}
+        for c, x in shares.items():
+            if (k := place.get(c >> 8)) is not None:
+                load[self.first[k] - buckets + (c & 255) % self.parts[k]] += x
+        self.salts = np.clip(np.ceil(load * buckets), 1, max(blocks, 1)).astype(np.int64)
+        self.most_salts = int(self.salts.max(initial=1))
+        self.buckets = buckets + len(load)
+
+    def of(self, kind: int, keys: np.ndarray) -> np.ndarray:
+        part = keys >> np.uint64(8 * (DEPTH - 1)) if kind == 0 else keys
+        out = (_mix(part * _ODD + _A) % np.uint64(self.hashed)).astype(np.int64)
+        if kind == 0 and len(self.contexts):
+            k = np.minimum(np.searchsorted(self.contexts, part.astype(np.int64)), len(self.contexts) - 1)
+            inside = self.contexts[k] == part.astype(np.int64)
+            third = (keys >> np.uint64(8 * (DEPTH - 2)) & np.uint64(255)).astype(np.int64)
+            out = np.where(inside, self.first[k] + third % self.parts[k], out)
+        return out
+
+    def salts_of(self, bucket: int) -> int:
+        return int(self.salts[bucket - self.hashed]) if bucket >= self.hashed else 1
+
+    def context(self, bucket: int) -> int | None:
+        """Which of the split contexts the bucket has a part of."""
+        return int(np.searchsorted(self.first, bucket, side="right") - 1) if bucket >= self.hashed else None
+
+
+def _triples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """context, n: how often each three bytes, the nearest first, stand before a byte."""
+    held = Sum()
+    for pdf in batches:
+        texts = pdf["text"].tolist()
+        for a, b in chunks(texts):
+            keys = Stream(texts[a:b]).grams() >> np.uint64(8 * (DEPTH - 2))
+            held.add(*np.unique(keys, return_counts=True))
+    keys, n = held.total()
+    yield pd.DataFrame({"context": keys.astype(np.int64), "n": n.astype(np.int64)})
+
+
+def plan(texts: DataFrame, total: int, blocks: int) -> Plan:
+    """From a sample of at most about SAMPLE_BYTES, chosen by hash; contexts beyond the MOST_SPLIT * 16 commonest have small shares."""
+    chance = min(1.0, SAMPLE_BYTES / max(total, 1))
+    sample = texts.where(F.pmod(F.xxhash64(F.lit(29), "doc_id", F.length("text")), F.lit(1 << 20)) < F.lit(int(chance * (1 << 20))))
+    counts = sample.select("text").mapInPandas(_triples, "context int, n long").groupBy("context").agg(F.sum("n").alias("n"))
+    found = [tuple(r) for r in counts.orderBy(F.desc("n"), "context").limit(MOST_SPLIT * 16).collect()]
+    everything = counts.agg(F.sum("n")).first()[0] or 1
+    return Plan(max(32, 2 * blocks), {c: n / everything for c, n in found}, blocks)
+
+
+def _count(plan: Plan):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def packed(block: int, sums: list[Sum]) -> pd.DataFrame:
             rows = []
             for kind, s in enumerate(sums):
                 keys, vals = s.total()
-                of = _bucket(kind, keys, buckets)
+                of = plan.of(kind, keys)
                 order = np.argsort(of, kind="stable")
-                edges = np.searchsorted(of[order], np.arange(buckets + 1))
-                for b in range(buckets):
-                    if edges[b] < edges[b + 1]:
-                        at = order[edges[b] : edges[b + 1]]
-                        rows.append((kind, b, block, _pack_sorted(keys[at]), _pack(vals[at])))
-            return pd.DataFrame(rows, columns=["kind", "bucket", "block", "keys", "vals"])
+                heads = np.flatnonzero(np.r_[True, of[order][1:] != of[order][:-1]]) if len(of) else []
+                for x, y in zip(heads, [*heads[1:], len(of)], strict=True):
+                    at = order[x:y]
+                    b = int(of[at[0]])
+                    rows.append((kind, b, 1 if kind else plan.salts_of(b), block, _pack_sorted(keys[at]), _pack(vals[at])))
+            return pd.DataFrame(rows, columns=["kind", "bucket", "salts", "block", "keys", "vals"])
 
         block, sums = None, [Sum(), Sum()]
         for pdf in batches:
@@ -192,16 +263,11 @@ def _count(buckets: int):
     return run
 
 
-def _bucket(kind: int, keys: np.ndarray, buckets: int) -> np.ndarray:
-    part = keys >> np.uint64(8 * (DEPTH + 1 - SPLIT)) if kind == 0 else keys
-    return (_mix(part * _ODD + _A) % np.uint64(buckets)).astype(np.int64)
-
-
 def _sum_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows sorted by (kind, bucket): one row for each, with the sums over its rows."""
     now, s = None, Sum()
     for pdf in batches:
-        for key, part in _runs_of(pdf, ["kind", "bucket"]):
+        for key, part in _runs_of(pdf, ["kind", "bucket", "salts"]):
             if now is not None and key != now:
                 yield _one_row(now, s)
                 s = Sum()
@@ -214,7 +280,7 @@ def _sum_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _one_row(key: tuple, s: Sum) -> pd.DataFrame:
     k, v = s.total()
-    return pd.DataFrame({"kind": [key[0]], "bucket": [key[1]], "block": [-1], "keys": [_pack_sorted(k)], "vals": [_pack(v)]})
+    return pd.DataFrame({"kind": [key[0]], "bucket": [key[1]], "salts": [key[2]], "block": [-1], "keys": [_pack_sorted(k)], "vals": [_pack(v)]})
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -229,125 +295,182 @@ def log_kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     return log_gamma(n0 + 0.5) + log_gamma(n1 + 0.5) - log_gamma(n0 + n1 + 1.0) - np.log(np.pi)
 
 
-class Level:
-    """The nodes of one depth: for each of the eight bits, counts by (context, leading bits of the next byte)."""
+class Depth:
+    """The grams of one depth: their keys in order, counts, and each one's place among those a byte shorter."""
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray):
         self.keys, self.counts = keys, counts
-        context, byte = keys >> np.uint64(8), keys & np.uint64(255)
-        self.node, self.row, self.n0, self.n1 = [], [], [], []
-        for k in range(8):
-            name = context << np.uint64(8) | np.uint64(1 << k) | byte >> np.uint64(8 - k)
-            new = np.r_[True, name[1:] != name[:-1]]
-            head = np.flatnonzero(new)
-            bit = (byte >> np.uint64(7 - k) & np.uint64(1)).astype(np.int64)
-            ones = np.add.reduceat(counts * bit, head)
-            self.node.append(name[head])
-            self.row.append(np.cumsum(new) - 1)
-            self.n1.append(ones.astype(float))
-            self.n0.append((np.add.reduceat(counts, head) - ones).astype(float))
-        self.kt = [log_kt(a, b) for a, b in zip(self.n0, self.n1, strict=True)]
-        self.weighted = self.kt
-        self.stop = [np.ones(len(x)) for x in self.node]
-
-    def weigh(self, below: Level) -> None:
-        """Half the node's own estimate, half the product of its children's."""
-        self.weighted, self.stop = [], []
-        for k in range(8):
-            low = np.uint64(255)
-            parent = below.node[k] >> np.uint64(16) << np.uint64(8) | below.node[k] & low
-            children = np.bincount(np.searchsorted(self.node[k], parent), weights=below.weighted[k], minlength=len(self.node[k]))
-            both = np.logaddexp(_HALF + self.kt[k], _HALF + children)
-            self.weighted.append(both)
-            self.stop.append(np.exp(_HALF + self.kt[k] - both))
-
-
-def subtree(keys: np.ndarray, counts: np.ndarray) -> tuple[list[Level], list[np.ndarray]]:
-    """Levels of depth DEPTH down to SPLIT, and each key's row in each of them."""
-    levels, rows = [Level(keys, counts)], [np.arange(len(keys))]
-    for d in range(DEPTH - 1, SPLIT - 1, -1):
-        above = levels[-1].keys
-        short = above >> np.uint64(16) << np.uint64(8) | above & np.uint64(255)
-        names, place = np.unique(short, return_inverse=True)
-        level = Level(names, np.bincount(place, weights=levels[-1].counts, minlength=len(names)).astype(np.int64))
-        level.weigh(levels[-1])
-        levels.append(level)
-        rows.append(place[rows[-1]])
-    return levels, rows
-
-
-def _summaries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """From merged rows: sums by (nearest byte, node) of counts and weighted estimates at depth SPLIT; tokens and distinct ones as name -1."""
-    for pdf in batches:
-        for kind, k, v in zip(pdf["kind"], pdf["keys"], pdf["vals"], strict=True):
-            keys, counts = _unpack_sorted(k), _unpack(v, np.int64)
-            if kind:
-                yield pd.DataFrame({"name": [-1], "n0": [float(counts.sum())], "n1": [float((counts > 0).sum())], "weighted": [0.0]})
-                continue
-            shallow = subtree(keys, counts)[0][-1]
-            for i in range(8):
-                name = (shallow.node[i] >> np.uint64(16) << np.uint64(8) | shallow.node[i] & np.uint64(255)).astype(np.int64)
-                names, place = np.unique(name, return_inverse=True)
-                total = lambda x: np.bincount(place, weights=x, minlength=len(names))  # noqa: E731, B023
-                yield pd.DataFrame({"name": names, "n0": total(shallow.n0[i]), "n1": total(shallow.n1[i]), "weighted": total(shallow.weighted[i])})
+        self.place: np.ndarray | None = None
+
+    def shorter(self) -> Depth:
+        low = np.uint64(255)
+        names, place = np.unique(self.keys >> np.uint64(16) << np.uint64(8) | self.keys & low, return_inverse=True)
+        self.place = place.astype(np.int32)
+        return Depth(names, np.bincount(place, weights=self.counts, minlength=len(names)).astype(np.int64))
+
+
+class Nodes:
+    """The nodes of one depth for one of the eight decisions: counts, the weighted estimate and the weight of stopping here."""
+
+    def __init__(self, depth: Depth, k: int, below: Nodes | None, place: np.ndarray | None):
+        keys = depth.keys
+        name = keys >> np.uint64(8) << np.uint64(8) | np.uint64(1 << k) | (keys & np.uint64(255)) >> np.uint64(8 - k)
+        new = np.r_[True, name[1:] != name[:-1]]
+        self.head = np.flatnonzero(new)
+        self.name = name[self.head]
+        #: each gram's node
+        self.row = (np.cumsum(new) - 1).astype(np.int32)
+        bit = (keys >> np.uint64(7 - k) & np.uint64(1)).astype(np.int64)
+        self.n1 = np.add.reduceat(depth.counts * bit, self.head).astype(float)
+        self.n0 = np.add.reduceat(depth.counts, self.head) - self.n1
+        self.weighted = log_kt(self.n0, self.n1)
+        self.stop = np.ones(len(self.head))
+        if below is not None:
+            # half the node's own estimate, half the product of its children's
+            children = np.bincount(self.row[place[below.head]], weights=below.weighted, minlength=len(self.head))
+            own = _HALF + self.weighted
+            self.weighted = np.logaddexp(own, _HALF + children)
+            self.stop = np.exp(own - self.weighted)
+
+    @property
+    def one(self) -> np.ndarray:
+        return (self.n1 + 0.5) / (self.n0 + self.n1 + 1)
+
+
+def slices(keys: np.ndarray, depth: int) -> Iterator[tuple[int, int]]:
+    """Runs of grams of at least SLICE, as far as they go, that end where a context of the depth does."""
+    context = keys >> np.uint64(8 * (DEPTH + 1 - depth))
+    ends = np.append(np.flatnonzero(context[1:] != context[:-1]) + 1, len(keys)) if len(keys) else []
+    start = 0
+    for e in ends:
+        if e - start >= SLICE or e == len(keys):
+            yield start, int(e)
+            start = int(e)
+
+
+def depths(keys: np.ndarray, counts: np.ndarray, least: int) -> list[Depth]:
+    """From DEPTH up to the least."""
+    out = [Depth(keys, counts)]
+    for _ in range(DEPTH - least):
+        out.append(out[-1].shorter())
+    return out
+
+
+def decisions(found: list[Depth]) -> Iterator[tuple[int, list[Nodes]]]:
+    for k in range(8):
+        nodes: list[Nodes] = []
+        for i, d in enumerate(found):
+            nodes.append(Nodes(d, k, nodes[-1] if i else None, found[i - 1].place if i else None))
+        yield k, nodes
+
+
+def _summaries(plan: Plan):
+    """From merged rows, sums of counts and weighted estimates by the node they belong to: by (nearest byte, node), of a split context by (it, node) from 65,536 on; tokens and distinct ones as name -1."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for kind, bucket, k, v in zip(pdf["kind"], pdf["bucket"], pdf["keys"], pdf["vals"], strict=True):
+                keys, counts = _unpack_sorted(k), _unpack(v, np.int64)
+                if kind:
+                    yield pd.DataFrame({"name": [-1], "n0": [float(counts.sum())], "n1": [float((counts > 0).sum())], "weighted": [0.0]})
+                    continue
+                context = plan.context(bucket)
+                least = 2 if context is None else 3
+                for a, b in slices(keys, least):
+                    for _, nodes in decisions(depths(keys[a:b], counts[a:b], least)):
+                        top = nodes[-1]
+                        node = (top.name & np.uint64(255)).astype(np.int64)
+                        name = ((context + 256) << 8 | node) if context is not None else ((top.name >> np.uint64(16)).astype(np.int64) << 8 | node)
+                        names, place = np.unique(name, return_inverse=True)
+                        total = lambda x: np.bincount(place, weights=x, minlength=len(names))  # noqa: E731, B023
+                        yield pd.DataFrame({"name": names, "n0": total(top.n0), "n1": total(top.n1), "weighted": total(top.weighted)})
+
+    return run
 
 
 class Top:
-    """Depth 0 and 1: by (byte, node) and by node, the count, the estimate of a one, and the weight of stopping there."""
+    """What lies above the buckets: by node, by (nearest byte, node) and by (split context, node), the count, the estimate of a one, and the weight of stopping there."""
 
-    def __init__(self, rows: list):
+    def __init__(self, rows: list, contexts: np.ndarray):
+        two = np.zeros((3, len(contexts), 256))
         n0, n1, below = np.zeros((256, 256)), np.zeros((256, 256)), np.zeros((256, 256))
         for name, a, b, w in rows:
-            n0[name >> 8, name & 255], n1[name >> 8, name & 255], below[name >> 8, name & 255] = a, b, w
+            if name >= 65_536:
+                two[:, (name >> 8) - 256, name & 255] = a, b, w
+            else:
+                n0[name >> 8, name & 255], n1[name >> 8, name & 255], below[name >> 8, name & 255] = a, b, w
+        own = _HALF + log_kt(two[0], two[1])
+        both = np.logaddexp(own, _HALF + two[2])
+        for k, c in enumerate(contexts):
+            some = two[0, k] + two[1, k] > 0
+            n0[c >> 8] += two[0, k]
+            n1[c >> 8] += two[1, k]
+            below[c >> 8] += np.where(some, both[k], 0.0)
         one = np.logaddexp(_HALF + log_kt(n0, n1), _HALF + below)
         r0, r1 = n0.sum(axis=0), n1.sum(axis=0)
         root = np.logaddexp(_HALF + log_kt(r0, r1), _HALF + one.sum(axis=0))
-        self.n = [r0 + r1, n0 + n1]
-        self.one = [(r1 + 0.5) / (r0 + r1 + 1), (n1 + 0.5) / (n0 + n1 + 1)]
-        self.stop = [np.exp(_HALF + log_kt(r0, r1) - root), np.exp(_HALF + log_kt(n0, n1) - one)]
+        self.n = [r0 + r1, n0 + n1, two[0] + two[1]]
+        self.one = [(r1 + 0.5) / (r0 + r1 + 1), (n1 + 0.5) / (n0 + n1 + 1), (two[1] + 0.5) / (two[0] + two[1] + 1)]
+        self.stop = [np.exp(_HALF + log_kt(r0, r1) - root), np.exp(_HALF + log_kt(n0, n1) - one), np.exp(own - both)]
 
 
-def log_probabilities(keys: np.ndarray, counts: np.ndarray, top: Top) -> np.ndarray:
-    """log10 of each gram's last byte given its context."""
-    levels, rows = subtree(keys, counts)
-    byte = keys & np.uint64(255)
-    near = (keys >> np.uint64(8 * DEPTH)).astype(np.int64)
+def log_probabilities(keys: np.ndarray, counts: np.ndarray, top: Top, context: int | None) -> np.ndarray:
+    """log10 of each gram's last byte given its context; context: which split one all grams of the bucket have, if any."""
     out = np.zeros(len(keys))
-    for k in range(8):
-        bit = (byte >> np.uint64(7 - k) & np.uint64(1)).astype(bool)
-        node = (np.uint64(1 << k) | byte >> np.uint64(8 - k)).astype(np.int64)
-        p, seen = np.full(len(keys), 0.5), np.zeros(len(keys), dtype=bool)
-        steps = [(x.n0[k] + x.n1[k], (x.n1[k] + 0.5) / (x.n0[k] + x.n1[k] + 1), x.stop[k], x.row[k][r]) for x, r in zip(levels, rows, strict=True)]
-        steps += [(top.n[1], top.one[1], top.stop[1], (near, node)), (top.n[0], top.one[0], top.stop[0], node)]
-        for n, one, stop, at in steps:
-            own = np.where(bit, one[at], 1 - one[at])
-            here = n[at] > 0
-            p = np.where(here, np.where(seen, stop[at] * own + (1 - stop[at]) * p, own), p)
-            seen |= here
-        out += np.log10(p)
+    for a, b in slices(keys, 2 if context is None else 3):
+        found = depths(keys[a:b], counts[a:b], 2 if context is None else 3)
+        at = [np.arange(b - a, dtype=np.int32)]
+        for d in found[:-1]:
+            at.append(d.place[at[-1]])
+        byte = keys[a:b] & np.uint64(255)
+        near = (keys[a:b] >> np.uint64(8 * DEPTH)).astype(np.int64)
+        for k, nodes in decisions(found):
+            bit = (byte >> np.uint64(7 - k) & np.uint64(1)).astype(bool)
+            node = (np.uint64(1 << k) | byte >> np.uint64(8 - k)).astype(np.int64)
+            p, seen = np.full(b - a, 0.5), np.zeros(b - a, dtype=bool)
+            steps = [(x.n0 + x.n1, x.one, x.stop, x.row[i]) for x, i in zip(nodes, at, strict=True)]
+            if context is not None:
+                steps.append((top.n[2][context], top.one[2][context], top.stop[2][context], node))
+            steps += [(top.n[1], top.one[1], top.stop[1], (near, node)), (top.n[0], top.one[0], top.stop[0], node)]
+            for n, one, stop, i in steps:
+                own = np.where(bit, one[i], 1 - one[i])
+                here = n[i] > 0
+                p = np.where(here, np.where(seen, stop[i] * own + (1 - stop[i]) * p, own), p)
+                seen |= here
+            out[a:b] += np.log10(p)
     return out
 
 
-def _answer(top: Top):
+def _answer(top: Top, plan: Plan):
     """Rows sorted by (kind, bucket), the merged row (block -1) first: each block's keys with log probability or count."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now = keys = value = None
         for pdf in batches:
             rows = []
-            for kind, bucket, block, k, v in pdf[["kind", "bucket", "block", "keys", "vals"]].itertuples(index=False):
+            for kind, bucket, salts, block, k, v in pdf[["kind", "bucket", "salts", "block", "keys", "vals"]].itertuples(index=False):
                 if block < 0:
                     now, keys, counts = (kind, bucket), _unpack_sorted(k), _unpack(v, np.int64)
-                    value = counts.astype(float) if kind else log_probabilities(keys, counts, top)
+                    value = counts.astype(float) if kind else log_probabilities(keys, counts, top, plan.context(bucket))
                     continue
                 assert now == (kind, bucket)
                 own = _unpack_sorted(k)
-                rows.append((kind, bucket, block, k, _pack(value[np.searchsorted(keys, own)])))
-            yield pd.DataFrame(rows, columns=["kind", "bucket", "block", "keys", "vals"])
+                rows.append((kind, bucket, salts, block, k, _pack(value[np.searchsorted(keys, own)])))
+            yield pd.DataFrame(rows, columns=["kind", "bucket", "salts", "block", "keys", "vals"])
 
     return run
 
 
+def _joined(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The answers of all buckets by key; the list is emptied on the way."""
+    if not held:
+        return np.zeros(0, dtype=np.uint64), np.zeros(0)
+    keys, values = np.concatenate([k for k, _ in held]), np.concatenate([v for _, v in held])
+    held.clear()
+    order = np.argsort(keys)
+    return keys[order], values[order]
+
+
 def _score(n_tokens: float, n_distinct: float):
     """Rows sorted by (block, answers first): each document's scores."""
 
@@ -364,8 +487,7 @@ def _score(n_tokens: float, n_distinct: float):
                 if not len(docs):
                     continue
                 if tables is None:
-                    tables = [_merged([x for x, _ in h], [y for _, y in h]) for h in held]
-                    held = [[], []]
+                    tables = [_joined(held[kind]) for kind in range(2)]
                 texts = docs["text"].tolist()
                 for a, b in chunks(texts):
                     s, size = Stream(texts[a:b]), b - a
@@ -376,7 +498,7 @@ def _score(n_tokens: float, n_distinct: float):
                     of = docs.iloc[a:b]
                     yield pd.DataFrame(
                         {
-                            "doc_id": of["doc_id"].array,
+                            "doc_id": of["doc_id"].array,  # text: a null would turn numbers into floats
                             "held_out": of["held_out"].array,
                             "n_tokens": np.bincount(doc, minlength=size),
                             "n_known": np.bincount(doc, weights=c > 0, minlength=size).astype(np.int64),
@@ -403,33 +525,33 @@ def score_documents(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 of the text's probability), bits_per_byte."""
     texts = keyed_texts(docs)
     total = texts.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
-    blocks = max(1, -(-total // BLOCK_BYTES))
-    buckets = int(min(4096, max(32, 2 * blocks)))
-    salts = int(-(-blocks // 256))
+    blocks = int(max(1, -(-total // BLOCK_BYTES)))
+    dealing = plan(texts, total, blocks)
     out_of = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % FOLDS == HELD
-    dealt = texts.withColumns({"held_out": F.coalesce(out_of, F.lit(False)), "block": F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(blocks)).cast("int")})
-    counted = cut_lineage(dealt.repartition(int(blocks), "block").sortWithinPartitions("block").mapInPandas(_count(buckets), _PACKED))
+    block = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(blocks)).cast("int")
+    dealt = texts.select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.coalesce(out_of, F.lit(False)).alias("held_out"), block.alias("block"))
+    by_block, by_bucket = min(blocks, MOST_PARTITIONS), min(dealing.buckets, MOST_PARTITIONS)
+    counted = cut_lineage(dealt.repartition(by_block, "block").sortWithinPartitions("block").mapInPandas(_count(dealing), _PACKED))
 
     def summed(rows: DataFrame, *by: str) -> DataFrame:
-        parts = int(min(buckets, 2048))
-        return rows.repartition(parts, "kind", "bucket", *by).sortWithinPartitions(*by, "kind", "bucket").mapInPandas(_sum_rows, _PACKED)
-
-    salted = counted.withColumn("salt", F.pmod("block", F.lit(salts)))
-    merged = summed(salted, "salt") if salts > 1 else counted
-    merged = cut_lineage(summed(merged.select("kind", "bucket", "block", "keys", "vals")))
-    rows = merged.mapInPandas(_summaries, "name int, n0 double, n1 double, weighted double").groupBy("name").agg(F.sum("n0"), F.sum("n1"), F.sum("weighted")).collect()
-    top = Top([tuple(r) for r in rows if r[0] >= 0])
+        return rows.repartition(by_bucket, "kind", "bucket", *by).sortWithinPartitions(*by, "kind", "bucket").mapInPandas(_sum_rows, _PACKED)
+
+    # the rows of a bucket with copies are summed for each copy first
+    salted = counted.withColumn("salt", F.pmod("block", "salts"))
+    merged = summed(salted, "salt") if dealing.most_salts > 1 else counted
+    merged = cut_lineage(summed(merged.select("kind", "bucket", "salts", "block", "keys", "vals")))
+    rows = merged.mapInPandas(_summaries(dealing), "name int, n0 double, n1 double, weighted double").groupBy("name").agg(F.sum("n0"), F.sum("n1"), F.sum("weighted")).collect()
+    top = Top([tuple(r) for r in rows if r[0] >= 0], dealing.contexts)
     n_tokens, n_distinct = next(((r[1], r[2]) for r in rows if r[0] < 0), (0.0, 0.0))
 
-    salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    asked = merged.withColumn("salt", salt).unionByName(salted)
-    answers = asked.repartition(int(min(buckets * salts, 4096)), "kind", "bucket", "salt").sortWithinPartitions("salt", "kind", "bucket", "block").mapInPandas(_answer(top), _PACKED)
+    asked = merged.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).unionByName(salted)
+    answers = asked.repartition(by_bucket, "kind", "bucket", "salt").sortWithinPartitions("salt", "kind", "bucket", "block").mapInPandas(_answer(top, dealing), _PACKED)
     none = F.lit(None)
-    both = answers.select("block", "kind", "keys", "vals", none.cast("long").alias("doc_id"), none.cast("string").alias("text"), none.cast("boolean").alias("held_out")).unionByName(
+    both = answers.select("block", "kind", "keys", "vals", none.cast("string").alias("doc_id"), none.cast("string").alias("text"), none.cast("boolean").alias("held_out")).unionByName(
         dealt.select("block", F.lit(-1).alias("kind"), none.cast("binary").alias("keys"), none.cast("binary").alias("vals"), "doc_id", "text", "held_out")
     )
-    scored = both.repartition(int(blocks), "block").sortWithinPartitions("block", F.desc("kind")).mapInPandas(
+    scored = both.repartition(by_block, "block").sortWithinPartitions("block", F.desc("kind")).mapInPandas(
         _score(float(n_tokens), float(n_distinct)),
-        "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long",
+        "doc_id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long",
     )
-    return scored.withColumn("bits_per_byte", -F.col("score") * F.lit(np.log2(10.0).item()) / F.col("n_bytes"))
+    return scored.withColumns({"doc_id": F.col("doc_id").cast("long"), "bits_per_byte": -F.col("score") * F.lit(np.log2(10.0).item()) / F.col("n_bytes")})

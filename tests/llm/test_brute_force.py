@@ -87,8 +87,12 @@ def lowered(t):
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
 
 
-def test_context_tree(spark, table):
-    part = table.head(20)
+@pytest.mark.parametrize("split", [False, True])
+def test_context_tree(spark, table, split, monkeypatch):
+    part = table.head(12 if split else 60)
+    if split:  # small blocks, so that many contexts are split and asked in copies
+        monkeypatch.setattr(context_tree, "BLOCK_BYTES", 2_000)
+        monkeypatch.setattr(context_tree, "SLICE", 500)
     got = context_tree.score_documents(spark.createDataFrame(part[["doc_id", "text"]])).toPandas().set_index("doc_id")
     depth, held = context_tree.DEPTH, context_tree.held_out
 
