@@ -531,7 +531,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     block = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(blocks)).cast("int")
     dealt = texts.select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.coalesce(out_of, F.lit(False)).alias("held_out"), block.alias("block"))
     by_block, by_bucket = min(blocks, MOST_PARTITIONS), min(dealing.buckets, MOST_PARTITIONS)
-    counted = cut_lineage(dealt.repartition(by_block, "block").sortWithinPartitions("block").mapInPandas(_count(dealing), _PACKED))
+    counted = cut_lineage(dealt.repartitionById(by_block, F.col("block") % by_block).sortWithinPartitions("block").mapInPandas(_count(dealing), _PACKED))
 
     def summed(rows: DataFrame, *by: str) -> DataFrame:
         return rows.repartition(by_bucket, "kind", "bucket", *by).sortWithinPartitions(*by, "kind", "bucket").mapInPandas(_sum_rows, _PACKED)
@@ -550,7 +550,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     both = answers.select("block", "kind", "keys", "vals", none.cast("string").alias("doc_id"), none.cast("string").alias("text"), none.cast("boolean").alias("held_out")).unionByName(
         dealt.select("block", F.lit(-1).alias("kind"), none.cast("binary").alias("keys"), none.cast("binary").alias("vals"), "doc_id", "text", "held_out")
     )
-    scored = both.repartition(by_block, "block").sortWithinPartitions("block", F.desc("kind")).mapInPandas(
+    scored = both.repartitionById(by_block, F.col("block") % by_block).sortWithinPartitions("block", F.desc("kind")).mapInPandas(
         _score(float(n_tokens), float(n_distinct)),
         "doc_id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long",
     )

@@ -5,9 +5,12 @@ what is left, the tail, is packed. Tails are dealt over shards of bounded size
 by content: a tail goes where others with the same smallest hash among its
 rarest terms go, and such groups that outgrow a shard are split.
 A shard holds a BM25 inverted index of its tails (terms are token ids, document
-frequencies those of the whole corpus); each seed, longest first, retrieves its
-unused neighbours, which greedily fill its window; the last gap is filled by
-cutting the best neighbour left. Only a shard's last sequence is padded.
+frequencies those of the whole corpus; a query is all of a seed's distinct
+terms). Terms that very many tails of the shard have are kept as columns of a
+matrix, so that a few seeds at a time are scored by one product; the others have
+posting lists. Each seed, longest first, retrieves its unused neighbours, which
+greedily fill its window: best first those that fit whole, then a cut of the
+best one left. Only a shard's last sequence is padded.
 
 Nulls and edges: a null or empty text is the single end id; equal documents are
 packed one by one; a text over many windows spans as many sequences; an empty
@@ -26,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazmill.llm.common import cut_lineage, keyed_texts
+from hazmill.llm.common import cut_lineage, scan_texts
 
 WINDOW, END_ID = 1024, 0
 #: The vocabulary's added tokens: the JSON form lists them, the rank file does not.
@@ -36,7 +39,11 @@ SHARD_TOKENS, VOCABULARY, RARE_TERMS, GROUPS = 2_000_000, 50_257, 8, 64
 #: BM25's usual constants.
 K1, B = 1.2, 0.75
 
-_TAILS = "doc_id long, doc_tokens long, full_crcs array<long>, tail binary"
+#: Share of a shard's tails from which a term is a column; seeds scored at once; neighbours looked at before all others.
+COMMON, SEEDS, NEAR = 0.1, 32, 64
+
+#: doc_id is text on the way, since a null would turn numbers into floats.
+_TAILS = "doc_id string, doc_tokens long, full_crcs array<long>, tail binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -67,19 +74,18 @@ def _crc(ids: np.ndarray) -> int:
 def tokenize_tails(docs: DataFrame, path: str | None = None) -> DataFrame:
     """For each document: its tokens, the checksums of its full windows, and the ids of its tail (16 bits each)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         encoder = _encoder(path or tokenizer_path())
-        for pdf in batches:
-            rows = []
-            for t in pdf["text"]:
-                ids = token_ids(encoder, t)
-                full = len(ids) // WINDOW
-                rows.append((len(ids), [_crc(ids[k * WINDOW : (k + 1) * WINDOW]) for k in range(full)], ids[full * WINDOW :].astype("<u2").tobytes()))
-            out = pd.DataFrame(rows, columns=["doc_tokens", "full_crcs", "tail"])
-            out.insert(0, "doc_id", pdf["doc_id"].array)
-            yield out
 
-    return keyed_texts(docs).mapInPandas(run, _TAILS)
+        def cut(text: str) -> tuple[int, list[int], bytes]:
+            ids = token_ids(encoder, text)
+            full = len(ids) // WINDOW
+            return len(ids), [_crc(ids[k * WINDOW : (k + 1) * WINDOW]) for k in range(full)], ids[full * WINDOW :].astype("<u2").tobytes()
+
+        return lambda texts: dict(zip(("doc_tokens", "full_crcs", "tail"), zip(*map(cut, texts), strict=True), strict=True))
+
+    found = scan_texts(docs, make, "doc_tokens long, full_crcs array<long>, tail binary")
+    return found.withColumn("doc_id", F.col("doc_id").cast("string"))
 
 
 def document_frequencies(tails: DataFrame) -> tuple[np.ndarray, int, int]:
@@ -112,29 +118,42 @@ class ShardIndex:
         self.n = len(tails)
         key, tf = np.unique(np.repeat(np.arange(self.n), length) * VOCABULARY + np.concatenate([np.zeros(0, dtype=np.int64), *[t.astype(np.int64) for t in tails]]), return_counts=True)
         doc, term = np.divmod(key.astype(np.int64), VOCABULARY)
-        impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / max(mean_length, 1.0)))
-        # postings by term
+        impact = (idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / max(mean_length, 1.0)))).astype(np.float32)
+        held = np.bincount(term, minlength=VOCABULARY)
+        column = np.cumsum(common := held > max(COMMON * self.n, 8)) - 1
+        # common terms: a matrix with a row for each tail
+        at = common[term]
+        self.matrix = np.zeros((self.n, int(common.sum())), dtype=np.float32)
+        self.matrix[doc[at], column[term[at]]] = impact[at]
+        # other terms that several tails have: postings by term, and each tail's terms
+        at = ~common[term] & (held[term] > 1)
+        doc, term, impact = doc[at], term[at], impact[at]
+        self.query_at, self.query_terms = np.searchsorted(doc, np.arange(self.n + 1)), term
         order = np.argsort(term, kind="stable")
         self.docs, self.impacts = doc[order], impact[order]
         self.at = np.searchsorted(term[order], np.arange(VOCABULARY + 1))
-        # each document's query: its terms that some other document of the shard shares
-        shared = np.diff(self.at)[term] > 1
-        doc, term, impact = doc[shared], term[shared], impact[shared]
-        order = np.lexsort((term, -impact, doc))
-        doc, term = doc[order], term[order]
-        self.query_at = np.searchsorted(doc, np.arange(self.n + 1))
-        self.query_terms = term
-
-    def neighbours(self, seed: int, used: np.ndarray) -> np.ndarray:
-        """Unused documents that share a query term with the seed, best first."""
-        terms = self.query_terms[self.query_at[seed] : self.query_at[seed + 1]]
-        if not len(terms):
-            return terms
-        runs = [slice(self.at[t], self.at[t + 1]) for t in terms]
-        score = np.bincount(np.concatenate([self.docs[r] for r in runs]), weights=np.concatenate([self.impacts[r] for r in runs]), minlength=self.n)
-        score[used] = 0.0
-        found = np.flatnonzero(score)
-        return found[np.argsort(-score[found], kind="stable")]
+
+    def scores(self, seeds: list[int]) -> np.ndarray:
+        """A row for each seed: every tail's score by all of the seed's terms; the seed itself has 0."""
+        out = (self.matrix[seeds] > 0).astype(np.float32) @ self.matrix.T
+        for row, seed in zip(out, seeds, strict=True):
+            runs = [slice(self.at[t], self.at[t + 1]) for t in self.query_terms[self.query_at[seed] : self.query_at[seed + 1]]]
+            if runs:
+                row += np.bincount(np.concatenate([self.docs[r] for r in runs]), weights=np.concatenate([self.impacts[r] for r in runs]), minlength=self.n)
+            row[seed] = 0.0
+        return out
+
+
+def ranked(score: np.ndarray, used: np.ndarray) -> Iterator[np.ndarray]:
+    """Unused tails with a score, best first: the NEAR best, then all others."""
+    left = np.where(used, 0.0, score)
+    found = np.flatnonzero(left)
+    if len(found) > NEAR:
+        part = np.argpartition(-left[found], NEAR)
+        first, rest = np.sort(found[part[:NEAR]]), found[part[NEAR:]]
+        yield first[np.argsort(-left[first], kind="stable")]
+        found = np.sort(rest)
+    yield found[np.argsort(-left[found], kind="stable")]
 
 
 def pack_shard(tails: list[np.ndarray], idf: np.ndarray, mean_length: float) -> list[list[tuple[int, int, int]]]:
@@ -154,6 +173,7 @@ def pack_shard(tails: list[np.ndarray], idf: np.ndarray, mean_length: float) ->
         used[j] = left[j] == 0
         return room - n
 
+    scored: dict[int, np.ndarray] = {}
     while at < len(order):
         seed = order[at]
         if used[seed]:
@@ -162,17 +182,19 @@ def pack_shard(tails: list[np.ndarray], idf: np.ndarray, mean_length: float) ->
         window: list[tuple[int, int, int]] = []
         room = take(seed, WINDOW)
         if room:
-            near = index.neighbours(seed, used)
-            for j in near:
-                if left[j] <= room and not used[j]:
-                    room = take(j, room)
-                    if not room:
-                        break
-            for j in near if room else ():
-                if not used[j]:
-                    room = take(j, room)
-                    if not room:
-                        break
+            if seed not in scored:
+                ahead = order[at : at + 4 * SEEDS]
+                seeds = [seed, *ahead[~used[ahead]][: SEEDS - 1].tolist()]
+                scored = dict(zip(map(int, seeds), index.scores(seeds), strict=True))
+            for near in ranked(scored[int(seed)], used):
+                for j in near:
+                    if left[j] <= room and room:
+                        room = take(j, room)
+                for j in near if room else ():
+                    if not used[j] and room:
+                        room = take(j, room)
+                if not room:
+                    break
             k = at
             while room and k < len(order):
                 if not used[order[k]]:
@@ -188,7 +210,8 @@ def content_key(ids: np.ndarray, frequency: np.ndarray, other: int) -> int:
     terms = terms[frequency[terms] > 1]
     if not len(terms):
         return other
-    rarest = terms[np.lexsort((terms, frequency[terms]))[:RARE_TERMS]].astype(np.uint64)
+    by_frequency = frequency[terms] * VOCABULARY + terms
+    rarest = (np.partition(by_frequency, RARE_TERMS)[:RARE_TERMS] if len(terms) > RARE_TERMS else by_frequency).astype(np.uint64) % np.uint64(VOCABULARY)
     x = (rarest + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     return int(((x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(20)).min())
 
@@ -204,7 +227,8 @@ def deal(tails: DataFrame, frequency: np.ndarray, tokens: int) -> DataFrame:
             yield pdf.assign(group=np.array(keys, dtype=np.int64), n=np.array([len(x) for x in found], dtype=np.int64))
 
     # the smallest hash is not spread evenly over its range; its remainder is
-    other = F.pmod(F.xxhash64(F.lit(5), "doc_id", "doc_tokens", "tail"), F.lit(1 << 40))
+    # equal rows are told apart by their place in the written tails, so that they can be split too
+    other = F.pmod(F.xxhash64(F.lit(5), "doc_id", "doc_tokens", "tail", F.monotonically_increasing_id()), F.lit(1 << 40))
     placed = cut_lineage(tails.withColumn("other", other).mapInPandas(place, f"{_TAILS}, other long, group long, n long"))
     size = np.zeros(n_groups, dtype=np.int64)
     for r in placed.groupBy("group").agg(F.sum("n").alias("n")).collect():
@@ -246,4 +270,5 @@ def pack(docs: DataFrame, path: str | None = None) -> DataFrame:
             sequence += 1
         return pd.DataFrame(rows, columns=[x.split()[0] for x in PIECES.split(", ")])
 
-    return deal(tails, frequency, tokens).groupBy("shard").applyInPandas(run, PIECES)
+    pieces = deal(tails, frequency, tokens).groupBy("shard").applyInPandas(run, PIECES.replace("doc_id long", "doc_id string"))
+    return pieces.withColumn("doc_id", F.col("doc_id").cast("long"))
