@@ -8,9 +8,10 @@ never pairs; buckets above the block's size are split into pairs of blocks.
 A pair that meets in several tables is counted in the first alone.
 
 Nulls and edges: vectors that are null, empty, zero, or hold null or non-finite
-components link with nothing and are components of their own, as are vectors
-of another length than the commonest; equal vectors form a class that is
-compared once; equal rows count as separate vectors; vec_id is the identity;
+components link with nothing and are components of their own; vectors of
+different lengths do not link; those of a length that few have are compared all
+with all of that length, in blocks; equal vectors form a class that is compared
+once; equal rows count as separate vectors; vec_id is the identity;
 an empty table gives an empty result; other columns are ignored.
 """
 
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -28,6 +30,8 @@ from hazmill.llm.common import components, cut_lineage
 
 #: Vectors that the rotation is learned from, at most; rows of a block of a bucket, and rows of a bucket that is compared together with others.
 SAMPLE, BLOCK, SMALL = 20_000, 256, 12
+#: Vectors of a length up to which all pairs of blocks are compared.
+FEW = 5_000
 #: A key's bits differ with at most this chance for a pair at the threshold; pairs that may miss all tables.
 BIT_CHANCE, MISS = 0.08, 0.02
 
@@ -74,7 +78,15 @@ def _keys(models: list[tuple[np.ndarray, np.ndarray]], bits: int, tables: int, d
     return run
 
 
-def _compare(threshold: float, dtype: str):
+def _packed(dtype: str):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"id": pdf["id"], "n": pdf["n"], "keys": [[0]] * len(pdf), "vector": [np.array(v, dtype=dtype).tobytes() for v in pdf["embedding"]], "dims": pdf["dims"]})
+
+    return run
+
+
+def _compare(threshold: float, dtype: str, one_length: bool = True):
     """For each block pair: (id, links, mate) of each member with a link that no earlier table has."""
 
     def links(g: pd.DataFrame) -> pd.DataFrame | None:
@@ -126,7 +138,7 @@ def _compare(threshold: float, dtype: str):
             rest = pdf.iloc[start[-1] :]
             size = np.diff(start)
             whole = (pdf["lo"] == pdf["hi"]).to_numpy()[start[:-1]]
-            together = (size > 1) & (size <= SMALL) & whole
+            together = (size > 1) & (size <= SMALL) & whole & one_length
             found = [y for a, m in zip(start[:-1][~together], size[~together], strict=True) if m > 1 and (y := links(pdf.iloc[a : a + m])) is not None]
             number = np.repeat(np.where(together, np.arange(len(size)), -1), size)
             chosen = np.flatnonzero(number >= 0)
@@ -145,40 +157,52 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, seed: int = 3)
     rows = vectors.select(vectors["vec_id"].cast("long").alias("vec_id"), vectors["embedding"].alias("embedding"))
     dtype = "float64" if "double" in rows.schema["embedding"].dataType.simpleString() else "float32"
     sound = F.expr("embedding is not null and size(embedding) > 0 and forall(embedding, c -> c is not null and not isnan(c) and abs(c) < double('Infinity')) and exists(embedding, c -> c <> 0)")
-    valid = rows.where(sound & F.col("vec_id").isNotNull())
-    common = valid.groupBy(F.size("embedding").alias("dims")).count().orderBy(F.desc("count"), "dims").first()
-    if common is None:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    dims = common["dims"]
-    classes = valid.where(F.size("embedding") == dims).groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"))
-    classes = cut_lineage(classes)
-    n = classes.count()
-    chosen = classes.where(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 20)) < F.lit(min(1.0, SAMPLE / max(n, 1)) * (1 << 20))).select("id", "embedding").limit(2 * SAMPLE).toPandas().sort_values("id")
-    sample = _unit(np.array(chosen["embedding"].tolist() or [[1.0] * dims], dtype=dtype))
-    bits, tables = plan_tables(n, dims)
-    models = [fit_itq(sample, seed + k) for k in range(-(-tables // (dims // bits)))]
-    coded = cut_lineage(classes.mapInPandas(_keys(models, bits, tables, dtype), "id long, n long, keys array<long>, vector binary"))
-
-    entries = coded.select("id", "n", "keys", "vector", F.posexplode("keys").alias("table", "key"))
-    sizes = coded.select(F.posexplode("keys").alias("table", "key")).groupBy("table", "key").agg(F.count("*").alias("m")).where("m > 1")
-    split = F.ceil(F.col("m") / BLOCK).cast("int")
-    dealt = entries.join(sizes.withColumn("blocks", split).drop("m"), ["table", "key"]).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = dealt.withColumn("other", other).withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")}).drop("other", "blocks")
-    keys = ["table", "key", "lo", "hi"]
+    usable = F.coalesce(sound & F.col("vec_id").isNotNull(), F.lit(False))
+    valid = rows.where(usable)
+    classes = cut_lineage(valid.groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")).withColumn("dims", F.size("embedding")))
+    lengths = classes.groupBy("dims").count()
+    # lengths that many vectors have: at most one for each FEW classes
+    common = [(r["dims"], r["count"]) for r in lengths.where(F.col("count") > FEW).orderBy("dims").collect()]
     parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
-    met = dealt.repartition(parts, *keys).sortWithinPartitions(*keys).mapInPandas(_compare(threshold, dtype), "id long, links long, mate long")
-    met = cut_lineage(met)
+    rest = classes.where(~F.col("dims").isin([d for d, _ in common])) if common else classes
+    met = [_of_few(rest, lengths, parts, threshold, dtype)]
+    met += [_of_many(classes.where(F.col("dims") == d), d, n, parts, threshold, dtype, seed) for d, n in common]
+    met = cut_lineage(reduce(DataFrame.unionByName, met))
     links = met.groupBy("id").agg(F.sum("links").alias("links"))
     comps = components(met.select(F.col("id").alias("a"), F.col("mate").alias("b")))
     per_class = classes.join(links, "id", "left").join(comps.withColumnRenamed("node", "id"), "id", "left")
     by_vector = per_class.select("embedding", F.col("id").alias("rep"), "n", "links", "component")
-    keyed = rows.select("vec_id", F.when(sound & F.col("vec_id").isNotNull(), F.col("embedding")).alias("embedding"))
-    out = keyed.join(by_vector, "embedding", "left")
-    component = F.coalesce("component", "rep", "vec_id")
-    return out.select(
-        "vec_id",
-        (F.coalesce(F.col("n") - 1, F.lit(0)) + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"),
-        component.alias("component_id"),
-        F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"),
-    )
+    linked = valid.join(by_vector, "embedding")
+    component = F.coalesce("component", "rep")
+    out = linked.select("vec_id", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    return out.unionByName(rows.where(~usable).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept")))
+
+
+def _dealt(entries: DataFrame, sizes: DataFrame, parts: int) -> DataFrame:
+    """entries(table, key, ...) of buckets of two or more, in pairs of blocks (lo, hi), those of a pair together and sorted."""
+    split = F.ceil(F.col("m") / BLOCK).cast("int")
+    dealt = entries.join(sizes.where("m > 1").withColumn("blocks", split).drop("m"), ["table", "key"]).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = dealt.withColumn("other", other).withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")}).drop("other", "blocks")
+    keys = ["table", "key", "lo", "hi"]
+    return dealt.repartition(parts, *keys).sortWithinPartitions(*keys)
+
+
+def _of_few(classes: DataFrame, lengths: DataFrame, parts: int, threshold: float, dtype: str) -> DataFrame:
+    """id, links, mate: every two classes of one length compared, for lengths of at most FEW."""
+    packed = classes.select("id", "n", "embedding", "dims").mapInPandas(_packed(dtype), "id long, n long, keys array<long>, vector binary, dims int")
+    entries = packed.withColumn("table", F.lit(0)).withColumn("key", F.col("dims").cast("long")).drop("dims")
+    sizes = lengths.select(F.lit(0).alias("table"), F.col("dims").cast("long").alias("key"), F.col("count").alias("m"))
+    return _dealt(entries, sizes, parts).mapInPandas(_compare(threshold, dtype, one_length=False), "id long, links long, mate long")
+
+
+def _of_many(classes: DataFrame, dims: int, n: int, parts: int, threshold: float, dtype: str, seed: int) -> DataFrame:
+    """id, links, mate: the classes of one length that meet in a table's bucket compared."""
+    chosen = classes.where(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 20)) < F.lit(min(1.0, SAMPLE / max(n, 1)) * (1 << 20))).select("id", "embedding").limit(2 * SAMPLE).toPandas().sort_values("id")
+    sample = _unit(np.array(chosen["embedding"].tolist() or [[1.0] * dims], dtype=dtype))
+    bits, tables = plan_tables(n, dims)
+    models = [fit_itq(sample, seed + k) for k in range(-(-tables // (dims // bits)))]
+    coded = cut_lineage(classes.select("id", "n", "embedding").mapInPandas(_keys(models, bits, tables, dtype), "id long, n long, keys array<long>, vector binary"))
+    entries = coded.select("id", "n", "keys", "vector", F.posexplode("keys").alias("table", "key"))
+    sizes = coded.select(F.posexplode("keys").alias("table", "key")).groupBy("table", "key").agg(F.count("*").alias("m"))
+    return _dealt(entries, sizes, parts).mapInPandas(_compare(threshold, dtype), "id long, links long, mate long")

@@ -176,16 +176,17 @@ def mix(docs: DataFrame, seed: int = 11) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, seed: int = 11) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it, with their columns alone."""
-    names = docs.columns
-    chosen = mix(docs, seed).where("copies > 0").select(
-        F.col("doc_id").alias("__doc_id"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("part").alias("__part"), F.col("copies").alias("__copies")
-    )
-    same = Window.partitionBy("__d", "__s", "__z").orderBy(F.xxhash64("text"))
-    keyed = docs.withColumns({"__d": docs["doc_id"].cast("long"), "__s": docs["source"].cast("string"), "__z": word_count(text_of(docs))})
-    keyed = keyed.withColumn("__n", F.row_number().over(same).cast("long"))
-    joined = keyed.join(
-        chosen,
-        keyed["__d"].eqNullSafe(F.col("__doc_id")) & keyed["__s"].eqNullSafe(F.col("__source")) & (keyed["__z"] == F.col("__size")) & (keyed["__n"] == F.col("__part")),
-    )
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__copies"))).select(*names)
+    """The rows of docs, each as often as the mix takes it, with their columns alone.
+
+    Texts are shuffled once, to meet the number of their copies: rows that share
+    doc_id, source and size take it by the order of their texts. A null or empty
+    text is kept at most once; an empty table stays empty.
+    """
+    decided = mix(docs, seed).groupBy("doc_id", "source", "size").agg(F.min("copies").alias("least"), F.sum("copies").alias("copies"), F.count("*").alias("n"))
+    decided = decided.select(F.struct("doc_id", "source", "size").alias("key"), "least", (F.col("copies") - F.col("n") * F.col("least")).alias("more"), F.col("n").alias("of"))
+    own = F.struct(docs["doc_id"].cast("long").alias("doc_id"), docs["source"].cast("string").alias("source"), word_count(text_of(docs)).alias("size"))
+    rows = docs.select(F.struct("*").alias("row"), own.alias("key")).join(decided.hint("merge"), "key")
+    place = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("row.text")))
+    copies = F.col("least") + F.when(F.col("more") > 0, F.when(F.col("of") == 1, 1).otherwise((place <= F.col("more")).cast("long"))).otherwise(0)
+    counted = rows.withColumn("copies", copies).where("copies > 0")
+    return counted.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")

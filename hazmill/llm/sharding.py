@@ -5,7 +5,9 @@ boundaries; records fall into the ranges between them, ranges that turn out
 overfull are subdivided, and the running total of bytes over the ranges cuts
 them into shards of nearly equal size (law ``bytes``). Equal texts share a hash
 and stand side by side; a group of copies larger than a range is subdivided by
-doc_id, so no range, and no task, grows with one group.
+doc_id, and rows that are equal altogether by their place in the written keys,
+so no range, and no task, grows with one group. Pieces of ranges hold at most
+about PIECE_ROWS rows, however many rows there are.
 
 Nulls and edges: a null text has no bytes and weighs 8; repeated rows are
 placed one by one; an empty table gives an empty result; other columns are
@@ -21,6 +23,8 @@ from hazmill.llm.common import cut_lineage
 
 #: Ranges for each shard, sampled keys for each range, and the fill beyond which a range is subdivided.
 RANGES_PER_SHARD, SAMPLES_PER_RANGE, OVERFULL = 32, 8, 1.5
+#: Rows of a piece of a range, about.
+PIECE_ROWS = 500_000
 
 
 def sized_keys(docs: DataFrame) -> DataFrame:
@@ -35,16 +39,18 @@ def sized_keys(docs: DataFrame) -> DataFrame:
 
 
 def _below(splitters: list, text_hash: Column, doc_id: Column) -> Column:
-    """Number of splitters at or below the key."""
+    """Number of splitters at or below the key, by binary search."""
     if not splitters:
         return F.lit(0)
     points = F.array(*[F.struct(F.lit(h).alias("h"), F.lit(d).alias("d")) for h, d in splitters])
-    hashes = F.array(*[F.lit(h) for h, _ in splitters])
     key = F.struct(text_hash.alias("h"), F.coalesce(doc_id, F.lit(-(2**63))).alias("d"))
-    # splitters whose hash is smaller count at once; only those with the same hash compare doc_ids
-    smaller = F.size(F.filter(hashes, lambda p: p < text_hash))
-    same = F.array_contains(hashes, text_hash)
-    return smaller + F.when(same, F.size(F.filter(points, lambda p: (p["h"] == key["h"]) & (p["d"] <= key["d"])))).otherwise(0)
+    n, steps = len(splitters), [1 << k for k in reversed(range(len(splitters).bit_length()))]
+
+    def step(at: Column, size: Column) -> Column:
+        beyond = (at + size <= n) & (F.get(points, at + size - 1) <= key)
+        return at + F.when(beyond, size).otherwise(0)
+
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), step)
 
 
 def shard_by_bytes(docs: DataFrame, n_shards: int = 24, seed: int = 17) -> DataFrame:
@@ -71,14 +77,17 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 24, seed: int = 17) -> DataF
 
     ranged = rows.withColumn("range", _below(splitters, F.col("text_hash"), F.col("doc_id")).cast("int"))
     full = max(total / n_ranges, 1.0)
-    sizes = ranged.groupBy("range").agg(F.sum("size").alias("bytes"), (F.min("text_hash") == F.max("text_hash")).alias("one_text"))
+    same = lambda c: F.min(F.coalesce(c, F.lit(-1))).eqNullSafe(F.max(F.coalesce(c, F.lit(-1))))
+    sizes = ranged.groupBy("range").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"), same("text_hash").alias("one_text"), same("doc_id").alias("one_id"))
     pieces = sizes.select(
         "range",
         "one_text",
-        F.when(F.col("bytes") > full * OVERFULL, F.ceil(F.col("bytes") / F.lit(full))).otherwise(1).cast("int").alias("n_pieces"),
+        "one_id",
+        F.greatest(F.when(F.col("bytes") > full * OVERFULL, F.ceil(F.col("bytes") / F.lit(full))).otherwise(1), F.ceil(F.col("n") / PIECE_ROWS)).cast("int").alias("n_pieces"),
     )
-    part = F.pmod(F.when(F.col("one_text"), F.xxhash64(F.lit(seed), "doc_id")).otherwise(F.xxhash64(F.lit(seed), "text_hash")), F.col("n_pieces")).cast("int")
-    placed = cut_lineage(ranged.join(F.broadcast(pieces), "range").withColumn("piece", part).drop("one_text", "n_pieces"))
+    by_text, by_id, by_row = F.xxhash64(F.lit(seed), "text_hash"), F.xxhash64(F.lit(seed), "doc_id"), F.xxhash64(F.lit(seed), F.monotonically_increasing_id())
+    part = F.pmod(F.when(F.col("one_text") & F.col("one_id"), by_row).when(F.col("one_text"), by_id).otherwise(by_text), F.col("n_pieces")).cast("int")
+    placed = cut_lineage(ranged.join(F.broadcast(pieces), "range").withColumn("piece", part).drop("one_text", "one_id", "n_pieces"))
 
     whole = placed.groupBy("range", "piece").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
     before = Window.orderBy("range", "piece").rowsBetween(Window.unboundedPreceding, -1)
@@ -86,7 +95,8 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 24, seed: int = 17) -> DataF
         "range", "piece", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("bytes_before"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("rows_before")
     )
     own = Window.partitionBy("range", "piece").orderBy("text_hash", "doc_id", "size")
-    at = placed.join(F.broadcast(starts), ["range", "piece"]).select(
+    # as many starts as pieces: about one for each PIECE_ROWS rows
+    at = placed.join(F.broadcast(starts) if n_rows <= PIECE_ROWS * 200_000 else starts, ["range", "piece"]).select(
         "doc_id",
         "size",
         "text_crc32",

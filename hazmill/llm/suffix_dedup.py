@@ -21,8 +21,9 @@ is dealt out again by longer grams around the anchor before it is refined.
 
 Nulls and edges: a null text is empty; texts under 100 bytes lose nothing; rows
 with a null doc_id neither remove nor lose anything; rows that share a doc_id
-and a text are neither earlier than the other; an empty table gives an empty
-result; other columns are ignored.
+and a text are neither earlier than the other; texts that share a doc_id count
+as one document where earlier starts are asked for, and each loses its own
+bytes alone; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,10 +33,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hazmill.llm.common import chunks, keyed_texts
+from hazmill.llm.common import chunks, cut_lineage, keyed_texts
 
 #: Bytes of a repeated string; bytes of an anchor; rows from which a bucket is dealt out again; windows of a piece then.
 LENGTH, GRAM, HEAVY, PIECE = 100, 16, 2_000, 6
@@ -43,7 +44,9 @@ LENGTH, GRAM, HEAVY, PIECE = 100, 16, 2_000, 6
 _A = np.uint64(0xBF58476D1CE4E5B9)
 _B = np.uint64(0x94D049BB133111EB)
 _LOW = np.uint64(0xFFFFFFFF)
-_GONE = "doc_id long, start int, n int"
+_GONE = "doc_id long, part int, start int, n int"
+#: Texts of repeated doc_ids up to which their numbers are broadcast; more of them are shuffled.
+MOST_BROADCAST = 100_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -112,26 +115,26 @@ def _bytes_of(texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
 
 
 def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows (anchor, content, doc_id, start, n, rel); those that an earlier equal row of the batch settles have rel -1 and any anchor."""
+    """Rows (anchor, content, doc_id, part, start, n, rel); those that an earlier equal row of the batch settles have rel -1 and any anchor."""
     for pdf in batches:
-        ids, texts = pdf["doc_id"].to_numpy(), pdf["text"].tolist()
+        ids, parts, texts = pdf["doc_id"].to_numpy(), pdf["part"].to_numpy(), pdf["text"].tolist()
         for a, b in chunks(texts, 3_000_000):
             _, data, size = _bytes_of(texts[a:b])
             gram, content, start, n, anchor = anchored_runs(data, size)
             if not len(start):
                 continue
             row = np.searchsorted(np.cumsum(size), start, side="right")
-            doc, at = ids[a:b][row], start - (np.cumsum(size) - size)[row]
+            doc, part, at = ids[a:b][row], parts[a:b][row], start - (np.cumsum(size) - size)[row]
             order, _, first = _earliest([content, gram], doc, at)
             gone = np.sort(order[~first])
             keep = order[first]
-            yield pd.DataFrame({"anchor": gram[keep].view(np.int64), "content": content[keep].view(np.int64), "doc_id": doc[keep], "start": at[keep], "n": n[keep], "rel": (anchor - start)[keep]})
+            yield pd.DataFrame({"anchor": gram[keep].view(np.int64), "content": content[keep].view(np.int64), "doc_id": doc[keep], "part": part[keep], "start": at[keep], "n": n[keep], "rel": (anchor - start)[keep]})
             if len(gone):
-                # neighbouring runs of a document are one row
+                # neighbouring runs of a text are one row
                 new = np.ones(len(gone), dtype=bool)
-                new[1:] = (doc[gone][1:] != doc[gone][:-1]) | (at[gone][1:] != (at + n)[gone][:-1])
+                new[1:] = (row[gone][1:] != row[gone][:-1]) | (at[gone][1:] != (at + n)[gone][:-1])
                 head = np.flatnonzero(new)
-                yield pd.DataFrame({"anchor": gram[gone][head].view(np.int64), "content": 0, "doc_id": doc[gone][head], "start": at[gone][head], "n": np.add.reduceat(n[gone], head), "rel": -1})
+                yield pd.DataFrame({"anchor": gram[gone][head].view(np.int64), "content": 0, "doc_id": doc[gone][head], "part": part[gone][head], "start": at[gone][head], "n": np.add.reduceat(n[gone], head), "rel": -1})
 
 
 def _settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -140,7 +143,7 @@ def _settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         done = pdf["rel"].to_numpy() < 0
         if done.any():
-            yield pdf.loc[done, ["anchor", "doc_id", "start", "n", "rel"]].assign(heavy=False)
+            yield pdf.loc[done, ["anchor", "doc_id", "part", "start", "n", "rel"]].assign(heavy=False)
             pdf = pdf[~done]
         pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
         last = pdf["anchor"].to_numpy()
@@ -166,7 +169,7 @@ def _settled(pdf: pd.DataFrame) -> pd.DataFrame:
     codes = pd.factorize(anchor[heads])[0]
     variants = np.bincount(codes)[codes]
     at = np.concatenate([order[~first], heads[variants > 1]])
-    out = pdf.iloc[at][["anchor", "doc_id", "start", "n", "rel"]]
+    out = pdf.iloc[at][["anchor", "doc_id", "part", "start", "n", "rel"]]
     n_gone = int(np.count_nonzero(~first))
     rel = out["rel"].to_numpy().copy()
     rel[:n_gone] = -1
@@ -226,16 +229,16 @@ def _refined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         group = pd.factorize(pdf["bucket"].to_numpy())[0]
         at, final = refine(data, size, group, pdf["place"].to_numpy())
         row = np.searchsorted(np.cumsum(size), at, side="right")
-        doc, start = pdf["doc_id"].to_numpy()[row], pdf["start"].to_numpy()[row] + at - (np.cumsum(size) - size)[row]
+        doc, part, start = pdf["doc_id"].to_numpy()[row], pdf["part"].to_numpy()[row], pdf["start"].to_numpy()[row] + at - (np.cumsum(size) - size)[row]
         order, _, first = _earliest([final], doc, start)
         gone = order[~first]
-        return _joined(doc[gone], start[gone])
+        return _joined(doc[gone], part[gone], start[gone])
 
     rest, held = None, []
     for pdf in batches:
         done = pdf["data"].isna().to_numpy()
         if done.any():
-            yield pdf.loc[done, ["doc_id", "start", "n"]]
+            yield pdf.loc[done, ["doc_id", "part", "start", "n"]]
             pdf = pdf[~done]
         pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
         key = pdf["bucket"].to_numpy()
@@ -256,15 +259,15 @@ def _refined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield run(rest)
 
 
-def _joined(doc: np.ndarray, start: np.ndarray) -> pd.DataFrame:
+def _joined(doc: np.ndarray, part: np.ndarray, start: np.ndarray) -> pd.DataFrame:
     """Single windows as rows of consecutive ones."""
-    order = np.lexsort((start, doc))
-    doc, start = doc[order], start[order]
+    order = np.lexsort((start, part, doc))
+    doc, part, start = doc[order], part[order], start[order]
     new = np.ones(len(doc), dtype=bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + 1)
+    new[1:] = (doc[1:] != doc[:-1]) | (part[1:] != part[:-1]) | (start[1:] > start[:-1] + 1)
     head = np.flatnonzero(new)
     last = np.r_[head[1:] - 1, len(doc) - 1][: len(head)]
-    return pd.DataFrame({"doc_id": doc[head], "start": start[head], "n": start[last] - start[head] + 1})
+    return pd.DataFrame({"doc_id": doc[head], "part": part[head], "start": start[head], "n": start[last] - start[head] + 1})
 
 
 def _payload(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -274,16 +277,14 @@ def _payload(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """
     for pdf in batches:
         out = []
-        for doc, text, runs in zip(pdf["doc_id"], pdf["text"], pdf["runs"], strict=True):
-            if runs is None or not len(runs):
-                continue
+        for doc, part, text, runs in zip(pdf["doc_id"], pdf["part"], pdf["text"], pdf["runs"], strict=True):
             raw = text.encode("utf-8", "surrogatepass")
             for bucket, start, n, rel, heavy in ((x["anchor"], x["start"], x["n"], x["rel"], x["heavy"]) for x in runs):
                 if rel < 0:
-                    out.append((bucket, doc, start, 0, None, n))
+                    out.append((bucket, doc, part, start, 0, None, n))
                     continue
                 if not heavy:
-                    out.append((bucket, doc, start, -rel, raw[start : start + n + LENGTH - 1], n))
+                    out.append((bucket, doc, part, start, -rel, raw[start : start + n + LENGTH - 1], n))
                     continue
                 # window w stands rel - w before the anchor; pieces are aligned to the anchor
                 w = 0
@@ -292,9 +293,9 @@ def _payload(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     stop = min(n, rel - piece * PIECE + 1)
                     core = raw[start + rel - piece * PIECE : start + rel - (piece + 1) * PIECE + 1 + LENGTH]
                     key = int.from_bytes(hashlib.blake2b(core + bytes([piece]), digest_size=8).digest(), "little", signed=True)
-                    out.append((key, doc, start + w, w - rel, raw[start + w : start + stop + LENGTH - 1], stop - w))
+                    out.append((key, doc, part, start + w, w - rel, raw[start + w : start + stop + LENGTH - 1], stop - w))
                     w = stop
-        got = pd.DataFrame(out, columns=["bucket", "doc_id", "start", "place", "data", "n"])
+        got = pd.DataFrame(out, columns=["bucket", "doc_id", "part", "start", "place", "data", "n"])
         open_ = got["data"].notna().to_numpy()
         yield got[~open_]
         got = got[open_].sort_values(["doc_id", "start"])
@@ -323,28 +324,45 @@ def _cut_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             kept.update(raw[at:])
             rows.append((len(raw), removed, spans, kept.hexdigest()))
         out = pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"])
-        out.insert(0, "doc_id", pdf["doc_id"].array)
+        out.insert(0, "doc_id", pdf["doc_id"])
         yield out
 
 
+def numbered(texts: DataFrame) -> DataFrame:
+    """texts with part: 0, or, where rows of a doc_id have several texts, each text's number, so that no row stands for another."""
+    hashed = texts.withColumn("hash", F.xxhash64("text", F.octet_length("text")))
+    several = hashed.where("doc_id is not null").groupBy("doc_id").agg(F.min("hash").alias("lo"), F.max("hash").alias("hi")).where("lo <> hi").select("doc_id")
+    several = cut_lineage(several)
+    n = several.count()
+    if not n:
+        return texts.withColumn("part", F.lit(0))
+    few = n <= MOST_BROADCAST
+    distinct = hashed.join(F.broadcast(several) if few else several, "doc_id", "left_semi").select("doc_id", "hash").distinct()
+    parts = cut_lineage(distinct.select("doc_id", "hash", F.row_number().over(Window.partitionBy("doc_id").orderBy("hash")).alias("part")))
+    few = parts.count() <= MOST_BROADCAST
+    return hashed.join(F.broadcast(parts) if few else parts, ["doc_id", "hash"], "left").select("doc_id", "text", F.coalesce("part", F.lit(0)).alias("part"))
+
+
 def _repeated(texts: DataFrame) -> DataFrame:
-    """doc_id, start, n of what repeats; texts is (doc_id, text). One job: no text is shuffled but by doc_id."""
+    """doc_id, part, start, n of what repeats; texts is (doc_id, text, part). One job: no text is shuffled but by doc_id."""
     parts = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
-    runs = texts.where("doc_id is not null").mapInPandas(_runs, "anchor long, content long, doc_id long, start int, n int, rel short")
+    runs = texts.where("doc_id is not null").mapInPandas(_runs, "anchor long, content long, doc_id long, part int, start int, n int, rel short")
     ordered = runs.repartition(parts, "anchor").sortWithinPartitions("anchor", "content", "doc_id", "start")
-    settled = ordered.mapInPandas(_settle, "anchor long, doc_id long, start int, n int, rel short, heavy boolean")
-    by_doc = settled.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "start", "n", "rel", "heavy")).alias("runs"))
-    payload = texts.join(by_doc.hint("merge"), "doc_id", "left").mapInPandas(_payload, "bucket long, doc_id long, start int, place int, data binary, n int")
+    settled = ordered.mapInPandas(_settle, "anchor long, doc_id long, part int, start int, n int, rel short, heavy boolean")
+    by_doc = settled.groupBy("doc_id", "part").agg(F.collect_list(F.struct("anchor", "start", "n", "rel", "heavy")).alias("runs"))
+    payload = texts.join(by_doc.hint("merge"), ["doc_id", "part"]).mapInPandas(_payload, "bucket long, doc_id long, part int, start int, place int, data binary, n int")
     return payload.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInPandas(_refined, _GONE)
 
 
 def repeated_starts(docs: DataFrame) -> DataFrame:
-    """doc_id, start, n: windows start to start + n - 1 of the document also start earlier."""
-    return _repeated(keyed_texts(docs))
+    """doc_id, part, start, n: windows start to start + n - 1 of the text also start earlier; part tells apart the texts of one doc_id."""
+    return _repeated(numbered(keyed_texts(docs)))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256: a row for each row of docs."""
-    texts = keyed_texts(docs)
-    gone = _repeated(texts).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("gone"))
-    return texts.join(gone.hint("merge"), "doc_id", "left").mapInPandas(_cut_out, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    texts = numbered(keyed_texts(docs))
+    gone = _repeated(texts).groupBy("doc_id", "part").agg(F.collect_list(F.struct("start", "n")).alias("gone"))
+    # doc_id goes through the tasks as text, since a null would turn numbers into floats
+    both = texts.join(gone.hint("merge"), ["doc_id", "part"], "left").select(F.col("doc_id").cast("string").alias("doc_id"), "text", "gone")
+    return both.mapInPandas(_cut_out, "doc_id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumn("doc_id", F.col("doc_id").cast("long"))
