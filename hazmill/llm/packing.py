@@ -23,6 +23,7 @@ from __future__ import annotations
 import base64
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -53,6 +54,7 @@ def tokenizer_path(name: str = "byte_bpe_50k.tiktoken") -> str:
     return public_tokenizers.path(name)
 
 
+@lru_cache(maxsize=2)
 def _encoder(path: str):
     """The byte-level BPE of the vocabulary file; gives the same ids as its JSON form, several times faster."""
     import public_tokenizers
@@ -64,7 +66,7 @@ def _encoder(path: str):
 
 
 def token_ids(encoder, text: str) -> np.ndarray:
-    return np.array([*encoder.encode(text, allowed_special="all"), END_ID], dtype=np.uint32)
+    return np.append(encoder.encode_to_numpy(text, allowed_special="all"), np.uint32(END_ID))
 
 
 def _crc(ids: np.ndarray) -> int:
