@@ -28,31 +28,29 @@ def phrases(patterns: list | None = None) -> dict[str, str]:
 def dictionary_entities(reports: DataFrame, patterns: list | None = None, most: int = MOST_ENTITIES) -> DataFrame:
     """analysis_id, place, text, entity_type, confidence, source: longest matches first, none overlapping, repeats dropped.
 
-    All matches of a text are one array; the fold that settles overlaps runs
-    inside the row.
+    Each token, with those that follow it, meets the phrases that begin with its
+    word in a hash join with the dictionary; only hits are gathered by report,
+    where a fold settles overlaps.
     """
     table = phrases(patterns)
-    label_of = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
     longest = max(len(p.split()) for p in table)
-    tokens = F.regexp_extract_all(F.substring("text", 1, TEXT_BUDGET), F.lit(TOKEN), 0)
-    lowered = F.transform("tokens", lambda t: F.lower(t))
-
-    def found(n: int) -> Column:
-        places = F.when(F.size("tokens") >= n, F.sequence(F.lit(0), F.size("tokens") - n)).otherwise(F.array().cast("array<int>"))
-        gram = lambda i: F.array_join(F.slice(F.col("lowered"), i + 1, n), " ")
-        hit = F.transform(places, lambda i: F.struct(F.lit(-n).alias("size"), i.alias("start"), F.try_element_at(label_of, gram(i)).alias("label")))
-        return F.filter(hit, lambda h: h["label"].isNotNull())
-
-    rows = reports.select("analysis_id", tokens.alias("tokens")).withColumn("lowered", lowered)
-    rows = rows.withColumn("hits", F.array_sort(F.concat(*[found(n) for n in range(1, longest + 1)])))
-    empty = F.array().cast("array<struct<size:int,start:int,label:string>>")
+    words = [(w[0], len(w), *[w[i] if i < len(w) else None for i in range(1, longest)], label) for p, label in table.items() for w in [p.split()]]
+    names = [f"w{i}" for i in range(1, longest)]
+    dictionary = reports.sparkSession.createDataFrame(words, ", ".join(["w0 string", "n int", *[f"{c} string" for c in names], "label string"]))
+    tokens = reports.select("analysis_id", F.regexp_extract_all(F.substring("text", 1, TEXT_BUDGET), F.lit(TOKEN), 0).alias("t"))
+    shifted = F.arrays_zip("t", *[F.slice("t", i + 1, F.size("t")).alias(f"t{i}") for i in range(1, longest)])
+    spread = tokens.where(F.size("t") > 0).select("analysis_id", F.posexplode(shifted).alias("start", "z"))
+    spread = spread.select("analysis_id", "start", F.col("z").getField("t").alias("t0"), *[F.col("z").getField(f"t{i}").alias(f"t{i}") for i in range(1, longest)]).withColumn("w0", F.lower("t0"))
+    met = spread.join(F.broadcast(dictionary), "w0")
+    for i in range(1, longest):
+        met = met.where((F.col("n") <= i) | (F.lower(f"t{i}") == F.col(f"w{i}")))
+    text = F.array_join(F.slice(F.array(*[f"t{i}" for i in range(longest)]), 1, F.col("n")), " ")
+    hits = met.groupBy("analysis_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("size"), "start", "label", text.alias("text")))).alias("hits"))
     free = lambda acc, h: ~F.exists(acc, lambda k: (h["start"] < k["start"] - k["size"]) & (k["start"] < h["start"] - h["size"]))
-    kept = F.aggregate("hits", empty, lambda acc, h: F.when(free(acc, h), F.concat(acc, F.array(h))).otherwise(acc))
-    spread = rows.select("analysis_id", "tokens", F.explode(kept).alias("k")).select(
-        "analysis_id", F.col("k.start").alias("start"), F.array_join(F.slice("tokens", F.col("k.start") + 1, -F.col("k.size")), " ").alias("text"), F.col("k.label").alias("entity_type")
-    )
+    kept = F.aggregate("hits", F.array().cast(hits.schema["hits"].dataType), lambda acc, h: F.when(free(acc, h), F.concat(acc, F.array(h))).otherwise(acc))
+    found = hits.select("analysis_id", F.explode(kept).alias("k")).select("analysis_id", "k.start", "k.text", F.col("k.label").alias("entity_type"))
     first = Window.partitionBy("analysis_id", F.lower("text")).orderBy("start")
-    once = spread.withColumn("n", F.row_number().over(first)).where("n = 1")
+    once = found.withColumn("n", F.row_number().over(first)).where("n = 1")
     place = F.row_number().over(Window.partitionBy("analysis_id").orderBy("start")) - 1
     return once.withColumn("place", place).where(F.col("place") < most).select("analysis_id", "place", "text", "entity_type", F.lit(RULE_CONFIDENCE).alias("confidence"), F.lit("dictionary").alias("source"))
 

@@ -52,8 +52,10 @@ def industry_counts(analyses: DataFrame) -> DataFrame:
 
 
 def alert_register(reports: DataFrame, severity: str | None = None) -> DataFrame:
-    """Every alert of every report with its analysis, newest first."""
-    rows = reports.select("id", "created_at", F.posexplode("alerts").alias("place", "alert")).select("id", "created_at", "place", "alert.*")
+    """Every alert of every report with its analysis (id, created_at), newest first; an alert's own id is alert_id."""
+    fields = [f.name for f in reports.schema["alerts"].dataType.elementType if f.name != "created_at"]
+    own = [F.col(f"alert.{f}").alias("alert_id" if f == "id" else f) for f in fields]
+    rows = reports.select("id", "created_at", F.posexplode("alerts").alias("place", "alert")).select("id", "created_at", "place", *own)
     if severity:
         rows = rows.where(F.col("severity") == severity)
     return rows.orderBy(F.desc("created_at"), "id", "place")

@@ -22,19 +22,45 @@ def pattern_hits(text: Column, precursors: list | None = None) -> Column:
     return let(F.lower(text), lambda t: F.array_compact(F.array(*[F.when(contains_any(t, kw), F.lit(i)) for i, (_, _, _, kw) in table])))
 
 
+def with_flags(reports: DataFrame, precursors: list | None = None, text: str = "text") -> DataFrame:
+    """reports with pattern_flags: for each pattern whether the text has a keyword of it. Made once, it serves families, matches and counts."""
+    table = precursors or X.PRECURSORS
+    lowered = reports.withColumn("lowered", F.lower(text))
+    return lowered.withColumn("pattern_flags", F.array(*[F.coalesce(contains_any(F.col("lowered"), kw), F.lit(False)) for _, _, _, kw in table])).drop("lowered")
+
+
+def flagged_family(flags: Column, precursors: list | None = None) -> Column:
+    """As detect_hazard_type: the family with most patterns, the earlier on ties; 'general' if none."""
+    table = precursors or X.PRECURSORS
+    families = [f for f in dict.fromkeys(f for f, *_ in table) if f != "general"]
+    score = {f: sum((flags[i].cast("int") for i, (g, *_) in enumerate(table) if g == f), F.lit(0)) for f in families}
+    best = F.greatest(F.struct(F.lit(0).alias("n"), F.lit(1).alias("o"), F.lit("general").alias("family")), *[F.struct(score[f].alias("n"), F.lit(-i).alias("o"), F.lit(f).alias("family")) for i, f in enumerate(families)])
+    return best["family"]
+
+
+def flagged_count(flags: Column, hazard: Column, precursors: list | None = None) -> Column:
+    """How many rows match_precursors has for the report."""
+    table = precursors or X.PRECURSORS
+    sizes = {f: sum((flags[i].cast("int") for i, (g, *_) in enumerate(table) if g == f), F.lit(0)) for f in dict.fromkeys(f for f, *_ in table)}
+    own = F.lit(0)
+    for f, n in sizes.items():
+        own = F.when(hazard == f, n).otherwise(own)
+    return own + sizes.get("general", F.lit(0))
+
+
 def match_precursors(reports: DataFrame, precursors: list | None = None) -> DataFrame:
-    """analysis_id, pattern_order, pattern_name, family: patterns of the report's family, then general ones.
+    """analysis_id, part, pattern_order, family, pattern_name, description: patterns of the report's family, then general ones.
 
     A report of the general family has each general pattern twice, once as its
-    family's and once as general, as the count of known patterns has.
+    family's and once as general, as the count of known patterns has. One scan:
+    a report's matches are one array.
     """
     table = precursors or X.PRECURSORS
-    named = F.create_map(*[x for i, (f, n, d, _) in enumerate(table) for x in (F.lit(i), F.struct(F.lit(f).alias("family"), F.lit(n).alias("pattern_name"), F.lit(d).alias("description")))])
-    hits = reports.select("analysis_id", "hazard_type", F.explode(pattern_hits(F.col("text"), table)).alias("pattern_order"))
-    hits = hits.withColumn("p", F.element_at(named, F.col("pattern_order")))
-    own = hits.where(F.col("p.family") == F.col("hazard_type")).withColumn("part", F.lit(0))
-    general = hits.where(F.col("p.family") == "general").withColumn("part", F.lit(1))
-    return own.unionByName(general).select("analysis_id", "part", "pattern_order", "p.family", "p.pattern_name", "p.description")
+    flagged = reports if "pattern_flags" in reports.columns else with_flags(reports, table)
+    match = lambda part, i: F.struct(F.lit(part).alias("part"), F.lit(i).alias("pattern_order"), *[F.lit(v).alias(c) for c, v in zip(("family", "pattern_name", "description"), table[i][:3], strict=True)])
+    own = [F.when(F.col("pattern_flags")[i] & (F.col("hazard_type") == f), match(0, i)) for i, (f, *_) in enumerate(table)]
+    general = [F.when(F.col("pattern_flags")[i], match(1, i)) for i, (f, *_) in enumerate(table) if f == "general"]
+    return flagged.select("analysis_id", F.explode(F.array_compact(F.array(*own, *general))).alias("m")).select("analysis_id", "m.*")
 
 
 def corroborate(matches: DataFrame, excerpts: DataFrame, precursors: list | None = None) -> DataFrame:

@@ -117,8 +117,11 @@ def assemble_report(scored: DataFrame, entities: DataFrame, similar: DataFrame,
     """One nested row for each analysis of scored (with risk, route, warnings); partial ones keep what there is.
 
     An analysis with an error has the alert 'Analysis incomplete', a warning and
-    its score, or an unscored one.
+    its score, or an unscored one. Alerts have an id that follows from their
+    analysis; created_at is that of scored or, if it has none, the time of the run.
     """
+    if "created_at" not in scored.columns:
+        scored = scored.withColumn("created_at", F.current_timestamp())
     parts = [
         (_listed(entities, "entities", "place", "text", "entity_type", "confidence", "source"), "entities"),
         (_listed(similar, "similar_incidents", "rank0", "doc_id", "title", "similarity_score", "source_document"), "similar_incidents"),
@@ -139,7 +142,10 @@ def assemble_report(scored: DataFrame, entities: DataFrame, similar: DataFrame,
     told = alert_description(F.col("risk.explanation"), F.col("precursor_patterns"), F.col("regulatory_clauses.regulation_name"), F.col("injury_count"), F.col("fatality_count"))
     description = F.when(failed, F.concat(F.lit("The analysis stopped before finishing: "), "error")).otherwise(told)
     none = F.array().cast("array<string>")
+    digest = F.md5(F.concat_ws(":", F.col("analysis_id").cast("string"), F.lit("alert"), F.lit("0")))
     alert = F.struct(
+        F.regexp_replace(digest, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5").alias("id"),
+        F.col("created_at").alias("created_at"),
         F.col("risk.tier").alias("severity"),
         title.alias("title"),
         description.alias("description"),
@@ -172,7 +178,7 @@ def analyze(reports: DataFrame, history: DataFrame, regulations: DataFrame, pars
     nodes, edges = graph or G.build_graph(sound.select(F.col("analysis_id").alias("doc_id"), F.col("file_name").alias("title"), "industry", F.col("severity_indicator").alias("severity")), found.withColumnRenamed("analysis_id", "doc_id"))
     chain = G.causal_chain(sound.select("analysis_id", causes.alias("causes"), F.col("equipment_involved").alias("equipment")), found, nodes, edges)
     size = corpus_size if corpus_size is not None else history.agg(F.countDistinct("source_document")).first()[0]
-    counted = similar.groupBy("analysis_id").agg(F.countDistinct("source_document").alias("n_similar"))
+    counted = similar_document_count(similar)
     families = R.violated_families(clauses.withColumnRenamed("analysis_id", "query_id")).withColumnRenamed("query_id", "analysis_id")
     n_patterns = patterns.groupBy("analysis_id").agg(F.count("*").alias("n_patterns"))
     scored = r.join(counted, "analysis_id", "left").join(families, "analysis_id", "left").join(n_patterns, "analysis_id", "left")
@@ -183,6 +189,11 @@ def analyze(reports: DataFrame, history: DataFrame, regulations: DataFrame, pars
     return assemble_report(scored, found, similar, clauses, patterns, chain, actions)
 
 
+def similar_document_count(similar: DataFrame) -> DataFrame:
+    """analysis_id, n_similar: distinct source documents among an analysis's similar incidents."""
+    return similar.groupBy("analysis_id").agg(F.countDistinct("source_document").alias("n_similar"))
+
+
 def stage_summaries(reports: DataFrame) -> DataFrame:
     """analysis_id, stage, message: what each stage would say of an assembled report."""
     urgent = F.size(F.filter("corrective_actions", lambda a: a["urgency"] == "IMMEDIATE"))
@@ -196,7 +207,7 @@ def stage_summaries(reports: DataFrame) -> DataFrame:
         ("pattern_detector", text("Found ", n("precursor_patterns"), " precursor patterns across ", n("similar_incidents"), " similar historical incidents")),
         ("regulatory_auditor", F.when(F.size("regulatory_clauses") > 0, text("Retrieved ", n("regulatory_clauses"), " clauses implicating ", n("families"), " regulation families")).otherwise("No regulatory clauses matched.")),
         ("risk_scorer", text("Risk score ", F.col("risk.total").cast("string"), "/10 - ", F.col("risk.tier"))),
-        ("synthesis", text(n("alerts"), " alert, ", n("corrective_actions"), " actions, ", urgent.cast("string"), " immediate")),
+        ("alert_synthesizer", text(n("alerts"), " alert, ", n("corrective_actions"), " actions, ", urgent.cast("string"), " immediate")),
     ]
     rows = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(s).alias("stage"), m.alias("message")) for i, (s, m) in enumerate(said)])
     return reports.select("analysis_id", F.explode(rows).alias("x")).select("analysis_id", "x.place", "x.stage", "x.message")

@@ -11,6 +11,7 @@ from hazmill.functions import labels as L
 from hazmill.functions import scoring as S
 from hazmill.functions import taxonomy as X
 from hazmill.operators import precursors as P
+from hazmill.operators.reports import similar_document_count
 from hazmill.plans.narratives import NARRATIVES, narratives
 from hazmill.plans.registry import query
 
@@ -121,8 +122,8 @@ m as (select analysis_id, 0 as part, pattern_order from hits where {_FAMILY_OF}[
 
 
 def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = narratives(spark, sf_dir)
-    return n.withColumn("hazard_type", L.detect_hazard_type(F.col("text"))).withColumn("severity", L.classify_severity(F.col("text"), F.col("injuries"), F.col("fatalities")))
+    n = P.with_flags(narratives(spark, sf_dir))
+    return n.withColumn("hazard_type", P.flagged_family(F.col("pattern_flags"))).withColumn("severity", L.classify_severity(F.col("text"), F.col("injuries"), F.col("fatalities")))
 
 
 @query("precursors", f"with {_N}, {_SEV}, {_HAZ}, {_MATCH} select analysis_id, part, pattern_order::int as pattern_order from m")
@@ -178,11 +179,10 @@ tiered as (select *, case when total >= 8 then 'CRITICAL' when total >= 6 then '
 def scored_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reports with hazard, severity, found patterns, violated families and the risk struct."""
     r = _reports(spark, sf_dir)
-    found = P.match_precursors(r).groupBy("analysis_id").agg(F.count("*").alias("found"))
     names = F.array(*map(F.lit, _FAMS))
     n = F.col("analysis_id") % 4
     fams = F.when(n > 0, F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.element_at(names, ((F.col("custkey") + i) % len(_FAMS) + 1).cast("int")))).otherwise(F.array().cast("array<string>"))
-    r = r.join(found, "analysis_id", "left").withColumns({"found": F.coalesce("found", F.lit(0)).cast("long"), "known": P.known_precursor_count(F.col("hazard_type")), "similar": F.col("custkey") % 30, "fams": fams})
+    r = r.withColumns({"found": P.flagged_count(F.col("pattern_flags"), F.col("hazard_type")).cast("long"), "known": P.known_precursor_count(F.col("hazard_type")), "similar": F.col("custkey") % 30, "fams": fams})
     return r.withColumn("risk", S.risk_score(F.col("severity"), F.col("similar"), F.lit(80), F.col("fams"), F.col("found"), F.col("known")))
 
 
@@ -219,7 +219,8 @@ def reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
 def similar_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     source = F.when(F.col("o_orderkey") % 11 != 0, F.col("o_orderkey") % 40)
-    return orders.groupBy(F.col("o_custkey").alias("custkey")).agg(F.countDistinct(source).alias("n"))
+    hits = orders.select(F.col("o_custkey").alias("analysis_id"), source.alias("source_document"))
+    return similar_document_count(hits).select(F.col("analysis_id").alias("custkey"), F.col("n_similar").alias("n"))
 
 
 @query(

@@ -156,7 +156,7 @@ def analyze(spark: SparkSession, sf_dir: str) -> DataFrame:
     "stage_summaries",
     f"""{_ALL}, {LQ._MATCH}, {LQ._SCORED}, r as (select *, {LQ._count('lower(text)', X.INCIDENT_TERMS)} as a, {LQ._count('lower(text)', X.REGULATORY_TERMS)} as b from tiered),
 k as (select *, {LQ._CLASS} as document_type, len(regexp_extract_all(text, '\\S+')) as n_words, analysis_id % 4 as n_entities, custkey % 5 + 1 as n_actions from r)
-select analysis_id, unnest(range(7))::int as place, unnest(['document_router', 'incident_parser', 'entity_extractor', 'pattern_detector', 'regulatory_auditor', 'risk_scorer', 'synthesis']) as stage,
+select analysis_id, unnest(range(7))::int as place, unnest(['document_router', 'incident_parser', 'entity_extractor', 'pattern_detector', 'regulatory_auditor', 'risk_scorer', 'alert_synthesizer']) as stage,
  unnest([concat(case document_type when 'incident' then 'Incident report' else 'Regulatory document' end, ' detected (', n_words, ' words)'),
  concat('Parsed ', coalesce(nullif(industry, ''), 'unspecified industry'), ' incident, severity ', severity),
  concat('Found ', n_entities, ' entities; hazard family: ', replace(hazard_type, '_', ' ')),

@@ -14,22 +14,25 @@ from hazmill.plans.registry import query, table
 from hazmill.sources import store
 from hazmill.streaming import updates as U
 
-#: Events as stage updates: the user is the analysis, the type a status, the number a stage.
-_UP = """up as (select user_id as analysis_id, ['document_router', 'incident_parser', 'entity_extractor', 'pattern_detector', 'regulatory_auditor', 'risk_scorer', 'synthesis'][(event_id % 7)::int + 1] as stage,
- case event_type when 'purchase' then 'complete' when 'error' then case when event_id % 13 = 0 then 'error' else 'running' end else 'running' end as status, ts, event_id as seq from events)"""
+#: Events as stage updates: the user is the analysis, the number a stage (or, for some types, an end), the type a status.
+_UP = """up as (select user_id as analysis_id, case event_id % 10 when 0 then 'document_router' when 1 then 'incident_parser' when 2 then 'entity_extractor' when 3 then 'pattern_detector' when 4 then 'regulatory_auditor'
+ when 5 then 'risk_scorer' when 6 then 'alert_synthesizer' when 7 then 'priority_alert_synthesizer' when 8 then case when event_type = 'purchase' then 'complete' else 'document_router' end else case when event_type = 'error' then 'error' else 'incident_parser' end end as stage,
+ case when event_type = 'purchase' then 'completed' when event_type = 'error' and (event_id % 13 = 0 or event_id % 10 = 9) then 'error' else 'started' end as status, ts, event_id as seq from events)"""
 
 
 def updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    stage = F.element_at(F.array(*map(F.lit, U.STAGES)), (F.col("event_id") % 7 + 1).cast("int"))
-    status = F.when(F.col("event_type") == "purchase", "complete").when((F.col("event_type") == "error") & (F.col("event_id") % 13 == 0), "error").otherwise("running")
+    k, kind = F.col("event_id") % 10, F.col("event_type")
+    stage = F.when(k == 8, F.when(kind == "purchase", "complete").otherwise(U.STAGES[0])).when(k == 9, F.when(kind == "error", "error").otherwise(U.STAGES[1]))
+    stage = stage.otherwise(F.element_at(F.array(*map(F.lit, [*U.STAGES, U.ALSO_LAST])), (F.least(k, F.lit(7)) + 1).cast("int")))
+    status = F.when(kind == "purchase", U.COMPLETED).when((kind == "error") & ((F.col("event_id") % 13 == 0) | (k == 9)), U.FAILED).otherwise("started")
     return e.select(F.col("user_id").alias("analysis_id"), stage.alias("stage"), status.alias("status"), "ts", F.col("event_id").alias("seq"))
 
 
 @query(
     "stage_progress",
     f"""with {_UP} select analysis_id, arg_max(stage, struct_pack(a := ts, b := seq)) as stage, arg_max(status, struct_pack(a := ts, b := seq)) as status,
- count(distinct case when status = 'complete' then stage end)::int as n_done, bool_or(status in ('complete', 'error') and stage = 'synthesis') as is_over from up group by 1""",
+ count(distinct case when status = 'completed' and stage not in ('complete', 'error') then replace(stage, 'priority_', '') end)::int as n_done, bool_or(stage in ('complete', 'error')) as is_over from up group by 1""",
 )
 def stage_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.stage_progress(updates(spark, sf_dir))
@@ -37,9 +40,9 @@ def stage_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "stage_states",
-    f"""with {_UP}, st(place, stage) as (values (0, 'document_router'), (1, 'incident_parser'), (2, 'entity_extractor'), (3, 'pattern_detector'), (4, 'regulatory_auditor'), (5, 'risk_scorer'), (6, 'synthesis')),
-l as (select analysis_id, stage, arg_max(status, struct_pack(a := ts, b := seq)) as s from up group by 1, 2)
-select a.analysis_id, place, st.stage, case when s is null then 'idle' when s in ('complete', 'error') then s else 'active' end as state from (select distinct analysis_id from up) a cross join st left join l on l.analysis_id = a.analysis_id and l.stage = st.stage""",
+    f"""with {_UP}, st(place, stage) as (values (0, 'document_router'), (1, 'incident_parser'), (2, 'entity_extractor'), (3, 'pattern_detector'), (4, 'regulatory_auditor'), (5, 'risk_scorer'), (6, 'alert_synthesizer')),
+l as (select analysis_id, replace(stage, 'priority_', '') as stage, arg_max(status, struct_pack(a := ts, b := seq)) as s from up group by 1, 2)
+select a.analysis_id, place, st.stage, case s when 'error' then 'error' when 'completed' then 'complete' when 'started' then 'active' else 'idle' end as state from (select distinct analysis_id from up) a cross join st left join l on l.analysis_id = a.analysis_id and l.stage = st.stage""",
 )
 def stage_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.stage_states(updates(spark, sf_dir))
@@ -47,8 +50,10 @@ def stage_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "replay",
-    f"""with {_UP}, ids as (select distinct c_custkey as analysis_id from customer where c_custkey % 50 = 0), o as (select *, row_number() over w - 1 as place, coalesce(max((status in ('complete', 'error'))::int) over (partition by analysis_id order by ts, seq rows between unbounded preceding and 1 preceding), 0) as ended from up window w as (partition by analysis_id order by ts, seq))
-select analysis_id, stage, status, place::int as place from o where ended = 0 and analysis_id in (select analysis_id from ids) union all select analysis_id, 'unknown', 'error', 0 from ids where analysis_id not in (select analysis_id from up)""",
+    f"""with {_UP}, ids as (select distinct c_custkey as analysis_id from customer where c_custkey % 50 = 0),
+e as (select analysis_id, min(struct_pack(a := ts, b := seq)) filter (stage in ('complete', 'error')) as till from up group by 1),
+o as (select up.*, row_number() over (partition by analysis_id order by ts, seq) - 1 as place from up join e using (analysis_id) where till is null or struct_pack(a := ts, b := seq) <= till)
+select analysis_id, stage, status, place::int as place from o where analysis_id in (select analysis_id from ids) union all select analysis_id, 'error', 'error', 0 from ids where analysis_id not in (select analysis_id from up)""",
 )
 def replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = table(spark, sf_dir, "customer").where("c_custkey % 50 = 0").select(F.col("c_custkey").alias("analysis_id"))

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,27 +28,61 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def _replace(df: DataFrame, path: str) -> None:
-    """Writes beside and renames, since a table cannot be overwritten by what reads it."""
+# A stored table is a folder of numbered versions (v=N) and of a marker for each
+# that was finished. A base version holds the whole table, an addition rows that
+# replace older ones of the same key. What a crash leaves has no marker and is
+# never read, and nothing that is read is moved, so a retry simply adds a version.
+
+#: Additions after which the table is written anew as a base.
+COMPACT_AFTER = 20
+
+
+def _names(spark: SparkSession, path: str) -> list[str]:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The finished versions that make up the table: the last base and what came after it."""
+    marks = sorted(n.split(".") for n in _names(spark, f"{path}/_finished") if not n.startswith("."))
+    last = max((i for i, (_, kind) in enumerate(marks) if kind == "base"), default=0)
+    return [int(n) for n, _ in marks[last:]]
+
+
+def _add(df: DataFrame, path: str, kind: str) -> None:
     spark = df.sparkSession
-    new, old = f"{path}.{uuid.uuid4().hex}", f"{path}.{uuid.uuid4().hex}.old"
-    df.write.parquet(new)
-    jvm = spark._jvm.org.apache.hadoop.fs
-    fs = jvm.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(jvm.Path(path)):
-        fs.rename(jvm.Path(path), jvm.Path(old))
-    fs.rename(jvm.Path(new), jvm.Path(path))
-    fs.delete(jvm.Path(old), True)
+    taken = [int(n[2:]) for n in _names(spark, path) if n.startswith("v=")]
+    number = max(taken, default=0) + 1
+    df.write.parquet(f"{path}/v={number}")
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_finished/{number:09d}.{kind}")
+    mark.getFileSystem(spark._jsc.hadoopConfiguration()).create(mark, False).close()
+
+
+def replace_table(df: DataFrame, path: str) -> None:
+    """df becomes the table; readers see the old rows or the new ones, whatever fails. df may read the table."""
+    _add(df, path, "base")
+
+
+def read_stored(spark: SparkSession, path: str, key: str | None = None) -> DataFrame | None:
+    """The table's rows, of each key the latest; None if nothing is stored."""
+    numbers = versions(spark, path)
+    if not numbers:
+        return None
+    if len(numbers) == 1:
+        return spark.read.parquet(f"{path}/v={numbers[0]}")
+    every = spark.read.option("basePath", path).option("mergeSchema", "true").parquet(*[f"{path}/v={n}" for n in numbers])
+    newest = every.withColumn("newest", F.max("v").over(Window.partitionBy(key)))
+    return newest.where("v = newest").drop("v", "newest")
 
 
 def upsert(rows: DataFrame, path: str, key: str) -> None:
-    """Rows of a new key are added, rows of a known key replace it; doing it again changes nothing."""
+    """Rows of a new key are added, rows of a known key replace it; doing it again changes nothing. Only the new rows are written, but for a rewrite now and then."""
     spark = rows.sparkSession
-    if not _exists(spark, path):
-        _replace(rows, path)
-        return
-    old = spark.read.parquet(path)
-    _replace(merged(old, rows, key), path)
+    known = versions(spark, path)
+    _add(rows, path, "add" if known else "base")
+    if len(known) >= COMPACT_AFTER:
+        replace_table(read_stored(spark, path, key), path)
 
 
 def merged(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -59,13 +91,19 @@ def merged(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 
 def load_index(spark: SparkSession, path: str, collection: str) -> DataFrame:
-    """The collection's chunks; an empty index if there is none or if some chunk has no vector or text."""
+    """The collection's chunks; an empty index if there is none or if ids, texts and vectors do not belong together.
+
+    They do if every chunk has all three, no id comes twice, and all vectors are
+    of one length.
+    """
     empty = spark.createDataFrame([], T._parse_datatype_string(INDEX_SCHEMA))
     if not _exists(spark, path):
         return empty
     chunks = spark.read.parquet(path).where(F.col("collection") == collection)
-    broken = chunks.where("chunk_id is null or text is null or embedding is null").limit(1).count()
-    return empty if broken else chunks
+    missing = F.count_if(F.col("chunk_id").isNull() | F.col("text").isNull() | F.col("embedding").isNull())
+    by_id = chunks.groupBy("chunk_id").agg(F.count("*").alias("n"), missing.alias("missing"), F.min(F.size("embedding")).alias("lo"), F.max(F.size("embedding")).alias("hi"))
+    n, gaps, low, high = by_id.agg(F.max("n"), F.sum("missing"), F.min("lo"), F.max("hi")).first()
+    return chunks if n == 1 and not gaps and low == high else empty
 
 
 def corpus_manifest(chunks: DataFrame) -> DataFrame:
@@ -74,16 +112,17 @@ def corpus_manifest(chunks: DataFrame) -> DataFrame:
 
 
 def save_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    _replace(nodes, f"{path}/nodes")
-    _replace(edges, f"{path}/edges")
+    replace_table(nodes, f"{path}/nodes")
+    replace_table(edges, f"{path}/edges")
 
 
 def load_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges); empty ones if nothing is stored."""
-    if not _exists(spark, f"{path}/edges"):
+    nodes, edges = read_stored(spark, f"{path}/nodes"), read_stored(spark, f"{path}/edges")
+    if nodes is None or edges is None:
         none = lambda s: spark.createDataFrame([], T._parse_datatype_string(s))
         return none("node_id string, label string, node_type string, industry string, severity string"), none("src string, dst string, relation string, edge_seq int")
-    return spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges")
+    return nodes, edges
 
 
 def read_node_link_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -98,6 +137,7 @@ def read_node_link_graph(spark: SparkSession, path: str) -> tuple[DataFrame, Dat
 def analysis_rows(reports: DataFrame, status: str = "complete") -> DataFrame:
     """Assembled reports as stored rows: keys and summary columns beside the whole report as JSON; errors cut to 1,024 characters."""
     return reports.select(
+        "created_at",
         F.col("analysis_id").alias("id"),
         "file_name",
         F.lit(status).alias("status"),

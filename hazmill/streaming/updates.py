@@ -1,6 +1,7 @@
 """Progress of analyses and limits on uploads, over batches and over streams.
 
-Updates are (analysis_id, stage, status, message, ts, seq). Functions without
+Updates are (analysis_id, stage, status, message, ts, seq). A stage says started,
+then completed or error; the stages complete and error end an analysis. Functions without
 'stream' in their name take a batch; those built of aggregations alone take a
 stream as well.
 """
@@ -11,22 +12,30 @@ from collections.abc import Callable, Iterator
 from datetime import timedelta
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazmill.operators import reports as A
 
-# The stages in order (both ways of synthesis count as one), and what ends an analysis.
-STAGES = ["document_router", "incident_parser", "entity_extractor", "pattern_detector", "regulatory_auditor", "risk_scorer", "synthesis"]
+# The stages in order, the other name of the last one, what a finished stage says, and the stages that end an analysis.
+STAGES = ["document_router", "incident_parser", "entity_extractor", "pattern_detector", "regulatory_auditor", "risk_scorer", "alert_synthesizer"]
+ALSO_LAST = "priority_alert_synthesizer"
+COMPLETED, FAILED = "completed", "error"
 TERMINAL = ["complete", "error"]
 HEARTBEAT_S, SILENCE_S, WINDOW_S, CAP, TTL_S = 25, 300, 3600, 10, 3600
 
 
+def shown_stage(stage: Column) -> Column:
+    """Both ways of synthesis are one stage."""
+    return F.when(stage == ALSO_LAST, STAGES[-1]).otherwise(stage)
+
+
 def stage_progress(updates: DataFrame) -> DataFrame:
     """analysis_id, stage, status, n_done, is_over: the latest update and how far the analysis is."""
     last = F.max_by(F.struct("stage", "status"), F.struct("ts", "seq"))
-    over = F.max(F.col("status").isin(*TERMINAL) & F.col("stage").isin("pipeline", "error_handler", "synthesis"))
-    done = F.size(F.collect_set(F.when(F.col("status") == "complete", F.col("stage"))))
+    over = F.max(F.col("stage").isin(*TERMINAL))
+    finished = F.col("stage").isin(*STAGES, ALSO_LAST) & (F.col("status") == COMPLETED)
+    done = F.size(F.collect_set(F.when(finished, shown_stage(F.col("stage")))))
     out = updates.groupBy("analysis_id").agg(last.alias("x"), done.alias("n_done"), over.alias("is_over"))
     return out.select("analysis_id", "x.stage", "x.status", "n_done", "is_over")
 
@@ -34,20 +43,21 @@ def stage_progress(updates: DataFrame) -> DataFrame:
 def stage_states(updates: DataFrame, stages: list[str] | None = None) -> DataFrame:
     """analysis_id, place, stage, state: idle, active, complete or error for each of the ordered stages."""
     names = stages or STAGES
-    latest = updates.groupBy("analysis_id").pivot("stage", names).agg(F.max_by("status", F.struct("ts", "seq")))
-    state = lambda c: F.when(F.col(c).isNull(), "idle").when(F.col(c).isin("complete", "error"), F.col(c)).otherwise("active")
+    shown = updates.withColumn("stage", shown_stage(F.col("stage")))
+    latest = shown.groupBy("analysis_id").pivot("stage", names).agg(F.max_by("status", F.struct("ts", "seq")))
+    state = lambda c: F.when(F.col(c).isNull(), "idle").when(F.col(c) == FAILED, "error").when(F.col(c) == COMPLETED, "complete").otherwise("active")
     rows = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(s).alias("stage"), state(s).alias("state")) for i, s in enumerate(names)])
     return latest.select("analysis_id", F.explode(rows).alias("x")).select("analysis_id", "x.place", "x.stage", "x.state")
 
 
 def replay(updates: DataFrame, asked: DataFrame) -> DataFrame:
-    """The updates of the asked analyses in order up to the first that ends one; an unknown id gets one error row."""
+    """The updates of the asked analyses in order up to the stage that ends one; an unknown id gets one error row."""
     order = Window.partitionBy("analysis_id").orderBy("ts", "seq")
-    ended = F.coalesce(F.max(F.col("status").isin(*TERMINAL).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ended = F.coalesce(F.max(F.col("stage").isin(*TERMINAL).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ids = asked.select("analysis_id").distinct()
     kept = updates.join(ids, "analysis_id", "left_semi").withColumn("ended", ended).where("ended = 0").withColumn("place", F.row_number().over(order) - 1)
     unknown = ids.join(updates.select("analysis_id").distinct(), "analysis_id", "left_anti")
-    lost = unknown.select("analysis_id", F.lit("unknown").alias("stage"), F.lit("error").alias("status"), F.lit(0).alias("place"))
+    lost = unknown.select("analysis_id", F.lit("error").alias("stage"), F.lit("error").alias("status"), F.lit(0).alias("place"))
     return kept.select("analysis_id", "stage", "status", "place").unionByName(lost)
 
 
@@ -170,25 +180,40 @@ def result_cache_stream(uploads: DataFrame, ttl_s: int = TTL_S) -> DataFrame:
     return keyed.applyInPandasWithState(run, "request_id long, analysis_id long, hit boolean", "at string, by long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def silence_stream(updates: DataFrame, timeout_s: int = SILENCE_S) -> DataFrame:
-    """analysis_id, last_stage of analyses that stay silent beyond the timeout before they end; updates carry a watermark on ts."""
+def silence_stream(updates: DataFrame, heartbeat_s: int = HEARTBEAT_S, timeout_s: int = SILENCE_S) -> DataFrame:
+    """analysis_id, stage, status, last_stage, n_heartbeats of analyses that fall silent before they end; updates carry a watermark on ts.
+
+    A silent analysis says (heartbeat, alive) with the beats due since its last
+    update whenever time moves on by a beat, and (error, error) once the timeout
+    is over, after which it is forgotten.
+    """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+    names = ["analysis_id", "stage", "status", "last_stage", "n_heartbeats"]
+
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
-            (stage,) = state.get
-            state.remove()
-            yield pd.DataFrame({"analysis_id": [key[0]], "last_stage": [stage]})
+            stage, ms = state.get
+            silent = state.getCurrentWatermarkMs() - ms
+            if silent >= timeout_s * 1000:
+                state.remove()
+                yield pd.DataFrame([(key[0], "error", "error", stage, timeout_s // heartbeat_s)], columns=names)
+                return
+            beats = int(silent // (heartbeat_s * 1000))
+            state.setTimeoutTimestamp(ms + min((beats + 1) * heartbeat_s, timeout_s) * 1000)
+            yield pd.DataFrame([(key[0], "heartbeat", "alive", stage, beats)], columns=names)
             return
         rows = pd.concat(list(batches), ignore_index=True).sort_values("ts")
         last = rows.iloc[-1]
-        if rows["status"].isin(TERMINAL).any():
+        if rows["stage"].isin(TERMINAL).any():
             state.remove()
             return
-        state.update((str(last["stage"]),))
-        state.setTimeoutTimestamp(max(int(last["ms"]) + timeout_s * 1000, state.getCurrentWatermarkMs() + 1))
+        state.update((str(last["stage"]), int(last["ms"])))
+        state.setTimeoutTimestamp(max(int(last["ms"]) + heartbeat_s * 1000, state.getCurrentWatermarkMs() + 1))
 
-    return updates.where("ts is not null").withColumn("ms", F.unix_millis("ts")).groupBy("analysis_id").applyInPandasWithState(run, "analysis_id long, last_stage string", "stage string", "append", GroupStateTimeout.EventTimeTimeout)
+    keyed = updates.where("ts is not null").withColumn("ms", F.unix_millis("ts")).groupBy("analysis_id")
+    out = "analysis_id long, stage string, status string, last_stage string, n_heartbeats int"
+    return keyed.applyInPandasWithState(run, out, "stage string, ms long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def streaming_analyze(reports: DataFrame, history: DataFrame, regulations: DataFrame, path: str, checkpoint: str):

@@ -28,7 +28,7 @@ def test_rate_limit(spark, tmp_path):
 
 
 def test_stage_progress_stream(spark, tmp_path):
-    rows = [(1, "document_router", "running", T0, 0), (1, "synthesis", "complete", T0 + timedelta(seconds=9), 1), (2, "risk_scorer", "running", T0, 2)]
+    rows = [(1, "document_router", "started", T0, 0), (1, "complete", "completed", T0 + timedelta(seconds=9), 1), (2, "risk_scorer", "started", T0, 2)]
     schema = "analysis_id long, stage string, status string, ts timestamp, seq long"
     spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
     batch = U.stage_progress(spark.read.parquet(str(tmp_path / "in")))
@@ -54,23 +54,64 @@ def test_store(spark, tmp_path):
     store.upsert(spark.createDataFrame([(1, "a"), (2, "b")], "id long, x string"), path, "id")
     for _ in range(2):
         store.upsert(spark.createDataFrame([(2, "c"), (3, "d")], "id long, x string"), path, "id")
-    assert {tuple(r) for r in spark.read.parquet(path).collect()} == {(1, "a"), (2, "c"), (3, "d")}
+    assert {tuple(r) for r in store.read_stored(spark, path, "id").collect()} == {(1, "a"), (2, "c"), (3, "d")}
+    # what a crash left is not read and is in nobody's way
+    spark.createDataFrame([(9, "lost")], "id long, x string").write.parquet(f"{path}/v=4")
+    for i in range(store.COMPACT_AFTER):
+        store.upsert(spark.createDataFrame([(2, f"e{i}")], "id long, x string"), path, "id")
+    assert len(store.versions(spark, path)) < store.COMPACT_AFTER
+    assert {tuple(r) for r in store.read_stored(spark, path, "id").collect()} == {(1, "a"), (2, f"e{store.COMPACT_AFTER - 1}"), (3, "d")}
     assert store.load_index(spark, str(tmp_path / "none"), "incidents").count() == 0
     chunks = spark.createDataFrame([("k", "incidents", "t", "s", "", [1.0])], store.INDEX_SCHEMA)
     store.write_index(chunks, str(tmp_path / "index"))
     store.write_index(chunks.withColumn("collection", F.lit("rules")), str(tmp_path / "index"))
     assert store.load_index(spark, str(tmp_path / "index"), "incidents").count() == 1
+    for broken in ([("k", "incidents", None, "s", "", [1.0])], [("k", "incidents", "t", "s", "", [1.0])] * 2, [("k", "incidents", "t", "s", "", [1.0]), ("l", "incidents", "t", "s", "", [1.0, 2.0])]):
+        store.write_index(spark.createDataFrame(broken, store.INDEX_SCHEMA), str(tmp_path / "index"))
+        assert store.load_index(spark, str(tmp_path / "index"), "incidents").count() == 0
     (tmp_path / "txt").mkdir()
     (tmp_path / "txt" / "b_1.txt").write_text("lock-\nout")
     assert [tuple(r) for r in store.read_text_corpus(spark, str(tmp_path / "txt"), "c").collect()] == [("b_1", "b_1.txt", "c", "lockout")]
 
 
+def test_graph_store(spark, tmp_path):
+    assert [x.count() for x in store.load_graph(spark, str(tmp_path / "none"))] == [0, 0]
+    nodes = spark.createDataFrame([("a", "A", "HAZARD", None, None)], "node_id string, label string, node_type string, industry string, severity string")
+    edges = spark.createDataFrame([("a", "b", "leads_to", 0)], "src string, dst string, relation string, edge_seq int")
+    for _ in range(2):
+        store.save_graph(nodes, edges, str(tmp_path / "g"))
+    got = store.load_graph(spark, str(tmp_path / "g"))
+    assert [tuple(r) for x in got for r in x.collect()] == [("a", "A", "HAZARD", None, None), ("a", "b", "leads_to", 0)]
+
+
+def test_whole_run_of_updates(spark):
+    """A run as the stages report it: each starts and completes, the priority way ends it, the last stage is the end."""
+    seq, rows = 0, []
+    for stage in [*U.STAGES[:-1], U.ALSO_LAST]:
+        for status in ("started", "completed"):
+            rows.append((1, stage, status, T0 + timedelta(seconds=seq), seq))
+            seq += 1
+    rows += [(1, "complete", "completed", T0 + timedelta(seconds=seq), seq), (1, "document_router", "started", T0 + timedelta(seconds=seq + 1), seq + 1)]
+    rows += [(2, "document_router", "completed", T0, 0), (2, "incident_parser", "error", T0, 1), (2, "error_handler", "error", T0, 2)]
+    up = spark.createDataFrame(rows, "analysis_id long, stage string, status string, ts timestamp, seq long")
+    got = {r["analysis_id"]: (r["n_done"], r["is_over"]) for r in U.stage_progress(up).collect()}
+    assert got == {1: (7, True), 2: (1, False)}
+    states = {(r["analysis_id"], r["stage"]): r["state"] for r in U.stage_states(up).collect()}
+    assert all(states[1, s] == ("active" if s == "document_router" else "complete") for s in U.STAGES)
+    assert [states[2, s] for s in U.STAGES] == ["complete", "error"] + ["idle"] * 5
+    asked = spark.createDataFrame([(1,), (2,), (3,)], "analysis_id long")
+    again = sorted((r["analysis_id"], r["place"], r["stage"]) for r in U.replay(up, asked).collect())
+    assert [x for x in again if x[0] == 1][-1] == (1, 14, "complete") and len([x for x in again if x[0] == 2]) == 3 and again[-1] == (3, 0, "error")
+
+
 def test_silence_stream(spark, tmp_path):
     schema = "analysis_id long, stage string, status string, ts timestamp"
-    late = T0 + timedelta(hours=1)
-    rows = [[(1, "risk_scorer", "running", T0), (2, "synthesis", "complete", T0)], [(3, "document_router", "running", late)], [(3, "incident_parser", "running", late + timedelta(seconds=1))]]
+    at = lambda s: T0 + timedelta(seconds=s)
+    rows = [[(1, "risk_scorer", "started", T0), (2, "complete", "completed", T0)], [(3, "document_router", "started", at(90))], [(3, "incident_parser", "started", at(91))], [(3, "incident_parser", "completed", at(3600))], [(3, "complete", "completed", at(3601))]]
     for i, part in enumerate(rows):
         spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
-    got = run(spark, U.silence_stream(stream.withWatermark("ts", "10 seconds")), "silent", "append")
-    assert [tuple(r) for r in got.collect()] == [(1, "risk_scorer")]
+    got = [tuple(r) for r in run(spark, U.silence_stream(stream.withWatermark("ts", "10 seconds")), "silent", "append").collect()]
+    mine = [x[1:] for x in got if x[0] == 1]
+    assert ("heartbeat", "alive", "risk_scorer", 3) in mine and mine[-1] == ("error", "error", "risk_scorer", 12)
+    assert not [x for x in got if x[0] == 2]
