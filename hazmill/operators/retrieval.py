@@ -21,6 +21,8 @@ RRF_K, CANDIDATES, RELEVANCE = 60, 20, 0.3
 K1, B, NEGATIVE_IDF = 1.5, 0.75, 0.25
 #: Rows of a block in exact search.
 QUERY_BLOCK, DATA_BLOCK = 512, 4096
+#: Bytes of all query blocks up to which they are broadcast; more of them are shuffled to the data's blocks.
+MOST_BROADCAST = 64_000_000
 
 
 # -- BM25 ------------------------------------------------------------------
@@ -37,16 +39,16 @@ class Bm25Index:
 
 
 def build_bm25(chunks: DataFrame) -> Bm25Index:
-    """Okapi weights; a negative idf becomes a quarter of the mean idf over all terms."""
+    """Okapi weights; a negative idf becomes a quarter of the mean idf over all terms. Texts are tokenised once, into postings that are kept."""
     tokens = T.tokenize(F.coalesce(F.col("text"), F.lit("")))
     spread = chunks.select("chunk_id", tokens.alias("t")).select("chunk_id", F.size("t").alias("dl"), F.explode("t").alias("term"))
-    postings = spread.groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf"))
-    n, mean = chunks.select(F.size(tokens).alias("dl")).agg(F.count("*"), F.avg("dl")).first()
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.withColumn("raw", F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean_idf = raw.agg(F.avg("raw")).first()[0] or 0.0
-    terms = raw.select("term", "df", F.when(F.col("raw") < 0, F.lit(NEGATIVE_IDF * mean_idf)).otherwise(F.col("raw")).alias("idf"))
-    return Bm25Index(postings, terms, n, float(mean or 0.0))
+    postings = checkpointed(spread.groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf")))
+    n = chunks.count()
+    by_term = checkpointed(postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("n_tokens")))
+    raw = by_term.withColumn("raw", F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    mean_idf, n_tokens = raw.agg(F.avg("raw"), F.sum("n_tokens")).first()
+    terms = raw.select("term", "df", F.when(F.col("raw") < 0, F.lit(NEGATIVE_IDF * (mean_idf or 0.0))).otherwise(F.col("raw")).alias("idf"))
+    return Bm25Index(postings, terms, n, (n_tokens or 0) / max(n, 1))
 
 
 def bm25_search(queries: DataFrame, index: Bm25Index, k: int = CANDIDATES) -> DataFrame:
@@ -84,31 +86,55 @@ def hash_embed(rows: DataFrame, key: str, dim: int = 384, digest: str = "crc32")
     return counts.select(key, "bucket", (F.col("n") / norm).alias("value"))
 
 
-def sparse_search(queries: DataFrame, vectors: DataFrame, k: int = CANDIDATES) -> DataFrame:
-    """Cosine of sparse unit vectors (query_id, bucket, value) and (chunk_id, bucket, value)."""
-    dot = queries.withColumnRenamed("value", "q").join(vectors, "bucket").groupBy("query_id", "chunk_id").agg(F.sum(F.col("q") * F.col("value")).alias("score"))
-    return top_k(dot, k)
-
-
 def metadata_filter(wanted: Column, own: Column) -> Column:
     """Holds if nothing is wanted (null or empty) or the row has exactly it."""
     return wanted.isNull() | (wanted.cast("string") == "") | (own == wanted)
 
 
+def _id_type(rows: DataFrame, key: str) -> str:
+    return rows.schema[key].dataType.simpleString()
+
+
 def _blocks(rows: DataFrame, key: str, size: int, label: str | None) -> DataFrame:
-    """Rows of packed vectors: each task packs what it holds, so nothing is collected."""
+    """ids, x, label: packed vectors, those of a block of one label; each task packs what it holds, so nothing is collected."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n = 0
         for pdf in batches:
-            for a in range(0, len(pdf), size):
-                part = pdf.iloc[a : a + size]
-                x = np.array(part["embedding"].tolist(), dtype=np.float64)
-                labels = part[label].astype(str).tolist() if label else [""] * len(part)
-                yield pd.DataFrame({"ids": [part[key].to_numpy(dtype=np.int64)], "x": [x.tobytes()], "labels": [labels]})
-                n += 1
-
-    return rows.mapInPandas(run, "ids array<long>, x binary, labels array<string>")
+            new = np.flatnonzero(np.r_[True, (pdf["label"] != pdf["label"].shift()).to_numpy()[1:]]) if len(pdf) else []
+            for first, end in zip(new, [*new[1:], len(pdf)], strict=True):
+                for a in range(first, end, size):
+                    part = pdf.iloc[a : min(a + size, end)]
+                    x = np.array(part["embedding"].tolist(), dtype=np.float64)
+                    yield pd.DataFrame({"ids": [part[key].tolist()], "x": [x.tobytes()], "label": part["label"].iloc[:1]})
+
+    named = rows.select(key, "embedding", (F.col(label).cast("string") if label else F.lit("")).alias("label"))
+    if label:
+        named = named.where("label is not null").repartition("label").sortWithinPartitions("label")
+    return named.mapInPandas(run, f"ids array<{_id_type(rows, key)}>, x binary, label string")
+
+
+def _paired(q: DataFrame, v: DataFrame, label: bool = False) -> DataFrame:
+    """Every block of vectors with every block of queries, or with those of its label alone, by an equi-join."""
+    if label:
+        return v.join(q, "label")
+    q = checkpointed(q.withColumn("raw", F.monotonically_increasing_id()))
+    n, size = q.agg(F.count("*"), F.coalesce(F.sum(F.length("q_x")), F.lit(0))).first()
+    numbers = q.select("raw", (F.row_number().over(Window.orderBy("raw")) - 1).alias("q_block"))  # a row for each QUERY_BLOCK queries
+    q = q.join(numbers, "raw").drop("raw")
+    v = v.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)) if n else F.array().cast("array<int>")))
+    return v.join(F.broadcast(q) if size <= MOST_BROADCAST else q, "q_block")
+
+
+def best_of(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, columns) of each row's k best finite scores, rounded as in top_k, then by id, so that ties at the edge of a block are kept alike."""
+    keyed = np.round(score, 9)
+    n = keyed.shape[1]
+    least = np.partition(keyed, n - k, axis=1)[:, n - k] if n > k else np.full(len(keyed), -np.inf)
+    row, column = np.nonzero((keyed >= least[:, None]) & np.isfinite(keyed))
+    order = np.lexsort((ids[column], -keyed[row, column], row))
+    row, column = row[order], column[order]
+    within = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[within < k], column[within < k]
 
 
 def dense_search(queries: DataFrame, vectors: DataFrame, k: int = CANDIDATES, label: str | None = None) -> DataFrame:
@@ -116,28 +142,21 @@ def dense_search(queries: DataFrame, vectors: DataFrame, k: int = CANDIDATES, la
 
     queries(query_id, embedding) meet vectors(chunk_id, embedding) block by
     block: a pair of blocks is one matrix product that leaves k rows for each
-    query. With a label column on both sides only equal labels match.
+    query. With a label column on both sides only blocks of equal labels meet.
     """
-    q = _blocks(queries.where("embedding is not null"), "query_id", QUERY_BLOCK, label).select(F.col("ids").alias("q_ids"), F.col("x").alias("q_x"), F.col("labels").alias("q_labels"))
+    q = _blocks(queries.where("embedding is not null"), "query_id", QUERY_BLOCK, label).select(F.col("ids").alias("q_ids"), F.col("x").alias("q_x"), "label")
     v = _blocks(vectors.where("embedding is not null"), "chunk_id", DATA_BLOCK, label)
+    met = _paired(q, v, True) if label else _paired(q.drop("label"), v.drop("label"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for r in pdf.itertuples(index=False):
-                x = np.frombuffer(r.x).reshape(len(r.ids), -1)
+                x, ids = np.frombuffer(r.x).reshape(len(r.ids), -1), np.array(list(r.ids))
                 score = np.frombuffer(r.q_x).reshape(len(r.q_ids), -1) @ x.T
-                if label:
-                    score[np.array(r.q_labels)[:, None] != np.array(r.labels)[None, :]] = -np.inf
-                # rounded as in top_k, so that ties at the edge of a block are kept alike
-                keyed = np.round(score, 9)
-                order = np.lexsort((np.broadcast_to(r.ids, keyed.shape), -keyed), axis=1)[:, :k]
-                at = np.arange(len(r.q_ids))[:, None]
-                best = score[at, order]
-                keep = np.isfinite(best)
-                yield pd.DataFrame({"query_id": np.repeat(r.q_ids, order.shape[1]).reshape(best.shape)[keep], "chunk_id": np.asarray(r.ids)[order][keep], "score": best[keep]})
+                row, column = best_of(score, ids, k)
+                yield pd.DataFrame({"query_id": np.array(list(r.q_ids))[row], "chunk_id": ids[column], "score": score[row, column]})
 
-    met = v.join(q)
-    return top_k(met.mapInPandas(run, "query_id long, chunk_id long, score double"), k)
+    return top_k(met.mapInPandas(run, f"query_id {_id_type(queries, 'query_id')}, chunk_id {_id_type(vectors, 'chunk_id')}, score double"), k)
 
 
 def approx_dense_search(queries: DataFrame, vectors: DataFrame, k: int = CANDIDATES, spare: int = 2) -> DataFrame:
@@ -153,7 +172,7 @@ def approx_dense_search(queries: DataFrame, vectors: DataFrame, k: int = CANDIDA
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for r in pdf.itertuples(index=False):
-                x, asked, ids = np.frombuffer(r.x).reshape(len(r.ids), -1), np.frombuffer(r.q_x).reshape(len(r.q_ids), -1), np.asarray(r.ids)
+                x, asked, ids = np.frombuffer(r.x).reshape(len(r.ids), -1), np.frombuffer(r.q_x).reshape(len(r.q_ids), -1), np.array(list(r.ids))
                 n = min(spare * k, len(ids))
                 screen = -(asked.astype(np.float32) @ x.astype(np.float32).T)
                 near = np.argpartition(screen, n - 1, axis=1)[:, :n]
@@ -162,9 +181,51 @@ def approx_dense_search(queries: DataFrame, vectors: DataFrame, k: int = CANDIDA
                 at = np.arange(len(r.q_ids))[:, None]
                 best, found = score[at, order], ids[near[at, order]]
                 keep = np.isfinite(best)
-                yield pd.DataFrame({"query_id": np.repeat(r.q_ids, order.shape[1]).reshape(best.shape)[keep], "chunk_id": found[keep], "score": best[keep]})
+                yield pd.DataFrame({"query_id": np.repeat(np.array(list(r.q_ids)), order.shape[1]).reshape(best.shape)[keep], "chunk_id": found[keep], "score": best[keep]})
+
+    met = _paired(q, v).mapInPandas(run, f"query_id {_id_type(queries, 'query_id')}, chunk_id {_id_type(vectors, 'chunk_id')}, score double")
+    return top_k(met, k)
 
-    return top_k(v.join(q).mapInPandas(run, "query_id long, chunk_id long, score double"), k)
+
+def hashed_search(queries: DataFrame, chunks: DataFrame, k: int = CANDIDATES, filters: tuple[str, ...] = (), dim: int = 384, digest: str = "crc32") -> DataFrame:
+    """query_id, chunk_id, score, rank0: cosine of hashed token counts, of chunks that share a place with the query.
+
+    Tokens are hashed in the JVM; tasks pack them to blocks of dense vectors,
+    which meet as in dense_search. filters names columns that hold, in a query,
+    what the chunk's column must be (null or empty: anything).
+    """
+
+    def blocks(rows: DataFrame, key: str, size: int) -> DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for a in range(0, len(pdf), size):
+                    part = pdf.iloc[a : a + size]
+                    n = part["places"].str.len().to_numpy()
+                    flat = np.concatenate([np.zeros(0, dtype=np.int64), *part["places"]]).astype(np.int64)
+                    x = np.bincount(np.repeat(np.arange(len(part)), n) * dim + flat, minlength=len(part) * dim).reshape(-1, dim).astype(np.float64)
+                    x /= np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-300)
+                    yield pd.DataFrame({"ids": [part[key].tolist()], "x": [x.tobytes()], **{c: [part[c].tolist()] for c in filters}})
+
+        places = hash_buckets(F.coalesce(F.col("text"), F.lit("")), dim, digest).alias("places")
+        own = rows.select(key, places, *[F.col(c).cast("string").alias(c) for c in filters])
+        return own.mapInPandas(run, ", ".join([f"ids array<{_id_type(rows, key)}>", "x binary", *[f"{c} array<string>" for c in filters]]))
+
+    q = blocks(queries, "query_id", QUERY_BLOCK).select(F.col("ids").alias("q_ids"), F.col("x").alias("q_x"), *[F.col(c).alias(f"q_{c}") for c in filters])
+    met = _paired(q, blocks(chunks, "chunk_id", DATA_BLOCK))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.to_dict("records"):
+                ids, asked = np.array(list(r["ids"])), np.array(list(r["q_ids"]))
+                score = np.frombuffer(r["q_x"]).reshape(-1, dim) @ np.frombuffer(r["x"]).reshape(-1, dim).T
+                score[score <= 0] = -np.inf
+                for c in filters:
+                    wanted, own = (np.array([v or "" for v in r[x]], dtype=object) for x in (f"q_{c}", c))
+                    score[(wanted != "")[:, None] & (wanted[:, None] != own[None, :])] = -np.inf
+                row, column = best_of(score, ids, k)
+                yield pd.DataFrame({"query_id": asked[row], "chunk_id": ids[column], "score": score[row, column]})
+
+    return top_k(met.mapInPandas(run, f"query_id {_id_type(queries, 'query_id')}, chunk_id {_id_type(chunks, 'chunk_id')}, score double"), k)
 
 
 # -- fusion and what follows -----------------------------------------------
@@ -236,17 +297,7 @@ def hybrid_search(
     name must be; they bind the dense arm alone.
     """
     sparse = bm25_search(queries, index or build_bm25(chunks))
-    q, v = hash_embed(queries, "query_id", digest=digest), hash_embed(chunks, "chunk_id", digest=digest)
-    if filters:
-        dot = q.withColumnRenamed("value", "q").join(v, "bucket").groupBy("query_id", "chunk_id").agg(F.sum(F.col("q") * F.col("value")).alias("score"))
-        asked = queries.select("query_id", *[F.col(c).alias(f"__q_{c}") for c in filters])
-        had = chunks.select("chunk_id", *[F.col(c).alias(f"__c_{c}") for c in filters])
-        fits = F.lit(True)
-        for c in filters:
-            fits = fits & metadata_filter(F.col(f"__q_{c}"), F.col(f"__c_{c}"))
-        dense = top_k(dot.join(asked, "query_id").join(had, "chunk_id").where(fits).select("query_id", "chunk_id", "score"), CANDIDATES)
-    else:
-        dense = sparse_search(q, v)
+    dense = checkpointed(hashed_search(queries, chunks, CANDIDATES, filters, digest=digest))
     hits = rerank(candidates(reciprocal_rank_fusion(dense, sparse), chunks, dense), k, scores)
     if not compressed:
         return hits

@@ -80,22 +80,34 @@ def hybrid_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LANGS = """case b.item_id % 3 when 0 then '' when 1 then 'en' else 'xx' end"""
 
 
+#: One query in three has a word that no document has, and an industry that none has: it is left with nothing and searches again without the filter.
+_ITEMS = "items as (select item_id, case when item_id % 3 = 2 then concat('zqx', item_id) else text end as text from benchmark)"
+
+
+def _fused_sql(name: str, dense: str) -> str:
+    return f"""
+{name}_l as (select query_id, chunk_id, rank0, 0 as list_no from {dense} where rank0 < 20 union all select query_id, chunk_id, rank0, 1 from sparse where rank0 < 20),
+{name}_f as (select query_id, chunk_id, sum(1.0::double / (rank0 + 60)) as fused, min(list_no * 1000 + rank0) as seen from {name}_l group by 1, 2),
+{name} as (select query_id, chunk_id, rank0 from (select *, row_number() over (partition by query_id order by round(fused, 12) desc, seen) - 1 as rank0 from {name}_f) where rank0 < 8)"""
+
+
 @query(
     "hybrid_incidents",
-    f"""with {_BM25}, {_DENSE},
+    f"""with {_ITEMS}, {_BM25.replace('from benchmark', 'from items')}, {_DENSE.replace('from benchmark', 'from items')},
 want as (select item_id as query_id, {_LANGS} as industry from benchmark b),
 fd as (select dot.query_id, dot.chunk_id, dot.score, row_number() over (partition by dot.query_id order by round(dot.score, 9) desc, dot.chunk_id) - 1 as rank0
   from dot join want using (query_id) join documents d on d.doc_id = dot.chunk_id where industry = '' or industry = d.lang),
-lists as (select query_id, chunk_id, rank0, 0 as list_no from fd where rank0 < 20 union all select query_id, chunk_id, rank0, 1 from sparse where rank0 < 20),
-fuse as (select query_id, chunk_id, sum(1.0::double / (rank0 + 60)) as fused, min(list_no * 1000 + rank0) as seen from lists group by 1, 2),
-fused as (select *, row_number() over (partition by query_id order by round(fused, 12) desc, seen) - 1 as rank0 from fuse)
-select query_id, chunk_id as doc_id, rank0::int as rank0, greatest(0.9 - 0.12 * rank0, 0.1)::double as similarity_score from fused where rank0 < 8""",
+{_fused_sql('narrow', 'fd')}, {_fused_sql('wide', 'dense')},
+enough as (select query_id from narrow group by 1 having count(*) >= 4),
+hits as (select * from narrow where query_id in (select query_id from enough) union all select * from wide where query_id not in (select query_id from enough))
+select query_id, chunk_id as doc_id, rank0::int as rank0, round(greatest(0.9 - 0.12 * rank0, 0.1), 2)::double as similarity_score, source as source_document from hits join documents on doc_id = chunk_id""",
 )
 def hybrid_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     industry = F.when(F.col("query_id") % 3 == 0, "").when(F.col("query_id") % 3 == 1, "en").otherwise("xx")
+    text = F.when(F.col("query_id") % 3 == 2, F.concat(F.lit("zqx"), F.col("query_id"))).otherwise(F.col("text"))
     docs = _docs(spark, sf_dir).select("chunk_id", "text", F.col("lang").alias("industry"), F.col("source").alias("source_document"))
-    hits = R.hybrid_search_incidents(_items(spark, sf_dir).withColumn("industry", industry), docs, 8, digest="md5", compressed=False)
-    return R.to_similar_incident(hits).select("query_id", "doc_id", "rank0", "similarity_score")
+    hits = R.hybrid_search_incidents(_items(spark, sf_dir).withColumns({"industry": industry, "text": text}), docs, 8, digest="md5", compressed=False)
+    return R.to_similar_incident(hits).select("query_id", "doc_id", "rank0", "similarity_score", "source_document")
 
 
 @query(
@@ -120,16 +132,25 @@ def compress_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("benchmark_recall", f"with {_BM25}, own as (select item_id as query_id, doc_id as chunk_id from benchmark b join documents d on contains(d.text, b.text)) select o.query_id, count(*) as n_docs, count(s.rank0) as n_found from own o left join (select * from sparse where rank0 < 50) s using (query_id, chunk_id) group by 1")
 def benchmark_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     items, docs = _items(spark, sf_dir), _docs(spark, sf_dir)
-    # a passage is looked for in the documents that share its first five tokens, found through an inverted index of shingles
+    # a passage can only stand in documents that have its rarest token run: its tokens at both ends may be cut, those between are whole
     from hazmill.functions import text as T
 
-    def shingles(rows: DataFrame, key: str, most: int | None) -> DataFrame:
+    def runs(rows: DataFrame, key: str, size: int) -> DataFrame:
         t = T.tokenize(F.col("text"))
-        n = F.size("t") - 4 if most is None else F.least(F.size("t") - 4, F.lit(most))
-        grams = F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.slice(F.col("t"), i, 5)))
-        return rows.select(key, "text", t.alias("t")).where(F.size("t") >= 5).select(key, F.explode(F.array_distinct(grams)).alias("gram"))
-
-    met = shingles(items, "query_id", 1).join(shingles(docs, "chunk_id", None), "gram").select("query_id", "chunk_id").distinct()
+        grams = F.transform(F.sequence(F.lit(1), F.size("t") - (size - 1)), lambda i: F.xxhash64(F.slice(F.col("t"), i, size)))
+        return rows.select(key, t.alias("t")).where(F.size("t") >= size).select(key, F.explode(F.array_distinct(grams)).alias("gram"))
+
+    size = 5
+    grams = runs(items.select("query_id", F.regexp_extract("text", r"(?s)^[A-Za-z0-9]*(.*?)[A-Za-z0-9]*$", 1).alias("text")), "query_id", size)
+    of_docs = runs(docs, "chunk_id", size).join(grams.select("gram").distinct(), "gram", "left_semi")
+    rare = grams.join(of_docs.groupBy("gram").agg(F.count("*").alias("n")), "gram", "left").groupBy("query_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))["gram"].alias("gram"))
+    met = rare.join(of_docs, "gram").select("query_id", "chunk_id").distinct()
+    # passages too short for a run meet every document, in blocks of a broadcast of bounded size or by a join
+    short = items.join(grams.select("query_id").distinct(), "query_id", "left_anti").select("query_id", F.col("text").alias("passage"))
+    n_short = short.count()
+    if n_short:
+        few = docs.select("chunk_id", "text").join(F.broadcast(short) if n_short <= 10_000 else short, F.col("text").contains(F.col("passage"))).select("query_id", "chunk_id")
+        met = met.unionByName(few)
     own = met.join(items.withColumnRenamed("text", "passage"), "query_id").join(docs.select("chunk_id", "text"), "chunk_id").where(F.col("text").contains(F.col("passage"))).select("query_id", "chunk_id")
     hits = R.bm25_search(items, R.build_bm25(docs), 50).select("query_id", "chunk_id", "rank0")
     return own.join(hits, ["query_id", "chunk_id"], "left").groupBy("query_id").agg(F.count("*").alias("n_docs"), F.count("rank0").alias("n_found"))
@@ -171,7 +192,7 @@ def rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.reciprocal_rank_fusion(R.dense_search(q, v), R.dense_search(q, v, label="label")).select("query_id", "chunk_id", F.round("fused", 9).alias("fused"), "rank0")
 
 
-@query("approx_knn")
+@query("approx_knn", f"with {_KNN}, r as (select *, row_number() over (partition by query_id order by round(score, 9) desc, chunk_id) - 1 as rank0 from s) select query_id, chunk_id, rank0::int as rank0, round(score, 6) as score from r where rank0 < 10")
 def approx_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, v = _vectors(spark, sf_dir)
     return R.approx_dense_search(q.drop("label"), v.drop("label"), 10).select("query_id", "chunk_id", "rank0", F.round("score", 6).alias("score"))
@@ -211,8 +232,15 @@ def violated_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.violated_families(rows).select("query_id", F.array_join("families", ",").alias("families"))
 
 
-@query("verbatim_check", "select doc_id as clause_id, source as query_id from documents where doc_id % 7 = 0 and false")
+#: Documents as clauses; one in seven says something that its source does not.
+@query(
+    "verbatim_check",
+    """with c as (select doc_id, source, coalesce(text, '') as text, case when doc_id % 7 = 0 then concat(coalesce(text, ''), ' The inspector of case ', doc_id, ' disagreed.') else coalesce(text, '') end as clause from documents),
+s as (select doc_id, source, text, unnest(list_filter(list_transform(string_split(regexp_replace(clause, '([.!?])\\s+([A-Z("''\\[])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: s <> '')) as sentence from c)
+select doc_id as clause_id, source as query_id, md5(sentence) as sentence from s where not contains(text, sentence)""",
+)
 def verbatim_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _docs(spark, sf_dir)
-    clauses = docs.select(F.col("source").alias("query_id"), F.col("chunk_id").alias("clause_id"), F.col("text").alias("clause_text"))
-    return R.verbatim_check(clauses, docs).select("clause_id", "query_id")
+    docs = _docs(spark, sf_dir).withColumn("text", F.coalesce("text", F.lit("")))
+    said = F.when(F.col("chunk_id") % 7 == 0, F.concat("text", F.lit(" The inspector of case "), "chunk_id", F.lit(" disagreed."))).otherwise(F.col("text"))
+    clauses = docs.select(F.col("source").alias("query_id"), F.col("chunk_id").alias("clause_id"), said.alias("clause_text"))
+    return R.verbatim_check(clauses, docs).select("clause_id", "query_id", F.md5("sentence").alias("sentence"))
