@@ -36,24 +36,38 @@ BLOCK, MOST_BROADCAST = 4096, 100_000
 _UNIT = "place int, doc_id long, part long, size long, chance double"
 
 
+def placed(by: DataFrame) -> DataFrame:
+    """Adds place: the number of each source in order, null last; sources are sorted in ranges, not in one task."""
+    order = F.col("source").asc_nulls_last()
+    ranged = cut_lineage(by.repartitionByRange(order).withColumn("part", F.spark_partition_id()))
+    counts = sorted((r["part"], r["count"]) for r in ranged.groupBy("part").count().collect())
+    before = dict(zip((p for p, _ in counts), itertools.accumulate([0, *[n for _, n in counts]]), strict=False))
+    first = F.lit(0)
+    for part, n in before.items():
+        first = F.when(F.col("part") == part, n).otherwise(first)
+    return ranged.withColumn("place", (first + F.row_number().over(Window.partitionBy("part").orderBy(order)) - 1).cast("int")).drop("part")
+
+
 def source_targets(sizes: DataFrame) -> DataFrame:
     """From (source, size) rows: source, place, source_size, n_docs, target.
 
-    Water filling: min(cap, level * weight) sums to the share, and the level is
-    the largest of those at which the k tightest caps alone bind.
+    Water filling: min(cap, level * weight) sums to the share. The level begins
+    at an even share by weight; sources above their cap are set to it and the
+    excess raises the level for the others, until no more are above.
     """
-    by = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
+    by = placed(sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs")))
     weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.pmod(F.col("place"), F.lit(len(WEIGHTS))) + 1).cast("int"))
-    by = by.withColumn("place", place.cast("int")).withColumn("weight", weight).withColumn("cap", MOST * F.col("source_size"))
-    tight = Window.orderBy((F.col("cap") / F.col("weight")), "place")
-    upto = tight.rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy()
-    level = (SHARE * F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(upto), F.lit(0.0))) / (
-        F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(upto), F.lit(0.0))
-    )
-    by = by.withColumn("level", level)
-    return by.select("source", "place", "source_size", "n_docs", F.least("cap", F.max("level").over(everything) * F.col("weight")).alias("target"))
+    by = cut_lineage(by.withColumn("weight", weight).withColumn("cap", MOST * F.col("source_size")))
+    total, weights, caps, full = SHARE * (by.agg(F.sum("source_size")).first()[0] or 0), None, 0.0, -1
+    level = 0.0
+    while True:
+        over = F.col("cap") <= F.lit(level) * F.col("weight")
+        now, caps, weights = by.agg(F.count_if(over), F.sum(F.when(over, F.col("cap")).otherwise(0.0)), F.sum(F.when(over, 0.0).otherwise(F.col("weight")))).first()
+        if now == full or not weights:
+            break
+        full, level = now, (total - caps) / weights
+    target = F.col("cap") if not weights else F.least("cap", F.lit(level) * F.col("weight"))
+    return by.select("source", "place", "source_size", "n_docs", target.alias("target"))
 
 
 def settle_large(z: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> np.ndarray:
