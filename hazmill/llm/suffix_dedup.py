@@ -277,7 +277,10 @@ def _payload(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """
     for pdf in batches:
         out = []
-        for doc, part, text, runs in zip(pdf["doc_id"], pdf["part"], pdf["text"], pdf["runs"], strict=True):
+        for doc_id, part, text, runs in zip(pdf["doc_id"], pdf["part"], pdf["text"], pdf["runs"], strict=True):
+            if runs is None or not len(runs):
+                continue
+            doc = int(doc_id)
             raw = text.encode("utf-8", "surrogatepass")
             for bucket, start, n, rel, heavy in ((x["anchor"], x["start"], x["n"], x["rel"], x["heavy"]) for x in runs):
                 if rel < 0:
@@ -329,13 +332,13 @@ def _cut_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def numbered(texts: DataFrame) -> DataFrame:
-    """texts with part: 0, or, where rows of a doc_id have several texts, each text's number, so that no row stands for another."""
+    """texts, and, if rows of a doc_id have several texts, part: each text's number, so that no row stands for another."""
     hashed = texts.withColumn("hash", F.xxhash64("text", F.octet_length("text")))
     several = hashed.where("doc_id is not null").groupBy("doc_id").agg(F.min("hash").alias("lo"), F.max("hash").alias("hi")).where("lo <> hi").select("doc_id")
     several = cut_lineage(several)
     n = several.count()
     if not n:
-        return texts.withColumn("part", F.lit(0))
+        return texts
     few = n <= MOST_BROADCAST
     distinct = hashed.join(F.broadcast(several) if few else several, "doc_id", "left_semi").select("doc_id", "hash").distinct()
     parts = cut_lineage(distinct.select("doc_id", "hash", F.row_number().over(Window.partitionBy("doc_id").orderBy("hash")).alias("part")))
@@ -343,14 +346,24 @@ def numbered(texts: DataFrame) -> DataFrame:
     return hashed.join(F.broadcast(parts) if few else parts, ["doc_id", "hash"], "left").select("doc_id", "text", F.coalesce("part", F.lit(0)).alias("part"))
 
 
+def _keys(texts: DataFrame) -> list[str]:
+    return [c for c in ("doc_id", "part") if c in texts.columns]
+
+
+def _parted(rows: DataFrame) -> DataFrame:
+    return rows if "part" in rows.columns else rows.withColumn("part", F.lit(0))
+
+
 def _repeated(texts: DataFrame) -> DataFrame:
-    """doc_id, part, start, n of what repeats; texts is (doc_id, text, part). One job: no text is shuffled but by doc_id."""
-    parts = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
-    runs = texts.where("doc_id is not null").mapInPandas(_runs, "anchor long, content long, doc_id long, part int, start int, n int, rel short")
+    """doc_id, part, start, n of what repeats; texts is (doc_id, text) and part, if need be. One job: no text is shuffled but by its key, once."""
+    parts, keys = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8), _keys(texts)
+    runs = _parted(texts).where("doc_id is not null").mapInPandas(_runs, "anchor long, content long, doc_id long, part int, start int, n int, rel short")
     ordered = runs.repartition(parts, "anchor").sortWithinPartitions("anchor", "content", "doc_id", "start")
     settled = ordered.mapInPandas(_settle, "anchor long, doc_id long, part int, start int, n int, rel short, heavy boolean")
-    by_doc = settled.groupBy("doc_id", "part").agg(F.collect_list(F.struct("anchor", "start", "n", "rel", "heavy")).alias("runs"))
-    payload = texts.join(by_doc.hint("merge"), ["doc_id", "part"]).mapInPandas(_payload, "bucket long, doc_id long, part int, start int, place int, data binary, n int")
+    by_doc = settled.groupBy(*keys).agg(F.collect_list(F.struct("anchor", "start", "n", "rel", "heavy")).alias("runs"))
+    # a left join, as where the bytes are cut out, so that both use one shuffle of the texts
+    met = _parted(texts.join(by_doc.hint("merge"), keys, "left")).select(F.col("doc_id").cast("string").alias("doc_id"), "part", "text", "runs")
+    payload = met.mapInPandas(_payload, "bucket long, doc_id long, part int, start int, place int, data binary, n int")
     return payload.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInPandas(_refined, _GONE)
 
 
@@ -362,7 +375,8 @@ def repeated_starts(docs: DataFrame) -> DataFrame:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256: a row for each row of docs."""
     texts = numbered(keyed_texts(docs))
-    gone = _repeated(texts).groupBy("doc_id", "part").agg(F.collect_list(F.struct("start", "n")).alias("gone"))
+    keys = _keys(texts)
+    gone = _repeated(texts).groupBy(*keys).agg(F.collect_list(F.struct("start", "n")).alias("gone"))
     # doc_id goes through the tasks as text, since a null would turn numbers into floats
-    both = texts.join(gone.hint("merge"), ["doc_id", "part"], "left").select(F.col("doc_id").cast("string").alias("doc_id"), "text", "gone")
+    both = texts.join(gone.hint("merge"), keys, "left").select(F.col("doc_id").cast("string").alias("doc_id"), "text", "gone")
     return both.mapInPandas(_cut_out, "doc_id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumn("doc_id", F.col("doc_id").cast("long"))
