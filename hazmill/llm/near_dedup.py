@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +41,7 @@ from hazmill.llm.common import WORD, chunks, components, cut_lineage, keyed_text
 
 SHINGLE, SKETCHES, THRESHOLD, ROUNDS = 3, 40, 0.8, 3
 #: Members of a bucket that are compared with as many others at once; counters of a document's words, and how many of them are summed for a first look.
-BLOCK, COUNTERS, FOLD = 4000, 1024, 4
+BLOCK, COUNTERS, FOLD = 2000, 4096, 16
 #: Pairs up to which their table is broadcast to the words (larger ones are shuffled); pairs of a task.
 MOST_BROADCAST, TASK_PAIRS = 200_000, 4_000
 #: Smallest values of a sketch that are looked at first.
@@ -130,8 +131,13 @@ def _sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def profile(words: np.ndarray) -> bytes:
-    """How many of a text's words fall to each counter."""
-    return np.minimum(np.bincount((words % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS), 255).astype(np.uint8).tobytes()
+    """How many of a text's words fall to each counter, compressed."""
+    return zlib.compress(np.minimum(np.bincount((words % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS), 255).astype(np.uint8).tobytes(), 1)
+
+
+def counters(packed: pd.Series) -> np.ndarray:
+    """A row for each profile."""
+    return np.frombuffer(b"".join(map(zlib.decompress, packed)), dtype=np.uint8).reshape(len(packed), COUNTERS).astype(np.int16)
 
 
 def _coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -265,12 +271,11 @@ def _bounded(threshold: float):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if not len(pdf):
-                continue
-            x, y = (np.frombuffer(b"".join(pdf[c]), dtype=np.uint8).reshape(len(pdf), COUNTERS).astype(np.int16) for c in ("counts_a", "counts_b"))
-            n, m = pdf["n_a"].to_numpy(), pdf["n_b"].to_numpy()
-            most = np.floor((1 - threshold) * np.maximum(n, m) + 1e-9)
-            yield pdf.loc[np.maximum(_least(x - y), np.abs(n - m)) <= most, ["a", "b"]]
+            for start in range(0, len(pdf), 1000):
+                part = pdf.iloc[start : start + 1000]
+                n, m = part["n_a"].to_numpy(), part["n_b"].to_numpy()
+                least = np.maximum(_least(counters(part["counts_a"]) - counters(part["counts_b"])), np.abs(n - m))
+                yield part.loc[least <= np.floor((1 - threshold) * np.maximum(n, m) + 1e-9), ["a", "b"]]
 
     return run
 
@@ -278,7 +283,7 @@ def _bounded(threshold: float):
 def close_pairs(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
     """Pairs of two groups that may be alike, of the rows of one block or two (i, j): none that is alike is left out."""
     ids, group, n, block = (pdf[c].to_numpy() for c in ("id", "group", "n", "block"))
-    counts = np.frombuffer(b"".join(pdf["counts"]), dtype=np.uint8).reshape(len(pdf), COUNTERS).astype(np.int16)
+    counts = counters(pdf["counts"])
     folded = counts.reshape(len(pdf), -1, FOLD).sum(axis=2, dtype=np.int16)
     i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
     later = np.arange(len(pdf))
