@@ -42,8 +42,8 @@ from hazmill.llm.common import WORD, chunks, components, cut_lineage, keyed_text
 SHINGLE, SKETCHES, THRESHOLD, ROUNDS = 3, 40, 0.8, 3
 #: Members of a bucket that are compared with as many others at once; counters of a document's words, and how many of them are summed for a first look.
 BLOCK, COUNTERS, FOLD = 2000, 4096, 16
-#: Pairs up to which their table is broadcast to the words (larger ones are shuffled); pairs of a task.
-MOST_BROADCAST, TASK_PAIRS = 200_000, 4_000
+#: Pairs up to which their table is broadcast to the words (larger ones are shuffled); pairs of a task; pairs of one member that meet its words at once.
+MOST_BROADCAST, TASK_PAIRS, RUN_PAIRS = 200_000, 4_000, 500
 #: Smallest values of a sketch that are looked at first.
 FEW = 8
 
@@ -241,20 +241,19 @@ def alike(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
 
 
 def _aligned(threshold: float):
-    """Rows (a, b, words) sorted by pair, two for each: whether they are alike."""
+    """Rows (a, run, id, words) sorted so that each a comes before those that it is compared with: whether they are alike."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
+        first = whose = None
         for pdf in batches:
-            a, b, words = pdf["a"].tolist(), pdf["b"].tolist(), pdf["words"].tolist()
             out = []
-            for x, y, w in zip(a, b, words, strict=True):
-                if held is None:
-                    held = (x, y, w)
+            for a, i, w in zip(pdf["a"].tolist(), pdf["id"].tolist(), pdf["words"].tolist(), strict=True):
+                words = np.frombuffer(w, dtype=np.uint64)
+                if i == a:
+                    first, whose = words, a
                     continue
-                assert held[:2] == (x, y)
-                out.append((x, y, alike(np.frombuffer(held[2], dtype=np.uint64), np.frombuffer(w, dtype=np.uint64), threshold)))
-                held = None
+                assert whose == a
+                out.append((a, i, alike(first, words, threshold)))
             yield pd.DataFrame(out, columns=["a", "b", "linked"]).astype({"linked": bool})
 
     return run
@@ -281,8 +280,18 @@ def _bounded(threshold: float):
 
 
 def close_pairs(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """Pairs of two groups that may be alike, of the rows of one block or two (i, j): none that is alike is left out."""
+    """Pairs of two groups that may be alike, of the rows of one block or two (i, j): none that is alike is left out.
+
+    A pair that shares a smaller bucket too (of those in the rows' own) is named there alone.
+    """
     ids, group, n, block = (pdf[c].to_numpy() for c in ("id", "group", "n", "block"))
+    of = np.repeat(np.arange(len(pdf)), pdf["own"].map(len))
+    own = np.concatenate(pdf["own"].tolist())
+    smaller = own < pdf["bucket"].iloc[0]
+    of, own = of[smaller], np.unique(own[smaller], return_inverse=True)[1]
+    order = np.argsort(own, kind="stable")
+    holders = np.split(of[order], np.flatnonzero(np.diff(own[order])) + 1)
+    held = np.split(own, np.searchsorted(of, np.arange(1, len(pdf))))
     counts = counters(pdf["counts"])
     folded = counts.reshape(len(pdf), -1, FOLD).sum(axis=2, dtype=np.int16)
     i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
@@ -290,7 +299,10 @@ def close_pairs(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
     out: list[np.ndarray] = [np.zeros((0, 2), dtype=np.int64)]
     for r in np.flatnonzero(block == i):
         most = np.floor((1 - threshold) * np.maximum(n, n[r]) + 1e-9)
-        with_ = np.flatnonzero((later > r if i == j else block == j) & (group != group[r]) & (np.abs(n - n[r]) <= most))
+        here = (later > r if i == j else block == j) & (group != group[r]) & (np.abs(n - n[r]) <= most)
+        for c in held[r]:
+            here[holders[c]] = False
+        with_ = np.flatnonzero(here)
         for c in (folded, counts):
             with_ = with_[_least(c[with_] - c[r]) <= most[with_]]
         out.append(np.stack([np.minimum(ids[with_], ids[r]), np.maximum(ids[with_], ids[r])], axis=1))
@@ -315,23 +327,40 @@ def _close(threshold: float):
     return run
 
 
-def remaining_pairs(met: DataFrame, groups: DataFrame, profiles: DataFrame, threshold: float) -> DataFrame:
-    """a, b: pairs of two groups that share a bucket of over two members and may be alike; blocks bound what a task holds."""
+def sides(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
+    """a, b with the counters of both."""
+    for s in ("b", "a"):
+        pairs = pairs.join(profiles.select(*[F.col(c).alias(t) for c, t in (("id", s), ("n", f"n_{s}"), ("counts", f"counts_{s}"))]), s)
+    return pairs
+
+
+def untried(pairs: DataFrame, tried: DataFrame | None) -> DataFrame:
+    return pairs if tried is None else pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
+
+
+def remaining_pairs(met: DataFrame, groups: DataFrame, profiles: DataFrame, tried: DataFrame | None, threshold: float) -> DataFrame:
+    """a, b: untried pairs of two groups that share a bucket and may be alike; each is named in one bucket, and blocks bound what a task holds."""
     inside = met.join(groups, "id")
-    several = inside.groupBy("bucket").agg(F.min("group").alias("lo"), F.max("group").alias("hi"), F.count("*").alias("m")).where("lo <> hi and m > 2").select("bucket", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    left = cut_lineage(inside.join(several, "bucket"))
-    placed = left.join(profiles, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "group", "n", "counts")
+    several = cut_lineage(inside.groupBy("bucket").agg(F.min("group").alias("lo"), F.max("group").alias("hi"), F.count("*").alias("m"), F.min("id").alias("a"), F.max("id").alias("b")).where("lo <> hi"))
+    twos = sides(untried(several.where("m = 2").select("a", "b").distinct(), tried), profiles).mapInPandas(_bounded(threshold), "a long, b long")
+    left = cut_lineage(inside.join(several.where("m > 2").select("bucket", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "bucket"))
+    # a member's own buckets are at most as many as the sketches
+    facts = left.groupBy("id").agg(F.collect_set("bucket").alias("own")).join(profiles, "id")
+    placed = left.join(facts, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "group", "n", "counts", "own")
     runs = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    return runs.mapInPandas(_close(threshold), "a long, b long").distinct()
+    return twos.unionByName(untried(runs.mapInPandas(_close(threshold), "a long, b long"), tried)).distinct()
 
 
 def verified(pairs: DataFrame, n_pairs: int, words: DataFrame, threshold: float) -> DataFrame:
-    """a, b, linked: each pair's words meet in one task; a hub's words go to as many tasks as it has pairs."""
-    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("id"))
-    met = words.join(F.broadcast(ends) if n_pairs <= MOST_BROADCAST else ends, "id").select("a", "b", "id", "words")
+    """a, b, linked: the words of a meet those of up to RUN_PAIRS of its b in one task; a hub goes to as many tasks as it needs."""
+    runs = pairs.groupBy("a").agg(F.ceil(F.count("*") / RUN_PAIRS).alias("runs"))
+    dealt = pairs.join(runs, "a").select("a", F.pmod(F.xxhash64("b"), F.col("runs")).alias("run"), "b")
+    ends = dealt.select("a", "run", F.col("b").alias("id")).unionByName(dealt.select("a", "run", F.col("a").alias("id")).distinct())
+    met = words.join(F.broadcast(ends) if n_pairs <= MOST_BROADCAST else ends, "id").select("a", "run", "id", "words")
     tasks = max(8, -(-n_pairs // TASK_PAIRS))
-    return met.repartition(tasks, "a", "b").sortWithinPartitions("a", "b", "id").mapInPandas(_aligned(threshold), "a long, b long, linked boolean")
+    # a is the smaller of the two ids, so it comes first
+    return met.repartition(tasks, "a", "run").sortWithinPartitions("a", "run", "id").mapInPandas(_aligned(threshold), "a long, b long, linked boolean")
 
 
 def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, rounds: int = ROUNDS) -> DataFrame:
@@ -346,7 +375,6 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, rounds
     candidates = cut_lineage(met.select("id").distinct())
     coded = cut_lineage(texts.join(candidates, texts["doc_id"] == candidates["id"], "left_semi").dropDuplicates(["doc_id"]).mapInPandas(_coded, "id long, n int, counts binary, words binary"))
     words, profiles = coded.select("id", "words"), coded.select("id", "n", "counts")
-    side = lambda s: profiles.select(*[F.col(c).alias(t) for c, t in (("id", s), ("n", f"n_{s}"), ("counts", f"counts_{s}"))])
 
     n = candidates.count()
     groups = candidates.coalesce(1 + n // 100_000).select("id", F.col("id").alias("group"))
@@ -365,11 +393,9 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, rounds
             # at first the hub with which a member shares most, later one pair of members for two groups; what is left comes in later rounds
             best = shares.groupBy(*(("g", "h") if k else ("own",))).agg(F.max(F.struct("n", (-F.col("hub")).alias("early"), F.col("own"))).alias("x"))
             pairs = best.select(F.least("x.own", -F.col("x.early")).alias("a"), F.greatest("x.own", -F.col("x.early")).alias("b")).distinct()
-            pairs = pairs.join(side("b"), "b").join(side("a"), "a").mapInPandas(_bounded(threshold), "a long, b long")
+            pairs = sides(untried(pairs, tried), profiles).mapInPandas(_bounded(threshold), "a long, b long")
         else:
-            pairs = remaining_pairs(met, groups, profiles, threshold)
-        if tried is not None:
-            pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
+            pairs = remaining_pairs(met, groups, profiles, tried, threshold)
         pairs = cut_lineage(pairs, n)
         if not (n_pairs := pairs.count()):
             continue

@@ -83,9 +83,28 @@ def test_blocks_leave_no_pair_out():
     rng = np.random.default_rng(13)
     of = [rng.integers(0, 40, rng.integers(20, 30)).astype(np.uint64) for _ in range(30)]
     of += [np.where(rng.random(len(x)) < 0.15, rng.integers(0, 40, len(x)), x).astype(np.uint64) for x in of]
-    pdf = pd.DataFrame({"id": range(60), "n": [len(x) for x in of], "counts": [near_dedup.profile(x) for x in of], "bucket": 1, "group": range(60), "block": [i % 2 for i in range(60)]})
+    pdf = pd.DataFrame({"id": range(60), "n": [len(x) for x in of], "counts": [near_dedup.profile(x) for x in of], "bucket": 1, "own": [np.array([1])] * 60, "group": range(60), "block": [i % 2 for i in range(60)]})
     runs = pd.concat([pdf[pdf["block"].isin(b)].assign(i=b[0], j=b[1]) for b in ((0, 0), (0, 1), (1, 1))], ignore_index=True)
     found = pd.concat(near_dedup._close(0.8)([runs.iloc[:25], runs.iloc[25:90], runs.iloc[90:]]))
     got = set(zip(found["a"], found["b"], strict=True))
     alike = {(a, b) for b in range(60) for a in range(b) if near_dedup.alike(of[a], of[b], 0.8)}
     assert alike and alike <= got and len(got) < 60 * 59 // 2
+
+
+def test_a_pair_of_several_buckets_is_named_once():
+    import pandas as pd
+
+    words = np.arange(30, dtype=np.uint64)
+    own = [np.array(x) for x in ([1, 2, 5], [2, 5], [1, 5], [5], [1, 2, 5])]
+    rows = pd.DataFrame({"id": range(5), "n": 30, "counts": [near_dedup.profile(words)] * 5, "group": range(5), "block": 0, "i": 0, "j": 0, "own": own})
+    runs = pd.concat([rows[[b in x for x in own]].assign(bucket=b) for b in (1, 2, 5)], ignore_index=True)
+    found = pd.concat(near_dedup._close(0.8)([runs]))
+    assert sorted(zip(found["a"], found["b"], strict=True)) == [(a, b) for a in range(5) for b in range(a + 1, 5)]
+
+
+def test_a_hub_of_more_pairs_than_a_run(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "RUN_PAIRS", 3)
+    rng = np.random.default_rng(16)
+    words = [f"w{rng.integers(1 << 40)}" for _ in range(60)]
+    texts = [" ".join(words)] + [" ".join(changed(rng, words, [k])) for k in range(40)]
+    assert set(classes(spark, texts).values()) == {0}
