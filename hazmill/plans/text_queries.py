@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hazmill.functions import text as T
+from hazmill.operators import chunks as C
 from hazmill.operators import corpus
 from hazmill.plans.registry import query, table
 
@@ -55,19 +56,49 @@ def normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _HEADING_SQL = r"'^\s*(?:[A-Z][A-Z \-/&]{4,}|\d+(?:\.\d+)*\s+[A-Z].{0,80})\s*$'"
-_SECTIONS = rf"""
-with ls as (select doc_id, unnest(string_split(text, chr(10))) as l, generate_subscripts(string_split(text, chr(10)), 1) as i
+_SECTION_ROWS = rf"""
+ls as (select doc_id, unnest(string_split(text, chr(10))) as l, generate_subscripts(string_split(text, chr(10)), 1) as i
             from (select doc_id, concat('OVERVIEW OF ', upper(source), chr(10), text, chr(10), '2.1 Findings', chr(10), lang) as text from documents)),
 h as (select *, regexp_matches(l, {_HEADING_SQL}) as hd from ls),
 s as (select *, sum(hd::int) over (partition by doc_id order by i) as section_no from h),
-g as (select doc_id, section_no, coalesce(max(case when hd then {_STRIP.format('l')} end), '') as heading, {_STRIP.format("coalesce(string_agg(case when not hd then l end, chr(10) order by i), '')")} as body from s group by doc_id, section_no)
-select doc_id, section_no::int as section_no, heading, length(body)::int as body_chars from g where body <> ''"""
+g as (select doc_id, section_no, coalesce(max(case when hd then {_STRIP.format('l')} end), '') as heading, {_STRIP.format("coalesce(string_agg(case when not hd then l end, chr(10) order by i), '')")} as body from s group by doc_id, section_no)"""
 
 
-@query("sections", _SECTIONS)
-def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+def headed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents with two headings, so that each has two sections at least."""
     text = F.concat(F.lit("OVERVIEW OF "), F.upper("source"), F.lit("\n"), "text", F.lit("\n2.1 Findings\n"), "lang")
-    return corpus.split_sections(table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))).select("doc_id", "section_no", "heading", F.length("body").alias("body_chars"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("-", "source", "doc_id").alias("name"), text.alias("text"))
+
+
+@query("sections", f"with {_SECTION_ROWS} select doc_id, section_no::int as section_no, heading, length(body)::int as body_chars from g where body <> ''")
+def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.split_sections(headed(spark, sf_dir)).select("doc_id", "section_no", "heading", F.length("body").alias("body_chars"))
+
+
+#: The fold over a section's sentences as a recursion: piece counts the chunks begun, words those of the open one.
+_CHUNKS = rf"""
+with recursive {_SECTION_ROWS},
+cut as (select doc_id, section_no, heading, body, {_SENTENCES.replace('replace(text', 'replace(body')} as ss from g where body <> ''),
+rows as (select doc_id, section_no, unnest(ss) as sentence, generate_subscripts(ss, 1) - 1 as place from cut where len(ss) > 1),
+b as (select doc_id, section_no, place, (cast(concat('0x', substr(md5(term), 1, 8)) as bigint) % 384)::int as bucket from (select doc_id, section_no, place, unnest(regexp_extract_all(lower(sentence), '[a-z0-9]+')) as term from rows)),
+n as (select doc_id, section_no, place, bucket, count(*) as n from b group by all),
+v as (select doc_id, section_no, place, bucket, n / sqrt(sum(n * n) over (partition by doc_id, section_no, place)) as value from n),
+near as (select a.doc_id, a.section_no, a.place, sum(a.value * o.value) as sim from v a join v o on a.doc_id = o.doc_id and a.section_no = o.section_no and a.bucket = o.bucket and o.place = a.place - 1 group by all),
+sim as materialized (select doc_id, section_no, place, sentence, len(regexp_extract_all(sentence, '[^\s]+')) as words, round(coalesce(sim, 0), 9) < {C.THRESHOLD} as shift from rows left join near using (doc_id, section_no, place)),
+f as (select doc_id, section_no, place, 0 as piece, words from sim where place = 0
+  union all select doc_id, section_no, place, piece + ends::int, case when ends then 0 else open end + words
+  from (select s.doc_id, s.section_no, s.place, s.words, f.piece, f.words as open, (s.shift and f.words >= {C.MIN_WORDS}) or f.words >= {C.MAX_WORDS} as ends from f join sim s on s.doc_id = f.doc_id and s.section_no = f.section_no and s.place = f.place + 1)),
+pieces as (select doc_id, section_no, piece, string_agg(sentence, ' ' order by place) as text from f join sim using (doc_id, section_no, place) group by all
+  union all select doc_id, section_no, 0, body from cut where len(ss) < 2),
+numbered as (select *, row_number() over (partition by doc_id order by section_no, piece) - 1 as idx from pieces)
+select doc_id, idx::int as idx, heading as section, concat(source, '-', doc_id, '::', idx, '::', substr(sha1(p.text), 1, 10)) as chunk_id, length(p.text)::int as chars
+from numbered p join cut using (doc_id, section_no) join documents using (doc_id)"""
+
+
+@query("semantic_chunks", _CHUNKS)
+def semantic_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = C.index_documents(headed(spark, sf_dir), "incidents", digest="md5")
+    return out.select("doc_id", "idx", "section", "chunk_id", F.length("text").alias("chars"))
 
 
 _LINES = f"""
