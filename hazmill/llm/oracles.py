@@ -79,4 +79,37 @@ select policy, rule, count(*)::bigint as n_docs, count(*) filter (failure_bits &
 from bits, grid group by policy, rule"""
 
 
-ORACLES: dict[str, str] = {"op1_secret_scan": _secrets_sql(), "op3_quality_ledger": _QUALITY, "quality_ablations": _ablations_sql()}
+#: Every 100-byte string by its MD5; runs of covered bytes are merged where they touch.
+_REPEATS = """
+with docs as (select doc_id, encode(coalesce(text, '')) as b, strlen(coalesce(text, '')) as n from documents),
+starts as (select doc_id, b, unnest(range(n - 99)) as i from docs where n >= 100),
+grams as (select doc_id, i, md5_number(b[i + 1:i + 100]) as gram from starts),
+firsts as (select gram, min({'d': doc_id, 'i': i}) as f from grams group by gram having count(*) > 1),
+again as (select doc_id, i from grams join firsts using (gram) where doc_id > f.d or (doc_id = f.d and i > f.i)),
+marked as (select doc_id, i, i > lag(i, 1, -1000) over w + 100 as opens from again window w as (partition by doc_id order by i)),
+numbered as (select doc_id, i, sum(opens::int) over (partition by doc_id order by i) as run from marked),
+runs as (select doc_id, min(i) as s, max(i) + 100 as e from numbered group by doc_id, run),
+gaps as (select doc_id, s, e - s as removed, lag(e, 1, 0) over (partition by doc_id order by s) as after, s as until from runs
+  union all select doc_id, n, null, coalesce((select max(e) from runs where runs.doc_id = docs.doc_id), 0), n from docs),
+kept as (select doc_id, sum(removed) as n_removed, count(removed) as n_spans, string_agg(hex(b[after + 1:until]), '' order by s, removed nulls last) as h from gaps join docs using (doc_id) group by doc_id)
+select doc_id, n as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, n_spans::bigint as n_spans, sha256(unhex(coalesce(h, ''))) as kept_sha256 from docs join kept using (doc_id)"""
+
+
+#: All pairs in double precision; what the Hamming tables find must be all of them on these tables.
+_NEAR_VECTORS = """
+with recursive given as (select vec_id, embedding::double[] as e from embeddings),
+sound as (select vec_id, e, sqrt(list_dot_product(e, e)) as norm from given where e is not null and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0),
+links as (select a.vec_id as a, o.vec_id as o from sound a join sound o on a.vec_id <> o.vec_id where len(a.e) = len(o.e) and list_dot_product(a.e, o.e) >= 0.95 * a.norm * o.norm),
+reached as (select vec_id, vec_id as o from given union select r.vec_id, links.o from reached r join links on links.a = r.o),
+component as (select vec_id, min(o) as component_id from reached group by vec_id),
+linked as (select a as vec_id, count(*) as n from links group by a)
+select vec_id, coalesce(n, 0)::bigint as n_links, component_id, vec_id = component_id as kept from component left join linked using (vec_id)"""
+
+
+ORACLES: dict[str, str] = {
+    "op1_secret_scan": _secrets_sql(),
+    "op3_quality_ledger": _QUALITY,
+    "op8_itq_embeddings": _NEAR_VECTORS,
+    "op10_suffix_dedup": _REPEATS,
+    "quality_ablations": _ablations_sql(),
+}
