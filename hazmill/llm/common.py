@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,6 +53,33 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet to the shared folder and read again: what several readers need, smaller than a checkpoint."""
+    to = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(to)
+    return df.sparkSession.read.schema(df.schema).parquet(to)
+
+
+#: Bits of a filter: two MB, whatever it holds; one that fills up lets more through, and never keeps back what it was given.
+FILTER_BITS = 1 << 24
+
+
+def bit_filter(hashes: DataFrame) -> Broadcast:
+    """A broadcast filter (FILTER_BITS, packed) of the long column h, of which the low bits count; the driver receives its words alone."""
+    slot = F.col("h").bitwiseAND(F.lit(FILTER_BITS - 1))
+    words = hashes.groupBy(F.shiftrightunsigned(slot, 15).alias("word")).agg(F.bitmap_construct_agg(slot.bitwiseAND(F.lit(32767))).alias("bits"))
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in words.toLocalIterator():
+        out[r.word * 4096 : r.word * 4096 + len(r.bits)] = np.frombuffer(bytes(r.bits), np.uint8)
+    return hashes.sparkSession.sparkContext.broadcast(out)
+
+
+def may_hold(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether a filter may hold each hash."""
+    slot = hashes.astype(np.uint64) & np.uint64(FILTER_BITS - 1)
+    return (bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+
 def scan_texts(docs: DataFrame, make: Callable[[], Callable[[list[str]], dict]], fields: str) -> DataFrame:
     """doc_id and, for each text (null: empty), the fields that a function gives for a run of texts; make builds it once for each task.
 

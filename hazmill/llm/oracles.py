@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hazmill.llm import quality, secrets
+from hazmill.llm import chat, collocations, lexical, quality, secrets
 
 _RULE = r"""
   select doc_id, {k} as k, '{kind}' as kind, unnest(regexp_extract_all(t, {re}, 0)) as m,
@@ -106,10 +106,66 @@ linked as (select a as vec_id, count(*) as n from links group by a)
 select vec_id, coalesce(n, 0)::bigint as n_links, component_id, vec_id = component_id as kept from component left join linked using (vec_id)"""
 
 
+_LOWER = "translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: Every phrase at every place.
+_COLLOCATIONS = rf"""
+with pieces as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array({_LOWER.format(text="coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) as piece from documents),
+words as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces),
+sizes(size) as (values (1), (2), (3), (4)),
+f as (select lang, phrase, size, count(*) as f from (select lang, size, unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i:i + size - 1], ' '))) as phrase from words, sizes where len(w) >= size) group by all),
+total as (select lang, sum(f)::bigint as n from f where size = 1 group by 1),
+cand as (select lang, phrase, size, f as a, string_split(phrase, ' ') as w from f where size > 1 and f >= {collocations.LEAST}),
+cuts as (select lang, phrase, a, w, unnest(range(1, size)) as k from cand),
+scored as (select c.lang, c.phrase, c.a, k, l.f as l, r.f as r, (2000000 * c.a::hugeint) // (l.f + r.f) as score from cuts c
+  join f l on l.lang = c.lang and l.phrase = array_to_string(c.w[:k], ' ') join f r on r.lang = c.lang and r.phrase = array_to_string(c.w[k + 1:], ' ')),
+lowest as (select * from scored qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+inside as (select lang, phrase, max(a) as outer_a from (select lang, a, unnest(flatten(list_transform(range(2, size), lambda s: list_transform(range(1, size - s + 2), lambda i: array_to_string(w[i:i + s - 1], ' '))))) as phrase from cand) group by 1, 2),
+kept as (select lowest.* from lowest left join inside using (lang, phrase) where outer_a is null or 100 * outer_a < {collocations.COVERED} * a),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept)
+select lang, rank, phrase, a, l, r, n, score::bigint as score from ranked join total using (lang) where rank <= {collocations.BEST}"""
+
+
+def _chat_sql() -> str:
+    from hazmill.llm.queries import HOSTILE
+
+    def escaped(c: str) -> str:
+        out = f"replace({c}, '\\', '\\\\')"
+        for mark in chat.CONTROL:
+            out = f"replace({out}, '{mark}', '{chat.broken(mark)}')"
+        return out
+
+    marks = len(chat.START + chat.BODY + chat.END)
+    return f"""
+with rows as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations union all values (-7, 0, 'user', '{HOSTILE}'), (-7, 1, 'assistant', '{HOSTILE}'))
+select conv_id, count(*) as n_turns, sha256(string_agg(concat(role, chr(10), text, chr(10)), '' order by turn nulls last, text, role)) as turns_sha256,
+  coalesce(sum(length(text)) filter (role = '{chat.LEARNED}'), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn nulls last, text, role) filter (role = '{chat.LEARNED}'), '')) as loss_sha256,
+  sum({marks} + length({escaped("role")}) + length({escaped("text")}))::bigint as formatted_chars
+from rows group by conv_id"""
+
+
+#: Every item against every document that shares a term.
+_RANKED = rf"""
+with docs as (select doc_id, row_number() over () as d, regexp_extract_all({_LOWER.format(text="coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as t from documents),
+items as (select item_id, row_number() over () as i, regexp_extract_all({_LOWER.format(text="coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as t from benchmark),
+size as (select count(*)::bigint as nn, sum(len(t))::bigint as ll from docs where len(t) > 0),
+post as (select d, term, count(*) as tf from (select d, unnest(t) as term from docs) group by 1, 2),
+weight as (select term, floor(1000 * ln((2 * nn + 2)::double / (2 * count(*) + 1)::double))::bigint as w from post, size group by term, nn),
+asked as (select i, term, count(*) as qtf from (select i, unnest(t) as term from items) group by 1, 2),
+m as (select d, doc_id, {100 - lexical.B} + ({lexical.B} * len(t)::bigint * nn) // ll as m from docs, size where len(t) > 0),
+scored as (select i, d, sum(qtf * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::bigint as score from asked join weight using (term) join post using (term) join m using (d) group by 1, 2),
+ranked as (select i, doc_id, score, row_number() over (partition by i order by score desc, doc_id) as rank from scored join m using (d) where score > 0)
+select item_id, rank::int as rank, doc_id, score from ranked join items using (i) where rank <= {lexical.K}"""
+
+
 ORACLES: dict[str, str] = {
     "op1_secret_scan": _secrets_sql(),
     "op3_quality_ledger": _QUALITY,
     "op8_itq_embeddings": _NEAR_VECTORS,
     "op10_suffix_dedup": _REPEATS,
+    "op11_prefix_free_collocations": _COLLOCATIONS,
+    "op12_chat_assembly": _chat_sql(),
+    "op13_term_pipeline": _RANKED,
     "quality_ablations": _ablations_sql(),
 }
