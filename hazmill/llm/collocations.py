@@ -15,12 +15,12 @@ they are unsure of, so they change the work and never a count.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Callable, Iterator
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,32 +28,33 @@ from pyspark.sql import functions as F
 from hazmill.llm.common import bit_filter, chunks, cut_lineage, may_hold, stored, text_of
 
 LONGEST, LEAST, COVERED, BEST = 4, 30, 80, 2000
-#: A chunk has so many words on average.
+#: A word pair in so many begins a chunk.
 TRIGGER = 32
 #: Characters that a task handles at once.
 RUN = 4_000_000
 
-#: Bytes of a text: A-Z lower-cased, what ends a piece to a full stop, a tab to a space.
+#: Bytes of a text: A-Z lower-cased, what ends a piece to a full stop, a tab to a space. No word has any of these marks.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else 46 if chr(c) in ".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c for c in range(256))
-#: Between a chunk's own words and those it shares with the next; no word can have it.
-_SHARED = b"\r"
+#: The end of a piece; in an entry, what comes before the words it shares with the next chunk; between entries.
+_STOP, _SHARED, _END = ".", "?", "!"
+_SPACE = pa.scalar(" ", pa.large_string())
 
 
-class _Ids(dict):
-    """A number for each word, in order of first sight; 0 is the end of a piece."""
+class _Tokens:
+    """The tokens of a list of strings: at (numbers of distinct ones), first (of each string, and the end), size (bytes of each)."""
 
-    def __init__(self) -> None:
-        super().__init__({b".": 0})
+    def __init__(self, strings: list[bytes]) -> None:
+        lists = pc.ascii_split_whitespace(pa.array(strings, pa.large_binary()).cast(pa.large_string()))
+        self.flat = flat = lists.flatten()
+        coded = flat.dictionary_encode()
+        self.first, self.at, self.words = lists.offsets.to_numpy() - lists.offsets[0].as_py(), coded.indices.to_numpy().astype(np.int64), coded.dictionary
+        self.size = pc.binary_length(flat).to_numpy()
+        self._bytes = self.words.cast(pa.large_binary()).to_pylist()
+        self.number = {m: self._bytes.index(m.encode()) if m.encode() in self._bytes else -1 for m in (_STOP, _SHARED, _END)}
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = k = len(self)
-        return k
-
-
-def _hashes(ids: _Ids, known: np.ndarray, lang: bytes = b"") -> np.ndarray:
-    """64-bit hashes of all numbered words; known: those of the first ones."""
-    more = [xxhash.xxh3_64_intdigest(lang + b"\t" + w) for w in list(ids)[len(known) :]]
-    return np.r_[known, np.array(more, np.uint64)]
+    def hashes(self, hash_of: Callable[[bytes], int], kind: type) -> np.ndarray:
+        """Of each distinct token."""
+        return np.fromiter(map(hash_of, self._bytes), kind, len(self._bytes))
 
 
 def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -63,34 +64,47 @@ def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def tokens_of(text: str) -> list[bytes]:
-    """Words, and a full stop for each end of a piece."""
-    return text.encode().translate(_TABLE).replace(b".", b" . ").split()
+def normal(text: str) -> bytes:
+    """Words and, for each end of a piece, a full stop, all apart by spaces."""
+    return text.encode().translate(_TABLE).replace(b".", b" . ").strip(b" ")
+
+
+def _cut(texts: list[bytes]) -> list[list[bytes]]:
+    """The chunks of each normal text, none of which is empty."""
+    t = _Tokens(texts)
+    n, first = len(t.at), t.first
+    hashes = t.hashes(xxhash.xxh3_64_intdigest, np.uint64)[t.at]
+    begins = np.zeros(n + 1, bool)
+    begins[1 : n - 1] = _pair(hashes[1 : n - 1], hashes[2:]) % np.uint64(TRIGGER) == 0 if n > 2 else False
+    begins[first] = True
+    start = np.flatnonzero(begins)
+    # a chunk's next words, up to the end of the piece that its last word stands in and of the text
+    stops = np.append(np.flatnonzero(t.at == t.number[_STOP]), n)
+    end = start[1:]
+    shared = np.minimum(end + LONGEST - 1, np.minimum(stops[np.searchsorted(stops, end - 1)], first[np.searchsorted(first, end)]))
+    # bytes of the tokens joined by single spaces
+    ends = np.cumsum(t.size + 1) - 1
+    place = np.append(0, ends + 1)
+    joined = pc.binary_join(pa.LargeListArray.from_arrays(pa.array([0, n], pa.int64()), t.flat), _SPACE)[0].as_buffer().to_pybytes()
+    mark = b" " + _SHARED.encode() + b" "
+    own = [joined[a:b] for a, b in zip(place[start[:-1]].tolist(), ends[end - 1].tolist(), strict=True)]
+    out = [o + mark + joined[a:b] if b > a else o for o, a, b in zip(own, place[end].tolist(), np.where(shared > end, ends[np.minimum(shared, n) - 1], 0).tolist(), strict=True)]
+    cuts = np.searchsorted(start, first).tolist()
+    return [out[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 def parse(docs: DataFrame) -> DataFrame:
     """The dictionary: lang, chunk, times."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, hashes = _Ids(), np.zeros(0, np.uint64)
         for batch in batches:
             langs, texts = batch.column("lang").to_pylist(), batch.column("text").to_pylist()
             for a, b in chunks(texts, RUN):
                 found: dict[tuple, int] = {}
-                for lang, text in zip(langs[a:b], texts[a:b], strict=True):
-                    t = tokens_of(text)
-                    if not t:
-                        continue
-                    at = np.fromiter(map(ids.__getitem__, t), np.int64, len(t))
-                    if len(ids) > len(hashes):
-                        hashes = _hashes(ids, hashes)
-                    pairs = _pair(hashes[at[:-1]], hashes[at[1:]])
-                    starts = [0, *(1 + np.flatnonzero(pairs[1:] % np.uint64(TRIGGER) == 0)).tolist(), len(t)]
-                    stops = np.append(np.flatnonzero(at == 0), len(t))
-                    ends = stops[np.searchsorted(stops, np.array(starts[1:-1], np.int64) - 1)].tolist()  # of the piece that a next chunk's words go on
-                    for s, e, stop in zip(starts, starts[1:], [*ends, len(t)], strict=False):
-                        shared = t[e : min(e + LONGEST - 1, stop)]
-                        key = (lang, b" ".join(t[s:e]) + (_SHARED + b" ".join(shared) if shared else b""))
+                some = [(lang, t) for lang, t in zip(langs[a:b], map(normal, texts[a:b]), strict=True) if t]
+                for (lang, _), cut in zip(some, _cut([t for _, t in some]) if some else [], strict=True):
+                    for chunk in cut:
+                        key = (lang, chunk)
                         found[key] = found.get(key, 0) + 1
                 yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.binary()), pa.array(found.values(), pa.int64())], names=["lang", "chunk", "times"])
 
@@ -100,30 +114,34 @@ def parse(docs: DataFrame) -> DataFrame:
 
 
 class _Words:
-    """The words of entries of one language: numbers, weights, and where a phrase may begin."""
-
-    def __init__(self, ids: _Ids, entries: list[bytes], times: np.ndarray) -> None:
-        own, shared, t = [], [], []
-        for entry in entries:
-            a, _, b = entry.partition(_SHARED)
-            a, b = a.split(), b.split()
-            t += a, b, [b"."]
-            own.append(len(a)), shared.append(len(b) + 1)
-        t = list(chain.from_iterable(t))
-        self.at = np.fromiter(map(ids.__getitem__, t), np.int64, len(t))
-        sizes = np.array([own, shared]).T.ravel()
-        self.own = np.repeat(np.tile([True, False], len(own)), sizes)
-        self.times = np.repeat(times, sizes.reshape(-1, 2).sum(axis=1))
-
-    def starts(self, n: int, kept: np.ndarray) -> np.ndarray:
-        """Places where n words stand in one piece, all kept (by number)."""
-        good = kept[self.at]
+    """The tokens of entries of one language: numbers, weights, which are words, and where a phrase may begin."""
+
+    def __init__(self, lang: str, entries: list[bytes], times: np.ndarray) -> None:
+        end = f" {_END} ".encode()
+        t = self.tokens = _Tokens([end.join(entries) + end[:-1]])
+        is_shared, is_end = t.at == t.number[_SHARED], t.at == t.number[_END]
+        marks = np.cumsum(is_shared)
+        before = np.maximum.accumulate(np.where(is_end, marks, 0))
+        entry = np.cumsum(is_end) - is_end
+        kept = ~is_shared
+        self.lang, self.at = lang, t.at[kept]
+        self.own, self.times = (marks == np.append(0, before[:-1]))[kept], times[entry[kept]]
+        self.is_word = np.ones(len(t.words), bool)
+        self.is_word[[i for i in t.number.values() if i >= 0]] = False
+
+    def starts(self, n: int, good: np.ndarray) -> np.ndarray:
+        """Places of entries' own where n tokens stand, all good (by number)."""
+        here = good[self.at]
         out = self.own.copy()
         for k in range(n):
-            out[: len(out) - k] &= good[k:]
+            out[: len(out) - k] &= here[k:]
             out[len(out) - k :] = False
         return np.flatnonzero(out)
 
+    def phrases(self, at: np.ndarray, n: int) -> pa.Array:
+        """The n words from each place on."""
+        return pc.binary_join_element_wise(*[self.tokens.words.take(pa.array(self.at[at + k])) for k in range(n)], _SPACE).cast(pa.large_binary()).cast(pa.binary())
+
 
 def _summed(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(distinct keys' first places, their sums of times, for each key its number)."""
@@ -133,19 +151,16 @@ def _summed(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return first, sums, number
 
 
-def _over(entries: DataFrame, count, ddl: str) -> DataFrame:
-    """count(lang, words, ids, word list) for each language of each run of entries; it yields batches."""
+def _over(entries: DataFrame, count: Callable[[_Words], pa.RecordBatch], ddl: str) -> DataFrame:
+    """What count gives for each language of each run of entries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, _Ids] = {}
         for batch in batches:
             langs, rows, times = np.array(batch.column("lang").to_pylist(), object), batch.column("chunk").to_pylist(), batch.column("times").to_numpy()
             for a, b in chunks(rows, RUN):
-                for lang in set(langs[a:b]):
+                for lang in sorted(set(langs[a:b])):
                     of = a + np.flatnonzero(langs[a:b] == lang)
-                    ids = known.setdefault(lang, _Ids())
-                    words = _Words(ids, [rows[i] for i in of], times[of])
-                    yield count(lang, words, ids)
+                    yield count(_Words(lang, [rows[i] for i in of], times[of]))
 
     return entries.mapInArrow(run, ddl)
 
@@ -153,11 +168,10 @@ def _over(entries: DataFrame, count, ddl: str) -> DataFrame:
 def word_counts(entries: DataFrame) -> DataFrame:
     """lang, phrase, f of single words."""
 
-    def count(lang: str, words: _Words, ids: _Ids) -> pa.RecordBatch:
-        at = words.starts(1, np.arange(len(ids)) > 0)
+    def count(words: _Words) -> pa.RecordBatch:
+        at = words.starts(1, words.is_word)
         first, sums, _ = _summed(words.at[at], words.times[at])
-        names = list(ids)
-        return pa.RecordBatch.from_arrays([pa.array([lang] * len(first)), pa.array([names[i] for i in words.at[at[first]]], pa.binary()), pa.array(sums)], names=["lang", "phrase", "f"])
+        return pa.RecordBatch.from_arrays([pa.array([words.lang] * len(first)), words.phrases(at[first], 1), pa.array(sums)], names=["lang", "phrase", "f"])
 
     return _over(entries, count, "lang string, phrase binary, f bigint").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
@@ -170,37 +184,32 @@ def phrase_counts(entries: DataFrame, words: DataFrame, least: int = LEAST) -> D
     """lang, phrase, f of the phrases of two to LONGEST words with f >= least."""
     often = bit_filter(words.where(F.col("f") >= least).select(word_key(F.col("lang"), F.col("phrase")).alias("h")))
 
-    def kept_words(lang: str, ids: _Ids) -> np.ndarray:
-        bits = often.value
-        kept = may_hold(bits, np.fromiter((crc32(lang.encode() + b"\t" + w) for w in ids), np.int64, len(ids)))
-        kept[0] = False
-        return kept
+    def frequent(words: _Words) -> np.ndarray:
+        seed = crc32(words.lang.encode() + b"\t")
+        return words.is_word & may_hold(often.value, words.tokens.hashes(lambda w: crc32(w, seed), np.int64))
 
-    def pair_hashes(lang: str, words: _Words, ids: _Ids, at: np.ndarray) -> np.ndarray:
-        used = np.unique(np.r_[words.at[at], words.at[at + 1]])
-        names, of = list(ids), np.zeros(len(ids), np.uint64)
-        of[used] = [xxhash.xxh3_64_intdigest(lang.encode() + b"\t" + names[i]) for i in used]
+    def pair_hashes(words: _Words, at: np.ndarray) -> np.ndarray:
+        of = words.tokens.hashes(xxhash.xxh3_64_intdigest, np.uint64) + np.uint64(xxhash.xxh3_64_intdigest(words.lang.encode()))
         return _pair(of[words.at[at]], of[words.at[at + 1]])
 
-    def count_pairs(lang: str, words: _Words, ids: _Ids) -> pa.RecordBatch:
-        at = words.starts(2, kept_words(lang, ids))
-        h = pair_hashes(lang, words, ids, at).astype(np.int64)
+    def count_pairs(words: _Words) -> pa.RecordBatch:
+        at = words.starts(2, frequent(words))
+        h = pair_hashes(words, at).astype(np.int64)
         first, sums, _ = _summed(h, words.times[at])
         return pa.RecordBatch.from_arrays([pa.array(h[first]), pa.array(sums)], names=["h", "f"])
 
     pairs = _over(entries, count_pairs, "h bigint, f bigint").groupBy("h").agg(F.sum("f").alias("f"))
     often_pairs = bit_filter(pairs.where(F.col("f") >= least).select("h"))
 
-    def count(lang: str, words: _Words, ids: _Ids) -> pa.RecordBatch:
-        kept, bits, names = kept_words(lang, ids), often_pairs.value, list(ids)
+    def count(words: _Words) -> pa.RecordBatch:
         # pairs at every place, also where only a chunk before may begin a phrase
         own, words.own = words.own, np.ones(len(words.own), bool)
-        at = words.starts(2, kept)
-        at = at[may_hold(bits, pair_hashes(lang, words, ids, at))]
+        at = words.starts(2, frequent(words))
+        at = at[may_hold(often_pairs.value, pair_hashes(words, at))]
         words.own = own
         good = np.zeros(len(own), bool)
         good[at] = True
-        phrases, sums = [], []
+        phrases, sums = [pa.array([], pa.binary())], [np.zeros(0, np.int64)]
         key = words.at.copy()  # of the n words from a place on, dense
         begin = good.copy()
         for n in range(2, LONGEST + 1):
@@ -214,11 +223,11 @@ def phrase_counts(entries: DataFrame, words: DataFrame, least: int = LEAST) -> D
             _, number = np.unique((key[at] << 32) | words.at[at + n - 1], return_inverse=True)
             key[at] = number
             mine = at[own[at]]
-            if len(mine):
-                first, f, _ = _summed(key[mine], words.times[mine])
-                phrases += [b" ".join([names[k] for k in words.at[i : i + n]]) for i in mine[first]]
-                sums.append(f)
-        return pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.binary()), pa.array(np.concatenate([np.zeros(0, np.int64), *sums]))], names=["lang", "phrase", "f"])
+            first, f, _ = _summed(key[mine], words.times[mine])
+            phrases.append(words.phrases(mine[first], n))
+            sums.append(f)
+        phrase = pa.concat_arrays(phrases)
+        return pa.RecordBatch.from_arrays([pa.array([words.lang] * len(phrase), pa.string()), phrase, pa.array(np.concatenate(sums))], names=["lang", "phrase", "f"])
 
     return _over(entries, count, "lang string, phrase binary, f bigint").groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
 
