@@ -7,7 +7,8 @@ alone. Equal chunks of copies and shared passages are one entry of a dictionary
 with a frequency; phrases are counted in entries, each weighted by its frequency.
 
 Counting goes from short to long: words first; then hashes of word pairs without a
-rare word; then, exactly, the phrases all of whose pairs may be frequent. What is
+rare word, and of triples of pairs that may be frequent; then, exactly, the phrases
+all of whose parts may be frequent. What is
 left out on the way cannot be a candidate: a phrase is no more frequent than any
 part of it. The filters between the passes have a fixed size and let through what
 they are unsure of, so they change the work and never a count.
@@ -22,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -129,14 +131,14 @@ class _Words:
         self.is_word = np.ones(len(t.words), bool)
         self.is_word[[i for i in t.number.values() if i >= 0]] = False
 
-    def starts(self, n: int, good: np.ndarray) -> np.ndarray:
-        """Places of entries' own where n tokens stand, all good (by number)."""
+    def starts(self, n: int, good: np.ndarray, everywhere: bool = False) -> np.ndarray:
+        """Whether n tokens stand at each place, all good (by number); everywhere, or where an entry's own phrases begin."""
         here = good[self.at]
-        out = self.own.copy()
+        out = np.ones(len(here), bool) if everywhere else self.own.copy()
         for k in range(n):
             out[: len(out) - k] &= here[k:]
             out[len(out) - k :] = False
-        return np.flatnonzero(out)
+        return out
 
     def phrases(self, at: np.ndarray, n: int) -> pa.Array:
         """The n words from each place on."""
@@ -169,9 +171,9 @@ def word_counts(entries: DataFrame) -> DataFrame:
     """lang, phrase, f of single words."""
 
     def count(words: _Words) -> pa.RecordBatch:
-        at = words.starts(1, words.is_word)
+        at = np.flatnonzero(words.starts(1, words.is_word))
         first, sums, _ = _summed(words.at[at], words.times[at])
-        return pa.RecordBatch.from_arrays([pa.array([words.lang] * len(first)), words.phrases(at[first], 1), pa.array(sums)], names=["lang", "phrase", "f"])
+        return pa.RecordBatch.from_arrays([pa.array([words.lang] * len(first), pa.string()), words.phrases(at[first], 1), pa.array(sums)], names=["lang", "phrase", "f"])
 
     return _over(entries, count, "lang string, phrase binary, f bigint").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
@@ -188,41 +190,54 @@ def phrase_counts(entries: DataFrame, words: DataFrame, least: int = LEAST) -> D
         seed = crc32(words.lang.encode() + b"\t")
         return words.is_word & may_hold(often.value, words.tokens.hashes(lambda w: crc32(w, seed), np.int64))
 
-    def pair_hashes(words: _Words, at: np.ndarray) -> np.ndarray:
-        of = words.tokens.hashes(xxhash.xxh3_64_intdigest, np.uint64) + np.uint64(xxhash.xxh3_64_intdigest(words.lang.encode()))
-        return _pair(of[words.at[at]], of[words.at[at + 1]])
-
-    def count_pairs(words: _Words) -> pa.RecordBatch:
-        at = words.starts(2, frequent(words))
-        h = pair_hashes(words, at).astype(np.int64)
-        first, sums, _ = _summed(h, words.times[at])
-        return pa.RecordBatch.from_arrays([pa.array(h[first]), pa.array(sums)], names=["h", "f"])
-
-    pairs = _over(entries, count_pairs, "h bigint, f bigint").groupBy("h").agg(F.sum("f").alias("f"))
-    often_pairs = bit_filter(pairs.where(F.col("f") >= least).select("h"))
+    def hashes(words: _Words) -> np.ndarray:
+        return words.tokens.hashes(xxhash.xxh3_64_intdigest, np.uint64) + np.uint64(xxhash.xxh3_64_intdigest(words.lang.encode()))
+
+    def places(words: _Words, filters: list[Broadcast]) -> list[np.ndarray]:
+        """For n = 2, 3, ... whether n words stand at each place, of an entry's own or not, and may all be frequent by the filters that there are."""
+        good = [words.starts(2, frequent(words), everywhere=True)]
+        for bits in filters:
+            n, last = len(good) + 1, good[-1]
+            at = np.flatnonzero(last)
+            last[at[~may_hold(bits.value, keys(words, at, n))]] = False
+            both = last.copy()
+            both[:-1] &= last[1:]
+            both[-1:] = False
+            good.append(both)
+        return good
+
+    def keys(words: _Words, at: np.ndarray, n: int) -> np.ndarray:
+        """32-bit hashes of the n words from each place on: all that a filter needs, and half of what 64 bits would cost to send."""
+        of = hashes(words)
+        out = _pair(of[words.at[at]], of[words.at[at + 1]])
+        for k in range(2, n):
+            out = _pair(out, of[words.at[at + k]])
+        return (out >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+    def may_be_frequent(n: int, filters: list[Broadcast]) -> Broadcast:
+        def count(words: _Words) -> pa.RecordBatch:
+            at = np.flatnonzero(places(words, filters)[-1] & words.own)
+            h = keys(words, at, n)
+            first, sums, _ = _summed(h, words.times[at])
+            return pa.RecordBatch.from_arrays([pa.array(h[first]), pa.array(sums)], names=["h", "f"])
+
+        counted = _over(entries, count, "h int, f bigint").groupBy("h").agg(F.sum("f").alias("f"))
+        return bit_filter(counted.where(F.col("f") >= least).select("h"))
+
+    pairs = may_be_frequent(2, [])
+    triples = may_be_frequent(3, [pairs])
 
     def count(words: _Words) -> pa.RecordBatch:
-        # pairs at every place, also where only a chunk before may begin a phrase
-        own, words.own = words.own, np.ones(len(words.own), bool)
-        at = words.starts(2, frequent(words))
-        at = at[may_hold(often_pairs.value, pair_hashes(words, at))]
-        words.own = own
-        good = np.zeros(len(own), bool)
-        good[at] = True
         phrases, sums = [pa.array([], pa.binary())], [np.zeros(0, np.int64)]
         key = words.at.copy()  # of the n words from a place on, dense
-        begin = good.copy()
-        for n in range(2, LONGEST + 1):
-            if n > 2:
-                more = np.zeros(len(good), bool)
-                more[: len(good) - (n - 2)] = good[n - 2 :]
-                begin &= more
-            at = np.flatnonzero(begin)
+        for n, good in enumerate(places(words, [pairs, triples]), 2):
+            # what begins an entry's own phrase, or is the start of a longer one
+            at = np.flatnonzero(good)
             if not len(at):
                 break
             _, number = np.unique((key[at] << 32) | words.at[at + n - 1], return_inverse=True)
             key[at] = number
-            mine = at[own[at]]
+            mine = at[words.own[at]]
             first, f, _ = _summed(key[mine], words.times[mine])
             phrases.append(words.phrases(mine[first], n))
             sums.append(f)
