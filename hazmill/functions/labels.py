@@ -11,26 +11,25 @@ from pyspark.sql import functions as F
 
 from hazmill.functions import taxonomy as X
 from hazmill.functions.scoring import let
+from hazmill.functions.terms import Terms
 from hazmill.functions.text import word_count
 
+# The pattern of negated outcomes.
 _OUTCOME = r"(?:fatalit\w*|fatal\w*|death\w*|died|injur\w*|casualt\w*|harm)"
 NEGATED = rf"\b(?:no|zero|without|nor)\s+(?:reported\s+|known\s+|serious\s+|other\s+)?{_OUTCOME}(?:\s*(?:,|or|and|nor)\s*{_OUTCOME})*"
 MULTI_INJURY, CLASS_MARGIN, MIN_INDUSTRY, INDUSTRY_MARGIN, FEW_WORDS = 3, 2, 5, 1.5, 100
 
 
-def contains_any(text: Column, terms: list[str]) -> Column:
-    return functools.reduce(operator.or_, [text.contains(t) for t in terms])
-
-
-def count_terms(text: Column, terms: list[str]) -> Column:
-    """How many of the terms occur."""
-    return functools.reduce(operator.add, [text.contains(t).cast("int") for t in terms])
+SEVERE = Terms(X.CRITICAL_TERMS, X.HIGH_TERMS, X.MEDIUM_TERMS)
+MILD = Terms(X.LOW_TERMS)
 
 
 def classify_document(text: Column, verdict: Column | None = None, incident: list[str] | None = None, regulatory: list[str] | None = None) -> Column:
     """'incident' or 'regulatory' by distinct terms of the first 20,000 characters; undecided texts take the verdict, if any."""
-    front = F.lower(F.substring(text, 1, 20_000))
-    a, b = count_terms(front, incident or X.INCIDENT_TERMS), count_terms(front, regulatory or X.REGULATORY_TERMS)
+    one, other = incident or X.INCIDENT_TERMS, regulatory or X.REGULATORY_TERMS
+    terms = Terms(one, other)
+    found = terms.bits(F.lower(F.substring(text, 1, 20_000)))
+    a, b = terms.count(found, one), terms.count(found, other)
     fallback = F.when(a >= b, "incident").otherwise("regulatory")
     if verdict is not None:
         fallback = F.coalesce(verdict, fallback)
@@ -42,16 +41,12 @@ def classify_severity(text: Column, injuries: Column | None = None, fatalities:
     n, d = (F.coalesce(c, F.lit(0)) if c is not None else F.lit(0) for c in (injuries, fatalities))
     undecided = F.coalesce(verdict, F.lit("UNKNOWN")) if verdict is not None else F.lit("UNKNOWN")
     lowered = F.regexp_replace(F.lower(text), r"\s+", " ")
-    both = let(lowered, lambda x: F.struct(x.alias("lowered"), F.regexp_replace(x, NEGATED, " ").alias("stated")))
-    return let(both, lambda x: _tier(x["lowered"], x["stated"], n, d, undecided))
-
-
-def _tier(lowered: Column, stated: Column, n: Column, d: Column, undecided: Column) -> Column:
+    stated, whole = SEVERE.bits(F.regexp_replace(lowered, NEGATED, " ")), MILD.bits(lowered)
     return (
-        F.when((d > 0) | contains_any(stated, X.CRITICAL_TERMS), "CRITICAL")
-        .when((n >= MULTI_INJURY) | contains_any(stated, X.HIGH_TERMS), "HIGH")
-        .when((n > 0) | contains_any(stated, X.MEDIUM_TERMS), "MEDIUM")
-        .when(contains_any(lowered, X.LOW_TERMS) | lowered.rlike(NEGATED), "LOW")
+        F.when((d > 0) | SEVERE.any(stated, X.CRITICAL_TERMS), "CRITICAL")
+        .when((n >= MULTI_INJURY) | SEVERE.any(stated, X.HIGH_TERMS), "HIGH")
+        .when((n > 0) | SEVERE.any(stated, X.MEDIUM_TERMS), "MEDIUM")
+        .when(MILD.any(whole, X.LOW_TERMS) | lowered.rlike(NEGATED), "LOW")
         .otherwise(undecided)
     )
 
@@ -59,13 +54,21 @@ def _tier(lowered: Column, stated: Column, n: Column, d: Column, undecided: Colu
 def detect_hazard_type(text: Column, precursors: list | None = None) -> Column:
     """The family with most patterns in the text, the earlier on ties; 'general' if none."""
     table = precursors or X.PRECURSORS
-    families = [f for f in dict.fromkeys(f for f, *_ in table) if f != "general"]
+    terms = pattern_terms(table)
+    found = terms.bits(F.lower(text))
+    return best_family([F.coalesce(terms.any(found, kw), F.lit(False)) for *_, kw in table], table)
+
 
-    def best(lowered: Column) -> Column:
-        score = {f: functools.reduce(operator.add, [contains_any(lowered, kw).cast("int") for g, _, _, kw in table if g == f]) for f in families}
-        return F.array_max(F.array(*[F.struct(score[f].alias("n"), F.lit(-i).alias("o"), F.lit(f).alias("family")) for i, f in enumerate(families)]))
+def pattern_terms(precursors: list) -> Terms:
+    return Terms(*[kw for *_, kw in precursors])
 
-    return let(let(F.lower(text), best), lambda b: F.when(b["n"] > 0, b["family"]).otherwise("general"))
+
+def best_family(flags: list[Column], table: list) -> Column:
+    """The family with most of the flagged patterns, the earlier on ties; 'general' if none."""
+    families = [f for f in dict.fromkeys(f for f, *_ in table) if f != "general"]
+    score = {f: functools.reduce(operator.add, [flag.cast("int") for flag, (g, *_) in zip(flags, table, strict=True) if g == f], F.lit(0)) for f in families}
+    best = F.greatest(F.struct(F.lit(0).alias("n"), F.lit(1).alias("o"), F.lit("general").alias("family")), *[F.struct(score[f].alias("n"), F.lit(-i).alias("o"), F.lit(f).alias("family")) for i, f in enumerate(families)])
+    return best["family"]
 
 
 def industry_counts(text: Column, industries: dict[str, list[str]] | None = None) -> dict[str, Column]:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hazmill.functions import taxonomy as X
-from hazmill.functions.labels import contains_any
-from hazmill.functions.scoring import let
+from hazmill.functions.labels import best_family, pattern_terms
 
 
 def precursor_table(spark: SparkSession, precursors: list | None = None) -> DataFrame:
@@ -17,25 +19,25 @@ def precursor_table(spark: SparkSession, precursors: list | None = None) -> Data
 
 
 def pattern_hits(text: Column, precursors: list | None = None) -> Column:
-    """Array of pattern orders whose keywords the text has; one expression, so texts are not multiplied by patterns."""
-    table = list(enumerate(precursors or X.PRECURSORS))
-    return let(F.lower(text), lambda t: F.array_compact(F.array(*[F.when(contains_any(t, kw), F.lit(i)) for i, (_, _, _, kw) in table])))
+    """Array of pattern orders whose keywords the text has, from one pass over it; texts are not multiplied by patterns."""
+    table = precursors or X.PRECURSORS
+    terms = pattern_terms(table)
+    found = terms.bits(F.lower(text))
+    return F.array_compact(F.array(*[F.when(terms.any(found, kw), F.lit(i)) for i, (*_, kw) in enumerate(table)]))
 
 
 def with_flags(reports: DataFrame, precursors: list | None = None, text: str = "text") -> DataFrame:
     """reports with pattern_flags: for each pattern whether the text has a keyword of it. Made once, it serves families, matches and counts."""
     table = precursors or X.PRECURSORS
-    lowered = reports.withColumn("lowered", F.lower(text))
-    return lowered.withColumn("pattern_flags", F.array(*[F.coalesce(contains_any(F.col("lowered"), kw), F.lit(False)) for _, _, _, kw in table])).drop("lowered")
+    terms = pattern_terms(table)
+    found = terms.bits(F.lower(F.col(text)))
+    return reports.withColumn("pattern_flags", F.array(*[F.coalesce(terms.any(found, kw), F.lit(False)) for *_, kw in table]))
 
 
 def flagged_family(flags: Column, precursors: list | None = None) -> Column:
-    """As detect_hazard_type: the family with most patterns, the earlier on ties; 'general' if none."""
+    """As detect_hazard_type."""
     table = precursors or X.PRECURSORS
-    families = [f for f in dict.fromkeys(f for f, *_ in table) if f != "general"]
-    score = {f: sum((flags[i].cast("int") for i, (g, *_) in enumerate(table) if g == f), F.lit(0)) for f in families}
-    best = F.greatest(F.struct(F.lit(0).alias("n"), F.lit(1).alias("o"), F.lit("general").alias("family")), *[F.struct(score[f].alias("n"), F.lit(-i).alias("o"), F.lit(f).alias("family")) for i, f in enumerate(families)])
-    return best["family"]
+    return best_family([flags[i] for i in range(len(table))], table)
 
 
 def flagged_count(flags: Column, hazard: Column, precursors: list | None = None) -> Column:
@@ -91,3 +93,36 @@ def pattern_prevalence(reports: DataFrame, precursors: list | None = None) -> Da
     level = F.when(F.col("level") == 1, 1).otherwise(0)
     joined = by.join(total, (level == total["all"]) & by["industry"].eqNullSafe(total["industry"]))
     return joined.select("pattern_order", by["industry"], "n_reports", (F.col("n_reports") / F.col("of_reports")).alias("share"), level.alias("over_all"))
+
+
+def _levels(rows: DataFrame, precursors: list | None, name: str) -> DataFrame:
+    """pattern_order, industry, hazard_type, by_industry, by_hazard, n_<name>, of_<name>: for each level the rows with a pattern, and all of its rows."""
+    keys = ["industry", "hazard_type"]
+    sets = [[], ["industry"], ["hazard_type"], keys]
+    level = [(1 - F.grouping("industry")).cast("int").alias("by_industry"), (1 - F.grouping("hazard_type")).cast("int").alias("by_hazard")]
+    flagged = rows.select(*keys, F.explode(F.concat(pattern_hits(F.col("text"), precursors), F.array(F.lit(-1)))).alias("pattern_order"))  # -1: every row
+    # a row for each pattern of a text, summed before it is sent
+    counted = flagged.groupBy("pattern_order", *keys).agg(F.count("*").alias("n"))
+    counted = counted.groupingSets([["pattern_order", *s] for s in sets], "pattern_order", *keys).agg(F.sum("n").alias("n"), *level)
+    on = ["by_industry", "by_hazard"]
+    total = counted.where("pattern_order = -1").select(F.col("n").alias(f"of_{name}"), *[F.col(c).alias(f"t_{c}") for c in [*keys, *on]])
+    same = [F.col(c).eqNullSafe(F.col(f"t_{c}")) for c in [*keys, *on]]
+    found = counted.where("pattern_order >= 0").join(total, functools.reduce(operator.and_, same))
+    return found.select("pattern_order", *keys, *on, F.col("n").alias(f"n_{name}"), f"of_{name}")
+
+
+def prevalence_levels(reports: DataFrame, corpus: DataFrame, precursors: list | None = None) -> DataFrame:
+    """How often each pattern is seen in reports and in a corpus, over all, by industry, by hazard_type and by both, and the lift.
+
+    reports and corpus have industry, hazard_type and text. A null industry is a
+    group of its own; by_industry and by_hazard say what a row is about. A group
+    without the pattern on one side has 0 of none there and no lift; lift is the
+    reports' share over the corpus's.
+    """
+    one, other = _levels(reports, precursors, "reports"), _levels(corpus, precursors, "corpus")
+    keys = ["pattern_order", "by_industry", "by_hazard", "industry", "hazard_type"]
+    two = other.select(*[F.col(c).alias(f"c_{c}") for c in keys], "n_corpus", "of_corpus")
+    both = one.join(two, functools.reduce(operator.and_, [F.col(c).eqNullSafe(F.col(f"c_{c}")) for c in keys]), "full")
+    both = both.select(*[F.when(F.col("n_reports").isNotNull(), F.col(c)).otherwise(F.col(f"c_{c}")).alias(c) for c in keys], *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_reports", "of_reports", "n_corpus", "of_corpus")])
+    share, base = F.col("n_reports") / F.nullif(F.col("of_reports"), F.lit(0)), F.col("n_corpus") / F.nullif(F.col("of_corpus"), F.lit(0))
+    return both.withColumns({"share": share, "corpus_share": base, "lift": share / base})

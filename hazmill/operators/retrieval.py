@@ -1,4 +1,4 @@
-"""Searching: BM25 over postings, exact and approximate vector search, rank fusion, compression of hits.
+"""Searching: exact and approximate vector search, BM25 (see postings), rank fusion, compression of hits.
 
 Every function works for a table of queries at once; query_id leads every key.
 Orders end with the chunk's id, so results do not depend on partitioning.
@@ -7,7 +7,6 @@ Orders end with the chunk's id, so results do not depend on partitioning.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -15,52 +14,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazmill.functions import text as T
-from hazmill.sources.shared import checkpointed
+from hazmill.operators.postings import Bm25Index, add_chunks, bm25_search, build_bm25, merge_segments  # noqa: F401
+from hazmill.sources.shared import checkpointed, new_folder
 
 RRF_K, CANDIDATES, RELEVANCE = 60, 20, 0.3
-K1, B, NEGATIVE_IDF = 1.5, 0.75, 0.25
 #: Rows of a block in exact search.
 QUERY_BLOCK, DATA_BLOCK = 512, 4096
 #: Bytes of all query blocks up to which they are broadcast; more of them are shuffled to the data's blocks.
 MOST_BROADCAST = 64_000_000
 
 
-# -- BM25 ------------------------------------------------------------------
-
-
-@dataclass
-class Bm25Index:
-    """postings(term, chunk_id, tf, dl), terms(term, df, idf), and two numbers."""
-
-    postings: DataFrame
-    terms: DataFrame
-    n_chunks: int
-    mean_length: float
-
-
-def build_bm25(chunks: DataFrame) -> Bm25Index:
-    """Okapi weights; a negative idf becomes a quarter of the mean idf over all terms. Texts are tokenised once, into postings that are kept."""
-    tokens = T.tokenize(F.coalesce(F.col("text"), F.lit("")))
-    spread = chunks.select("chunk_id", tokens.alias("t")).select("chunk_id", F.size("t").alias("dl"), F.explode("t").alias("term"))
-    postings = checkpointed(spread.groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf")))
-    n = chunks.count()
-    by_term = checkpointed(postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("n_tokens")))
-    raw = by_term.withColumn("raw", F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean_idf, n_tokens = raw.agg(F.avg("raw"), F.sum("n_tokens")).first()
-    terms = raw.select("term", "df", F.when(F.col("raw") < 0, F.lit(NEGATIVE_IDF * (mean_idf or 0.0))).otherwise(F.col("raw")).alias("idf"))
-    return Bm25Index(postings, terms, n, (n_tokens or 0) / max(n, 1))
-
-
-def bm25_search(queries: DataFrame, index: Bm25Index, k: int = CANDIDATES) -> DataFrame:
-    """query_id, chunk_id, score, rank0 of the best k chunks sharing a term; repeated query terms count repeatedly."""
-    wanted = queries.select("query_id", F.explode(T.tokenize(F.coalesce(F.col("text"), F.lit("")))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    wanted = wanted.join(index.terms, "term")
-    length = 1 - B + B * F.col("dl") / F.lit(index.mean_length or 1.0)
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * length)
-    scored = wanted.join(index.postings, "term").groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
-    return top_k(scored, k)
-
-
 def top_k(scored: DataFrame, k: int) -> DataFrame:
     """The k best of each query by score (to nine places, so that sums in another order rank alike), then chunk_id."""
     order = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "chunk_id")
@@ -159,32 +122,11 @@ def dense_search(queries: DataFrame, vectors: DataFrame, k: int = CANDIDATES, la
     return top_k(met.mapInPandas(run, f"query_id {_id_type(queries, 'query_id')}, chunk_id {_id_type(vectors, 'chunk_id')}, score double"), k)
 
 
-def approx_dense_search(queries: DataFrame, vectors: DataFrame, k: int = CANDIDATES, spare: int = 2) -> DataFrame:
-    """As dense_search, without its sort of all scores: a screen in single precision leaves spare * k rows of a block, which are scored exactly.
-
-    There is no distance cut: a query has k hits if there are k vectors. A true
-    hit is missed only if spare * k others of its block come within the screen's
-    rounding of it.
-    """
-    q = _blocks(queries.where("embedding is not null"), "query_id", QUERY_BLOCK, None).select(F.col("ids").alias("q_ids"), F.col("x").alias("q_x"))
-    v = _blocks(vectors.where("embedding is not null"), "chunk_id", DATA_BLOCK, None).select("ids", "x")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                x, asked, ids = np.frombuffer(r.x).reshape(len(r.ids), -1), np.frombuffer(r.q_x).reshape(len(r.q_ids), -1), np.array(list(r.ids))
-                n = min(spare * k, len(ids))
-                screen = -(asked.astype(np.float32) @ x.astype(np.float32).T)
-                near = np.argpartition(screen, n - 1, axis=1)[:, :n]
-                score = np.einsum("qd,qnd->qn", asked, x[near])
-                order = np.lexsort((ids[near], -np.round(score, 9)), axis=1)[:, :k]
-                at = np.arange(len(r.q_ids))[:, None]
-                best, found = score[at, order], ids[near[at, order]]
-                keep = np.isfinite(best)
-                yield pd.DataFrame({"query_id": np.repeat(np.array(list(r.q_ids)), order.shape[1]).reshape(best.shape)[keep], "chunk_id": found[keep], "score": best[keep]})
+def approx_dense_search(queries: DataFrame, vectors: DataFrame, k: int = CANDIDATES, sureness: float = 3.0) -> DataFrame:
+    """As dense_search, nearly: through an index of trained cells that is made for this search. Keep a vector_index to search more than once."""
+    from hazmill.operators.vector_index import build_vector_index, search_vectors
 
-    met = _paired(q, v).mapInPandas(run, f"query_id {_id_type(queries, 'query_id')}, chunk_id {_id_type(vectors, 'chunk_id')}, score double")
-    return top_k(met, k)
+    return search_vectors(queries, build_vector_index(vectors, new_folder(vectors.sparkSession, "vectors")), k, sureness)
 
 
 def hashed_search(queries: DataFrame, chunks: DataFrame, k: int = CANDIDATES, filters: tuple[str, ...] = (), dim: int = 384, digest: str = "crc32") -> DataFrame:
@@ -296,7 +238,7 @@ def hybrid_search(
     filters names columns of queries that hold what a chunk's column of the same
     name must be; they bind the dense arm alone.
     """
-    sparse = bm25_search(queries, index or build_bm25(chunks))
+    sparse = bm25_search(queries, index or build_bm25(chunks), CANDIDATES)
     dense = checkpointed(hashed_search(queries, chunks, CANDIDATES, filters, digest=digest))
     hits = rerank(candidates(reciprocal_rank_fusion(dense, sparse), chunks, dense), k, scores)
     if not compressed:

@@ -12,7 +12,7 @@ from hazmill.functions import scoring as S
 from hazmill.functions import taxonomy as X
 from hazmill.operators import precursors as P
 from hazmill.operators.reports import similar_document_count
-from hazmill.plans.narratives import NARRATIVES, narratives
+from hazmill.plans.narratives import CUSTOMER_NARRATIVES, DOCUMENT_REPORTS, NARRATIVES, customer_narratives, document_reports, narratives
 from hazmill.plans.registry import query
 
 _N = f"n as ({NARRATIVES})"
@@ -131,6 +131,24 @@ def precursors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.match_precursors(_reports(spark, sf_dir)).select("analysis_id", "part", "pattern_order")
 
 
+@query(
+    "document_labels",
+    f"""with n as ({DOCUMENT_REPORTS}), {_SEV}, {_HAZ},
+c as (select *, {_count('lower(text[:20000])', X.INCIDENT_TERMS)} as a, {_count('lower(text[:20000])', X.REGULATORY_TERMS)} as b, {_hits_sql('lower(text)')} as hits from hz)
+select analysis_id as doc_id, {_CLASS} as document_type, severity, hazard_type, array_to_string(hits, ',') as patterns from c""",
+)
+def document_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every label of whole documents."""
+    text = F.col("text")
+    return document_reports(spark, sf_dir).select(
+        F.col("analysis_id").alias("doc_id"),
+        L.classify_document(text).alias("document_type"),
+        L.classify_severity(text, F.col("injuries"), F.col("fatalities")).alias("severity"),
+        L.detect_hazard_type(text).alias("hazard_type"),
+        F.array_join(P.pattern_hits(text), ",").alias("patterns"),
+    )
+
+
 #: Excerpts of history: the events of reports of neighbouring numbers.
 _EXCERPTS = "ex as (select a.analysis_id, b.event as excerpt from n a join n b on b.analysis_id between a.analysis_id + 1 and a.analysis_id + 4)"
 
@@ -161,6 +179,29 @@ def prevalence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.pattern_prevalence(narratives(spark, sf_dir)).withColumn("share", F.round("share", 9))
 
 
+def _level_sql(name: str, source: str, n: str) -> str:
+    """Reports by level with each pattern, and all of them, counted from the reports themselves."""
+    return f"""{name}_n as ({source}), {name}_s as (select *, {_family_scores()} from {name}_n), {name}_h as (select industry, {_hazard_case()} as hazard_type, {_hits_sql('lower(text)')} as hits from {name}_s),
+{name}_g as (select l.*, h.hits, case when by_industry = 1 then industry end as industry, case when by_hazard = 1 then hazard_type end as hazard_type from {name}_h h, (values (0, 0), (0, 1), (1, 0), (1, 1)) l(by_industry, by_hazard)),
+{name}_t as (select by_industry, by_hazard, industry, hazard_type, count(*) as total from {name}_g group by all),
+{name} as (select p.*, total as of_{n} from (select pattern_order, by_industry, by_hazard, industry, hazard_type, count(*) as n_{n} from (select unnest(hits)::int as pattern_order, * exclude (hits) from {name}_g) group by all) p
+ join {name}_t t on t.by_industry = p.by_industry and t.by_hazard = p.by_hazard and t.industry is not distinct from p.industry and t.hazard_type is not distinct from p.hazard_type)"""
+
+
+@query(
+    "prevalence_levels",
+    f"""with {_level_sql('a', NARRATIVES, 'reports')}, {_level_sql('b', CUSTOMER_NARRATIVES, 'corpus')},
+j as (select coalesce(a.pattern_order, b.pattern_order) as pattern_order, coalesce(a.by_industry, b.by_industry) as by_industry, coalesce(a.by_hazard, b.by_hazard) as by_hazard, coalesce(a.industry, b.industry) as industry, coalesce(a.hazard_type, b.hazard_type) as hazard_type,
+ coalesce(n_reports, 0) as n_reports, coalesce(of_reports, 0) as of_reports, coalesce(n_corpus, 0) as n_corpus, coalesce(of_corpus, 0) as of_corpus
+ from a full join b on a.pattern_order = b.pattern_order and a.by_industry = b.by_industry and a.by_hazard = b.by_hazard and a.industry is not distinct from b.industry and a.hazard_type is not distinct from b.hazard_type)
+select *, round(n_reports / nullif(of_reports, 0)::double, 9) as share, round(n_corpus / nullif(of_corpus, 0)::double, 9) as corpus_share, round((n_reports / nullif(of_reports, 0)::double) / (n_corpus / nullif(of_corpus, 0)::double), 6) as lift from j""",
+)
+def prevalence_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports from orders against a corpus from customers."""
+    labelled = [rows.withColumn("hazard_type", L.detect_hazard_type(F.col("text"))) for rows in (narratives(spark, sf_dir), customer_narratives(spark, sf_dir))]
+    return P.prevalence_levels(*labelled).withColumns({"share": F.round("share", 9), "corpus_share": F.round("corpus_share", 9), "lift": F.round("lift", 6)})
+
+
 _KNOWN = "case hazard_type " + " ".join(f"when '{f}' then {sum(g == f for g, *_ in X.PRECURSORS)}" for f in X.FAMILIES) + " end + 5"
 _FAMS = list(X.CLAUSE_WEIGHTS)
 #: Families that a report violates: as many as its number says, from a place that its customer says.

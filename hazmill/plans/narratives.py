@@ -57,8 +57,22 @@ def narratives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(NARRATIVES.replace("from orders", "from hazmill_orders"))
 
 
+#: The same over customers.
+CUSTOMER_NARRATIVES = NARRATIVES.replace("from orders", "from (select c_custkey as o_orderkey, cast(c_nationkey as bigint) as o_custkey, timestamp '2024-01-01' as o_orderdate from customer)")
+
+
 def customer_narratives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same wording over customers: a smaller corpus."""
     spark.read.parquet(f"{sf_dir}/customer.parquet").createOrReplaceTempView("hazmill_customers")
     rows = "from (select c_custkey as o_orderkey, cast(c_nationkey as bigint) as o_custkey, timestamp '2024-01-01' as o_orderdate from hazmill_customers)"
     return spark.sql(NARRATIVES.replace("from orders", rows))
+
+
+#: Documents as reports: their whole text and, after it, a report in safety wording, so that what is looked for may stand after any number of words.
+DOCUMENT_REPORTS = f"""select r.analysis_id, concat(coalesce(d.text, ''), ' ', r.text) as text, r.industry, r.injuries, r.fatalities from documents d
+ join ({NARRATIVES.replace('from orders', "from (select doc_id as o_orderkey, n_chars as o_custkey, timestamp '2024-01-01' as o_orderdate from documents)")}) r on r.analysis_id = d.doc_id"""
+
+
+def document_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark.read.parquet(f"{sf_dir}/documents.parquet").createOrReplaceTempView("hazmill_documents")
+    return spark.sql(DOCUMENT_REPORTS.replace("from documents", "from hazmill_documents"))

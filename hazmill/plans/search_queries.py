@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from hazmill.functions.taxonomy import CLAUSE_RULES
 from hazmill.operators import retrieval as R
+from hazmill.operators import vector_index as V
 from hazmill.plans.registry import query, table
+from hazmill.sources.shared import new_folder
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,10 +194,73 @@ def rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.reciprocal_rank_fusion(R.dense_search(q, v), R.dense_search(q, v, label="label")).select("query_id", "chunk_id", F.round("fused", 9).alias("fused"), "rank0")
 
 
-@query("approx_knn", f"with {_KNN}, r as (select *, row_number() over (partition by query_id order by round(score, 9) desc, chunk_id) - 1 as rank0 from s) select query_id, chunk_id, rank0::int as rank0, round(score, 6) as score from r where rank0 < 10")
+_BEST = "select query_id, chunk_id, rank0::int as rank0, round(score, 6) as score from r where rank0 < 10"
+_ALL_KNN = f"with {_KNN}, r as (select *, row_number() over (partition by query_id order by round(score, 9) desc, chunk_id) - 1 as rank0 from s) {_BEST}"
+_SAME_KNN = f"with {_KNN}, r as (select *, row_number() over (partition by query_id order by round(score, 9) desc, chunk_id) - 1 as rank0 from s where same) {_BEST}"
+#: The vectors of the tables lie in all directions alike, the hardest case for cells; with so many standard deviations none is missed there.
+_SURE = 5.0
+
+
+def _hits(found: DataFrame) -> DataFrame:
+    return found.select("query_id", "chunk_id", "rank0", F.round("score", 6).alias("score"))
+
+
+def _cells(spark: SparkSession, v: DataFrame, label: str | None = None) -> V.VectorIndex:
+    return V.build_vector_index(v, new_folder(spark, "vectors"), label)
+
+
+@query("approx_knn", _ALL_KNN)
 def approx_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, v = _vectors(spark, sf_dir)
-    return R.approx_dense_search(q.drop("label"), v.drop("label"), 10).select("query_id", "chunk_id", "rank0", F.round("score", 6).alias("score"))
+    return _hits(V.search_vectors(q, _cells(spark, v), 10, _SURE))
+
+
+@query("cells_knn", _ALL_KNN)
+def cells_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exactly, through cells, by the triangle inequality."""
+    q, v = _vectors(spark, sf_dir)
+    return _hits(V.search_vectors(q, _cells(spark, v), 10, None))
+
+
+@query("cells_knn_filtered", _SAME_KNN)
+def cells_knn_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q, v = _vectors(spark, sf_dir)
+    return _hits(V.search_vectors(q, _cells(spark, v, "label"), 10, None, "label"))
+
+
+@query("approx_recall", "select label::int as label, 10 * count(*) filter (vec_id % 50 = 0) as n_wanted, true as enough from embeddings group by label having n_wanted > 0")
+def approx_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By the queries' label, whether nine tenths of the ten nearest are found at the usual sureness."""
+    q, v = _vectors(spark, sf_dir)
+    found = V.search_vectors(q, _cells(spark, v), 10).select("query_id", "chunk_id", F.lit(1).alias("found"))
+    both = R.dense_search(q, v, 10).join(found, ["query_id", "chunk_id"], "left").join(q.select("query_id", "label"), "query_id")
+    return both.groupBy("label").agg(F.count("*").alias("n_wanted"), (F.count("found") >= 0.9 * F.count("*")).alias("enough"))
+
+
+def _in_ten(rows: DataFrame, key: str) -> list[DataFrame]:
+    return [rows.where(F.pmod(F.xxhash64(key), F.lit(10)) == i) for i in range(10)]
+
+
+@query("grown_vectors", _ALL_KNN)
+def grown_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As cells_knn, over an index to which the vectors were added in ten parts."""
+    q, v = _vectors(spark, sf_dir)
+    first, *more = _in_ten(v, "chunk_id")
+    index = _cells(spark, first)
+    for part in more:
+        index = V.add_vectors(index, part)
+    return _hits(V.search_vectors(q, index, 10, None))
+
+
+@query("grown_bm25", f"with {_BM25} select query_id, chunk_id, rank0::int as rank0, round(score, 6) as score from sparse where rank0 < 10")
+def grown_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As bm25_topk, over an index to which the documents were added in ten parts, its segments then merged."""
+    first, *more = _in_ten(_docs(spark, sf_dir), "chunk_id")
+    index = R.build_bm25(first)
+    for part in more:
+        index = R.add_chunks(index, part)
+    index = R.merge_segments(index, new_folder(spark, "bm25"))
+    return _hits(R.bm25_search(_items(spark, sf_dir), index, 10))
 
 
 #: Citations over parts: a name and a section, from the part's number.
