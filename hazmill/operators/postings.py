@@ -6,14 +6,14 @@ impact that the term has there. Adding chunks writes a segment; document
 frequencies, lengths and weights are those of all segments together, so a search
 over an index that grew is one over an index built at once.
 
-A search goes over the blocks twice. The first pass scores, in full, the chunks
-that have one of a query's rarest terms; the k-th best score is a floor. Terms
-whose largest impacts do not add up to the floor cannot lift a chunk by
-themselves: only chunks with one of the other, essential terms are scored in the
-second pass, only in blocks whose maxima reach the floor, and a chunk is given up
-as soon as what is left in its block cannot take it there. A stop word thus adds
-to chunks that other words have found and never brings in its own. Nothing that
-belongs to the k best is left out.
+A search goes over the block maxima first, which name for each query the blocks
+that could hold its best chunks. The few most promising ones that have a rare term
+of it are scored; the k-th best score is a floor. Terms whose largest impacts do
+not add up to the floor cannot lift a chunk by themselves: only blocks with one of
+the other, opening terms whose maxima reach the floor are scored then. A stop word
+thus adds to what other words have found and never brings in a block of its own.
+Nothing that belongs to the k best is left out. A block's scores for a bundle of
+queries are one product of their weights and its impacts.
 """
 
 from __future__ import annotations
@@ -32,13 +32,16 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType
 
 from hazmill.functions import text as T
+from hazmill.operators.best import best_of, top_k
 from hazmill.sources.shared import checkpointed, new_folder
 
 K1, B, NEGATIVE_IDF = 1.5, 0.75, 0.25
 #: Chunks of a block and characters that a block gathers, at most (one longer text is a block alone); queries of a bundle, about.
 BLOCK, BLOCK_CHARS, BUNDLE = 512, 4_000_000, 128
-#: The first pass takes a query's rarest terms until they stand in so many chunks for each of the k wanted.
-LEAD = 20
+#: The first pass takes a query's rarest terms until they stand in so many chunks for each of the k wanted, and so many blocks that have one.
+LEAD, FIRST_BLOCKS = 20, 6
+#: Terms of a bundle that are multiplied at once.
+SLICE = 4096
 #: Scores that differ by less are taken for equal when a chunk is given up.
 SLACK = 1e-7
 
@@ -112,12 +115,12 @@ def _finish(spark: SparkSession, path: str, number: int, mode: str) -> None:
 
 def _schema(kind: pa.DataType) -> pa.Schema:
     return pa.schema(
-        [("block", pa.int64()), ("term", pa.string()), ("ids", pa.list_(kind)), ("df", pa.int64()), ("n_tokens", pa.int64()), ("most", pa.list_(pa.int64())), ("places", pa.binary()), ("tfs", pa.binary()), ("lens", pa.binary())]
+        [("block", pa.int64()), ("term", pa.string()), ("ids", pa.list_(kind)), ("df", pa.int64()), ("n_tokens", pa.int64()), ("most", pa.float64()), ("mean", pa.float64()), ("places", pa.binary()), ("tfs", pa.binary()), ("lens", pa.binary())]
     )
 
 
 def _ddl(kind: DataType) -> str:
-    return f"block bigint, term string, ids array<{kind.simpleString()}>, df bigint, n_tokens bigint, most array<bigint>, places binary, tfs binary, lens binary"
+    return f"block bigint, term string, ids array<{kind.simpleString()}>, df bigint, n_tokens bigint, most double, mean double, places binary, tfs binary, lens binary"
 
 
 def _write_rows(chunks: DataFrame, path: str, number: int) -> None:
@@ -130,14 +133,18 @@ def _write_rows(chunks: DataFrame, path: str, number: int) -> None:
             texts = batch.column("text").fill_null("")
             order = pc.sort_indices(pc.binary_length(texts))
             texts, ids = texts.take(order).to_pylist(), batch.column("chunk_id").take(order)
-            a = 0
+            counted, a = [], 0
             while a < len(texts):
                 b, size = a, 0
                 while b < len(texts) and b - a < BLOCK and (b == a or size + len(texts[b]) <= BLOCK_CHARS):
                     size += len(texts[b])
                     b += 1
-                yield from _block(base + count, ids.slice(a, b - a), *_counted(texts[a:b]))
-                a, count = b, count + 1
+                counted.append((a, b, _counted(texts[a:b])))
+                a = b
+            mean = max(sum(x[-1].sum() for _, _, x in counted) / max(len(texts), 1), 1.0)
+            for a, b, x in counted:
+                yield from _block(base + count, mean, ids.slice(a, b - a), *x)
+                count += 1
 
     rows = chunks.select("chunk_id", F.col("text").cast("string").alias("text")).mapInArrow(run, _ddl(kind))
     rows.write.mode("overwrite").parquet(f"{path}/postings/segment={number}")
@@ -154,29 +161,19 @@ def _counted(texts: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray, np.nda
     return coded.dictionary.cast(pa.string()), key // len(texts), key % len(texts), tf, np.bincount(place, minlength=len(texts))
 
 
-def _block(block: int, ids: pa.Array, terms: pa.Array, term: np.ndarray, place: np.ndarray, tf: np.ndarray, lens: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """A row with the ids of a block, and one for each of its terms.
-
-    most: (tf, length) of the postings that can have the largest impact whatever
-    the mean length, a shorter one for each lower tf.
-    """
+def _block(block: int, mean: float, ids: pa.Array, terms: pa.Array, term: np.ndarray, place: np.ndarray, tf: np.ndarray, lens: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A row with the ids of a block, and one for each of its terms; most: the term's largest impact here, if chunks are so long on average as mean says."""
     schema = _schema(ids.type)
-    yield pa.RecordBatch.from_pydict({"block": [block], "term": [None], "ids": [ids.to_pylist()], "df": [len(ids)], "n_tokens": [int(lens.sum())], "most": [None], "places": [None], "tfs": [None], "lens": [lens.astype(np.int64).tobytes()]}, schema=schema)
+    yield pa.RecordBatch.from_pydict({"block": [block], "term": [None], "ids": [ids.to_pylist()], "df": [len(ids)], "n_tokens": [int(lens.sum())], "most": [None], "mean": [mean], "places": [None], "tfs": [None], "lens": [lens.astype(np.int64).tobytes()]}, schema=schema)
     if not len(term):
         return
     first = np.flatnonzero(np.r_[True, term[1:] != term[:-1]])
-    n = lens[place].astype(np.int64)
-    order = np.lexsort((n, -tf, term))
-    far = int(lens.max()) + 1
-    shortest = np.minimum.accumulate(n[order] - term[order] * far)  # a term's numbers lie below those of the terms before it
-    edge = np.r_[True, (n[order][1:] - term[order][1:] * far) < shortest[:-1]]
-    at = order[edge]
-    hull = np.searchsorted(term[at], term[first])
-    most = pa.ListArray.from_arrays(pa.array(np.r_[hull, len(at)].astype(np.int32) * 2), pa.array(np.c_[tf[at], n[at]].ravel()))
+    n = lens[place]
+    most = np.maximum.reduceat(_impact(tf.astype(np.float64), n, mean), first)
     bounds = pa.py_buffer(np.r_[first, len(term)].astype(np.int32) * 4)
     packed = [pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, bounds, pa.py_buffer(x.astype(np.int32))]) for x in (place, tf, n)]
     nothing = pa.nulls(len(first), pa.list_(ids.type))
-    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), block)), terms.take(pa.array(term[first])), nothing, pa.array(np.diff(np.r_[first, len(term)])), pa.array(np.zeros(len(first), np.int64)), most, *packed], schema=schema)
+    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), block)), terms.take(pa.array(term[first])), nothing, pa.array(np.diff(np.r_[first, len(term)])), pa.array(np.zeros(len(first), np.int64)), pa.array(most), pa.array(np.full(len(first), mean)), *packed], schema=schema)
 
 
 def merge_segments(index: Bm25Index, path: str) -> Bm25Index:
@@ -186,6 +183,7 @@ def merge_segments(index: Bm25Index, path: str) -> Bm25Index:
     another are put together up to BLOCK chunks.
     """
     kind = index.postings.schema["ids"].dataType.elementType
+    mean = max(index.mean_length, 1.0)
     heads = index.postings.where("term is null").select("segment", "block", F.col("df").alias("n"))
     groups = 1 + heads.count() // 256
     number = F.pmod(F.xxhash64("segment", "block"), F.lit(groups))
@@ -207,7 +205,7 @@ def merge_segments(index: Bm25Index, path: str) -> Bm25Index:
             parts.append(np.c_[np.full(len(places), t), places, np.frombuffer(rows["tfs"][i].as_py(), np.int32)])
         each = np.concatenate(parts)
         each = each[np.lexsort((each[:, 1], each[:, 0]))]
-        made = _block(table["into"][0].as_py(), heads.column("ids").flatten(), coded.dictionary, each[:, 0], each[:, 1], each[:, 2], lens)
+        made = _block(table["into"][0].as_py(), mean, heads.column("ids").flatten(), coded.dictionary, each[:, 0], each[:, 1], each[:, 2], lens)
         return pa.Table.from_batches(list(made))
 
     moved = index.postings.select("segment", "block", "term", "ids", "n_tokens", "places", "tfs", "lens").join(placed.select("segment", "block", "into", "offset"), ["segment", "block"])
@@ -221,9 +219,8 @@ def _impact(tf: np.ndarray, n: np.ndarray, mean: float) -> np.ndarray:
 
 
 def _most(mean: float) -> Column:
-    """The largest impact of a row's postings, from the few that can have it."""
-    pair = F.transform(F.sequence(F.lit(0), (F.size("most") / 2).cast("int") - 1), lambda i: F.struct(F.get("most", i * 2).alias("tf"), F.get("most", i * 2 + 1).alias("n")))
-    return F.array_max(F.transform(pair, lambda p: p["tf"] * (K1 + 1) / (p["tf"] + K1 * (1 - B + B * p["n"] / F.lit(mean)))))
+    """At least the largest impact of a row's postings at this mean length: an impact grows with it, but no faster than in proportion."""
+    return F.col("most") * F.greatest(F.lit(1.0), F.lit(mean) / F.col("mean"))
 
 
 def _wanted(queries: DataFrame, index: Bm25Index) -> DataFrame:
@@ -236,79 +233,66 @@ def _wanted(queries: DataFrame, index: Bm25Index) -> DataFrame:
 def _scored(asked: DataFrame, index: Bm25Index, k: int) -> DataFrame:
     """query_id, chunk_id, score of each block's k best of each query; rows without a chunk_id say how many were scored (n).
 
-    asked: query_id, bundle, block, term, weight, opens (whether the term brings
-    chunks in), floor.
+    asked: query_id, bundle, segment, block, term, weight, floor.
     """
     postings, spark = index.postings, index.spark
     mean = index.mean_length or 1.0
+    asked = checkpointed(asked)
     q_kind, c_kind = asked.schema["query_id"].dataType, postings.schema["ids"].dataType.elementType
     out = pa.schema([("query_id", to_arrow_type(q_kind)), ("chunk_id", to_arrow_type(c_kind)), ("score", pa.float64()), ("n", pa.int64())])
-    who = asked.groupBy("bundle", "segment", "block", "term").agg(F.collect_list(F.struct("query_id", "weight", "opens", "floor")).alias("who"))
+    key = ["bundle", "segment", "block"]
+    who = asked.groupBy(*key, "term").agg(F.collect_list(F.struct("query_id", "weight", "floor")).alias("who"))
     rows = postings.where("term is not null").select("segment", "block", "term", "places", "tfs", "lens").join(who, ["segment", "block", "term"])
-    heads = asked.select("bundle", "segment", "block").distinct().join(postings.where("term is null").select("segment", "block", "ids"), ["segment", "block"])
-    rows = rows.select("bundle", "segment", "block", "term", "places", "tfs", "lens", "who", F.lit(None).cast(postings.schema["ids"].dataType).alias("ids"))
-    heads = heads.select("bundle", "segment", "block", *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in ("term", "places", "tfs", "lens", "who")], "ids")
+    heads = asked.select(*key).distinct().join(postings.where("term is null").select("segment", "block", "ids"), ["segment", "block"])
+    rows = rows.select(*key, "term", "places", "tfs", "lens", "who", F.lit(None).cast(postings.schema["ids"].dataType).alias("ids"))
+    heads = heads.select(*key, *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in ("term", "places", "tfs", "lens", "who")], "ids")
 
     def run(table: pa.Table) -> pa.Table:
-        ids, by_query = None, defaultdict(list)
-        for r in table.select(["term", "places", "tfs", "lens", "who", "ids"]).to_pylist():
-            if r["term"] is None:
-                ids = r["ids"]
-                continue
-            part = _impact(np.frombuffer(r["tfs"], np.int32).astype(np.float64), np.frombuffer(r["lens"], np.int32), mean)
-            at = np.frombuffer(r["places"], np.int32)
-            for w in r["who"]:
-                by_query[w["query_id"]].append((not w["opens"], -w["weight"] * part.max(), r["term"], w["weight"], at, part, w["floor"]))
-        chunk_ids = pa.array(ids, out.field("chunk_id").type)
+        is_head = pc.is_null(table["term"])
+        ids = table.filter(is_head)["ids"].combine_chunks().flatten()
+        own = table.filter(pc.invert(is_head)).combine_chunks()
+        flat = {c: _packed(own[c].combine_chunks()) for c in ("places", "tfs", "lens")}
+        who = own["who"].combine_chunks()
+        whose = np.repeat(np.arange(len(own)), np.diff(who.offsets.to_numpy()))
+        query, weight, floor = (who.flatten().field(c) for c in ("query_id", "weight", "floor"))
+        coded = query.dictionary_encode()
+        number, weight, least = coded.indices.to_numpy(), weight.to_numpy(), np.full(len(coded.dictionary), -np.inf)
+        least[number] = floor.to_numpy()
+        row = np.repeat(np.arange(len(own)), np.diff(flat["places"][1]))
+        impact = _impact(flat["tfs"][0].astype(np.float64), flat["lens"][0], mean)
+        score = np.zeros((len(least), len(ids)))
+        shared = np.zeros(score.shape, bool)
+        for a in range(0, len(own), SLICE):
+            b = min(a + SLICE, len(own))
+            block, bundle = np.zeros((b - a, len(ids))), np.zeros((len(least), b - a))
+            at, of = (row >= a) & (row < b), (whose >= a) & (whose < b)
+            block[row[at] - a, flat["places"][0][at]] = impact[at]
+            bundle[number[of], whose[of] - a] = weight[of]
+            score += bundle @ block
+            if (weight > 0).all():
+                shared = score > 0
+            else:  # a chunk that shares a term is found, whatever the term's weight
+                asks = np.zeros(bundle.shape, np.float32)
+                asks[number[of], whose[of] - a] = 1
+                shared |= asks @ (block > 0).astype(np.float32) > 0
+        score[~shared | (score < least[:, None] - SLACK)] = -np.inf
         order_of = np.empty(len(ids), np.int64)
-        order_of[pc.sort_indices(chunk_ids).to_numpy()] = np.arange(len(ids))
-        found = {c: [] for c in out.names}
-        for query, terms in by_query.items():
-            places, score, n = _best_of_block(terms, len(ids), order_of, k)
-            found["query_id"] += [query] * (len(places) + 1)
-            found["chunk_id"] += [*[ids[i] for i in places], None]
-            found["score"] += [*score.tolist(), None]
-            found["n"] += [None] * len(places) + [n]
-        return pa.Table.from_pydict(found, schema=out)
-
-    return rows.unionByName(heads).groupBy("bundle", "segment", "block").applyInArrow(run, f"query_id {q_kind.simpleString()}, chunk_id {c_kind.simpleString()}, score double, n bigint")
-
-
-def _best_of_block(terms: list[tuple], width: int, order_of: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """(places, scores, how many were scored) of a block's k best for one query. terms: (does not open, -bound, term, weight, places, impacts, floor).
-
-    Terms go from strong to weak. The floor closes more of them here than over all
-    blocks: a term opens if it and the weaker ones can reach the floor by what
-    they have in this block, and it brings in the chunks alone that are as far as
-    that with what they have so far.
-    """
-    terms.sort(key=lambda t: t[:3])
-    floor = terms[0][-1]
-    bounds = np.maximum([-t[1] for t in terms], 0.0)
-    rest = np.cumsum(bounds[::-1])[::-1]  # of a term and those after it
-    n_open = sum(not t[0] and r >= floor - SLACK for t, r in zip(terms, rest, strict=True))
-    if not n_open:
-        return np.zeros(0, np.int64), np.zeros(0), 0
-    total, there = np.zeros(width), np.zeros(width, bool)
-    for (_, _, _, weight, at, part, _), left in zip(terms[:n_open], [*rest[1:], 0.0], strict=False):
-        total[at] += weight * part
-        there[at[total[at] + left >= floor - SLACK]] = True
-    live = np.flatnonzero(there)
-    n = len(live)
-    for (_, _, _, weight, at, part, _), left in zip(terms[n_open:], rest[n_open:], strict=True):
-        live = live[total[live] + left >= floor - SLACK]
-        spot = np.minimum(np.searchsorted(at, live), len(at) - 1)
-        hit = at[spot] == live
-        total[live[hit]] += weight * part[spot[hit]]
-    live = live[total[live] >= floor - SLACK]
-    keyed = np.round(total[live], 9)
-    best = live[np.lexsort((order_of[live], -keyed))[:k]]
-    return best, total[best], n
-
-
-def _top(hits: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "chunk_id")
-    return hits.withColumn("rank0", F.row_number().over(order) - 1).where(F.col("rank0") < k)
+        order_of[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
+        r, c = best_of(score, order_of, k)
+        counts = pa.Table.from_arrays([coded.dictionary.cast(out.types[0]), pa.nulls(len(least), out.types[1]), pa.nulls(len(least), pa.float64()), pa.array(np.full(len(least), len(ids)))], schema=out)
+        return pa.concat_tables([counts, pa.Table.from_arrays([coded.dictionary.take(pa.array(r)).cast(out.types[0]), ids.take(pa.array(c)).cast(out.types[1]), pa.array(score[r, c]), pa.nulls(len(r), pa.int64())], schema=out)])
+
+    # few bytes, much work: as many tasks as the session shuffles to, whatever their size
+    dealt = rows.unionByName(heads).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *key)
+    return dealt.groupBy(*key).applyInArrow(run, f"query_id {q_kind.simpleString()}, chunk_id {c_kind.simpleString()}, score double, n bigint")
+
+
+def _packed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(32-bit numbers of all rows, where each row's begin, and the end)."""
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1] // 4
+    numbers = np.frombuffer(data, np.int32) if data is not None and data.size else np.zeros(0, np.int32)
+    return numbers[at[0] : at[-1]], at - at[0]
 
 
 def _passes(queries: DataFrame, index: Bm25Index, k: int) -> tuple[DataFrame, DataFrame]:
@@ -320,29 +304,32 @@ def _passes(queries: DataFrame, index: Bm25Index, k: int) -> tuple[DataFrame, Da
     # block maxima of the terms that are asked for, without their postings
     maxima = index.postings.where("term is not null").select("segment", "block", "term", _most(index.mean_length or 1.0).alias("most"))
     maxima = checkpointed(maxima.join(wanted.select("term").distinct(), "term"))
-    met = maxima.join(lead, "term").withColumn("floor", F.lit(float("-inf")))
     here = Window.partitionBy("query_id", "segment", "block")
-    one = met.withColumn("any", F.max("opens").over(here)).where("any")
-    first = checkpointed(_scored(one.select("query_id", "bundle", "segment", "block", "term", "weight", "opens", "floor"), index, k))
-    floors = _top(first.where("n is null"), k).where(F.col("rank0") == k - 1).select("query_id", F.col("score").alias("floor"))
+    reach = F.sum(F.greatest(F.col("weight") * F.col("most"), F.lit(0.0))).over(here)
+    met = maxima.join(lead, "term").withColumns({"reach": reach, "any": F.max("opens").over(here), "floor": F.lit(float("-inf"))}).where("any")
+    first_of = Window.partitionBy("query_id").orderBy(F.desc("reach"), "segment", "block")
+    one = met.withColumn("place", F.dense_rank().over(first_of)).where(F.col("place") <= FIRST_BLOCKS)
+    wants = ["query_id", "bundle", "segment", "block", "term", "weight", "floor"]
+    first = checkpointed(_scored(one.select(wants), index, k))
+    floors = top_k(first.where("n is null"), k).where(F.col("rank0") == k - 1).select("query_id", F.col("score").alias("floor"))
     # the weakest terms that together stay below the floor bring in no chunk
     most = maxima.groupBy("term").agg(F.max("most").alias("most"))
     bound = wanted.join(most, "term").join(floors, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
     bound = bound.withColumn("bound", F.greatest(F.col("weight") * F.col("most"), F.lit(0.0)))
     weakest = Window.partitionBy("query_id").orderBy("bound", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     bound = bound.withColumn("opens", ~(F.sum("bound").over(weakest) < F.col("floor") - SLACK)).select("query_id", "bundle", "term", "weight", "opens", "floor")
-    two = maxima.join(bound, "term").withColumn("reach", F.sum(F.greatest(F.col("weight") * F.col("most"), F.lit(0.0))).over(here)).withColumn("any", F.max("opens").over(here))
+    two = maxima.join(bound, "term").withColumns({"reach": reach, "any": F.max("opens").over(here)})
     two = two.where(F.col("any") & (F.col("reach") >= F.col("floor") - SLACK))
-    return first, _scored(two.select("query_id", "bundle", "segment", "block", "term", "weight", "opens", "floor"), index, k)
+    return first, _scored(two.select(wants), index, k)
 
 
 def bm25_search(queries: DataFrame, index: Bm25Index, k: int = 20) -> DataFrame:
     """query_id, chunk_id, score, rank0 of the best k chunks sharing a term, exactly; repeated query terms count repeatedly, rows of one query_id are one query."""
-    return _top(_passes(queries, index, k)[1].where("n is null").drop("n"), k)
+    return top_k(_passes(queries, index, k)[1].where("n is null").drop("n"), k)
 
 
 def bm25_work(queries: DataFrame, index: Bm25Index, k: int) -> DataFrame:
-    """query_id, n_scored (chunks that both passes scored), n_sharing (chunks that share a term with the query)."""
+    """query_id, n_scored (chunks of the blocks that both passes scored), n_sharing (chunks that share a term with the query)."""
     first, second = _passes(queries, index, k)
     scored = first.unionByName(second).where("n is not null").groupBy("query_id").agg(F.sum("n").alias("n_scored"))
     places = index.postings.where("term is not null").select("segment", "block", "term", "places").join(_wanted(queries, index).select("query_id", "term"), "term")

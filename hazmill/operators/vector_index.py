@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazmill.operators.retrieval import CANDIDATES, best_of, top_k
+from hazmill.operators.best import best_of, top_k
 from hazmill.sources.shared import checkpointed
 
 #: Vectors that the cells are learned from, at most; cells, at most; vectors of a block, at most; queries of a group, at most.
@@ -299,7 +299,7 @@ def _passes(queries: DataFrame, index: VectorIndex, k: int, sureness: float | No
     return first.unionByName(_scored(two, index, k)), [one, two]
 
 
-def search_vectors(queries: DataFrame, index: VectorIndex, k: int = CANDIDATES, sureness: float | None = SURENESS, label: str | None = None) -> DataFrame:
+def search_vectors(queries: DataFrame, index: VectorIndex, k: int = 20, sureness: float | None = SURENESS, label: str | None = None) -> DataFrame:
     """query_id, chunk_id, score, rank0 of the k vectors with the largest dot product, as good as all of them found.
 
     sureness: standard deviations by which a cell's vectors may lie nearer to a
@@ -314,7 +314,7 @@ def search_vectors(queries: DataFrame, index: VectorIndex, k: int = CANDIDATES,
     return top_k(_passes(queries, index, k, sureness, label)[0], k)
 
 
-def search_work(queries: DataFrame, index: VectorIndex, k: int = CANDIDATES, sureness: float | None = SURENESS, label: str | None = None) -> DataFrame:
+def search_work(queries: DataFrame, index: VectorIndex, k: int = 20, sureness: float | None = SURENESS, label: str | None = None) -> DataFrame:
     """query_id, n_cells, n_scored: the cells that search_vectors probes for each query, and their vectors."""
     _, groups = _passes(queries, index, k, sureness, label)
     sizes = index.spark.createDataFrame([(i, int(n)) for i, n in enumerate(index.sizes)], "cell int, n long")
