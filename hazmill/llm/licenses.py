@@ -91,7 +91,8 @@ class Matcher:
         for name, text in templates:
             dictionary = zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             self.templates.append((name, _words(text), zstandard.ZstdCompressor(level=19, dict_data=dictionary)))
-        self.phrases = set().union(*[_phrases(w) for _, w, _ in self.templates])
+        self.grams = [_phrases(w) for _, w, _ in self.templates]
+        self.phrases = set().union(*self.grams)
         self.cue = re.compile(CUE)
 
     def blocks(self, text: str) -> Iterator[tuple[int, int]]:
@@ -145,10 +146,13 @@ class Matcher:
         return out, first.a, last.a + last.size
 
     def best(self, part: str, words: list[str]) -> tuple[dict, int, int] | None:
+        here = _phrases(words)
         for saving, k in self.ranked(part):
-            if saving <= 0:
-                break
             name, wording, _ = self.templates[k]
+            # a short notice in a long block may save nothing: then half of its phrases must speak for it
+            grams = self.grams[k]
+            if saving <= 0 and 2 * len(grams & here) < len(grams):
+                continue
             if (found := self.differences(words, wording)) is not None:
                 return {"license": name, "saving": round(saving, 6), "differences": ";".join(found[0])}, *found[1:]
         return None
@@ -163,7 +167,7 @@ class Matcher:
                 words = [text[x:y].lower() for x, y in placed[a:b]]
                 if words and (won := self.best(text[s:e], words)) is not None:
                     match, first, last = won
-                    here.append((a + first, match | {"start": start, "end": end}))
+                    here.append((a + first, match | {"start": placed[a + first][0], "end": placed[a + last - 1][1]}))
                     for x, y in ((a, a + first), (a + last, b)):
                         if x < y:
                             parts.append((x, y, placed[x][0], placed[y - 1][1]))
@@ -172,7 +176,7 @@ class Matcher:
 
 
 def license_matches(docs: DataFrame, templates: list[tuple[str, str]] | None = None) -> DataFrame:
-    """doc_id and matches: the templates found in each block, in order, with the block's place in code points."""
+    """doc_id and matches: the templates found in each block, in order, with their own places in code points, first word to last."""
     chosen = [*TEMPLATES, *TEXTS] if templates is None else templates
 
     def make():

@@ -59,3 +59,17 @@ def test_winners_are_those_of_every_template_on_every_block():
             top = max(saving[k] for k in fits)
             assert best[0]["saving"] == round(top, 6) and best[0]["license"] in {every[k][0] for k in fits if saving[k] == top}
     assert n_found > 20
+
+
+def test_notices_in_long_blocks_and_their_places():
+    """A short notice saves nothing of a long block, and is found all the same, where it stands."""
+    rng = random.Random(3)
+    matcher = licenses.Matcher([*licenses.TEMPLATES, *licenses.TEXTS])
+    filler = "the cat sat on a mat and copyright plates are copyright of nobody in the garden of copyright owners".split()
+    for size in (400, 2000, 4000):
+        for _ in range(3):
+            before, after = (". ".join(" ".join(rng.choices(filler, k=9)) + " copyright" for _ in range(size // 20)) for _ in range(2))
+            text = f"{before}. Released under the MIT License. {after}. Licensed under the Apache License, Version 2.0."
+            got = matcher.scan(text)
+            assert [m["license"] for m in got] == ["MIT", "Apache-2.0"]
+            assert [text[m["start"] : m["end"]] for m in got] == ["Released under the MIT License", "Licensed under the Apache License, Version 2.0"]
