@@ -93,7 +93,7 @@ def extraction_confidence(date: Column, location: Column, industry: Column, equi
 
 
 def warnings(text: Column, document_type: Column, confidence: Column) -> Column:
-    """Array of what makes the findings doubtful, in order."""
+    """Array of what makes the findings doubtful, in order; the wording is fixed."""
     n = word_count(text)
     percent = F.bround(confidence * 100).cast("int").cast("string")
     return F.array_compact(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: Line ends as Python's splitlines sees them.
 LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85  ]"
+# The patterns of dates and headings, and those inside normalize_text and split_sentences.
 DATE = (
     r"\b(?:on\s+)?((?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{1,2},?\s+\d{4}"
     r"|\d{1,2}/\d{1,2}/\d{4}|\d{4}-\d{2}-\d{2})\b"
