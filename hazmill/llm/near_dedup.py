@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazmill.llm.common import WORD, chunks, components, cut_lineage, keyed_texts
+from hazmill.llm.common import WORD, chunks, components, cut_lineage, keyed_texts, text_of
 
 SHINGLE, SKETCHES, THRESHOLD, ROUNDS = 3, 40, 0.8, 3
 #: Members of a bucket that are compared with as many others at once; counters of a document's words, and how many of them are summed for a first look.
@@ -411,8 +411,14 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, rounds
 
 
 def deduplicated(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that stand for their class, one row for each, with their columns alone; rows without a doc_id stay."""
+    """The rows of docs that stand for their class, with their columns alone; rows without a doc_id stay.
+
+    Equal rows of one doc_id become one. A doc_id with several different texts
+    keeps all of them, since a class says nothing about which of them it means.
+    """
     dropped = near_duplicate_classes(docs, threshold).where("not kept").select(F.col("doc_id").alias("id")).distinct()
-    rows = docs.select(F.struct("*").alias("row"), docs["doc_id"].cast("long").alias("id"))
-    kept = rows.where("id is not null").join(dropped, "id", "left_anti").dropDuplicates(["id"])
+    rows = docs.select(F.struct("*").alias("row"), docs["doc_id"].cast("long").alias("id"), F.xxhash64(text_of(docs)).alias("text_hash"))
+    named = rows.where("id is not null")
+    several = named.groupBy("id").agg(F.min("text_hash").alias("lo"), F.max("text_hash").alias("hi")).where("lo <> hi").select("id")
+    kept = named.join(dropped.join(several, "id", "left_anti"), "id", "left_anti").dropDuplicates(["id", "text_hash"])
     return kept.unionByName(rows.where("id is null")).select("row.*")

@@ -108,3 +108,13 @@ def test_a_hub_of_more_pairs_than_a_run(spark, monkeypatch):
     words = [f"w{rng.integers(1 << 40)}" for _ in range(60)]
     texts = [" ".join(words)] + [" ".join(changed(rng, words, [k])) for k in range(40)]
     assert set(classes(spark, texts).values()) == {0}
+
+
+def test_no_unrelated_text_of_a_repeated_id_is_lost(spark):
+    """Ids with several texts keep them; copies elsewhere go, and equal rows become one."""
+    a, b, c = (" ".join(f"{x}{i * i % 61}" for i in range(80)) for x in "abc")
+    rows = [(1, a), (1, b), (2, b), (3, c), (3, c), (4, c + " end"), (5, a + " end"), (5, "quite another text of a few words"), (None, c), (6, None), (7, "")]
+    docs = spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, text_hash int")
+    got = sorted(((r["doc_id"], r["text"]) for r in near_dedup.deduplicated(docs).collect()), key=repr)
+    want = [(1, a), (1, b), (3, c), (5, a + " end"), (5, "quite another text of a few words"), (None, c), (6, None), (7, "")]
+    assert got == sorted(want, key=repr)
