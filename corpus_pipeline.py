@@ -21,7 +21,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each near-duplicate class, that of the smallest doc_id; texts without words and rows without doc_id stay, rows of one doc_id become one."""
+    """Keeps one document of each near-duplicate class, that of the smallest doc_id; texts without words and rows without doc_id stay, equal rows of one doc_id become one, different texts of one doc_id all stay."""
     return near_dedup.deduplicated(docs)
 
 
