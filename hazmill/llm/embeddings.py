@@ -1,16 +1,20 @@
 """Near duplicates among embeddings by iterative quantisation.
 
 A rotation learned on a bounded sample turns each vector into balanced binary
-codes; the codes are cut into the keys of several Hamming tables; vectors that
-meet in a table's bucket are compared by their original components. Within a
+codes; the codes are cut into the keys of several Hamming tables; a vector enters
+each table under its key and under the near key whose least certain bit is
+flipped; vectors that meet in a table's bucket are compared by their original
+components. Tables (and rotations, as one code gives few keys) are added until
+pairs at the threshold, made from the sample, meet as often as asked. Within a
 bucket comparison runs block by block and gives counts and a spanning forest,
 never pairs; buckets above the block's size are split into pairs of blocks.
-A pair that meets in several tables is counted in the first alone.
+A pair that meets in several buckets is counted in the first alone.
 
 Nulls and edges: vectors that are null, empty, zero, or hold null or non-finite
 components link with nothing and are components of their own; vectors of
-different lengths do not link; those of a length that few have are compared all
-with all of that length, in blocks; equal vectors form a class that is compared
+different lengths do not link; those of a length that too few have to learn a
+rotation from are compared all with all of that length, in blocks, and so are
+those whose codes would need too many tables; equal vectors form a class that is compared
 once; equal rows count as separate vectors; vec_id is the identity;
 an empty table gives an empty result; other columns are ignored.
 """
@@ -30,10 +34,12 @@ from hazmill.llm.common import components, cut_lineage
 
 #: Vectors that the rotation is learned from, at most; rows of a block of a bucket, and rows of a bucket that is compared together with others.
 SAMPLE, BLOCK, SMALL = 20_000, 256, 12
-#: Vectors of a length up to which all pairs of blocks are compared.
-FEW = 5_000
-#: A key's bits differ with at most this chance for a pair at the threshold; pairs that may miss all tables.
-BIT_CHANCE, MISS = 0.08, 0.02
+#: Pairs whose keys are compared at once.
+PAIRS = 1 << 14
+#: Vectors of a length that no rotation is learned from, at most.
+FEW = 400
+#: Share of the pairs at the threshold that may miss all tables, as measured on so many made from the sample; tables beyond which all pairs are compared.
+MISS, TRIALS, MOST_TABLES = 0.02, 2_000, 128
 
 
 def fit_itq(x: np.ndarray, seed: int, rounds: int = 40) -> tuple[np.ndarray, np.ndarray]:
@@ -50,10 +56,58 @@ def fit_itq(x: np.ndarray, seed: int, rounds: int = 40) -> tuple[np.ndarray, np.
     return mean, axes @ r
 
 
-def plan_tables(n: int, dims: int) -> tuple[int, int]:
-    """(bits of a key, tables): buckets of a few random vectors each, and few missed pairs."""
-    bits = min(dims, max(8, min(32, math.ceil(math.log2(max(n, 2))))))
-    return bits, max(4, math.ceil(math.log(MISS) / math.log(1 - (1 - BIT_CHANCE) ** bits)))
+def key_bits(n: int, dims: int) -> int:
+    """Bits of a key: buckets hold a few random vectors each, entered twice a table."""
+    return min(dims, max(8, min(32, math.ceil(math.log2(max(n, 2))) + 1)))
+
+
+def table_keys(x: np.ndarray, model: tuple[np.ndarray, np.ndarray], bits: int) -> np.ndarray:
+    """(rows, tables, 2): of each table of a rotation the key, and the key whose least certain bit is flipped."""
+    mean, turn = model
+    lean = (x - mean) @ turn
+    powers = 1 << np.arange(bits, dtype=np.int64)
+    cut = lean[:, : lean.shape[1] // bits * bits].reshape(len(x), -1, bits)
+    key = (cut >= 0) @ powers
+    return np.stack([key, key ^ powers[np.abs(cut).argmin(axis=2)]], axis=2)
+
+
+def meet(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """(rows, tables): whether the two keys of each have one in common."""
+    return (a[:, :, :, None] == b[:, :, None, :]).any(axis=(2, 3))
+
+
+def mates(x: np.ndarray, threshold: float, seed: int) -> np.ndarray:
+    """For each unit vector one at the threshold's cosine, by turns towards another vector and in any direction; the other vector itself if that is nearer."""
+    rng = np.random.default_rng(seed)
+    noise = rng.normal(size=x.shape)
+    noise /= np.sqrt((noise * noise).sum(axis=1, keepdims=True))
+    other = x[rng.permutation(len(x))]
+    other = np.where((np.arange(len(x)) % 2 == 0)[:, None] & (other != x).any(axis=1, keepdims=True), other, noise)
+    cosine = (x * other).sum(axis=1, keepdims=True)
+    away = other - cosine * x
+    length = np.sqrt((away * away).sum(axis=1, keepdims=True))
+    moved = threshold * x + math.sqrt(max(0.0, 1 - threshold * threshold)) * away / np.where(length > 0, length, 1)
+    return np.where(cosine < threshold, moved, other)
+
+
+def plan_tables(sample: np.ndarray, bits: int, threshold: float, seed: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], int] | None:
+    """(rotations, tables) that pairs at the threshold seldom miss altogether; None if that takes too many tables.
+
+    A quarter of the sample, at most TRIALS vectors, is kept from the rotations for measuring, as the rest lies too well in them.
+    """
+    apart = max(1, min(TRIALS, len(sample) // 4))
+    x = np.resize(sample[:apart], (TRIALS, sample.shape[1]))
+    learned = sample[apart:] if len(sample) > 1 else sample
+    y = mates(x, threshold, seed)
+    missed, models, tables = np.ones(len(x), dtype=bool), [], 0
+    while tables < MOST_TABLES:
+        models.append(fit_itq(learned, seed + len(models)))
+        for met in meet(table_keys(x, models[-1], bits), table_keys(y, models[-1], bits)).T:
+            missed &= ~met
+            tables += 1
+            if tables >= 4 and max(missed[::2].mean(), missed[1::2].mean()) <= MISS:
+                return models, tables
+    return None
 
 
 def _unit(raw: np.ndarray) -> np.ndarray:
@@ -63,17 +117,13 @@ def _unit(raw: np.ndarray) -> np.ndarray:
 
 def _keys(models: list[tuple[np.ndarray, np.ndarray]], bits: int, tables: int, dtype: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        powers = 1 << np.arange(bits, dtype=np.int64)
         for pdf in batches:
             raw = np.array(pdf["embedding"].tolist(), dtype=dtype)
             if not len(raw):
                 continue
-            x, keys = _unit(raw), []
-            for mean, turn in models:
-                code = (x - mean) @ turn >= 0
-                keys += [code[:, k : k + bits] @ powers for k in range(0, code.shape[1] - bits + 1, bits)]
-            stacked = np.stack(keys[:tables], axis=1)
-            yield pd.DataFrame({"id": pdf["id"], "n": pdf["n"], "keys": list(stacked), "vector": [v.tobytes() for v in raw]})
+            x = _unit(raw)
+            keys = np.concatenate([table_keys(x, m, bits) for m in models], axis=1)[:, :tables]
+            yield pd.DataFrame({"id": pdf["id"], "n": pdf["n"], "keys": list(keys.reshape(len(raw), -1)), "vector": [v.tobytes() for v in raw]})
 
     return run
 
@@ -81,25 +131,42 @@ def _keys(models: list[tuple[np.ndarray, np.ndarray]], bits: int, tables: int, d
 def _packed(dtype: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"id": pdf["id"], "n": pdf["n"], "keys": [[0]] * len(pdf), "vector": [np.array(v, dtype=dtype).tobytes() for v in pdf["embedding"]], "dims": pdf["dims"]})
+            yield pd.DataFrame({"id": pdf["id"], "n": pdf["n"], "keys": [[]] * len(pdf), "vector": [np.array(v, dtype=dtype).tobytes() for v in pdf["embedding"]], "dims": pdf["dims"]})
 
     return run
 
 
+def _met_before(a: np.ndarray, b: np.ndarray, table: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Whether the vectors of each pair share a bucket before (table, key); a and b are their keys, (pairs, tables, 2)."""
+    t = np.arange(a.shape[1])[None, :, None]
+    before = (t < table[:, None, None]) | ((t == table[:, None, None]) & (a < key[:, None, None]))
+    return ((a[:, :, :, None] == b[:, :, None, :]) & before[:, :, :, None]).any(axis=(1, 2, 3))
+
+
+def _by_table(g: pd.DataFrame) -> np.ndarray:
+    keys = np.array(g["keys"].tolist(), dtype=np.int64)
+    return keys.reshape(len(g), keys.shape[1] // 2, 2)
+
+
 def _compare(threshold: float, dtype: str, one_length: bool = True):
-    """For each block pair: (id, links, mate) of each member with a link that no earlier table has."""
+    """For each block pair: (id, links, mate) of each member with a link that no earlier bucket has."""
 
     def links(g: pd.DataFrame) -> pd.DataFrame | None:
         g = g.sort_values("id")
-        table, lo, hi = int(g["table"].iloc[0]), int(g["lo"].iloc[0]), int(g["hi"].iloc[0])
+        lo, hi = int(g["lo"].iloc[0]), int(g["hi"].iloc[0])
         x = _unit(np.frombuffer(b"".join(g["vector"]), dtype=dtype).reshape(len(g), -1))
-        ids, n, keys, block = g["id"].to_numpy(), g["n"].to_numpy(), np.array(g["keys"].tolist()), g["block"].to_numpy()
+        ids, n, keys, block = g["id"].to_numpy(), g["n"].to_numpy(), _by_table(g), g["block"].to_numpy()
+        table, key = g["table"].to_numpy(), g["key"].to_numpy()
         near = x @ x.T >= threshold
         np.fill_diagonal(near, False)
         if lo != hi:
             near &= block[:, None] != block[None, :]
-        for t in range(table):
-            near &= keys[:, t][:, None] != keys[:, t][None, :]
+        if keys.shape[1]:
+            left, right = np.nonzero(np.triu(near))
+            for k in range(0, len(left), PAIRS):
+                a, b = left[k : k + PAIRS], right[k : k + PAIRS]
+                seen = _met_before(keys[a], keys[b], table[a], key[a])
+                near[a[seen], b[seen]] = near[b[seen], a[seen]] = False
         some = near.any(axis=1)
         if not some.any():
             return None
@@ -114,8 +181,8 @@ def _compare(threshold: float, dtype: str, one_length: bool = True):
     def small(pdf: pd.DataFrame, group: np.ndarray) -> pd.DataFrame | None:
         """Many small buckets at once: each row against the row k places on, while that is in the same bucket."""
         x = _unit(np.frombuffer(b"".join(pdf["vector"]), dtype=dtype).reshape(len(pdf), -1))
-        ids, n, keys, table = pdf["id"].to_numpy(), pdf["n"].to_numpy(), np.array(pdf["keys"].tolist()), pdf["table"].to_numpy()
-        earlier = np.arange(keys.shape[1])[None, :] < table[:, None]
+        ids, n, keys = pdf["id"].to_numpy(), pdf["n"].to_numpy(), _by_table(pdf)
+        table, key = pdf["table"].to_numpy(), pdf["key"].to_numpy()
         out = []
         for k in range(1, SMALL):
             a = np.flatnonzero(group[k:] == group[:-k])
@@ -123,7 +190,7 @@ def _compare(threshold: float, dtype: str, one_length: bool = True):
                 break
             b = a + k
             a, b = (y[np.einsum("ij,ij->i", x[a], x[b]) >= threshold] for y in (a, b))
-            new = ~((keys[a] == keys[b]) & earlier[a]).any(axis=1)
+            new = ~_met_before(keys[a], keys[b], table[a], key[a])
             a, b = a[new], b[new]
             out += [pd.DataFrame({"id": ids[a], "links": n[b], "mate": ids[b]}), pd.DataFrame({"id": ids[b], "links": n[a], "mate": ids[b]})]
         return pd.concat(out, ignore_index=True) if out else None
@@ -164,9 +231,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, seed: int = 3)
     # lengths that many vectors have: at most one for each FEW classes
     common = [(r["dims"], r["count"]) for r in lengths.where(F.col("count") > FEW).orderBy("dims").collect()]
     parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
-    rest = classes.where(~F.col("dims").isin([d for d, _ in common])) if common else classes
-    met = [_of_few(rest, lengths, parts, threshold, dtype)]
-    met += [_of_many(classes.where(F.col("dims") == d), d, n, parts, threshold, dtype, seed) for d, n in common]
+    planned = {d: _of_many(classes.where(F.col("dims") == d), d, n, parts, threshold, dtype, seed) for d, n in common}
+    met = [m for m in planned.values() if m is not None]
+    done = [d for d, m in planned.items() if m is not None]
+    met.append(_of_few(classes.where(~F.col("dims").isin(done)) if done else classes, lengths, parts, threshold, dtype))
     met = cut_lineage(reduce(DataFrame.unionByName, met))
     links = met.groupBy("id").agg(F.sum("links").alias("links"))
     comps = components(met.select(F.col("id").alias("a"), F.col("mate").alias("b")))
@@ -189,20 +257,24 @@ def _dealt(entries: DataFrame, sizes: DataFrame, parts: int) -> DataFrame:
 
 
 def _of_few(classes: DataFrame, lengths: DataFrame, parts: int, threshold: float, dtype: str) -> DataFrame:
-    """id, links, mate: every two classes of one length compared, for lengths of at most FEW."""
+    """id, links, mate: every two classes of one length compared."""
     packed = classes.select("id", "n", "embedding", "dims").mapInPandas(_packed(dtype), "id long, n long, keys array<long>, vector binary, dims int")
     entries = packed.withColumn("table", F.lit(0)).withColumn("key", F.col("dims").cast("long")).drop("dims")
     sizes = lengths.select(F.lit(0).alias("table"), F.col("dims").cast("long").alias("key"), F.col("count").alias("m"))
     return _dealt(entries, sizes, parts).mapInPandas(_compare(threshold, dtype, one_length=False), "id long, links long, mate long")
 
 
-def _of_many(classes: DataFrame, dims: int, n: int, parts: int, threshold: float, dtype: str, seed: int) -> DataFrame:
-    """id, links, mate: the classes of one length that meet in a table's bucket compared."""
+def _of_many(classes: DataFrame, dims: int, n: int, parts: int, threshold: float, dtype: str, seed: int) -> DataFrame | None:
+    """id, links, mate: the classes of one length that meet in a table's bucket compared; None if tables don't serve them."""
     chosen = classes.where(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 20)) < F.lit(min(1.0, SAMPLE / max(n, 1)) * (1 << 20))).select("id", "embedding").limit(2 * SAMPLE).toPandas().sort_values("id")
     sample = _unit(np.array(chosen["embedding"].tolist() or [[1.0] * dims], dtype=dtype))
-    bits, tables = plan_tables(n, dims)
-    models = [fit_itq(sample, seed + k) for k in range(-(-tables // (dims // bits)))]
+    bits = key_bits(n, dims)
+    plan = plan_tables(sample, bits, threshold, seed)
+    if plan is None:
+        return None
+    models, tables = plan
     coded = cut_lineage(classes.select("id", "n", "embedding").mapInPandas(_keys(models, bits, tables, dtype), "id long, n long, keys array<long>, vector binary"))
-    entries = coded.select("id", "n", "keys", "vector", F.posexplode("keys").alias("table", "key"))
-    sizes = coded.select(F.posexplode("keys").alias("table", "key")).groupBy("table", "key").agg(F.count("*").alias("m"))
+    placed = lambda *names: coded.select(*names, F.posexplode("keys").alias("place", "key")).withColumn("table", F.floor(F.col("place") / 2).cast("int")).drop("place")
+    entries = placed("id", "n", "keys", "vector")
+    sizes = placed().groupBy("table", "key").agg(F.count("*").alias("m"))
     return _dealt(entries, sizes, parts).mapInPandas(_compare(threshold, dtype), "id long, links long, mate long")

@@ -192,3 +192,36 @@ def test_embedding_recall(spark):
     true = (u @ u.T >= 0.95).sum(axis=1) - 1
     got = p["n_links"].to_numpy()
     assert (got <= true).all() and got.sum() >= 0.9 * true.sum() > 0
+
+
+@pytest.mark.parametrize("dims, n", [(64, 5_001), (64, 10_000_000), (64, 1_000_000_000), (384, 1_000_000_000)])
+def test_planned_tables_find_pairs_at_the_threshold(dims, n):
+    """The rotations and tables planned for n vectors, on other vectors than those they were learned and measured on."""
+    rng = np.random.default_rng(dims)
+    unit = lambda k: embeddings._unit(rng.normal(size=(k, dims)))
+    bits = embeddings.key_bits(n, dims)
+    models, tables = embeddings.plan_tables(unit(5_000), bits, 0.95, 3)
+    x = unit(2_000)
+    y = embeddings.mates(x, 0.95, 11)
+    assert np.allclose((x * y).sum(axis=1), 0.95)
+    met = np.concatenate([embeddings.meet(embeddings.table_keys(x, m, bits), embeddings.table_keys(y, m, bits)) for m in models], axis=1)[:, :tables]
+    assert met.any(axis=1).mean() >= 0.95
+
+
+def test_hard_pairs_among_many_vectors(spark):
+    """12,000 vectors, 3,000 of them at a cosine of 0.951 from another one; a length that tables don't serve is compared in all pairs."""
+    rng = np.random.default_rng(8)
+    x = embeddings._unit(rng.normal(size=(9_000, 48)))
+    y = embeddings.mates(x[1:6_000:2][:3_000], 0.951, 5)
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([x, y]))]
+    p = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).toPandas()
+    assert (p["n_links"] > 0).sum() >= 0.96 * 6_000 and p["n_links"].max() == 1
+
+
+def test_no_table_plan(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "MOST_TABLES", 1)
+    rng = np.random.default_rng(9)
+    x = embeddings._unit(rng.normal(size=(500, 16)))
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([x, embeddings.mates(x, 0.951, 5)]))]
+    p = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).toPandas()
+    assert (p["n_links"] >= 1).all()
