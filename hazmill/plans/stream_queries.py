@@ -12,6 +12,8 @@ from hazmill.plans import label_queries as LQ
 from hazmill.plans.narratives import NARRATIVES, narratives
 from hazmill.plans.registry import query, table
 from hazmill.sources import store
+from hazmill.sources.shared import new_folder
+from hazmill.streaming import live
 from hazmill.streaming import updates as U
 
 #: Events as stage updates: the user is the analysis, the number a stage (or, for some types, an end), the type a status.
@@ -21,7 +23,11 @@ _UP = """up as (select user_id as analysis_id, case event_id % 10 when 0 then 'd
 
 
 def updates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+    return staged(table(spark, sf_dir, "events"))
+
+
+def staged(e: DataFrame) -> DataFrame:
+    """Events, a table or a stream of them, as stage updates."""
     k, kind = F.col("event_id") % 10, F.col("event_type")
     stage = F.when(k == 8, F.when(kind == "purchase", "complete").otherwise(U.STAGES[0])).when(k == 9, F.when(kind == "error", "error").otherwise(U.STAGES[1]))
     stage = stage.otherwise(F.element_at(F.array(*map(F.lit, [*U.STAGES, U.ALSO_LAST])), (F.least(k, F.lit(7)) + 1).cast("int")))
@@ -60,6 +66,31 @@ def replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.replay(updates(spark, sf_dir), asked)
 
 
+@query(
+    "live_replay",
+    f"""with {_UP}, m as (select (epoch_us(min(ts)) + epoch_us(max(ts))) // 2 as middle from events), ids as (select distinct c_custkey as analysis_id from customer where c_custkey % 50 = 0),
+known as (select distinct analysis_id from up, m where epoch_us(ts) <= middle), e as (select analysis_id, min(struct_pack(a := ts, b := seq)) filter (stage in ('complete', 'error')) as till from up group by 1),
+o as (select up.*, row_number() over (partition by analysis_id order by ts, seq) - 1 as place from up join e using (analysis_id) where till is null or struct_pack(a := ts, b := seq) <= till)
+select analysis_id, 'reader' as subscriber, place::int as place, stage, status from o where analysis_id in (select analysis_id from ids) and analysis_id in (select analysis_id from known)
+union all select analysis_id, 'reader', 0, 'error', 'error' from ids where analysis_id not in (select analysis_id from known)""",
+)
+def live_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subscriptions of a query set of analyses, asked in the middle of the events' time, served by one run of the stream over both tables."""
+    s = spark.newSession()
+    s.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    s.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    span = table(s, sf_dir, "events").agg(F.min(micros).alias("first"), F.max(micros).alias("last")).first()
+    asked = table(s, sf_dir, "customer").where("c_custkey % 50 = 0").select(F.col("c_custkey").alias("analysis_id"))
+    streamed = lambda name, rows: s.readStream.schema(s.read.parquet(f"{sf_dir}/{name}.parquet").schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir).transform(rows)
+    told = streamed("events", staged).join(asked, "analysis_id", "left_semi").withColumn("ts", F.col("ts").cast("timestamp"))
+    subscriptions = streamed("customer", lambda c: c.where("c_custkey % 50 = 0").select(F.col("c_custkey").alias("analysis_id"), F.lit("reader").alias("subscriber"), F.timestamp_micros(F.lit(((span["first"] or 0) + (span["last"] or 0)) // 2)).alias("ts")))
+    folder = new_folder(spark, "live")
+    served = live.live_replay(told, subscriptions, timeout_s=10**9)
+    served.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/rows").awaitTermination()
+    return spark.read.schema(live.OUT).parquet(f"{folder}/rows")
+
+
 @query(
     "silence_gaps",
     f"""with {_UP}, g as (select analysis_id, seq, epoch_us(lead(ts) over (partition by analysis_id order by ts, seq)) - epoch_us(ts) as gap from up)
