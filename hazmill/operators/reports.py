@@ -156,11 +156,14 @@ def assemble_report(scored: DataFrame, entities: DataFrame, similar: DataFrame,
     return out.withColumn("alerts", F.array(alert)).withColumn("warnings", warned)
 
 
-def analyze(reports: DataFrame, history: DataFrame, regulations: DataFrame, parsed: DataFrame | None = None, graph: tuple[DataFrame, DataFrame] | None = None, corpus_size: int | None = None) -> DataFrame:
+def analyze(reports: DataFrame, history: DataFrame, regulations: DataFrame, parsed: DataFrame | None = None, graph: tuple[DataFrame, DataFrame] | None = None, corpus_size: int | None = None, searched: Column | None = None) -> DataFrame:
     """The whole chain for a table of reports (analysis_id, file_name, text) against two corpora of chunks.
 
     history has chunk_id, text, source_document and metadata; regulations has
-    chunk_id, text, regulation_name, section, source_document.
+    chunk_id, text, regulation_name, section, source_document. searched says, of a
+    report's columns, for which ones the corpora are searched (all if it is not
+    given); the others go through every other stage, without similar incidents
+    and clauses.
     """
     spark = reports.sparkSession
     r = structured_incident(reports.withColumn("error", F.lit(None).cast("string")) if "error" not in reports.columns else reports, parsed)
@@ -169,9 +172,10 @@ def analyze(reports: DataFrame, history: DataFrame, regulations: DataFrame, pars
     r = checkpointed(r)
     sound = r.where("error is null")
     found = checkpointed(N.dictionary_entities(sound))
-    asked = sound.select(F.col("analysis_id").alias("query_id"), L.incident_query(F.col("sequence_of_events"), F.col("immediate_causes"), F.col("equipment_involved"), F.col("text")).alias("text"), "industry")
+    seeking = sound if searched is None else sound.where(searched)
+    asked = seeking.select(F.col("analysis_id").alias("query_id"), L.incident_query(F.col("sequence_of_events"), F.col("immediate_causes"), F.col("equipment_involved"), F.col("text")).alias("text"), "industry")
     similar = checkpointed(R.to_similar_incident(R.hybrid_search_incidents(asked, history)).withColumnRenamed("query_id", "analysis_id"))
-    wanted = sound.select(F.col("analysis_id").alias("query_id"), L.regulatory_query(F.col("hazard_type"), F.col("sequence_of_events"), F.col("immediate_causes"), F.col("equipment_involved")).alias("text"), "hazard_type", "industry")
+    wanted = seeking.select(F.col("analysis_id").alias("query_id"), L.regulatory_query(F.col("hazard_type"), F.col("sequence_of_events"), F.col("immediate_causes"), F.col("equipment_involved")).alias("text"), "hazard_type", "industry")
     clauses = checkpointed(R.retrieve_clauses(wanted, regulations).withColumnRenamed("query_id", "analysis_id"))
     patterns = checkpointed(P.corroborate(P.match_precursors(sound), similar.select("analysis_id", F.col("chunk_excerpt").alias("excerpt"))))
     causes = F.concat("immediate_causes", "root_causes")

@@ -11,7 +11,8 @@ from hazmill.operators import history as H
 from hazmill.operators import precursors as P
 from hazmill.operators import reports as A
 from hazmill.plans import label_queries as LQ
-from hazmill.plans.narratives import customer_narratives
+from hazmill.plans.graph_queries import _ENT
+from hazmill.plans.narratives import NARRATIVES, customer_narratives, narratives
 from hazmill.plans.registry import query, table
 from hazmill.plans.search_queries import cited
 
@@ -129,19 +130,21 @@ def industry_filter_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.industry_filter_values(analyses(spark, sf_dir))
 
 
-def analyzed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every fiftieth report through the whole chain, against all reports as history and part citations as regulations."""
+def corpora(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All reports of customers as history and part citations as regulations."""
     n = customer_narratives(spark, sf_dir)
     history = n.select(F.col("analysis_id").alias("chunk_id"), "text", F.col("file_name").alias("source_document"), "industry", F.lit(None).cast("string").alias("title"))
     regulations = cited(spark, sf_dir).select(
         F.col("p_partkey").alias("chunk_id"), F.concat_ws(" ", "regulation_name", F.lit("requires lockout, guards, permits and training for machine, tank and scaffold work.")).alias("text"), "regulation_name", "section", F.col("query_id").alias("source_document")
     )
-    return A.analyze(n.where("analysis_id % 50 = 0").select("analysis_id", "file_name", "text"), history, regulations)
+    return history, regulations
 
 
 @query("analyze")
 def analyze(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = analyzed(spark, sf_dir)
+    """All reports of customers through the whole chain; the query set of the searches is every fiftieth."""
+    reports = customer_narratives(spark, sf_dir).select("analysis_id", "file_name", "text")
+    r = A.analyze(reports, *corpora(spark, sf_dir), searched=F.col("analysis_id") % 50 == 0)
     return r.select(
         "analysis_id",
         "hazard_type",
@@ -152,6 +155,34 @@ def analyze(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_TOLD = f"n as (select * replace (0 as injuries, 0 as fatalities, null::varchar as industry) from ({NARRATIVES}))"
+_UNSEARCHED = LQ._SCORED.replace(LQ._VIOLATED, "[]::varchar[]").replace("custkey % 30 as sim_docs", "0 as sim_docs")
+
+
+@query(
+    "analyze_unsearched",
+    f"""with {_TOLD}, {LQ._SEV}, {LQ._HAZ}, {LQ._MATCH}, {_UNSEARCHED}, {_ENT}, en as (select analysis_id, count(*) as n from ent where place < 40 group by 1),
+dn as (select hazard_type, count(distinct lower(trim(action))) as n from (select distinct hazard_type from hz) join {_ACTIONS} on family in (hazard_type, 'general') group by 1),
+k as (select *, {LQ._CLASS} as document_type from (select *, {LQ._count('lower(text)', X.INCIDENT_TERMS)} as a, {LQ._count('lower(text)', X.REGULATORY_TERMS)} as b from tiered))
+select k.analysis_id, document_type, severity, k.hazard_type, total, tier, concat(case when total >= 8 then 'CRITICAL precursor risk' else tier || ' risk' end, ': Workplace incident scored ', total, '/10') as title, coalesce(en.n, 0)::int as n_entities, found::int as n_precursor_patterns,
+ dn.n::int as n_corrective_actions, ((len(regexp_extract_all(text, '[^\s]+')) < 100)::int + (document_type <> 'incident')::int + 1)::int as n_warnings from k join dn on dn.hazard_type = k.hazard_type left join en on en.analysis_id = k.analysis_id""",
+)
+def analyze_unsearched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All reports of orders through the chain, their query set left empty: what each stage gives without the corpora."""
+    reports = narratives(spark, sf_dir).select("analysis_id", "file_name", "text")
+    r = A.analyze(reports, *corpora(spark, sf_dir), searched=F.lit(False))
+    return r.select(
+        "analysis_id",
+        "document_type",
+        F.col("severity_indicator").alias("severity"),
+        "hazard_type",
+        "risk.total",
+        "risk.tier",
+        F.col("alerts")[0]["title"].alias("title"),
+        *[F.size(c).alias(f"n_{c}") for c in ("entities", "precursor_patterns", "corrective_actions", "warnings")],
+    )
+
+
 @query(
     "stage_summaries",
     f"""{_ALL}, {LQ._MATCH}, {LQ._SCORED}, r as (select *, {LQ._count('lower(text)', X.INCIDENT_TERMS)} as a, {LQ._count('lower(text)', X.REGULATORY_TERMS)} as b from tiered),
