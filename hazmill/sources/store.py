@@ -149,5 +149,13 @@ def analysis_rows(reports: DataFrame, status: str = "complete") -> DataFrame:
     )
 
 
+def find_report(spark: SparkSession, path: str, analysis_id: int) -> DataFrame | None:
+    """get_report over a table of buckets by id; None if no file may hold it."""
+    from hazmill.sources.keyed import find
+
+    rows = find(spark, path, "id", [analysis_id])
+    return None if rows is None else get_report(rows, analysis_id)
+
+
 def get_report(analyses: DataFrame, analysis_id: int) -> DataFrame:
     return analyses.where((F.col("id") == analysis_id) & F.col("report").isNotNull())

@@ -216,11 +216,14 @@ def silence_stream(updates: DataFrame, heartbeat_s: int = HEARTBEAT_S, timeout_s
     return keyed.applyInPandasWithState(run, out, "stage string, ms long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def streaming_analyze(reports: DataFrame, history: DataFrame, regulations: DataFrame, path: str, checkpoint: str):
-    """Starts the analysis of a stream of reports: each micro-batch is analysed and stored once, whatever is retried."""
+def streaming_analyze(reports: DataFrame, history: DataFrame, regulations: DataFrame, path: str, checkpoint: str, keep: Callable[[DataFrame, str, str], None] | None = None):
+    """Starts the analysis of a stream of reports: each micro-batch is analysed and stored once, whatever is retried.
+
+    keep puts rows by their key into the table at the path: store.upsert, or keyed.put for a table of buckets.
+    """
     from hazmill.sources.store import upsert
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        upsert(A.analyze(batch, history, regulations), path, "analysis_id")
+        (keep or upsert)(A.analyze(batch, history, regulations), path, "analysis_id")
 
     return reports.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -11,7 +11,7 @@ from hazmill.functions import labels as L
 from hazmill.operators import history as H
 from hazmill.operators import reports as A
 from hazmill.operators import retrieval as R
-from hazmill.sources import store
+from hazmill.sources import keyed, store
 from hazmill.streaming import updates as U
 
 REPORT = (
@@ -123,6 +123,8 @@ def test_a_report_is_stored_once_and_comes_back_in_the_history(spark, corpora, t
     (page,) = H.list_analyses(analyses).collect()
     assert (page["id"], page["total"], page["file_name"]) == (1, 1, "press.pdf") and page["created_at"] is not None
     assert json.loads(store.get_report(analyses, 1).first()["report"])["analysis_id"] == 1 and store.get_report(analyses, 2).isEmpty()
+    keyed.put(rows, str(tmp_path / "by_key"), "id")
+    assert json.loads(store.find_report(spark, str(tmp_path / "by_key"), 1).first()["report"])["analysis_id"] == 1 and store.find_report(spark, str(tmp_path / "by_key"), 2) is None
     (alert,) = H.alert_register(reports.withColumnRenamed("analysis_id", "id").select("id", "created_at", "alerts")).collect()
     assert alert["id"] == 1 and alert["alert_id"] and alert["title"].endswith("/10")
 
