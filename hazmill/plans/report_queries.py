@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ from hazmill.plans.graph_queries import _ENT
 from hazmill.plans.narratives import NARRATIVES, customer_narratives, narratives
 from hazmill.plans.registry import query, table
 from hazmill.plans.search_queries import cited
+from hazmill.sources import timeline
+from hazmill.sources.shared import new_folder
 
 _ALL = f"with {LQ._N}, {LQ._SEV}, {LQ._HAZ}"
 _q = lambda s: "'" + s.replace("'", "''") + "'"
@@ -86,6 +90,22 @@ def history_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.list_analyses(analyses(spark, sf_dir), 2, 20, "HIGH").select("id", "severity", "industry", "risk_total", "total")
 
 
+@query("history_pages", f"with {_AN} select id, severity, industry, risk_total, (row_number() over (order by created_at desc, id) - 1)::int // 50 as page from an where status = 'complete' and severity = 'HIGH' order by created_at desc, id limit 200")
+def history_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first four pages of fifty from a store laid out by time, each from where the last one ended."""
+    path = new_folder(spark, "timeline")
+    timeline.append(analyses(spark, sf_dir), path)
+    pages, after = [], None
+    for i in range(4):
+        found, after = timeline.page(spark, path, after, 50, "HIGH")
+        if found is None:
+            return analyses(spark, sf_dir).limit(0).select("id", "severity", "industry", "risk_total", F.lit(0).alias("page"))
+        pages.append(found.select("id", "severity", "industry", "risk_total", F.lit(i).alias("page")))
+        if after is None:
+            break
+    return reduce(DataFrame.unionByName, pages)
+
+
 @query("all_history", f"with {_AN} select id, created_at, severity from an where status = 'complete'")
 def all_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.all_history(analyses(spark, sf_dir)).select("id", "created_at", "severity")
@@ -165,7 +185,7 @@ _UNSEARCHED = LQ._SCORED.replace(LQ._VIOLATED, "[]::varchar[]").replace("custkey
 dn as (select hazard_type, count(distinct lower(trim(action))) as n from (select distinct hazard_type from hz) join {_ACTIONS} on family in (hazard_type, 'general') group by 1),
 k as (select *, {LQ._CLASS} as document_type from (select *, {LQ._count('lower(text)', X.INCIDENT_TERMS)} as a, {LQ._count('lower(text)', X.REGULATORY_TERMS)} as b from tiered))
 select k.analysis_id, document_type, severity, k.hazard_type, total, tier, concat(case when total >= 8 then 'CRITICAL precursor risk' else tier || ' risk' end, ': Workplace incident scored ', total, '/10') as title, coalesce(en.n, 0)::int as n_entities, found::int as n_precursor_patterns,
- dn.n::int as n_corrective_actions, ((len(regexp_extract_all(text, '[^\s]+')) < 100)::int + (document_type <> 'incident')::int + 1)::int as n_warnings from k join dn on dn.hazard_type = k.hazard_type left join en on en.analysis_id = k.analysis_id""",
+ dn.n::int as n_corrective_actions, ((len(regexp_extract_all(text, '[^\\s]+')) < 100)::int + (document_type <> 'incident')::int + 1)::int as n_warnings from k join dn on dn.hazard_type = k.hazard_type left join en on en.analysis_id = k.analysis_id""",
 )
 def analyze_unsearched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All reports of orders through the chain, their query set left empty: what each stage gives without the corpora."""
