@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hazmill.functions.taxonomy import CLAUSE_WEIGHTS
@@ -21,6 +21,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def settled(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """rows and new columns that are worked out once for a row, however often later ones name them: the optimizer copies nothing past a generator."""
+    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
 def py_round2(x: Column) -> Column:
     """x >= 0 rounded to two places by its exact binary value, half to even.
 

@@ -123,7 +123,7 @@ m as (select analysis_id, 0 as part, pattern_order from hits where {_FAMILY_OF}[
 
 def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = P.with_flags(narratives(spark, sf_dir))
-    return n.withColumn("hazard_type", P.flagged_family(F.col("pattern_flags"))).withColumn("severity", L.classify_severity(F.col("text"), F.col("injuries"), F.col("fatalities")))
+    return S.settled(n, {"hazard_type": P.flagged_family(F.col("pattern_flags")), "severity": L.classify_severity(F.col("text"), F.col("injuries"), F.col("fatalities"))})
 
 
 @query("precursors", f"with {_N}, {_SEV}, {_HAZ}, {_MATCH} select analysis_id, part, pattern_order::int as pattern_order from m")
@@ -223,7 +223,7 @@ def scored_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.array(*map(F.lit, _FAMS))
     n = F.col("analysis_id") % 4
     fams = F.when(n > 0, F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.element_at(names, ((F.col("custkey") + i) % len(_FAMS) + 1).cast("int")))).otherwise(F.array().cast("array<string>"))
-    r = r.withColumns({"found": P.flagged_count(F.col("pattern_flags"), F.col("hazard_type")).cast("long"), "known": P.known_precursor_count(F.col("hazard_type")), "similar": F.col("custkey") % 30, "fams": fams})
+    r = S.settled(r, {"found": P.flagged_count(F.col("pattern_flags"), F.col("hazard_type")).cast("long"), "known": P.known_precursor_count(F.col("hazard_type")), "similar": F.col("custkey") % 30, "fams": fams})
     return r.withColumn("risk", S.risk_score(F.col("severity"), F.col("similar"), F.lit(80), F.col("fams"), F.col("found"), F.col("known")))
 
 
