@@ -11,6 +11,8 @@ from hazmill.sources.shared import checkpointed
 
 INVOLVED, CAUSED_BY, PRECEDED_BY = "INVOLVED", "CAUSED_BY", "PRECEDED_BY"
 CAUSAL, MAX_DEPTH, HUB_DEGREE = (CAUSED_BY, PRECEDED_BY), 6, 8
+#: Rows of a walk up to which it is broadcast, and copies of a longer one.
+MOST_BROADCAST, COPIES = 100_000, 32
 #: Entity types in the order they enter the graph, with the node type and relation they get.
 ROLES = [("EQUIPMENT", "equipment", INVOLVED), ("HAZARD", "hazard", INVOLVED), ("UNSAFE_ACT", "cause", CAUSED_BY), ("CONDITION", "cause", CAUSED_BY)]
 
@@ -86,10 +88,14 @@ def causal_chain(reports: DataFrame, entities: DataFrame, nodes: DataFrame, edge
     tools = reports.select("analysis_id", F.posexplode("equipment").alias("i", "text")).select("analysis_id", F.lit(1).alias("part"), F.col("i").cast("long").alias("i"), node_key("equipment", F.col("text")).alias("start"))
     hazards = entities.where("entity_type = 'HAZARD'").select("analysis_id", F.lit(2).alias("part"), F.col("place").cast("long").alias("i"), node_key("hazard", F.col("text")).alias("start"))
     starts = checkpointed(tools.unionByName(hazards))
-    known = nodes.select("node_id").unionByName(edges.select(F.col("src").alias("node_id"))).distinct()
-    walk = precursor_chain(edges, starts.select(F.col("start").alias("node_id")).distinct().join(known, "node_id", "left_semi"), nodes)
-    walked = starts.join(walk, "start").select("analysis_id", "part", "i", "depth", "place", "label", "node_type", "relation")
-    every = own.unionByName(walked)
+    walk = checkpointed(precursor_chain(edges, starts.select(F.col("start").alias("node_id")).distinct(), nodes))
+    # very many reports share a start, so none of them is sent to its start's task: a short walk goes to all, a long one in copies
+    if walk.count() <= MOST_BROADCAST:
+        met = starts.join(F.broadcast(walk), "start")
+    else:
+        met = starts.withColumn("copy", F.pmod(F.xxhash64("analysis_id"), F.lit(COPIES))).join(walk.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(COPIES - 1).cast("long")))), ["start", "copy"])
+    walked = met.select("analysis_id", "part", "i", "depth", "place", "label", "node_type", "relation")
+    every = own.unionByName(walked).repartition("analysis_id")  # serves both windows
     key = F.lower(F.trim("label"))
     first = Window.partitionBy("analysis_id", key).orderBy("part", "i", "depth", "place")
     once = every.withColumn("n", F.row_number().over(first)).where("n = 1")

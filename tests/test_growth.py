@@ -3,6 +3,7 @@
 from pathlib import Path
 
 from hazmill.operators import entities as N
+from hazmill.operators import graph as G
 from hazmill.operators import reports as A
 from hazmill.plans.queries import QUERIES
 
@@ -42,3 +43,16 @@ def test_a_report_stays_one_row_until_its_entities_are_known(spark):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan
     assert [tuple(r)[:4] for r in got.orderBy("analysis_id", "place").collect()] == [(1, 0, "Press brake jam", "HAZARD"), (1, 1, "PRESS", "EQUIPMENT"), (1, 2, "Jam cleared", "CONDITION"), (4, 0, "press", "EQUIPMENT")]
+
+
+def test_reports_of_one_hazard_do_not_meet_in_one_task(spark, monkeypatch):
+    """Starts are never shuffled by their few values (they were); a long walk gives the same as a short one."""
+    reports = spark.createDataFrame([(i, ["why"], ["press"]) for i in range(40)], "analysis_id long, causes array<string>, equipment array<string>")
+    found = spark.createDataFrame([(i, 0, "fire", "HAZARD") for i in range(40)], "analysis_id long, place int, text string, entity_type string")
+    edges = spark.createDataFrame([("hazard:fire", "condition:heat", "PRECEDED_BY", 0), ("hazard:fire", "condition:fuel", "PRECEDED_BY", 1), ("condition:heat", "cause:spark", "CAUSED_BY", 0)], "src string, dst string, relation string, edge_seq int")
+    nodes = spark.createDataFrame([("hazard:fire", "fire", "hazard")], "node_id string, label string, node_type string")
+    short = G.causal_chain(reports, found, nodes, edges)
+    assert _exchanges(short, "start") == 0
+    monkeypatch.setattr(G, "MOST_BROADCAST", 0)
+    key = lambda df: sorted(map(tuple, df.collect()))
+    assert key(short) == key(G.causal_chain(reports, found, nodes, edges)) and short.count() == 160
