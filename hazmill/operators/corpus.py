@@ -5,10 +5,11 @@ Pages are (doc_id, page_no, text); documents carry a name or id and a text.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazmill.functions import text as T
+from hazmill.functions.scoring import let
 
 
 def apply_page_budget(pages: DataFrame, max_pages: int = 60, max_chars: int = 200_000) -> DataFrame:
@@ -60,18 +61,25 @@ def clean_documents(pages: DataFrame) -> DataFrame:
     return remove_furniture(pages).withColumn("text", T.normalize_text(F.col("text")))
 
 
+def sections_of(text: Column) -> Column:
+    """Array of (section_no, heading, body): lines under the nearest heading before them, inside a text's row; empty bodies go."""
+
+    def cut(x: Column) -> Column:
+        until = lambda i: F.coalesce(F.try_element_at(x["at"], i + 2), F.size(x["lines"]) + 1)
+        body = lambda at, i: T.strip(F.array_join(F.slice(x["lines"], at + 1, until(i) - at - 1), "\n"))
+        heading = lambda at: F.when(at > 0, T.strip(F.element_at(x["lines"], F.greatest(at, F.lit(1))))).otherwise("")
+        return F.transform(x["at"], lambda at, i: F.struct(i.alias("section_no"), heading(at).alias("heading"), body(at, i).alias("body")))
+
+    # the places of headings, from 1, after a place before the first line
+    at = lambda lines: F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(T.HEADING), i + 1)), lambda i: i.isNotNull())
+    placed = let(T.lines(F.coalesce(text, F.lit(""))), lambda lines: F.struct(lines.alias("lines"), F.concat(F.array(F.lit(0)), at(lines)).alias("at")))
+    none = F.array().cast("array<struct<section_no:int,heading:string,body:string>>")
+    return F.filter(F.coalesce(let(placed, lambda x: F.when(F.size(x["lines"]) > 0, cut(x))), none), lambda s: s["body"] != "")
+
+
 def split_sections(docs: DataFrame) -> DataFrame:
     """doc_id, section_no, heading, body: lines under the nearest heading before them; empty bodies go."""
-    heading = lambda x: x.rlike(T.HEADING)
-    marked = docs.select("doc_id", F.posexplode(T.lines(F.coalesce("text", F.lit("")))).alias("line_no", "line"))
-    run = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    placed = marked.withColumn("is_heading", heading(F.col("line"))).withColumn("section_no", F.sum(F.col("is_heading").cast("int")).over(run))
-    grouped = placed.groupBy("doc_id", "section_no").agg(
-        F.coalesce(F.max(F.when(F.col("is_heading"), T.strip(F.col("line")))), F.lit("")).alias("heading"),
-        F.array_sort(F.collect_list(F.when(~F.col("is_heading"), F.struct("line_no", "line")))).alias("rows"),
-    )
-    body = T.strip(F.array_join("rows.line", "\n"))
-    return grouped.select("doc_id", F.col("section_no").cast("int").alias("section_no"), "heading", body.alias("body")).where("body <> ''")
+    return docs.select("doc_id", F.inline(sections_of(F.col("text"))))
 
 
 def dedupe_corpus(docs: DataFrame, limit: int | None = None) -> DataFrame:

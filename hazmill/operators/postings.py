@@ -46,7 +46,7 @@ SLICE = 4096
 SLACK = 1e-7
 
 #: Bytes of a lower-cased text to those of its terms, what functions.text.tokenize finds, and spaces.
-_TERMS = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
+TERM_BYTES = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
 
 @dataclass
@@ -152,7 +152,7 @@ def _write_rows(chunks: DataFrame, path: str, number: int) -> None:
 
 def _counted(texts: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(distinct terms, and for each posting, by term and place, the term's number, place and count; lengths of all texts)."""
-    lists = pc.ascii_split_whitespace(pa.array([t.lower().encode().translate(_TERMS) for t in texts], pa.large_binary()).cast(pa.large_string()))
+    lists = pc.ascii_split_whitespace(pa.array([t.lower().encode().translate(TERM_BYTES) for t in texts], pa.large_binary()).cast(pa.large_string()))
     flat, place = lists.flatten(), np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
     real = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0
     coded = flat.filter(pa.array(real)).dictionary_encode()

@@ -2,6 +2,9 @@
 
 from pathlib import Path
 
+import numpy as np
+
+from hazmill.operators import chunks as C
 from hazmill.operators import entities as N
 from hazmill.operators import graph as G
 from hazmill.operators import reports as A
@@ -56,3 +59,21 @@ def test_reports_of_one_hazard_do_not_meet_in_one_task(spark, monkeypatch):
     monkeypatch.setattr(G, "MOST_BROADCAST", 0)
     key = lambda df: sorted(map(tuple, df.collect()))
     assert key(short) == key(G.causal_chain(reports, found, nodes, edges)) and short.count() == 160
+
+
+def test_a_document_stays_one_row_until_it_is_cut(spark):
+    """No row for a token and no shuffle; the fold as over adjacent_similarity (chunks shuffled each token three times)."""
+    words = "press guard tank valve crane hoist fire dust".split()
+    said = " ".join(f"{words[i * i % 8].title()} {' '.join(words[(i * j) % 8] for j in range(1, 3 + i % 15))}." for i in range(90))
+    rows = [(1, f"{said}\n\nSAFETY RULES\n{said}\nEMPTY ONE\n2.1 Next\nOnly this"), (2, None), (3, " \n"), (4, "İK one. Two")]
+    docs = spark.createDataFrame([(k, f"n{k}", t) for k, t in rows], "doc_id long, name string, text string")
+    got = C.index_documents(docs, "incidents")
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    by = {k: [(r["section"], r["text"]) for r in got.orderBy("doc_id", "idx").collect() if r["doc_id"] == k] for k, _ in rows}
+    assert [s for s, _ in by[1]] == sorted([s for s, _ in by[1]], key=["", "SAFETY RULES", "2.1 Next"].index) and by[1][-1] == ("2.1 Next", "Only this") and not by[2] + by[3] and len(by[4]) == 1
+    sentences = [f"{s}." for s in said.rstrip(".").split(". ")]
+    listed = spark.createDataFrame([(1, 0, i, s) for i, s in enumerate(sentences)], "doc_id long, section_no int, place int, sentence string")
+    sims = [r["sim"] or 0.0 for r in C.adjacent_similarity(listed).orderBy("place").collect()]
+    assert np.allclose(C.similarities(sentences), sims, atol=2e-9)
+    first = [t for s, t in by[1] if s == ""]
+    assert " ".join(first) == said and len(first) > 2
