@@ -135,7 +135,12 @@ def hashed_search(queries: DataFrame, chunks: DataFrame, k: int = CANDIDATES, fi
         own = rows.select(key, places, *[F.col(c).cast("string").alias(c) for c in filters])
         return own.mapInPandas(run, ", ".join([f"ids array<{_id_type(rows, key)}>", "x binary", *[f"{c} array<string>" for c in filters]]))
 
-    q = blocks(queries, "query_id", QUERY_BLOCK).select(F.col("ids").alias("q_ids"), F.col("x").alias("q_x"), *[F.col(c).alias(f"q_{c}") for c in filters])
+    queries = checkpointed(queries.select("query_id", "text", *filters))
+    dealt = queries.repartition(1 + queries.count() // QUERY_BLOCK)  # full blocks: each meets every block of chunks
+    # of chunks that are alike only the k first can be among the k best
+    alike = Window.partitionBy("text", *filters).orderBy("chunk_id")
+    chunks = chunks.select("chunk_id", "text", *filters).withColumn("copy", F.row_number().over(alike)).where(F.col("copy") <= k)
+    q = blocks(dealt, "query_id", QUERY_BLOCK).select(F.col("ids").alias("q_ids"), F.col("x").alias("q_x"), *[F.col(c).alias(f"q_{c}") for c in filters])
     met = _paired(q, blocks(chunks, "chunk_id", DATA_BLOCK))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -219,8 +224,25 @@ def hybrid_search(
     """Both arms, fused, cut to candidates, reranked and compressed: the chunks' columns with query_id, score, rank0.
 
     filters names columns of queries that hold what a chunk's column of the same
-    name must be; they bind the dense arm alone.
+    name must be; they bind the dense arm alone. Queries that are alike are
+    searched once, unless scores are supplied for each.
     """
+    if scores is None:
+        classed = checkpointed(_classed(queries, ("text", *filters)))
+        hits = _hybrid_search(classed.where("query_id = asked").drop("asked"), chunks, k, filters, compressed, None, index, digest)
+        own = classed.select("query_id", "asked").distinct()
+        return hits.withColumnRenamed("query_id", "asked").join(own, "asked").select(*hits.columns)
+    return _hybrid_search(queries, chunks, k, filters, compressed, scores, index, digest)
+
+
+def _classed(queries: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """queries with asked: the smallest query_id of those alike in columns; an id of several rows asks for itself."""
+    rows = queries.withColumn("many", F.count("*").over(Window.partitionBy("query_id")) > 1)
+    first = F.min("query_id").over(Window.partitionBy(*columns, "many"))
+    return rows.withColumn("asked", F.when(F.col("many"), F.col("query_id")).otherwise(first)).drop("many")
+
+
+def _hybrid_search(queries: DataFrame, chunks: DataFrame, k: int, filters: tuple[str, ...], compressed: bool, scores: DataFrame | None, index: Bm25Index | None, digest: str) -> DataFrame:
     sparse = bm25_search(queries, index or build_bm25(chunks), CANDIDATES)
     dense = checkpointed(hashed_search(queries, chunks, CANDIDATES, filters, digest=digest))
     hits = rerank(candidates(reciprocal_rank_fusion(dense, sparse), chunks, dense), k, scores)

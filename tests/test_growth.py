@@ -8,6 +8,7 @@ from hazmill.operators import chunks as C
 from hazmill.operators import entities as N
 from hazmill.operators import graph as G
 from hazmill.operators import reports as A
+from hazmill.operators import retrieval as R
 from hazmill.plans.queries import QUERIES
 
 SMALL = "/root/testdata/sf0.001"
@@ -69,7 +70,8 @@ def test_a_document_stays_one_row_until_it_is_cut(spark):
     docs = spark.createDataFrame([(k, f"n{k}", t) for k, t in rows], "doc_id long, name string, text string")
     got = C.index_documents(docs, "incidents")
     assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
-    by = {k: [(r["section"], r["text"]) for r in got.orderBy("doc_id", "idx").collect() if r["doc_id"] == k] for k, _ in rows}
+    made = got.orderBy("doc_id", "idx").collect()
+    by = {k: [(r["section"], r["text"]) for r in made if r["doc_id"] == k] for k, _ in rows}
     assert [s for s, _ in by[1]] == sorted([s for s, _ in by[1]], key=["", "SAFETY RULES", "2.1 Next"].index) and by[1][-1] == ("2.1 Next", "Only this") and not by[2] + by[3] and len(by[4]) == 1
     sentences = [f"{s}." for s in said.rstrip(".").split(". ")]
     listed = spark.createDataFrame([(1, 0, i, s) for i, s in enumerate(sentences)], "doc_id long, section_no int, place int, sentence string")
@@ -77,3 +79,20 @@ def test_a_document_stays_one_row_until_it_is_cut(spark):
     assert np.allclose(C.similarities(sentences), sims, atol=2e-9)
     first = [t for s, t in by[1] if s == ""]
     assert " ".join(first) == said and len(first) > 2
+
+
+def test_queries_and_chunks_that_are_alike_are_searched_once(spark, monkeypatch):
+    """Ninety queries of three texts ask three times (each asked); copies of a chunk beyond the k first are no candidates, and results stay."""
+    said = ["press jam cleared", "tank entry attendant", "press guard removed"]
+    chunks = spark.createDataFrame([(i, said[i % 3] + (" again" if i == 50 else ""), "a" if i % 2 else "b") for i in range(120)], "chunk_id long, text string, industry string")
+    queries = spark.createDataFrame([(i, said[i % 3], None if i % 3 else "a") for i in range(90)] + [(90, None, None), (91, "jam", None), (91, "tank", None)], "query_id long, text string, industry string")
+    asked = []
+    plain = R._hybrid_search
+    monkeypatch.setattr(R, "_hybrid_search", lambda q, *a: asked.append(q.count()) or plain(q, *a))
+    got = R.hybrid_search(queries, chunks, 8, ("industry",), compressed=False)
+    found = got.orderBy("rank0").collect()
+    rows = {k: [(r["rank0"], r["chunk_id"]) for r in found if r["query_id"] == k] for k in range(92)}
+    assert asked == [3 + 1 + 2]
+    assert all(rows[i] == rows[i % 3] and len(rows[i]) == 8 for i in range(90)) and not rows[90] and rows[91]
+    alone = plain(queries.where("query_id = 40"), chunks, 8, ("industry",), False, None, None, "crc32")
+    assert rows[40] == [(r["rank0"], r["chunk_id"]) for r in alone.orderBy("rank0").collect()]
