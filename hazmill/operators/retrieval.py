@@ -9,20 +9,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazmill.functions import text as T
-from hazmill.operators.best import best_of, top_k
+from hazmill.operators.best import Best, in_parts, top_k
 from hazmill.operators.postings import Bm25Index, add_chunks, bm25_search, build_bm25, merge_segments  # noqa: F401
 from hazmill.sources.shared import checkpointed, new_folder
 
 RRF_K, CANDIDATES, RELEVANCE = 60, 20, 0.3
-#: Rows of a block in exact search.
-QUERY_BLOCK, DATA_BLOCK = 512, 4096
-#: Bytes of all query blocks up to which they are broadcast; more of them are shuffled to the data's blocks.
-MOST_BROADCAST = 64_000_000
+#: Rows of a block in exact search, and of one of hashed tokens.
+QUERY_BLOCK, DATA_BLOCK, HASHED_BLOCK = 512, 2048, 1024
 
 
 # -- vectors ---------------------------------------------------------------
@@ -53,56 +52,56 @@ def _id_type(rows: DataFrame, key: str) -> str:
     return rows.schema[key].dataType.simpleString()
 
 
-def _blocks(rows: DataFrame, key: str, size: int, label: str | None) -> DataFrame:
-    """ids, x, label: packed vectors, those of a block of one label; each task packs what it holds, so nothing is collected."""
+def matrix(lists: pa.Array, dim: int | None = None) -> np.ndarray:
+    """A row for each list of numbers; all must be of one length (dim, if that is given). Null numbers are not finite."""
+    if isinstance(lists, pa.ChunkedArray):
+        lists = lists.combine_chunks()
+    flat = lists.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+    length = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    dim = int(length[0]) if dim is None and len(length) else dim or 0
+    if (length != dim).any():
+        raise ValueError("vectors that are compared must be of one length")
+    return flat.reshape(len(lists), dim)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            new = np.flatnonzero(np.r_[True, (pdf["label"] != pdf["label"].shift()).to_numpy()[1:]]) if len(pdf) else []
-            for first, end in zip(new, [*new[1:], len(pdf)], strict=True):
-                for a in range(first, end, size):
-                    part = pdf.iloc[a : min(a + size, end)]
-                    x = np.array(part["embedding"].tolist(), dtype=np.float64)
-                    yield pd.DataFrame({"ids": [part[key].tolist()], "x": [x.tobytes()], "label": part["label"].iloc[:1]})
 
-    named = rows.select(key, "embedding", (F.col(label).cast("string") if label else F.lit("")).alias("label"))
-    if label:
-        named = named.where("label is not null").repartition("label").sortWithinPartitions("label")
-    return named.mapInPandas(run, f"ids array<{_id_type(rows, key)}>, x binary, label string")
-
-
-def _paired(q: DataFrame, v: DataFrame, label: bool = False) -> DataFrame:
-    """Every block of vectors with every block of queries, or with those of its label alone, by an equi-join."""
-    if label:
-        return v.join(q, "label")
-    q = checkpointed(q.withColumn("raw", F.monotonically_increasing_id()))
-    n, size = q.agg(F.count("*"), F.coalesce(F.sum(F.length("q_x")), F.lit(0))).first()
-    numbers = q.select("raw", (F.row_number().over(Window.orderBy("raw")) - 1).alias("q_block"))  # a row for each QUERY_BLOCK queries
-    q = q.join(numbers, "raw").drop("raw")
-    v = v.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)) if n else F.array().cast("array<int>")))
-    return v.join(F.broadcast(q) if size <= MOST_BROADCAST else q, "q_block")
+def _labels(values: pa.Array) -> np.ndarray:
+    return np.array([v or "" for v in values.to_pylist()], dtype=object)
 
 
 def dense_search(queries: DataFrame, vectors: DataFrame, k: int = CANDIDATES, label: str | None = None) -> DataFrame:
     """query_id, chunk_id, score, rank0 of the k vectors with the largest dot product, exactly.
 
-    queries(query_id, embedding) meet vectors(chunk_id, embedding) block by
-    block: a pair of blocks is one matrix product that leaves k rows for each
-    query. With a label column on both sides only blocks of equal labels meet.
+    queries(query_id, embedding) are given to each task, which reads
+    vectors(chunk_id, embedding) block by block: a pair of blocks is one matrix
+    product, and a task leaves k rows for each query. With a label column on
+    both sides only vectors of equal labels meet.
     """
-    q = _blocks(queries.where("embedding is not null"), "query_id", QUERY_BLOCK, label).select(F.col("ids").alias("q_ids"), F.col("x").alias("q_x"), "label")
-    v = _blocks(vectors.where("embedding is not null"), "chunk_id", DATA_BLOCK, label)
-    met = _paired(q, v, True) if label else _paired(q.drop("label"), v.drop("label"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                x, ids = np.frombuffer(r.x).reshape(len(r.ids), -1), np.array(list(r.ids))
-                score = np.frombuffer(r.q_x).reshape(len(r.q_ids), -1) @ x.T
-                row, column = best_of(score, ids, k)
-                yield pd.DataFrame({"query_id": np.array(list(r.q_ids))[row], "chunk_id": ids[column], "score": score[row, column]})
-
-    return top_k(met.mapInPandas(run, f"query_id {_id_type(queries, 'query_id')}, chunk_id {_id_type(vectors, 'chunk_id')}, score double"), k)
+    named = lambda rows, key: rows.where("embedding is not null").select(key, "embedding", (F.col(label).cast("string") if label else F.lit("")).alias("label")).where("label is not null")
+    q, v = named(queries, "query_id"), named(vectors, "chunk_id")
+    longest = q.agg(F.max(F.size("embedding"))).first()[0] or 0
+
+    def search(table: pa.Table) -> DataFrame:
+        asked, wanted, x = table["query_id"].combine_chunks(), np.array(table["label"].to_pylist(), dtype=object), matrix(table["embedding"])
+        held = q.sparkSession.sparkContext.broadcast((asked, wanted, x))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            asked, wanted, x = held.value
+            best, kind = Best(len(asked), k), None
+            for batch in batches:
+                kind = batch.schema.field("chunk_id").type
+                for a in range(0, batch.num_rows if len(asked) else 0, DATA_BLOCK):
+                    part = batch.slice(a, DATA_BLOCK)
+                    ids, y, own = part.column("chunk_id").to_numpy(zero_copy_only=False), matrix(part.column("embedding"), x.shape[1]), np.array(part.column("label").to_pylist(), dtype=object)
+                    for value in set(own) & set(wanted) if label else ("",):
+                        of, at = np.flatnonzero(wanted == value), np.flatnonzero(own == value)
+                        for b in range(0, len(of), QUERY_BLOCK):
+                            best.add(of[b : b + QUERY_BLOCK], x[of[b : b + QUERY_BLOCK]] @ y[at].T, ids[at])
+            if kind is not None:
+                yield best.batch(asked, kind)
+
+        return v.mapInArrow(run, f"query_id {_id_type(queries, 'query_id')}, chunk_id {_id_type(vectors, 'chunk_id')}, score double")
+
+    return top_k(in_parts(q, lambda n: n * 8 * longest, search), k)
 
 
 def approx_dense_search(queries: DataFrame, vectors: DataFrame, k: int = CANDIDATES, sureness: float = 3.0) -> DataFrame:
@@ -116,46 +115,44 @@ def hashed_search(queries: DataFrame, chunks: DataFrame, k: int = CANDIDATES, fi
     """query_id, chunk_id, score, rank0: cosine of hashed token counts, of chunks that share a place with the query.
 
     Tokens are hashed in the JVM; tasks pack them to blocks of dense vectors,
-    which meet as in dense_search. filters names columns that hold, in a query,
-    what the chunk's column must be (null or empty: anything).
+    which meet the queries as in dense_search. filters names columns that hold,
+    in a query, what the chunk's column must be (null or empty: anything).
     """
 
-    def blocks(rows: DataFrame, key: str, size: int) -> DataFrame:
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                for a in range(0, len(pdf), size):
-                    part = pdf.iloc[a : a + size]
-                    n = part["places"].str.len().to_numpy()
-                    flat = np.concatenate([np.zeros(0, dtype=np.int64), *part["places"]]).astype(np.int64)
-                    x = np.bincount(np.repeat(np.arange(len(part)), n) * dim + flat, minlength=len(part) * dim).reshape(-1, dim).astype(np.float64)
-                    x /= np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-300)
-                    yield pd.DataFrame({"ids": [part[key].tolist()], "x": [x.tobytes()], **{c: [part[c].tolist()] for c in filters}})
-
+    def placed(rows: DataFrame, key: str) -> DataFrame:
         places = hash_buckets(F.coalesce(F.col("text"), F.lit("")), dim, digest).alias("places")
-        own = rows.select(key, places, *[F.col(c).cast("string").alias(c) for c in filters])
-        return own.mapInPandas(run, ", ".join([f"ids array<{_id_type(rows, key)}>", "x binary", *[f"{c} array<string>" for c in filters]]))
-
-    queries = checkpointed(queries.select("query_id", "text", *filters))
-    dealt = queries.repartition(1 + queries.count() // QUERY_BLOCK)  # full blocks: each meets every block of chunks
-    # of chunks that are alike only the k first can be among the k best
-    alike = Window.partitionBy("text", *filters).orderBy("chunk_id")
-    chunks = chunks.select("chunk_id", "text", *filters).withColumn("copy", F.row_number().over(alike)).where(F.col("copy") <= k)
-    q = blocks(dealt, "query_id", QUERY_BLOCK).select(F.col("ids").alias("q_ids"), F.col("x").alias("q_x"), *[F.col(c).alias(f"q_{c}") for c in filters])
-    met = _paired(q, blocks(chunks, "chunk_id", DATA_BLOCK))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for r in pdf.to_dict("records"):
-                ids, asked = np.array(list(r["ids"])), np.array(list(r["q_ids"]))
-                score = np.frombuffer(r["q_x"]).reshape(-1, dim) @ np.frombuffer(r["x"]).reshape(-1, dim).T
-                score[score <= 0] = -np.inf
-                for c in filters:
-                    wanted, own = (np.array([v or "" for v in r[x]], dtype=object) for x in (f"q_{c}", c))
-                    score[(wanted != "")[:, None] & (wanted[:, None] != own[None, :])] = -np.inf
-                row, column = best_of(score, ids, k)
-                yield pd.DataFrame({"query_id": asked[row], "chunk_id": ids[column], "score": score[row, column]})
-
-    return top_k(met.mapInPandas(run, f"query_id {_id_type(queries, 'query_id')}, chunk_id {_id_type(chunks, 'chunk_id')}, score double"), k)
+        return rows.select(key, places, *[F.col(c).cast("string").alias(c) for c in filters])
+
+    def counted(places: pa.Array) -> np.ndarray:
+        n = pc.list_value_length(places).to_numpy(zero_copy_only=False)
+        x = np.bincount(np.repeat(np.arange(len(n)), n) * dim + places.flatten().to_numpy(), minlength=len(n) * dim).reshape(-1, dim).astype(np.float64)
+        return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-300)
+
+    def search(table: pa.Table) -> DataFrame:
+        asked, x = table["query_id"].combine_chunks(), counted(table["places"].combine_chunks())
+        held = queries.sparkSession.sparkContext.broadcast((asked, x, [_labels(table[c]) for c in filters]))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            asked, x, wanted = held.value
+            best, kind = Best(len(asked), k), None
+            for batch in batches:
+                kind = batch.schema.field("chunk_id").type
+                for a in range(0, batch.num_rows if len(asked) else 0, HASHED_BLOCK):
+                    part = batch.slice(a, HASHED_BLOCK)
+                    ids, y, own = part.column("chunk_id").to_numpy(zero_copy_only=False), counted(part.column("places")), [_labels(part.column(c)) for c in filters]
+                    for b in range(0, len(asked), QUERY_BLOCK):
+                        score = x[b : b + QUERY_BLOCK] @ y.T
+                        score[score <= 0] = -np.inf
+                        for of, its in zip(wanted, own, strict=True):
+                            of = of[b : b + QUERY_BLOCK]
+                            score[(of != "")[:, None] & (of[:, None] != its[None, :])] = -np.inf
+                        best.add(np.arange(b, b + len(score)), score, ids)
+            if kind is not None:
+                yield best.batch(asked, kind)
+
+        return placed(chunks, "chunk_id").mapInArrow(run, f"query_id {_id_type(queries, 'query_id')}, chunk_id {_id_type(chunks, 'chunk_id')}, score double")
+
+    return top_k(in_parts(placed(queries, "query_id"), lambda n: n * 8 * dim, search), k)
 
 
 # -- fusion and what follows -----------------------------------------------

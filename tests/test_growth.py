@@ -4,6 +4,7 @@ from pathlib import Path
 
 import numpy as np
 
+from hazmill.operators import best as B
 from hazmill.operators import chunks as C
 from hazmill.operators import entities as N
 from hazmill.operators import graph as G
@@ -96,3 +97,32 @@ def test_queries_and_chunks_that_are_alike_are_searched_once(spark, monkeypatch)
     assert all(rows[i] == rows[i % 3] and len(rows[i]) == 8 for i in range(90)) and not rows[90] and rows[91]
     alone = plain(queries.where("query_id = 40"), chunks, 8, ("industry",), False, None, None, "crc32")
     assert rows[40] == [(r["rank0"], r["chunk_id"]) for r in alone.orderBy("rank0").collect()]
+
+
+def _vectors(spark, n):
+    x = np.random.default_rng(3).integers(-2, 3, (n, 6)).astype(float)  # many equal scores
+    v = spark.createDataFrame([(i, y.tolist(), str(i % 3)) for i, y in enumerate(x)], "chunk_id long, embedding array<double>, label string").repartition(3)
+    return x, v, v.where("chunk_id % 5 = 0").withColumnRenamed("chunk_id", "query_id")
+
+
+def _hits(df):
+    return sorted((r["query_id"], r["rank0"], r["chunk_id"]) for r in df.collect())
+
+
+def test_exact_search_makes_no_row_for_a_pair_of_blocks(spark, monkeypatch):
+    """Vectors are neither joined with queries nor packed by a second Python worker (pairs of blocks came in batches of 64 MB); queries in parts find the same."""
+    monkeypatch.setattr(R, "DATA_BLOCK", 32)
+    monkeypatch.setattr(R, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(B, "SPARE", 5)
+    x, v, q = _vectors(spark, 300)
+    got = R.dense_search(q, v, 4)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("MapIn") == 1
+    best = lambda i, of: sorted(of, key=lambda j: (-(x[i] @ x[j]), j))[:4]
+    want = sorted((i, r, j) for i in range(0, 300, 5) for r, j in enumerate(best(i, range(300))))
+    assert _hits(got) == want
+    labelled = sorted((i, r, j) for i in range(0, 300, 5) for r, j in enumerate(best(i, range(i % 3, 300, 3))))
+    assert _hits(R.dense_search(q, v, 4, "label")) == labelled
+    monkeypatch.setattr(B, "MOST_HELD", 1000)
+    assert _hits(R.dense_search(q, v, 4)) == want
+    assert not R.dense_search(q.where("false"), v, 4).count() and not R.dense_search(q, v.where("false"), 4).count()
