@@ -26,11 +26,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazmill.operators.best import best_of, top_k
+from hazmill.operators.best import Best, in_parts, top_k
 from hazmill.sources.shared import checkpointed
 
 #: Vectors that the cells are learned from, at most; cells, at most; vectors of a block, at most; queries of a group, at most.
-SAMPLE, MOST_CELLS, BLOCK, GROUP = 20_000, 4096, 1024, 512
+SAMPLE, MOST_CELLS, BLOCK, GROUP = 20_000, 4096, 1024, 256
 #: The first pass scores about so many vectors for each of the k wanted.
 FIRST = 8
 #: Folders that the cells lie in, side by side: as many as are listed without a job of Spark's.
@@ -69,7 +69,8 @@ def cells_for(n: int) -> int:
 
 
 def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    return (x @ centres.T - 0.5 * (centres * centres).sum(axis=1)).argmax(axis=1)
+    half = 0.5 * (centres * centres).sum(axis=1)
+    return np.concatenate([np.zeros(0, np.int64), *((x[a : a + BLOCK] @ centres.T - half).argmax(axis=1) for a in range(0, len(x), BLOCK))])
 
 
 def train_cells(x: np.ndarray, n_cells: int, seed: int = 0) -> np.ndarray:
@@ -216,65 +217,79 @@ def _has_blocks(spark: SparkSession, path: str) -> bool:
 
 
 def _probed(asked: DataFrame, index: VectorIndex, k: int, sureness: float | None, second: bool) -> DataFrame:
-    """cell, q_ids, q_wanted, q_x: the queries that a pass sends to each cell, in groups.
+    """asked with cells: a bit for each cell that a pass sends a query to. No query is repeated for its cells.
 
     asked: query_id, embedding, wanted, share (of all vectors that have what is
     wanted), and floor for the second pass.
     """
     centres, sizes, radius, spread = index.centres, index.sizes, index.radius, index.spread
-    dim = centres.shape[1]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for a in range(0, len(pdf), GROUP):
-                part = pdf.iloc[a : a + GROUP]
-                if (part["embedding"].str.len() != dim).any():
-                    raise ValueError("queries must be as long as the vectors of the index")
-                q = np.array(part["embedding"].tolist(), np.float64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, GROUP):
+                part = batch.slice(a, GROUP)
+                q = _asked(part.column("embedding"), centres.shape[1])
                 near = q @ centres.T
-                reach = radius if sureness is None else np.minimum(radius, sureness * spread)
-                bound = near + np.linalg.norm(q, axis=1)[:, None] * reach
                 # first pass: the nearest cells that together hold enough
                 order = np.argsort(-near, axis=1, kind="stable")
                 before = np.cumsum(sizes[order], axis=1) - sizes[order]
-                enough = FIRST * k / np.maximum(part["share"].to_numpy(), 1e-12)
+                enough = FIRST * k / np.maximum(part.column("share").to_numpy(zero_copy_only=False), 1e-12)
                 chosen = np.zeros(near.shape, bool)
                 np.put_along_axis(chosen, order, before < enough[:, None], axis=1)
                 if second:
-                    chosen = ~chosen & (bound >= part["floor"].to_numpy()[:, None] - 1e-9)
-                chosen &= sizes > 0
-                ids, wanted = np.array(part["query_id"].tolist(), object), np.array(part["wanted"].tolist(), object)
-                cells = np.flatnonzero(chosen.any(axis=0))
-                if len(cells):
-                    of = [np.flatnonzero(chosen[:, c]) for c in cells]
-                    yield pd.DataFrame({"cell": cells.astype(np.int32), "q_ids": [ids[i].tolist() for i in of], "q_wanted": [wanted[i].tolist() for i in of], "q_x": [q[i].tobytes() for i in of]})
-
-    return asked.mapInPandas(run, f"cell int, q_ids array<{_id_type(asked, 'query_id')}>, q_wanted array<string>, q_x binary")
-
-
-def _scored(groups: DataFrame, index: VectorIndex, k: int) -> DataFrame:
-    """query_id, chunk_id, score: for each block that a group meets, the k best of each query."""
-    cells = [r.cell for r in groups.select("cell").distinct().collect()]  # at most MOST_CELLS
-    shelves = sorted({c // -(-len(index.centres) // SHELVES) for c in cells})
-    blocks = index.blocks().where(F.col("shelf").isin(shelves) & F.col("cell").isin(cells)).select("cell", "ids", "labels", "x")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                q, x = np.frombuffer(r["q_x"]).reshape(len(r["q_ids"]), -1), np.frombuffer(r["x"]).reshape(len(r["ids"]), -1)
-                score = q @ x.T
-                wanted = np.array([w or "" for w in r["q_wanted"]], object)
-                if (wanted != "").any():
-                    score[(wanted != "")[:, None] & (wanted[:, None] != np.array(r["labels"], object)[None, :])] = -np.inf
-                ids = pa.array(r["ids"], batch.schema.field("ids").type.value_type)
-                rank = np.argsort(np.argsort(np.array(r["ids"], object) if ids.type == pa.string() else ids.to_numpy(), kind="stable"))
-                row, column = best_of(score, rank, k)
-                asked = pa.array(r["q_ids"], batch.schema.field("q_ids").type.value_type)
-                yield pa.RecordBatch.from_arrays([asked.take(pa.array(row)), ids.take(pa.array(column)), pa.array(score[row, column])], names=["query_id", "chunk_id", "score"])
-
-    met = blocks.join(groups, "cell").select("q_ids", "q_wanted", "q_x", "ids", "labels", "x")
-    kinds = (df.schema[c].dataType.elementType.simpleString() for df, c in ((groups, "q_ids"), (blocks, "ids")))
-    return met.mapInArrow(run, "query_id {}, chunk_id {}, score double".format(*kinds))
+                    reach = radius if sureness is None else np.minimum(radius, sureness * spread)
+                    bound = near + np.linalg.norm(q, axis=1)[:, None] * reach
+                    chosen = ~chosen & (bound >= part.column("floor").to_numpy(zero_copy_only=False)[:, None] - 1e-9)
+                bits = np.packbits(chosen & (sizes > 0), axis=1)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array([x.tobytes() for x in bits], pa.binary())], names=[*names, "cells"])
+
+    names = ["query_id", "embedding", "wanted", *(["floor"] if second else [])]
+    return asked.mapInArrow(run, f"query_id {_id_type(asked, 'query_id')}, embedding array<double>, wanted string{', floor double' if second else ''}, cells binary")
+
+
+def _asked(embeddings: pa.Array, dim: int) -> np.ndarray:
+    if (pc.list_value_length(embeddings).to_numpy(zero_copy_only=False) != dim).any():
+        raise ValueError("queries must be as long as the vectors of the index")
+    return embeddings.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+
+
+def _scored(probed: DataFrame, index: VectorIndex, k: int) -> DataFrame:
+    """query_id, chunk_id, score: of the blocks of the cells that a pass sends queries to, each task's k best of each query that reach its floor."""
+    dim, n_cells = index.centres.shape[1], len(index.centres)
+
+    def search(table: pa.Table) -> DataFrame:
+        table = table.combine_chunks()
+        asked, wanted = table["query_id"].combine_chunks(), np.array([w or "" for w in table["wanted"].to_pylist()], object)
+        bits = np.frombuffer(b"".join(table["cells"].to_pylist()), np.uint8).reshape(len(asked), -1)
+        cells = np.flatnonzero(np.unpackbits(np.bitwise_or.reduce(bits, axis=0), count=n_cells)) if len(asked) else np.zeros(0, int)
+        floor = table["floor"].to_numpy() if "floor" in table.column_names else None
+        x = _asked(table["embedding"].combine_chunks(), dim) if len(asked) else np.zeros((0, dim))
+        held = index.spark.sparkContext.broadcast((asked, wanted, x, bits, floor))
+        shelves = sorted({int(c) // -(-n_cells // SHELVES) for c in cells})
+        blocks = index.blocks().where(F.col("shelf").isin(shelves) & F.col("cell").isin(cells.tolist())).select("cell", "ids", "labels", "x")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            asked, wanted, x, bits, floor = held.value
+            best, kind = Best(len(asked), k, floor), None
+            for batch in batches:
+                kind = batch.schema.field("ids").type.value_type
+                for i in range(batch.num_rows):
+                    c = batch.column("cell")[i].as_py()
+                    sent = np.flatnonzero(bits[:, c >> 3] >> (7 - (c & 7)) & 1)
+                    ids, v = batch.column("ids")[i].values.to_numpy(zero_copy_only=False), np.frombuffer(batch.column("x")[i].as_buffer()).reshape(-1, dim)
+                    labels = np.array(batch.column("labels")[i].as_py(), object) if (wanted != "").any() else None
+                    for a in range(0, len(sent), GROUP):
+                        of = sent[a : a + GROUP]
+                        score = x[of] @ v.T
+                        if labels is not None:
+                            score[(wanted[of] != "")[:, None] & (wanted[of][:, None] != labels[None, :])] = -np.inf
+                        best.add(of, score, ids)
+            if kind is not None:
+                yield best.batch(asked, kind)
+
+        return blocks.mapInArrow(run, f"query_id {_id_type(probed, 'query_id')}, chunk_id {index.id_type}, score double")
+
+    return in_parts(probed, lambda n: n * (8 * dim + n_cells // 8 + 64), search)
 
 
 def _floors(hits: DataFrame, k: int) -> DataFrame:
@@ -282,7 +297,7 @@ def _floors(hits: DataFrame, k: int) -> DataFrame:
 
 
 def _passes(queries: DataFrame, index: VectorIndex, k: int, sureness: float | None, label: str | None) -> tuple[DataFrame, list[DataFrame]]:
-    """(hits, the groups of both passes)."""
+    """(hits, the queries of both passes with their cells)."""
     fine = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
     wanted: Column = F.coalesce(F.col(label).cast("string"), F.lit("")) if label else F.lit("")
     asked = queries.select("query_id", F.col("embedding").cast("array<double>").alias("embedding"), wanted.alias("wanted")).where(fine & (F.size("embedding") > 0))
@@ -316,8 +331,14 @@ def search_vectors(queries: DataFrame, index: VectorIndex, k: int = 20, sureness
 
 def search_work(queries: DataFrame, index: VectorIndex, k: int = 20, sureness: float | None = SURENESS, label: str | None = None) -> DataFrame:
     """query_id, n_cells, n_scored: the cells that search_vectors probes for each query, and their vectors."""
-    _, groups = _passes(queries, index, k, sureness, label)
-    sizes = index.spark.createDataFrame([(i, int(n)) for i, n in enumerate(index.sizes)], "cell int, n long")
-    rows = groups[0].unionByName(groups[1]).select("cell", F.explode("q_ids").alias("query_id"))
-    return rows.join(sizes, "cell").groupBy("query_id").agg(F.count("*").alias("n_cells"), F.sum("n").alias("n_scored"))
+    _, passes = _passes(queries, index, k, sureness, label)
+    sizes = index.sizes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            chosen = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(sizes)).astype(np.int64) for x in batch.column("cells").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("query_id"), pa.array([int(x.sum()) for x in chosen], pa.int64()), pa.array([int(x @ sizes) for x in chosen], pa.int64())], names=["query_id", "n_cells", "n_scored"])
 
+    rows = passes[0].select("query_id", "cells").unionByName(passes[1].select("query_id", "cells"))
+    each = rows.mapInArrow(run, f"query_id {_id_type(rows, 'query_id')}, n_cells long, n_scored long")
+    return each.groupBy("query_id").agg(F.sum("n_cells").alias("n_cells"), F.sum("n_scored").alias("n_scored")).where("n_cells > 0")

@@ -10,6 +10,7 @@ from hazmill.operators import entities as N
 from hazmill.operators import graph as G
 from hazmill.operators import reports as A
 from hazmill.operators import retrieval as R
+from hazmill.operators import vector_index as V
 from hazmill.plans.queries import QUERIES
 
 SMALL = "/root/testdata/sf0.001"
@@ -126,3 +127,17 @@ def test_exact_search_makes_no_row_for_a_pair_of_blocks(spark, monkeypatch):
     monkeypatch.setattr(B, "MOST_HELD", 1000)
     assert _hits(R.dense_search(q, v, 4)) == want
     assert not R.dense_search(q.where("false"), v, 4).count() and not R.dense_search(q, v.where("false"), 4).count()
+
+
+def test_a_query_is_not_repeated_for_its_cells(spark, tmp_path, monkeypatch):
+    """A pass holds a bit for a query and cell (it held the query's vector for each of them)."""
+    x, v, q = _vectors(spark, 600)
+    index = V.build_vector_index(v, str(tmp_path / "cells"), "label", 24)
+    hits, passes = V._passes(q, index, 4, None, None)
+    assert [p.count() for p in passes] == [120, 120]
+    assert all(len(r["cells"]) == 3 for p in passes for r in p.collect())
+    want = _hits(R.dense_search(q, v, 4))
+    assert _hits(V.search_vectors(q, index, 4, None)) == want
+    monkeypatch.setattr(B, "MOST_HELD", 4000)
+    assert _hits(V.search_vectors(q, index, 4, None)) == want
+    assert _hits(V.search_vectors(q, index, 4, None, "label")) == _hits(R.dense_search(q, v, 4, "label"))
