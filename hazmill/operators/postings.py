@@ -36,8 +36,8 @@ from hazmill.operators.best import best_of, top_k
 from hazmill.sources.shared import checkpointed, new_folder
 
 K1, B, NEGATIVE_IDF = 1.5, 0.75, 0.25
-#: Chunks of a block and characters that a block gathers, at most (one longer text is a block alone); queries of a bundle, about.
-BLOCK, BLOCK_CHARS, BUNDLE = 512, 4_000_000, 128
+#: Chunks of a block and bytes of text that a block gathers, at most (one longer text is a block alone); queries of a bundle, about.
+BLOCK, BLOCK_BYTES, BUNDLE = 512, 4_000_000, 128
 #: The first pass takes a query's rarest terms until they stand in so many chunks for each of the k wanted, and so many blocks that have one.
 LEAD, FIRST_BLOCKS = 20, 6
 #: Terms of a bundle that are multiplied at once.
@@ -45,6 +45,9 @@ SLICE = 4096
 #: Scores that differ by less are taken for equal when a chunk is given up.
 SLACK = 1e-7
 
+#: Rows of a table up to which it is broadcast to the postings, so that these are not shuffled for it.
+MOST_BROADCAST = 200_000
+
 #: Bytes of a lower-cased text to those of its terms, what functions.text.tokenize finds, and spaces.
 TERM_BYTES = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -130,26 +133,32 @@ def _write_rows(chunks: DataFrame, path: str, number: int) -> None:
         base, count = TaskContext.get().partitionId() << 33, 0
         for batch in batches:
             # chunks of like length stand together: their impacts are alike, and so a block's maxima are near to each of them
-            texts = batch.column("text").fill_null("")
-            order = pc.sort_indices(pc.binary_length(texts))
-            texts, ids = texts.take(order).to_pylist(), batch.column("chunk_id").take(order)
-            counted, a = [], 0
-            while a < len(texts):
-                b, size = a, 0
-                while b < len(texts) and b - a < BLOCK and (b == a or size + len(texts[b]) <= BLOCK_CHARS):
-                    size += len(texts[b])
-                    b += 1
-                counted.append((a, b, _counted(texts[a:b])))
-                a = b
-            mean = max(sum(x[-1].sum() for _, _, x in counted) / max(len(texts), 1), 1.0)
-            for a, b, x in counted:
-                yield from _block(base + count, mean, ids.slice(a, b - a), *x)
+            sizes = pc.binary_length(batch.column("text").fill_null("")).to_numpy()
+            order = np.argsort(sizes, kind="stable")
+            for a, b in _runs(sizes[order]):
+                part = batch.take(pa.array(order[a:b]))
+                counted = _counted(part.column("text").fill_null("").to_pylist())
+                # about the mean length of the batch, if its texts hold as many tokens a byte as these; what is stored is only a scale
+                mean = max(counted[-1].sum() / max(sizes[order[a:b]].sum(), 1) * sizes.mean(), 1.0)
+                yield from _block(base + count, mean, part.column("chunk_id"), *counted)
                 count += 1
 
     rows = chunks.select("chunk_id", F.col("text").cast("string").alias("text")).mapInArrow(run, _ddl(kind))
     rows.write.mode("overwrite").parquet(f"{path}/postings/segment={number}")
 
 
+def _runs(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """The blocks of a batch, from the sizes of its texts."""
+    start = size = 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > start and (i - start == BLOCK or size + n > BLOCK_BYTES):
+            yield start, i
+            start, size = i, 0
+        size += n
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
 def _counted(texts: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(distinct terms, and for each posting, by term and place, the term's number, place and count; lengths of all texts)."""
     lists = pc.ascii_split_whitespace(pa.array([t.lower().encode().translate(TERM_BYTES) for t in texts], pa.large_binary()).cast(pa.large_string()))
@@ -185,7 +194,8 @@ def merge_segments(index: Bm25Index, path: str) -> Bm25Index:
     kind = index.postings.schema["ids"].dataType.elementType
     mean = max(index.mean_length, 1.0)
     heads = index.postings.where("term is null").select("segment", "block", F.col("df").alias("n"))
-    groups = 1 + heads.count() // 256
+    n_heads = heads.count()
+    groups = 1 + n_heads // 256
     number = F.pmod(F.xxhash64("segment", "block"), F.lit(groups))
     order = Window.partitionBy("part").orderBy("segment", "block")
     placed = heads.withColumn("part", number).withColumn("before", F.sum("n").over(order) - F.col("n"))
@@ -199,21 +209,24 @@ def merge_segments(index: Bm25Index, path: str) -> Bm25Index:
         rows = table.filter(pc.invert(is_head)).combine_chunks()
         lens = np.concatenate([np.frombuffer(x, np.int64) for x in heads.column("lens").to_pylist()])
         coded = rows["term"].combine_chunks().dictionary_encode()
-        parts = [np.zeros((0, 3), np.int64)]
-        for i, t in enumerate(coded.indices.to_pylist()):
-            places = np.frombuffer(rows["places"][i].as_py(), np.int32).astype(np.int64) + rows["offset"][i].as_py()
-            parts.append(np.c_[np.full(len(places), t), places, np.frombuffer(rows["tfs"][i].as_py(), np.int32)])
-        each = np.concatenate(parts)
+        (places, at), (tfs, _) = _packed(rows["places"].combine_chunks()), _packed(rows["tfs"].combine_chunks())
+        n = np.diff(at)
+        each = np.c_[np.repeat(coded.indices.to_numpy().astype(np.int64), n), places + np.repeat(rows["offset"].to_numpy().astype(np.int64), n), tfs]
         each = each[np.lexsort((each[:, 1], each[:, 0]))]
         made = _block(table["into"][0].as_py(), mean, heads.column("ids").flatten(), coded.dictionary, each[:, 0], each[:, 1], each[:, 2], lens)
         return pa.Table.from_batches(list(made))
 
-    moved = index.postings.select("segment", "block", "term", "ids", "n_tokens", "places", "tfs", "lens").join(placed.select("segment", "block", "into", "offset"), ["segment", "block"])
+    moved = index.postings.select("segment", "block", "term", "ids", "n_tokens", "places", "tfs", "lens").join(_sent(placed.select("segment", "block", "into", "offset"), n_heads), ["segment", "block"])
     moved.groupBy("into").applyInArrow(run, _ddl(kind)).write.mode("overwrite").parquet(f"{path}/postings/segment=0")
     _finish(index.spark, path, 0, "overwrite")
     return load_bm25(index.spark, path)
 
 
+def _sent(rows: DataFrame, n: int) -> DataFrame:
+    """rows, broadcast if they are few (n is their number, or more): Spark does not know the size of what is checkpointed."""
+    return F.broadcast(rows) if n <= MOST_BROADCAST else rows
+
+
 def _impact(tf: np.ndarray, n: np.ndarray, mean: float) -> np.ndarray:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * n / mean))
 
@@ -226,8 +239,9 @@ def _most(mean: float) -> Column:
 def _wanted(queries: DataFrame, index: Bm25Index) -> DataFrame:
     """query_id, bundle, term, df, weight of the terms that some chunk has."""
     each = queries.select("query_id", F.explode(T.tokenize(F.coalesce(F.col("text"), F.lit("")))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    each = checkpointed(each)
     n = F.lit(1 + queries.select("query_id").distinct().count() // BUNDLE)
-    return each.join(index.terms, "term").select("query_id", F.pmod(F.xxhash64(F.col("query_id").cast("string")), n).cast("int").alias("bundle"), "term", "df", (F.col("qtf") * F.col("idf")).alias("weight"))
+    return _sent(each, each.count()).join(index.terms, "term").select("query_id", F.pmod(F.xxhash64(F.col("query_id").cast("string")), n).cast("int").alias("bundle"), "term", "df", (F.col("qtf") * F.col("idf")).alias("weight"))
 
 
 def _scored(asked: DataFrame, index: Bm25Index, k: int) -> DataFrame:
@@ -238,12 +252,14 @@ def _scored(asked: DataFrame, index: Bm25Index, k: int) -> DataFrame:
     postings, spark = index.postings, index.spark
     mean = index.mean_length or 1.0
     asked = checkpointed(asked)
+    n_asked, terms = asked.count(), checkpointed(asked.select("term").distinct())
     q_kind, c_kind = asked.schema["query_id"].dataType, postings.schema["ids"].dataType.elementType
     out = pa.schema([("query_id", to_arrow_type(q_kind)), ("chunk_id", to_arrow_type(c_kind)), ("score", pa.float64()), ("n", pa.int64())])
     key = ["bundle", "segment", "block"]
     who = asked.groupBy(*key, "term").agg(F.collect_list(F.struct("query_id", "weight", "floor")).alias("who"))
-    rows = postings.where("term is not null").select("segment", "block", "term", "places", "tfs", "lens").join(who, ["segment", "block", "term"])
-    heads = asked.select(*key).distinct().join(postings.where("term is null").select("segment", "block", "ids"), ["segment", "block"])
+    # of the postings only those of terms that are asked for are shuffled
+    rows = postings.where("term is not null").select("segment", "block", "term", "places", "tfs", "lens").join(_sent(terms, terms.count()), "term", "left_semi").join(_sent(who, n_asked), ["segment", "block", "term"])
+    heads = _sent(asked.select(*key).distinct(), n_asked).join(postings.where("term is null").select("segment", "block", "ids"), ["segment", "block"])
     rows = rows.select(*key, "term", "places", "tfs", "lens", "who", F.lit(None).cast(postings.schema["ids"].dataType).alias("ids"))
     heads = heads.select(*key, *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in ("term", "places", "tfs", "lens", "who")], "ids")
 
@@ -303,10 +319,12 @@ def _passes(queries: DataFrame, index: Bm25Index, k: int) -> tuple[DataFrame, Da
     lead = wanted.withColumn("opens", (before == 0) | (before + F.col("df") <= LEAD * k))
     # block maxima of the terms that are asked for, without their postings
     maxima = index.postings.where("term is not null").select("segment", "block", "term", _most(index.mean_length or 1.0).alias("most"))
-    maxima = checkpointed(maxima.join(wanted.select("term").distinct(), "term"))
+    terms = checkpointed(wanted.select("term").distinct())
+    maxima = checkpointed(maxima.join(_sent(terms, terms.count()), "term"))
     here = Window.partitionBy("query_id", "segment", "block")
     reach = F.sum(F.greatest(F.col("weight") * F.col("most"), F.lit(0.0))).over(here)
-    met = maxima.join(lead, "term").withColumns({"reach": reach, "any": F.max("opens").over(here), "floor": F.lit(float("-inf"))}).where("any")
+    n_wanted = wanted.count()
+    met = maxima.join(_sent(lead, n_wanted), "term").withColumns({"reach": reach, "any": F.max("opens").over(here), "floor": F.lit(float("-inf"))}).where("any")
     first_of = Window.partitionBy("query_id").orderBy(F.desc("reach"), "segment", "block")
     one = met.withColumn("place", F.dense_rank().over(first_of)).where(F.col("place") <= FIRST_BLOCKS)
     wants = ["query_id", "bundle", "segment", "block", "term", "weight", "floor"]
@@ -318,7 +336,7 @@ def _passes(queries: DataFrame, index: Bm25Index, k: int) -> tuple[DataFrame, Da
     bound = bound.withColumn("bound", F.greatest(F.col("weight") * F.col("most"), F.lit(0.0)))
     weakest = Window.partitionBy("query_id").orderBy("bound", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     bound = bound.withColumn("opens", ~(F.sum("bound").over(weakest) < F.col("floor") - SLACK)).select("query_id", "bundle", "term", "weight", "opens", "floor")
-    two = maxima.join(bound, "term").withColumns({"reach": reach, "any": F.max("opens").over(here)})
+    two = maxima.join(_sent(bound, n_wanted), "term").withColumns({"reach": reach, "any": F.max("opens").over(here)})
     two = two.where(F.col("any") & (F.col("reach") >= F.col("floor") - SLACK))
     return first, _scored(two.select(wants), index, k)
 

@@ -3,11 +3,13 @@
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 
 from hazmill.operators import best as B
 from hazmill.operators import chunks as C
 from hazmill.operators import entities as N
 from hazmill.operators import graph as G
+from hazmill.operators import postings as P
 from hazmill.operators import reports as A
 from hazmill.operators import retrieval as R
 from hazmill.operators import vector_index as V
@@ -141,3 +143,48 @@ def test_a_query_is_not_repeated_for_its_cells(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(B, "MOST_HELD", 4000)
     assert _hits(V.search_vectors(q, index, 4, None)) == want
     assert _hits(V.search_vectors(q, index, 4, None, "label")) == _hits(R.dense_search(q, v, 4, "label"))
+
+
+def test_bm25_blocks_are_written_as_they_are_made(spark, tmp_path, monkeypatch):
+    """A block is counted when the one before has gone out (all of a batch were counted first)."""
+    monkeypatch.setattr(P, "BLOCK", 4)
+    held, plain, block = [], P._counted, P._block
+    monkeypatch.setattr(P, "_counted", lambda texts: held.append(1) or plain(texts))
+    monkeypatch.setattr(P, "_block", lambda *a: held.append(-1) or block(*a))
+    made = []
+
+    class Rows:
+        schema = spark.range(1).withColumnRenamed("id", "chunk_id").schema
+        write = property(lambda self: self)
+        mode = lambda self, m: self
+        parquet = lambda self, path: None
+        select = lambda self, *c: self
+
+        def mapInArrow(self, run, ddl):
+            made.append(run)
+            return self
+
+    P._write_rows(Rows(), str(tmp_path), 0)
+    monkeypatch.setattr(P, "TaskContext", type("C", (), {"get": staticmethod(lambda: type("T", (), {"partitionId": lambda self: 0})())}))
+    batch = pa.RecordBatch.from_pydict({"chunk_id": list(range(30)), "text": [f"press {i} jam" if i else None for i in range(30)]})
+    rows = list(made[0](iter([batch])))
+    assert max(np.cumsum(held)) == 1 and held.count(1) == 8
+    assert sorted(i for r in rows for ids in r.column("ids").to_pylist() if ids for i in ids) == list(range(30))
+    assert sum(n for r in rows for n in r.column("n_tokens").to_pylist()) == 87
+
+
+def test_a_search_shuffles_only_the_postings_of_its_terms(spark, tmp_path, monkeypatch):
+    """The terms asked for are broadcast to the postings (all postings were shuffled for them, and again to be merged); shuffled they give the same."""
+    chunks = spark.createDataFrame([(i, f"w{i % 7} w{i % 11} press jam {i}") for i in range(200)], "chunk_id long, text string")
+    queries = spark.createDataFrame([(0, "press w3 w3"), (1, "jam 17 w5"), (2, "zqx"), (3, None)], "query_id long, text string")
+    index = P.add_chunks(P.build_bm25(chunks.where("chunk_id < 90"), str(tmp_path / "a")), chunks.where("chunk_id >= 90"))
+    asked = []
+    plain = P._sent
+    monkeypatch.setattr(P, "_sent", lambda df, n: asked.append(n) or plain(df, n))
+    rows = lambda i: sorted((r["query_id"], r["rank0"], r["chunk_id"], round(r["score"], 9)) for r in P.bm25_search(queries, i, 5).collect())
+    found = rows(index)
+    assert len(found) == 10 and asked and max(asked) < 1000
+    merged = P.merge_segments(index, str(tmp_path / "b"))
+    assert rows(merged) == found and merged.n_tokens == index.n_tokens
+    monkeypatch.setattr(P, "MOST_BROADCAST", 0)
+    assert rows(index) == found == rows(P.merge_segments(index, str(tmp_path / "c")))
