@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,9 +92,8 @@ def scan_texts(docs: DataFrame, make: Callable[[], Callable[[list[str]], dict]],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         measure = make()
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for a, b in chunks(texts):
-                found = measure(texts[a:b])
+            for a, b in runs(pc.utf8_length(batch.column("text")).to_pylist()):
+                found = measure(batch.column("text").slice(a, b - a).to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), *[pa.array(found[f.name], type=f.type) for f in list(arrow)[1:]]], schema=arrow)
 
     return keyed_texts(docs).mapInArrow(run, schema)
@@ -105,23 +105,28 @@ def scan_rows(docs: DataFrame, make: Callable[[], Callable[[pa.RecordBatch, list
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         change = make()
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for a, b in chunks([t or "" for t in texts]):
-                yield change(batch.slice(a, b - a), texts[a:b])
+            for a, b in runs(pc.utf8_length(batch.column("text").fill_null("")).to_pylist()):
+                part = batch.slice(a, b - a)
+                yield change(part, part.column("text").to_pylist())
 
     return docs.mapInArrow(run, docs.schema)
 
 
 def chunks(texts: list[str], most: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Runs of texts of at most so many characters together, or one longer text alone: bounds a task's memory."""
+    return runs(list(map(len, texts)), most)
+
+
+def runs(lengths: list[int], most: int = 1_000_000) -> Iterator[tuple[int, int]]:
+    """As chunks, from the texts' lengths alone."""
     start = size = 0
-    for i, t in enumerate(texts):
-        if i > start and size + len(t) > most:
+    for i, n in enumerate(lengths):
+        if i > start and size + n > most:
             yield start, i
             start, size = i, 0
-        size += len(t)
-    if start < len(texts):
-        yield start, len(texts)
+        size += n
+    if start < len(lengths):
+        yield start, len(lengths)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -97,3 +97,12 @@ def test_embeddings_on_edges(spark):
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_duplicates(df).collect()}
     assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), **{i: (0, i) for i in range(4, 10)}}
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_texts_are_taken_from_arrow_a_run_at_a_time():
+    """Runs come from the lengths alone, the same as from the texts (a whole batch became Python texts first)."""
+    from hazmill.llm.common import chunks, runs
+
+    texts = ["", "ab", "c" * 9, "", "de", "fgh", "i" * 30]
+    assert list(runs([len(t) for t in texts], 6)) == list(chunks(texts, 6)) == [(0, 2), (2, 3), (3, 6), (6, 7)]
+    assert not list(runs([]))
