@@ -135,11 +135,12 @@ def _write_rows(chunks: DataFrame, path: str, number: int) -> None:
             # chunks of like length stand together: their impacts are alike, and so a block's maxima are near to each of them
             sizes = pc.binary_length(batch.column("text").fill_null("")).to_numpy()
             order = np.argsort(sizes, kind="stable")
+            # the mean length of the batch is a scale for maxima; blocks are counted one at a time
+            tokens = pc.sum(pc.count_substring_regex(batch.column("text").fill_null(""), "[A-Za-z0-9]+")).as_py()
+            mean = max((tokens or 0) / max(batch.num_rows, 1), 1.0)
             for a, b in _runs(sizes[order]):
                 part = batch.take(pa.array(order[a:b]))
                 counted = _counted(part.column("text").fill_null("").to_pylist())
-                # about the mean length of the batch, if its texts hold as many tokens a byte as these; what is stored is only a scale
-                mean = max(counted[-1].sum() / max(sizes[order[a:b]].sum(), 1) * sizes.mean(), 1.0)
                 yield from _block(base + count, mean, part.column("chunk_id"), *counted)
                 count += 1
 
