@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,6 +52,21 @@ def link_precursors(entities: DataFrame) -> DataFrame:
     return named.groupBy("src", "dst").agg(F.min("at").alias("at")).select("src", "dst", F.lit(PRECEDED_BY).alias("relation"), F.col("at.doc_id").alias("doc_id"), F.col("at.condition_place").alias("place"))
 
 
+def precursor_edges(reports: DataFrame) -> DataFrame:
+    """Of build_graph's edges those that do not begin at an incident, from reports (analysis_id, entities: an array).
+
+    No edge ends at an incident, so a walk from equipment or hazards meets these alone.
+    """
+    of = lambda kind: F.filter("entities", lambda e: (e["entity_type"] == kind) & (F.trim(e["text"]) != ""))
+    pair = lambda h, c: F.struct(node_key("hazard", h["text"]).alias("src"), node_key("condition", c["text"]).alias("dst"), c["place"].alias("place"))
+    pairs = F.flatten(F.transform(of("HAZARD"), lambda h: F.transform(of("CONDITION"), lambda c: pair(h, c))))
+    # by place first: the least id alone is summed by hashing, a struct would be sorted
+    by_place = reports.select("analysis_id", F.inline(pairs)).groupBy("src", "dst", "place").agg(F.min("analysis_id").alias("doc_id"))
+    first = by_place.groupBy("src", "dst").agg(F.min(F.struct("doc_id", "place")).alias("at"))
+    seq = F.row_number().over(Window.partitionBy("src").orderBy("at", "dst")) - 1
+    return first.select("src", "dst", F.lit(PRECEDED_BY).alias("relation"), seq.alias("edge_seq"))
+
+
 def precursor_chain(edges: DataFrame, starts: DataFrame, nodes: DataFrame | None = None, max_depth: int = MAX_DEPTH) -> DataFrame:
     """start, node_id, depth, place, relation (and label, node_type): a breadth-first walk along causal edges.
 
@@ -83,12 +100,55 @@ def causal_chain(reports: DataFrame, entities: DataFrame, nodes: DataFrame, edge
 
     reports has analysis_id, causes and equipment (arrays); entities has analysis_id, place, text, entity_type.
     """
-    causes = reports.select("analysis_id", F.posexplode("causes").alias("i", "label")).where("trim(label) <> ''")
-    own = causes.select("analysis_id", F.lit(0).alias("part"), F.col("i").cast("long").alias("i"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("place"), "label", F.lit("cause").alias("node_type"), F.lit(CAUSED_BY).alias("relation"))
     tools = reports.select("analysis_id", F.posexplode("equipment").alias("i", "text")).select("analysis_id", F.lit(1).alias("part"), F.col("i").cast("long").alias("i"), node_key("equipment", F.col("text")).alias("start"))
     hazards = entities.where("entity_type = 'HAZARD'").select("analysis_id", F.lit(2).alias("part"), F.col("place").cast("long").alias("i"), node_key("hazard", F.col("text")).alias("start"))
     starts = checkpointed(tools.unionByName(hazards))
     walk = checkpointed(precursor_chain(edges, starts.select(F.col("start").alias("node_id")).distinct(), nodes))
+    return _chained(reports, starts, walk)
+
+
+def with_causal_chain(reports: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """reports (analysis_id, causes, equipment and entities: arrays) with causal_chain, the rows of causal_chain as an array in order.
+
+    A short walk goes to all tasks and a report keeps its row; a long one meets the reports' starts in a shuffle.
+    """
+    hazards = F.filter("entities", lambda e: e["entity_type"] == "HAZARD")
+    reports = reports.withColumn("starts", F.concat(F.transform("equipment", lambda t: node_key("equipment", t)), F.transform(hazards, lambda e: node_key("hazard", e["text"]))))
+    begun = reports.select("analysis_id", F.posexplode("starts").alias("i", "start"))
+    walk = checkpointed(precursor_chain(edges, begun.select(F.col("start").alias("node_id")).distinct(), nodes))
+    if walk.count() > MOST_BROADCAST:
+        chain = _chained(reports, checkpointed(begun.select("analysis_id", F.lit(1).alias("part"), F.col("i").cast("long").alias("i"), "start")), walk)
+        listed = chain.groupBy("analysis_id").agg(F.array_sort(F.collect_list(F.struct("order", "label", "node_type", "relation"))).alias("causal_chain"))
+        empty = F.array().cast(listed.schema["causal_chain"].dataType)
+        return reports.drop("starts").join(listed, "analysis_id", "left").withColumn("causal_chain", F.coalesce("causal_chain", empty))
+    key = lambda label: F.lower(F.trim(label))
+    steps: dict[str, list[tuple]] = {}
+    for r in walk.select("start", key(F.col("label")).alias("key"), "label", "node_type", "relation", "depth", "place").orderBy("start", "depth", "place").toLocalIterator():
+        steps.setdefault(r["start"], []).append((r["key"], r["label"], r["node_type"], r["relation"]))
+    held = reports.sparkSession.sparkContext.broadcast(steps)
+
+    def chained(labels: tuple, keys: tuple, starts: tuple) -> list[dict]:
+        own = [(k, label, "cause", CAUSED_BY) for k, label in zip(keys, labels, strict=True)]
+        once: dict[str, tuple] = {}
+        for step in itertools.chain(own, *[held.value.get(s, ()) for s in starts]):
+            once.setdefault(step[0], step)
+        return [{"order": i, "label": label, "node_type": kind, "relation": relation} for i, (_, label, kind, relation) in enumerate(once.values())]
+
+    def run(labels: pd.Series, keys: pd.Series, starts: pd.Series) -> pd.Series:
+        known: dict[tuple, list[dict]] = {}
+        rows = [tuple(map(tuple, r)) for r in zip(labels, keys, starts, strict=True)]
+        for r in set(rows):
+            known[r] = chained(*r)
+        return pd.Series([known[r] for r in rows], index=starts.index, dtype=object)
+
+    causes = F.filter("causes", lambda c: F.trim(c) != "")
+    found = F.pandas_udf(run, "array<struct<order: int, label: string, node_type: string, relation: string>>")(causes, F.transform(causes, key), F.col("starts"))
+    return reports.withColumn("causal_chain", found).drop("starts")
+
+
+def _chained(reports: DataFrame, starts: DataFrame, walk: DataFrame) -> DataFrame:
+    causes = reports.select("analysis_id", F.posexplode("causes").alias("i", "label")).where("trim(label) <> ''")
+    own = causes.select("analysis_id", F.lit(0).alias("part"), F.col("i").cast("long").alias("i"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("place"), "label", F.lit("cause").alias("node_type"), F.lit(CAUSED_BY).alias("relation"))
     # very many reports share a start, so none of them is sent to its start's task: a short walk goes to all, a long one in copies
     if walk.count() <= MOST_BROADCAST:
         met = starts.join(F.broadcast(walk), "start")

@@ -74,6 +74,23 @@ def corroborate(matches: DataFrame, excerpts: DataFrame, precursors: list | None
     return both.withColumn("confidence", F.least(F.lit(0.55) + F.lit(0.1) * F.col("evidence_count"), F.lit(0.95))).withColumn("place", F.row_number().over(order) - 1)
 
 
+def corroborated(flags: Column, hazard: Column, evidence: Column, precursors: list | None = None) -> Column:
+    """The rows of corroborate(match_precursors) of one report as an array in order; evidence: the pattern orders that its excerpts show, repeats counted."""
+    table = precursors or X.PRECURSORS
+    of = lambda part, i: F.struct(F.lit(part).alias("part"), F.lit(i).alias("pattern_order"))
+    own = [F.when(flags[i] & (hazard == f), of(0, i)) for i, (f, *_) in enumerate(table)]
+    general = [F.when(flags[i], of(1, i)) for i, (f, *_) in enumerate(table) if f == "general"]
+    count = lambda m: F.size(F.filter(evidence, lambda e: e == m["pattern_order"]))
+    ordered = F.array_sort(F.transform(F.array_compact(F.array(*own, *general)), lambda m: F.struct((-count(m)).alias("less"), m["part"].alias("part"), m["pattern_order"].alias("pattern_order"))))
+    names, told = (F.array(*[F.lit(row[k]) for row in table]) for k in (1, 2))
+
+    def shown(m: Column, i: Column) -> Column:
+        confidence = F.least(F.lit(0.55) + F.lit(0.1) * -m["less"], F.lit(0.95))
+        return F.struct(i.alias("place"), F.get(names, m["pattern_order"]).alias("pattern_name"), F.get(told, m["pattern_order"]).alias("description"), confidence.alias("confidence"), (-m["less"]).alias("evidence_count"))
+
+    return F.transform(ordered, shown)
+
+
 def known_precursor_count(hazard: Column, precursors: list | None = None) -> Column:
     """Patterns of the family and of the general one."""
     sizes: dict[str, int] = {}

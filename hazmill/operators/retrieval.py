@@ -226,12 +226,18 @@ def hybrid_search(
     """
     if scores is None:
         classed = checkpointed(_classed(queries, ("text", *filters)))
+        if classed.isEmpty():  # nothing is asked, so no index is made
+            return _no_hits(queries, chunks)
         hits = _hybrid_search(classed.where("query_id = asked").drop("asked"), chunks, k, filters, compressed, None, index, digest)
         own = classed.select("query_id", "asked").distinct()
         return hits.withColumnRenamed("query_id", "asked").join(own, "asked").select(*hits.columns)
     return _hybrid_search(queries, chunks, k, filters, compressed, scores, index, digest)
 
 
+def _no_hits(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    return chunks.limit(0).select("*", F.lit(None).cast(queries.schema["query_id"].dataType).alias("query_id"), *[F.lit(0.0).alias(c) for c in ("fused", "score")], F.lit(0).alias("rank0"))
+
+
 def _classed(queries: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     """queries with asked: the smallest query_id of those alike in columns; an id of several rows asks for itself."""
     rows = queries.withColumn("many", F.count("*").over(Window.partitionBy("query_id")) > 1)
@@ -251,6 +257,8 @@ def _hybrid_search(queries: DataFrame, chunks: DataFrame, k: int, filters: tuple
 
 def hybrid_search_incidents(queries: DataFrame, chunks: DataFrame, k: int = 8, digest: str = "crc32", **more) -> DataFrame:
     """Filtered by industry first; a query left with under half of k hits takes the unfiltered search instead."""
+    if queries.isEmpty():
+        return _no_hits(queries, chunks)
     more.setdefault("index", build_bm25(chunks))
     filtered = checkpointed(hybrid_search(queries, chunks, k, ("industry",), digest=digest, **more))
     enough = filtered.groupBy("query_id").count().where(F.col("count") >= max(k // 2, 1)).select("query_id")

@@ -4,6 +4,8 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
 
 from hazmill.operators import best as B
 from hazmill.operators import chunks as C
@@ -188,3 +190,33 @@ def test_a_search_shuffles_only_the_postings_of_its_terms(spark, tmp_path, monke
     assert rows(merged) == found and merged.n_tokens == index.n_tokens
     monkeypatch.setattr(P, "MOST_BROADCAST", 0)
     assert rows(index) == found == rows(P.merge_segments(index, str(tmp_path / "c")))
+
+
+def test_a_report_keeps_its_row_through_an_analysis(spark, monkeypatch):
+    """Nothing is asked, so no index is made; of two reports of one id neither takes the other's entities or actions."""
+    monkeypatch.setattr(R, "build_bm25", lambda chunks: pytest.fail("an index for no query"))
+    text = "The conveyor, unguarded, before the fire."
+    given = spark.createDataFrame([(1, "a.pdf", text), (1, "b.pdf", text), (2, "c.pdf", None)], "analysis_id long, file_name string, text string")
+    chunks = spark.createDataFrame([(1, text, "x.pdf")], "chunk_id long, text string, source_document string").withColumns({c: F.lit(None).cast("string") for c in ("title", "industry", "regulation_name", "section")})
+    one, two, none = A.analyze(given, chunks, chunks, searched=F.lit(False)).orderBy("file_name").collect()
+    assert one["entities"] == two["entities"] and [e["text"] for e in one["entities"]] == ["conveyor", "unguarded", "fire"] and [e["place"] for e in one["entities"]] == [0, 1, 2]
+    assert one["corrective_actions"] == two["corrective_actions"] and [a["place"] for a in one["corrective_actions"]] == list(range(len(one["corrective_actions"])))
+    assert [(s["label"], s["node_type"]) for s in one["causal_chain"]] == [("condition:unguarded", "unknown")]
+    assert one["similar_incidents"] == one["regulatory_clauses"] == none["entities"] == none["causal_chain"] == []
+
+
+def test_chains_in_rows_are_those_of_the_table(spark, monkeypatch):
+    entities = "array<struct<place: int, text: string, entity_type: string>>"
+    rows = [(i, ["No guard", " ", None, "no GUARD "], ["Press", None], [(0, "fire", "HAZARD"), (1, "leak", "CONDITION"), (2, "fall", "HAZARD")][: i % 4]) for i in range(8)]
+    reports = spark.createDataFrame(rows, f"analysis_id long, causes array<string>, equipment array<string>, entities {entities}")
+    nodes = spark.createDataFrame([("cause:a", "A", "cause"), ("cause:b", "no guard", "cause")], "node_id string, label string, node_type string")
+    edges = spark.createDataFrame([("equipment:press", "cause:a", "CAUSED_BY", 0), ("cause:a", "cause:b", "PRECEDED_BY", 0), ("hazard:fire", "cause:a", "CAUSED_BY", 1), ("hazard:fall", "cause:c", "CAUSED_BY", 0)], "src string, dst string, relation string, edge_seq int")
+    found = reports.select("analysis_id", F.inline("entities"))
+    want = [tuple(r) for r in G.causal_chain(reports, found, nodes, edges).orderBy("analysis_id", "order").collect()]
+    for most in (G.MOST_BROADCAST, 0):
+        monkeypatch.setattr(G, "MOST_BROADCAST", most)
+        got = G.with_causal_chain(reports, nodes, edges).select("analysis_id", F.inline("causal_chain")).orderBy("analysis_id", "order").collect()
+        assert [tuple(r) for r in got] == want and len(want) >= 16
+    own = G.build_graph(reports.select(F.col("analysis_id").alias("doc_id"), F.lit("t").alias("title"), F.lit("i").alias("industry"), F.lit("s").alias("severity")), found.withColumnRenamed("analysis_id", "doc_id"))[1]
+    key = lambda df: sorted(map(tuple, df.collect()))
+    assert key(G.precursor_edges(reports)) == key(own.where("src not like 'incident:%'")) != []
