@@ -377,7 +377,8 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, rounds
     words, profiles = coded.select("id", "words"), coded.select("id", "n", "counts")
 
     n = candidates.count()
-    groups = candidates.coalesce(1 + n // 100_000).select("id", F.col("id").alias("group"))
+    candidates = candidates.coalesce(1 + n // 100_000)
+    groups = candidates.select("id", F.col("id").alias("group"))
     tried = None
     for k in range(rounds + 1):
         if k < rounds:
@@ -396,9 +397,11 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, rounds
             pairs = sides(untried(pairs, tried), profiles).mapInPandas(_bounded(threshold), "a long, b long")
         else:
             pairs = remaining_pairs(met, groups, profiles, tried, threshold)
-        pairs = cut_lineage(pairs, n)
+        # their counters are compared in as many tasks as they come in; only what is left of them is put together
+        pairs = cut_lineage(pairs)
         if not (n_pairs := pairs.count()):
             continue
+        pairs = pairs.coalesce(1 + n_pairs // 100_000)
         verdicts = cut_lineage(verified(pairs, n_pairs, words, threshold))
         tried = verdicts if tried is None else tried.unionByName(verdicts)
         found = components(tried.where("linked").select("a", "b"))

@@ -106,3 +106,21 @@ def test_texts_are_taken_from_arrow_a_run_at_a_time():
     texts = ["", "ab", "c" * 9, "", "de", "fgh", "i" * 30]
     assert list(runs([len(t) for t in texts], 6)) == list(chunks(texts, 6)) == [(0, 2), (2, 3), (3, 6), (6, 7)]
     assert not list(runs([]))
+
+
+def test_counters_are_not_compared_in_one_task(spark, monkeypatch):
+    """Pairs were put together before their counters were compared, in one task for up to 100,000 documents."""
+    from hazmill.llm import near_dedup
+
+    plans, cut = [], near_dedup.cut_lineage
+
+    def watched(df, rows=None):
+        plans.append((rows, df._jdf.queryExecution().analyzed().toString().split("\n")[0]))
+        return cut(df, rows)
+
+    monkeypatch.setattr(near_dedup, "cut_lineage", watched)
+    words = [f"w{i}" for i in range(40)]
+    docs = spark.createDataFrame([(i, " ".join([*words[:20], f"x{i}", *words[20:]])) for i in range(6)], "doc_id long, text string")
+    assert {r["class_id"] for r in near_dedup.near_duplicate_classes(docs).collect()} == {0}
+    compared = [rows for rows, top in plans if top.startswith("MapInPandas run")]
+    assert compared and not any(compared)
