@@ -32,6 +32,11 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("long")
 
 
+def put_together(df: DataFrame, rows: int, task: int = 100_000) -> DataFrame:
+    """df, of so many rows at most, in as many tasks as they fill."""
+    return df.coalesce(1 + rows // task)
+
+
 def cut_lineage(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Checkpoint to the shared folder that the session names in spark.checkpoint.dir.
 
@@ -39,7 +44,7 @@ def cut_lineage(df: DataFrame, rows: int | None = None) -> DataFrame:
     over more files than they fill.
     """
     if rows is not None:
-        df = df.coalesce(1 + rows // 100_000)
+        df = put_together(df, rows)
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_folder(df.sparkSession))
@@ -133,19 +138,60 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Edges that a task holds at once.
+RUN_EDGES = 1_000_000
+
+
+def reached(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the nodes of some edges in order, the smallest node that each reaches over them)."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = ends[: len(a)], ends[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        lo, hi = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        apart = lo < hi
+        if not apart.any():
+            return nodes, nodes[root]
+        np.minimum.at(root, hi[apart], lo[apart])
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's edges as stars: what their runs of RUN_EDGES connect, with an edge a node at most."""
+    held: list[pa.RecordBatch] = []
+
+    def star() -> pa.RecordBatch:
+        nodes, roots = reached(*(np.concatenate([x.column(c).to_numpy() for x in held]) for c in ("a", "b")))
+        held.clear()
+        return pa.RecordBatch.from_pydict({"a": nodes, "b": roots})
+
+    for batch in batches:
+        held.append(batch)
+        if sum(x.num_rows for x in held) >= RUN_EDGES:
+            yield star()
+    if held:
+        yield star()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a, b)`` as ``(node, component)``, component being the smallest node.
 
-    Each round gives every node the smallest label among its neighbours' and
-    then follows labels once more (pointer jumping), so that stars and chains
-    both shrink fast. Labels meet in a partial aggregation by node, so a node
-    of any degree costs each map task one row. Nodes without edges are not
-    returned; null ends are ignored.
+    Each task first makes stars of its own edges. Up to RUN_EDGES of their edges
+    are put together and made stars once more, which are the components; more go
+    through rounds. Each round gives every node the smallest label among its
+    neighbours' and then follows labels once more (pointer jumping), so that
+    stars and chains both shrink fast. Labels meet in a partial aggregation by
+    node, so a node of any degree costs each map task one row. Nodes without
+    edges are not returned; null ends are ignored.
     """
-    both = edges.where("a is not null and b is not null and a <> b").select("a", "b").distinct()
-    both = cut_lineage(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    named = edges.where("a is not null and b is not null and a <> b").select(F.col("a").cast("long"), F.col("b").cast("long"))
+    both = cut_lineage(named.mapInArrow(_stars, "a long, b long"))
     size = both.count()
-    both = both.coalesce(1 + size // 100_000)
+    if size <= RUN_EDGES:
+        return both.coalesce(1).mapInArrow(_stars, "a long, b long").select(F.col("a").alias("node"), F.col("b").alias("component"))
+    both = both.where("a <> b").distinct()
+    both = cut_lineage(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), 2 * size)
     labels = cut_lineage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")), size)
     while True:
         seen = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))

@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazmill.llm.common import WORD, chunks, components, cut_lineage, keyed_texts, text_of
+from hazmill.llm.common import WORD, chunks, components, cut_lineage, keyed_texts, put_together, text_of
 
 SHINGLE, SKETCHES, THRESHOLD, ROUNDS = 3, 40, 0.8, 3
 #: Members of a bucket that are compared with as many others at once; counters of a document's words, and how many of them are summed for a first look.
@@ -327,23 +327,24 @@ def _close(threshold: float):
     return run
 
 
-def sides(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
-    """a, b with the counters of both."""
+def bounded(pairs: DataFrame, profiles: DataFrame, threshold: float, rows: int) -> DataFrame:
+    """a, b: the pairs that may be alike by the counters of both; neither pairs nor profiles have more rows than rows."""
     for s in ("b", "a"):
-        pairs = pairs.join(profiles.select(*[F.col(c).alias(t) for c, t in (("id", s), ("n", f"n_{s}"), ("counts", f"counts_{s}"))]), s)
-    return pairs
+        pairs = put_together(pairs.join(profiles.select(*[F.col(c).alias(t) for c, t in (("id", s), ("n", f"n_{s}"), ("counts", f"counts_{s}"))]), s), rows, TASK_PAIRS)
+    return pairs.mapInPandas(_bounded(threshold), "a long, b long")
 
 
 def untried(pairs: DataFrame, tried: DataFrame | None) -> DataFrame:
     return pairs if tried is None else pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
 
 
-def remaining_pairs(met: DataFrame, groups: DataFrame, profiles: DataFrame, tried: DataFrame | None, threshold: float) -> DataFrame:
-    """a, b: untried pairs of two groups that share a bucket and may be alike; each is named in one bucket, and blocks bound what a task holds."""
-    inside = met.join(groups, "id")
-    several = cut_lineage(inside.groupBy("bucket").agg(F.min("group").alias("lo"), F.max("group").alias("hi"), F.count("*").alias("m"), F.min("id").alias("a"), F.max("id").alias("b")).where("lo <> hi"))
-    twos = sides(untried(several.where("m = 2").select("a", "b").distinct(), tried), profiles).mapInPandas(_bounded(threshold), "a long, b long")
-    left = cut_lineage(inside.join(several.where("m > 2").select("bucket", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "bucket"))
+def remaining_pairs(met: DataFrame, size: int, groups: DataFrame, profiles: DataFrame, n: int, tried: DataFrame | None, threshold: float) -> DataFrame:
+    """a, b: untried pairs of two groups that share a bucket and may be alike; each is named in one bucket, and blocks bound what a task holds. size, n: rows of met and of profiles."""
+    inside = put_together(met.join(groups, "id"), size)
+    several = cut_lineage(inside.groupBy("bucket").agg(F.min("group").alias("lo"), F.max("group").alias("hi"), F.count("*").alias("m"), F.min("id").alias("a"), F.max("id").alias("b")).where("lo <> hi"), size)
+    twos = cut_lineage(untried(put_together(several.where("m = 2").select("a", "b").distinct(), size), tried), size)
+    twos = bounded(twos, profiles, threshold, max(n, twos.count()))
+    left = cut_lineage(inside.join(several.where("m > 2").select("bucket", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "bucket"), size)
     # a member's own buckets are at most as many as the sketches
     facts = left.groupBy("id").agg(F.collect_set("bucket").alias("own")).join(profiles, "id")
     placed = left.join(facts, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
@@ -354,9 +355,9 @@ def remaining_pairs(met: DataFrame, groups: DataFrame, profiles: DataFrame, trie
 
 def verified(pairs: DataFrame, n_pairs: int, words: DataFrame, threshold: float) -> DataFrame:
     """a, b, linked: the words of a meet those of up to RUN_PAIRS of its b in one task; a hub goes to as many tasks as it needs."""
-    runs = pairs.groupBy("a").agg(F.ceil(F.count("*") / RUN_PAIRS).alias("runs"))
-    dealt = pairs.join(runs, "a").select("a", F.pmod(F.xxhash64("b"), F.col("runs")).alias("run"), "b")
-    ends = dealt.select("a", "run", F.col("b").alias("id")).unionByName(dealt.select("a", "run", F.col("a").alias("id")).distinct())
+    runs = put_together(pairs.groupBy("a").agg(F.ceil(F.count("*") / RUN_PAIRS).alias("runs")), n_pairs)
+    dealt = put_together(pairs.join(runs, "a").select("a", F.pmod(F.xxhash64("b"), F.col("runs")).alias("run"), "b"), n_pairs)
+    ends = dealt.select("a", "run", F.col("b").alias("id")).unionByName(put_together(dealt.select("a", "run", F.col("a").alias("id")).distinct(), n_pairs))
     met = words.join(F.broadcast(ends) if n_pairs <= MOST_BROADCAST else ends, "id").select("a", "run", "id", "words")
     tasks = max(8, -(-n_pairs // TASK_PAIRS))
     # a is the smaller of the two ids, so it comes first
@@ -367,42 +368,49 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, rounds
     """doc_id, class_id (the smallest doc_id of the class) and kept (doc_id is class_id), a row for each row of docs."""
     texts = keyed_texts(docs).where("doc_id is not null")
     sketched = cut_lineage(texts.mapInPandas(_sketched, "doc_id long, same binary, sketches array<long>"))
-    exact = cut_lineage(sketched.groupBy("same").agg(F.min("doc_id").alias("rep")))
-    reps = exact.join(sketched, (exact["same"] == sketched["same"]) & (exact["rep"] == sketched["doc_id"]), "inner")
-    entries = reps.select(F.col("rep").alias("id"), F.explode("sketches").alias("bucket")).distinct()
-    shared = cut_lineage(entries.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").select("bucket"))
-    met = cut_lineage(entries.join(shared, "bucket"))
-    candidates = cut_lineage(met.select("id").distinct())
+    # tables of ids and buckets are put together by their rows: as many tasks as a shuffle has partitions would write more files than rows on small inputs
+    n = sketched.count()
+    size = n * SKETCHES
+    exact = cut_lineage(sketched.groupBy("same").agg(F.min("doc_id").alias("rep")), n)
+    reps = put_together(exact.join(sketched, (exact["same"] == sketched["same"]) & (exact["rep"] == sketched["doc_id"]), "inner"), size)
+    entries = put_together(reps.select(F.col("rep").alias("id"), F.explode("sketches").alias("bucket")).distinct(), size)
+    shared = cut_lineage(entries.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").select("bucket"), size)
+    met = cut_lineage(entries.join(shared, "bucket"), size)
+    size = met.count()
+    met = put_together(met, size)
+    candidates = cut_lineage(put_together(met.select("id").distinct(), n))
     coded = cut_lineage(texts.join(candidates, texts["doc_id"] == candidates["id"], "left_semi").dropDuplicates(["doc_id"]).mapInPandas(_coded, "id long, n int, counts binary, words binary"))
+    n = candidates.count()
+    candidates = put_together(candidates, n)
+    coded = put_together(coded, n, TASK_PAIRS)
     words, profiles = coded.select("id", "words"), coded.select("id", "n", "counts")
 
-    n = candidates.count()
-    candidates = candidates.coalesce(1 + n // 100_000)
     groups = candidates.select("id", F.col("id").alias("group"))
     tried = None
     for k in range(rounds + 1):
         if k < rounds:
             # one member of each group in each bucket, and the bucket's hub among them
-            inside = met.join(groups, "id")
+            inside = put_together(met.join(groups, "id"), size)
             order = F.when(F.lit(k == 0), F.col("id")).otherwise(F.xxhash64(F.lit(k), "id"))
             members = inside.groupBy("bucket", "group").agg(F.min(F.struct(order.alias("o"), "id")).alias("m")) if k else inside.select("bucket", "group", F.struct(order.alias("o"), "id").alias("m"))
-            members = cut_lineage(members.select("bucket", "m", "group"))
-            hubs = cut_lineage(members.groupBy("bucket").agg(F.min(F.struct("m", "group")).alias("hub"), F.count("*").alias("n")).where("n > 1"))
+            members = cut_lineage(members.select("bucket", "m", "group"), size)
+            hubs = cut_lineage(members.groupBy("bucket").agg(F.min(F.struct("m", "group")).alias("hub"), F.count("*").alias("n")).where("n > 1"), size)
             own, hub = F.col("m.id"), F.col("hub.m.id")
-            met_hub = members.join(hubs, "bucket").where(own != hub).select(own.alias("own"), hub.alias("hub"), F.least("group", "hub.group").alias("g"), F.greatest("group", "hub.group").alias("h"))
-            shares = met_hub.groupBy("own", "hub", "g", "h").agg(F.count("*").alias("n"))
+            met_hub = put_together(members.join(hubs, "bucket").where(own != hub).select(own.alias("own"), hub.alias("hub"), F.least("group", "hub.group").alias("g"), F.greatest("group", "hub.group").alias("h")), size)
+            shares = put_together(met_hub.groupBy("own", "hub", "g", "h").agg(F.count("*").alias("n")), size)
             # at first the hub with which a member shares most, later one pair of members for two groups; what is left comes in later rounds
             best = shares.groupBy(*(("g", "h") if k else ("own",))).agg(F.max(F.struct("n", (-F.col("hub")).alias("early"), F.col("own"))).alias("x"))
-            pairs = best.select(F.least("x.own", -F.col("x.early")).alias("a"), F.greatest("x.own", -F.col("x.early")).alias("b")).distinct()
-            pairs = sides(untried(pairs, tried), profiles).mapInPandas(_bounded(threshold), "a long, b long")
+            pairs = put_together(best.select(F.least("x.own", -F.col("x.early")).alias("a"), F.greatest("x.own", -F.col("x.early")).alias("b")), size).distinct()
+            pairs = cut_lineage(untried(pairs, tried), size)
+            pairs = bounded(pairs, profiles, threshold, max(n, pairs.count()))
         else:
-            pairs = remaining_pairs(met, groups, profiles, tried, threshold)
-        # their counters are compared in as many tasks as they come in; only what is left of them is put together
+            pairs = remaining_pairs(met, size, groups, profiles, n, tried, threshold)
+        # their counters are compared in as many tasks as they need; only what is left of them is put together
         pairs = cut_lineage(pairs)
         if not (n_pairs := pairs.count()):
             continue
-        pairs = pairs.coalesce(1 + n_pairs // 100_000)
-        verdicts = cut_lineage(verified(pairs, n_pairs, words, threshold))
+        pairs = put_together(pairs, n_pairs)
+        verdicts = put_together(cut_lineage(verified(pairs, n_pairs, words, threshold)), n_pairs)
         tried = verdicts if tried is None else tried.unionByName(verdicts)
         found = components(tried.where("linked").select("a", "b"))
         groups = cut_lineage(candidates.join(found, candidates["id"] == found["node"], "left").select("id", F.coalesce("component", "id").alias("group")), n)

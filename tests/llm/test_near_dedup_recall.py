@@ -118,3 +118,59 @@ def test_no_unrelated_text_of_a_repeated_id_is_lost(spark):
     got = sorted(((r["doc_id"], r["text"]) for r in near_dedup.deduplicated(docs).collect()), key=repr)
     want = [(1, a), (1, b), (3, c), (5, a + " end"), (5, "quite another text of a few words"), (None, c), (6, None), (7, "")]
     assert got == sorted(want, key=repr)
+
+
+def tasks_of(spark, run):
+    """(what run gives, the tasks of its jobs)."""
+    sc = spark.sparkContext
+    sc.setJobGroup(group := f"tasks-{np.random.default_rng().integers(1 << 40)}", "")
+    try:
+        out = run()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    tracker = sc.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
+    return out, sum(info.numCompletedTasks for s in stages if (info := tracker.getStageInfo(s)))
+
+
+def test_few_rows_are_few_tasks_whatever_the_shuffle_has(spark):
+    """Each table of ids, buckets and links had a task, and files, for each partition of its shuffle."""
+    rng = np.random.default_rng(17)
+    words = [f"w{rng.integers(1 << 40)}" for _ in range(60)]
+    texts = [" ".join(changed(rng, words, [k, k + 1])) for k in range(20)]
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got, tasks = tasks_of(spark, lambda: classes(spark, texts))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert set(got.values()) == {0}
+    assert tasks < 600
+
+
+@pytest.mark.parametrize("most", [1_000_000, 50])
+def test_components_of_few_and_of_many_edges(spark, monkeypatch, most):
+    from hazmill.llm import common
+
+    monkeypatch.setattr(common, "RUN_EDGES", most)
+    rng = np.random.default_rng(18)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2))] + [(1000 + i, 1001 + i) for i in range(90)]
+    edges += [(b, a) for a, b in edges[:40]] + [(7, 7), (5000, 5000), (None, 3), (4, None)]
+    label = {x: x for a, b in edges if None not in (a, b) and a != b for x in (a, b)}
+    while moved := [(a, b) for a, b in edges if a in label and b in label and label[a] != label[b]]:
+        for a, b in moved:
+            label[a] = label[b] = min(label[a], label[b])
+    rows = spark.createDataFrame(edges, "a long, b long").repartition(5)
+    assert sorted(tuple(r) for r in common.components(rows).select("node", "component").collect()) == sorted(label.items())
+
+
+def test_runs_of_a_tasks_edges_are_stars(monkeypatch):
+    import pyarrow as pa
+    from hazmill.llm import common
+
+    monkeypatch.setattr(common, "RUN_EDGES", 3)
+    batches = [pa.RecordBatch.from_pydict({"a": a, "b": b}) for a, b in (([5, 9], [3, 5]), ([7, 20], [9, 21]), ([7], [1]))]
+    got = [list(zip(x.column("a").to_pylist(), x.column("b").to_pylist(), strict=True)) for x in common._stars(iter(batches))]
+    assert got == [[(3, 3), (5, 3), (7, 3), (9, 3), (20, 20), (21, 20)], [(1, 1), (7, 1)]]
