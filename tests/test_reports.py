@@ -11,6 +11,7 @@ from hazmill.functions import labels as L
 from hazmill.operators import history as H
 from hazmill.operators import reports as A
 from hazmill.operators import retrieval as R
+from hazmill.plans.queries import QUERIES
 from hazmill.sources import keyed, store
 from hazmill.streaming import updates as U
 
@@ -72,6 +73,32 @@ def test_a_whole_report(reports):
     assert urgencies == sorted(urgencies, key=["IMMEDIATE", "SHORT_TERM", "LONG_TERM"].index) and "energy control procedure" in r["corrective_actions"][0]["action"]
 
 
+def test_every_report_is_searched(spark):
+    """No report is left without its searches (all but every fiftieth were)."""
+    rows = QUERIES["analyze"](spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) == 150 and all(r["n_similar_incidents"] == 8 for r in rows)
+    assert sum(r["n_regulatory_clauses"] == 6 for r in rows) > 140
+
+
+def test_reports_that_ask_alike_are_searched_once(spark, corpora, monkeypatch):
+    """Each report has what its own query finds, whatever its id: of two reports of one id, or of one without, none is mixed or left out; few queries or many, it is the same."""
+    tank, press = HISTORY[2][3], HISTORY[0][3]
+    rows = [(1, "a", press, None), (1, "b", tank, None), (None, "c", tank, None), (3, "d", press, None), (4, "e", press, "stopped"), (5, "f", None, None)]
+    given = spark.createDataFrame(rows, "analysis_id long, file_name string, text string, error string")
+    asked, plain = [], R._hybrid_search
+    monkeypatch.setattr(R, "_hybrid_search", lambda q, *a: asked.append(q.count()) or plain(q, *a))
+    fields = ("n_similar", "similar_incidents", "regulatory_clauses", "families", "precursor_patterns", "risk")
+    found = lambda **more: {r["file_name"]: [r[c] for c in fields] for r in A.analyze(given, *corpora, **more).collect()}
+    got = found()
+    assert asked[0] == 3 and max(asked) == 3
+    assert got["a"] == got["d"] and got["b"] == got["c"] and got["e"][1] == got["f"][1] == []
+    assert got["b"][1][0]["doc_id"] == 3 and got["a"][1][0]["doc_id"] == 1 and got["a"][2]
+    monkeypatch.setattr(A, "MOST_BROADCAST", 0)
+    some = found(searched=F.col("file_name") != "d")
+    assert {k: v for k, v in some.items() if k != "d"} == {k: v for k, v in got.items() if k != "d"}
+    assert some["d"][:4] == [0, [], [], []]
+
+
 def test_alerts_have_ids_and_times(reports):
     for r in reports.values():
         (alert,) = r["alerts"]
